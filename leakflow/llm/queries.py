@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakflow.llm import bpe, decontaminate, mixing, packing, quality, simhash
+from leakflow.llm import bpe, decontaminate, kdtopk, linespread, mixing, packing, quality, secretfreq, simhash, warc
 
 PACK_LENGTH, PAD_ID = 2048, 50256
 #: Targets of the mix; sources that aren't listed have weight 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+#: A line that so many of the sites have is boilerplate.
+MIN_SITES = 5
 
 
 def vocabulary_path() -> str:
@@ -36,6 +38,10 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linespread.drop_shared_lines(_read(spark, sf_dir, "documents"), MIN_SITES)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_read(spark, sf_dir, "documents"))
 
@@ -44,6 +50,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(_read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op8_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtopk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op10_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretfreq.scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
@@ -58,9 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_tokens": op1_pack_tokens,
     "op2_quality_rules": op2_quality_rules,
     "op3_winnowing": op3_winnowing,
+    "op4_line_spread": op4_line_spread,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_kd_top_k": op8_kd_top_k,
     "op9_mix_sources": op9_mix_sources,
+    "op10_secret_owners": op10_secret_owners,
     "pipeline": pipeline,
 }
 
@@ -86,4 +108,59 @@ SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM counted)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_mix_sources": _MIX_SQL}
+_LINES_SQL = f"""
+WITH lines AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+shared AS (SELECT trim(line, ' ') AS k FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
+flags AS (SELECT coalesce(list(k), []) AS ks FROM shared)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines,
+       coalesce(len(list_filter(string_split(text, chr(10)), lambda x: list_contains(ks, trim(x, ' ')))), 0)::BIGINT AS n_removed,
+       array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(ks, trim(x, ' '))), chr(10)) AS clean_text
+FROM documents, flags
+"""
+
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+def _secrets_sql() -> str:
+    kinds = [*secretfreq.BASE, secretfreq.OWNED]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    raw = " UNION ALL ".join(
+        f"SELECT doc_id, source, lang, {i} AS ord, {quoted(k.name)} AS kind, regexp_extract_all(t, {quoted(k.pattern)}, 0) AS m, "
+        f"regexp_extract_all(t, {quoted(k.pattern)}, {k.group}) AS g, string_split_regex(t, {quoted(k.pattern)}) AS p FROM docs"
+        for i, k in enumerate(kinds)
+    )
+    needs = " OR ".join("(" + " AND ".join([f"ord = {i}", f"length(secret) >= {k.least}", *(f"regexp_matches(secret, {quoted(n)})" for n in k.needs)]) + ")" for i, k in enumerate(kinds))
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER ({}), '')"
+    base = f"ord < {len(secretfreq.BASE)}"
+    return f"""
+WITH docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+nth AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw),
+placed AS (SELECT doc_id, source, lang, ord, kind, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(m[i]) AS n, g[i] AS secret FROM nth),
+good AS (SELECT *, s + n AS e FROM placed WHERE {needs}),
+apart AS (SELECT * FROM good a WHERE {base} OR NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = a.doc_id AND b.{base} AND b.s < a.e AND a.s < b.e)),
+spread AS (SELECT secret, count(DISTINCT source) AS owners, count(DISTINCT source || chr(31) || lang) AS repositories FROM apart GROUP BY secret),
+judged AS (SELECT a.*, owners <= 1 AND repositories <= 2 AS live FROM apart a JOIN spread USING (secret)),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         {listed.format(base)} AS base_spans, {listed.format(f"{base} OR live")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM docs d LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_line_spread": _LINES_SQL, "op8_kd_top_k": _TOP_K_SQL, "op9_mix_sources": _MIX_SQL, "op10_secret_owners": _secrets_sql()}
