@@ -2,36 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from leakflow.plans import documents, events, graphs, pages  # noqa: F401
+from leakflow.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query, and the SQL for the same rows where there is any."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-@query(
-    "scan_summary",
-    """SELECT source, count(*)::BIGINT AS fragments, sum(strlen(text))::BIGINT AS n_bytes,
-       sum(CASE WHEN regexp_matches(text, '(?:access|api|auth|key|cred|passw|secret|token)') THEN 1 ELSE 0 END)::BIGINT AS with_keyword
-       FROM documents GROUP BY source""",
-)
-def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
-    hit = F.col("text").rlike("(?:access|api|auth|key|cred|passw|secret|token)")
-    return docs.groupBy("source").agg(
-        F.count("*").alias("fragments"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"), F.sum(F.when(hit, 1).otherwise(0).cast("long")).alias("with_keyword")
-    )
+__all__ = ["ORACLE_SQL", "QUERIES"]
