@@ -231,12 +231,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Similarity is estimated from the bits in which two fingerprints of
     64 * ``words`` bits differ, which is how SimHash measures the angle
-    between shingle sets. Repeated rows count as copies. Texts without words
+    between shingle sets. Candidates share two of a word's five blocks: of
+    pairs with similarity 0.9 about 99 % do, with 0.85 88 %, with 0.8 70 %
+    (for 8 words), and a group needs only some of its pairs. Repeated rows count as copies. Texts without words
     form one group. An empty table stays empty.
     """
     rows = fingerprints(docs, text, shingle, words)
     fps = [f"fp{i}" for i in range(words)]
     narrow = rows.select("row_id", F.col(f"`{doc_id}`").alias("doc_id_"), *fps)
-    grouped = near_groups(narrow, words, radius_for(similarity, words), parts=5, same=2, key_words=min(4, words))
+    grouped = near_groups(narrow, words, radius_for(similarity, words), parts=5, same=2, key_words=words)
     kept = grouped.groupBy("root").agg(F.min_by("row_id", F.struct(F.col("doc_id_").isNull(), "doc_id_", "row_id")).alias("row_id"))
     return rows.join(kept.select("row_id"), "row_id", "left_semi").select(docs.columns)
