@@ -32,7 +32,7 @@ def prefilter(frags: DataFrame, skipped_paths: list[str]) -> DataFrame:
 def candidate_rules(frags: DataFrame, rules: list[Rule]) -> DataFrame:
     """(fragment_id, rule_id): rules that have a keyword in the fragment, in whatever ASCII case, or no keyword at all."""
     low = F.lower("raw")
-    hits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in r.keywords), F.lit(not r.keywords)), F.lit(r.rule_id)) for r in rules]
+    hits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords)), F.lit(r.rule_id)) for r in rules]
     return frags.select("fragment_id", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
 
 
@@ -67,24 +67,45 @@ def _finish(rule: Rule):
     return made
 
 
-def scan(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, markers: list[str] | None = None, with_context: int = 0) -> DataFrame:
-    """Findings before filters: one row for each match of each candidate rule.
+#: Catalogues of up to so many rules become one expression each; larger ones are joined as a table.
+INLINE_RULES = 32
 
-    Each rule's matches are one expression behind its keyword test, so the
-    text is read once and only the matches leave the row. A match's secret is
-    found by matching the rule again within the match. Lines that carry an
-    allow marker yield nothing.
-    """
+
+def _inline(frags: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All rules' matches as one array: each rule's pattern stands behind its keyword test, so the text is read once."""
     low = F.lower("raw")
     made = []
     for r in rules:
-        if not r.regex:
-            continue
-        wanted = reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in r.keywords), F.lit(not r.keywords))
+        wanted = reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords))
         if r.path:
             wanted = wanted & F.col("path").rlike(java_pattern(r.path))
         made.append(F.when(wanted, F.transform(matching.spans(F.col("raw"), java_pattern(r.regex)), _finish(r))).otherwise(F.array()))
-    found = frags.withColumn("f", F.explode(F.concat(*made))).select("fragment_id", "path", "start_line", "raw", "f.*").withColumnRenamed("start_line", "first_line")
+    return frags.withColumn("f", F.explode(F.concat(*made))).select("fragment_id", "path", "start_line", "raw", "f.*")
+
+
+def _joined(frags: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A row for each fragment and rule that it has a keyword of, with the rule's pattern as a column. The rule table is as large as the catalogue file, so it is broadcast."""
+    rows = [(r.rule_id, java_pattern(r.regex), java_pattern(r.path), r.secret_group, _group_count(r.regex), r.specificity, r.confidence, r.skip_report) for r in rules]
+    table = frags.sparkSession.createDataFrame(rows, "rule_id string, rx string, path_rx string, secret_group int, groups int, specificity int, confidence string, skip_report boolean")
+    hits = [F.when(reduce(lambda a, b: a | b, (F.contains("low", F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords)), F.lit(r.rule_id)) for r in rules]
+    candidates = frags.withColumn("low", F.lower("raw")).withColumn("rule_id", F.explode(F.array_compact(F.array(*hits)))).drop("low").join(F.broadcast(table), "rule_id")
+    candidates = candidates.filter((F.col("path_rx") == "") | F.rlike(F.col("path"), F.col("path_rx")))
+    found = candidates.withColumn("s", F.explode(matching.spans(F.col("raw"), F.col("rx")))).withColumn("match", F.regexp_replace("s.match", r"\n+$", ""))
+    group = lambda g: F.call_function("regexp_extract", F.col("match"), F.col("rx"), g)
+    tried = F.when(F.col("secret_group") > 0, F.array("secret_group")).otherwise(F.filter(F.sequence(F.lit(0), F.col("groups")), lambda g: g > 0))
+    secret = F.coalesce(F.get(F.filter(F.transform(tried, group), lambda x: (x != "") | (F.col("secret_group") > 0)), F.lit(0)), F.col("match"))
+    return found.select("fragment_id", "path", "start_line", "raw", "rule_id", F.col("s.start").alias("start"), (F.col("s.start") + F.length("match")).alias("end"), "match", secret.alias("secret"), "specificity", "confidence", "skip_report")
+
+
+def scan(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, markers: list[str] | None = None, with_context: int = 0) -> DataFrame:
+    """Findings before filters: one row for each match of each candidate rule.
+
+    Only rules of which the text holds a keyword are tried, and only matches
+    leave the row. A match's secret is found by matching the rule again
+    within the match. Lines that carry an allow marker yield nothing.
+    """
+    rules = [r for r in rules if r.regex]
+    found = (_inline if len(rules) <= INLINE_RULES else _joined)(frags, rules).withColumnRenamed("start_line", "first_line")
     start, end, raw = F.col("start"), F.col("end"), F.col("raw")
     placed = found.select(
         "fragment_id", "path", "rule_id", (F.col("first_line") + matching.start_line(raw, start)).alias("start_line"), (F.col("first_line") + matching.end_line(raw, end)).alias("end_line"),

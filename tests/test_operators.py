@@ -48,6 +48,17 @@ def test_allow_markers_and_confidence(spark):
     assert found(spark, text, least_confidence="medium") == []
 
 
+def test_large_catalogues_are_joined_with_the_same_result(spark, monkeypatch):
+    key, secret = aws(random.Random(3))
+    made = [Rule("a", "x=([0-9]+)(y?)", ("X=",)), Rule("b", "(u?)v([0-9])"), Rule("c", "w([0-9])([0-9])", secret_group=2, path="b[.]txt$"), Rule("d", "w", path="none$"), *rules.BUILTIN]
+    table = frags(spark, "x=12y x=3\nv4 uv5 w67\n\n", f'id = "{key}"\naws_secret = "{secret}"\n', 'my_token = "k3J8f7Qz91LmXv02RtYw"\n', "nothing")
+    cols = ["fragment_id", "rule_id", "start", "end", "start_line", "start_column", "end_column", "match", "secret", "specificity"]
+    inline = sorted(map(tuple, detect.scan(table, made).select(cols).collect()))
+    monkeypatch.setattr(detect, "INLINE_RULES", 2)
+    assert sorted(map(tuple, detect.scan(table, made).select(cols).collect())) == inline and {r[1] for r in inline} >= {"a", "b", "c", "generic-api-key"}
+    assert {(r[1], r[8]) for r in inline if r[1] in "abc"} == {("a", "12"), ("a", "3"), ("b", "4"), ("b", "u"), ("c", "7")}
+
+
 def test_partitions_do_not_matter(spark):
     texts = [f'a\nmy_token = "k3J8f7Qz91LmXv0{i}RtYw"\n' for i in range(30)]
     one, many = frags(spark, *texts).coalesce(1), frags(spark, *texts).repartition(7)
