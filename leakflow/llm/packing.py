@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.llm.bpe import vocabulary
@@ -135,11 +135,6 @@ def pack(docs: DataFrame, path: str, length: int = 2048, pad_id: int = 0, doc_id
     return source.mapInArrow(run, PACK_SCHEMA.format(id_name))
 
 
-def token_width(n_ids: int) -> str:
-    """The numpy type of the matrices for a vocabulary of ``n_ids``."""
-    return "<u2" if n_ids <= 1 << 16 else "<u4"
-
-
 def unpack(packs: DataFrame, width: str = "<u2") -> DataFrame:
     """doc_id, piece_start, ids for each segment: the packing read back."""
     id_type = packs.schema["doc_ids"].dataType.elementType.simpleString()
@@ -162,6 +157,6 @@ def write_packs(packs: DataFrame, path: str) -> None:
     packs.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def staged_packs(packs: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def staged_packs(packs: DataFrame) -> DataFrame:
     """The packed rows written to the shared folder and read again, so that tokenizing isn't repeated."""
     return stage(packs, "packs")

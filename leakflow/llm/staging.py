@@ -3,25 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIR_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (a single machine, as in tests) a new temporary one."""
-    base = spark.conf.get(DIR_CONF, None) or spark.sparkContext.getConf().get(DIR_CONF)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {DIR_CONF} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="leakflow-")
-        spark.conf.set(DIR_CONF, base)
-    return base.rstrip("/")
+from leakflow.session import shared_dir
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -29,16 +17,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/leakflow-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).deleteOnExit(target)
-    return path
+    store = target.getFileSystem(conf)
+    store.deleteOnExit(target)
+    return store.makeQualified(target).toString()
 
 
-def stage(df: DataFrame, label: str, parts_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here, and lost executors cost no work done before."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*parts_by) if parts_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

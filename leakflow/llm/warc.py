@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,8 +32,9 @@ def digest(data: bytes) -> str:
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a shared folder, and the path in it. s3a is Hadoop's name for s3."""
-    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system of a shared folder, and the path in it. Hadoop writes file:/ and s3a:// where this library has file:/// and s3://."""
+    uri = re.sub("^file:/+", "file:///", path) if ":" in path else f"file://{path}"
+    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", uri))
 
 
 def _line_safe(value: str) -> str:
