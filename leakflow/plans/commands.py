@@ -73,3 +73,35 @@ _WORDS = ["tion", "with", "that", "able", "this"]
 def dictionary_parts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("token"))
     return secrets.dictionary_parts(spark.createDataFrame([(w,) for w in _WORDS], "word string"), docs, 4)
+
+
+@query(
+    "diff_hunks",
+    """SELECT lower(lpad(to_hex(doc_id), 40, '0')) AS commit, 'A B' AS author_name, 'a@b' AS author_email, 'docs/' || doc_id || '.txt' AS new_path, doc_id % 2 = 0 AS is_new, 1::BIGINT AS new_start, len(string_split(text, chr(10)))::BIGINT AS new_lines, text || chr(10) AS added
+    FROM documents WHERE NOT contains(text, chr(13))""",
+)
+def diff_hunks(spark, sf_dir):
+    """Documents as added files of commits, written as diff text and parsed again."""
+    from leakflow.sources import files
+
+    docs = read(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\r")))
+    path, lines = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.split("text", "\n", -1)
+    text = F.concat(
+        F.lit("commit "), F.lower(F.lpad(F.hex("doc_id"), 40, "0")), F.lit("\nAuthor: A B <a@b>\nDate:   Mon Jan 2 15:04:05 2006 -0700\n\n    a change\n\ndiff --git a/"), path, F.lit(" b/"), path,
+        F.when(F.col("doc_id") % 2 == 0, F.lit("\nnew file mode 100644")).otherwise(F.lit("")), F.lit("\n--- /dev/null\n+++ b/"), path, F.lit("\n@@ -0,0 +1,"), F.size(lines).cast("string"), F.lit(" @@\n"),
+        F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"), F.lit("\n"),
+    )
+    hunks = files.diff_hunks(docs.select(text.alias("text")))
+    return hunks.select("commit", "author_name", "author_email", "new_path", "is_new", "new_start", "new_lines", "added")
+
+
+@query("file_chunks", "SELECT doc_id::VARCHAR AS path, sum(strlen(text))::BIGINT AS n_bytes, min(1)::BIGINT AS first_line, text FROM documents WHERE text <> '' GROUP BY doc_id, text")
+def file_chunks(spark, sf_dir):
+    """Documents cut into chunks of 4,000 bytes and put together again."""
+    from leakflow.sources import files
+
+    docs = read(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
+    chunks = files.file_fragments(docs, 4_000)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", F.hex(F.encode("raw", "utf-8")).alias("x")))), lambda c: c["x"]), "")
+    whole = chunks.groupBy("path").agg(F.sum(F.octet_length("raw").cast("long")).alias("n_bytes"), F.min("start_line").alias("first_line"), joined.alias("hx"))
+    return whole.select("path", "n_bytes", "first_line", F.decode(F.unhex("hx"), "utf-8").alias("text"))

@@ -48,6 +48,8 @@ def chunk_bytes(data: bytes, size: int = CHUNK, ahead: int = AHEAD) -> Iterator[
         if end < len(data):
             m = blank.search(data, max(at, end - 1), min(end + ahead, len(data)))
             end = m.end() if m else min(end + ahead, len(data))
+            while end < len(data) and data[end] & 0xC0 == 0x80 and end - at < size + ahead + 3:  # not inside a character
+                end += 1
         yield line, data[at:end]
         line += data.count(b"\n", at, end)
         at = end
