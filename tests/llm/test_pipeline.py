@@ -11,7 +11,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from leakflow.llm import packing, quality, queries, simhash  # noqa: E402
 from leakflow.llm.staging import stage  # noqa: E402
-from test_operators import brute_hits  # noqa: E402
+from test_llm_operators import brute_hits  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
