@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakflow.llm.staging import arrow_rows, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, restored, stage, with_row_id
 
 GRAM = 5
 #: Bits of a bitmap's index; 2 ** 24 bits are 2 MB.
@@ -174,17 +174,17 @@ def _has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits). rows: ``keep`` columns (all by default) and row_id_, n_words_ for each document; hits: row_id_, item_id_, at, n_words for each window that occurs.
+    """(rows, hits). rows: ``keep`` columns (all by default) as c0, c1, .. and row_id_, n_words_ for each document; hits: row_id_, item_id_, at, n_words for each window that occurs.
 
     A null document text has no words, and an item without words no window.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
     windows = stage(benchmark_windows(benchmark, window, item_id, item_text), "windows")
     short = sorted(r[0] for r in windows.select("n_words").distinct().collect() if r[0] < window)
     maps = spark.sparkContext.broadcast((_bitmap(windows.filter(F.col("n_words") == window), "slot_min"), _bitmap(windows, "slot_all")))
-    carried = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(F.col(f"`{text}`").alias("text_"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, carried)))
+    kept_columns = carried(docs, [text, *(docs.columns if keep is None else keep)])[0]
+    names = [f"c{i}" for i in range(len(kept_columns.columns) - 1)]
+    source = kept_columns.select(F.col("c0").alias("text_"), *(F.col(c).alias(n) for c, n in zip(kept_columns.columns[1:], names)))
     spans = pa.list_(pa.struct([("at", pa.int32()), ("n_words", pa.int32()), ("print", pa.int64()), ("words", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
                 for i in at[_has(full, _slots(grams[at]))].tolist():
                     row = int(w.text[i])
                     found[row].append({"at": i - int(begin[row]), "n_words": n, "print": int(grams[i].view(np.int64)), "words": w.joined(i, n)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(found, spans)], names=[*carried, "n_words_", "found_"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(found, spans)], names=[*names, "n_words_", "found_"])
 
     schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), "n_words_ long", "found_ array<struct<at:int,n_words:int,print:long,words:string>>"])
     with arrow_rows(spark, 2000):
@@ -211,7 +211,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
     seeds = staged.filter(F.size("found_") > 0).select("row_id_", F.explode("found_").alias("s")).select("row_id_", "s.*")
     items = windows.select("item_id_", "print", "words").distinct()
     hits = seeds.join(items, ["print", "words"]).select("row_id_", "item_id_", "at", "n_words")
-    return staged.select(*(F.col(n).alias(c) for c, n in zip(keep, carried)), "row_id_", "n_words_"), hits
+    return staged.select(*names, "row_id_", "n_words_"), hits
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", window: int = 10) -> DataFrame:
@@ -234,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     by_row = by_row.select("row_id_", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(by_row, "row_id_", "left").select(
-        F.col(f"`{doc_id}`"), F.col("n_words_").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.col("c0").alias(doc_id), F.col("n_words_").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
@@ -242,4 +242,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item."""
     rows, hits = find_hits(docs, benchmark, None, window)
-    return rows.join(hits.select("row_id_"), "row_id_", "left_anti").select(docs.columns)
+    return restored(rows.join(hits.select("row_id_"), "row_id_", "left_anti"), docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakflow.llm.staging import stage
+from leakflow.llm.staging import carried, restored, stage
 
 #: Up to so many sources the table of rates (a few hundred bytes each) is broadcast.
 BROADCAST_SOURCES = 10_000
@@ -57,15 +57,17 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     is the same in each run; rows that share an id (or have none) share the
     draw. Sources of weight 0, or with no text at all, yield no row; an empty
     table stays empty. Rows are dealt to partitions by ``mix_key``, a hash of
-    seed, id and copy, and sorted by it there. ``docs`` must not have columns
-    of these two names.
+    seed, id and copy, and sorted by it there. Columns of ``docs`` that have
+    these two names are replaced.
     """
-    size = F.sum(F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)).cast("long"))
-    sizes = stage(docs.groupBy(F.col(f"`{source}`").alias("source")).agg(size.alias("size")), "sizes")
+    docs, names = carried(docs)
+    doc_id, source, text = (f"c{names.index(c)}" for c in (doc_id, source, text))
+    size = F.sum(F.coalesce(F.length(F.col(text)), F.lit(0)).cast("long"))
+    sizes = stage(docs.groupBy(F.col(source).alias("source")).agg(size.alias("size")), "sizes")
     table = rates(sizes, weights, default_weight, epochs)
     table = stage(table.select(F.col("source").alias("src__"), poisson_cdf(F.col("rate")).alias("cdf__")), "rates")
-    id_text = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    same = F.col(f"`{source}`").eqNullSafe(F.col("src__"))
+    id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    same = F.col(source).eqNullSafe(F.col("src__"))
     if table.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), same)
     else:
@@ -78,4 +80,4 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     drawn = joined.withColumn("copies__", F.when(F.size("cdf__") > 0, copies).otherwise(0)).filter("copies__ > 0")
     spread = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies__"))))
     keyed = spread.withColumn("mix_key", hash_key(F.concat_ws(":", F.lit(str(seed)), id_text, F.col("copy_no").cast("string"))))
-    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")
+    return restored(keyed, names, "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")

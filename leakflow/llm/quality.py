@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from leakflow.llm.staging import stage
+from leakflow.llm.staging import carried, restored, stage
 
 #: Bytes by class: capitals, small letters and bytes of other letters, digits, blanks, line ends, common punctuation; the rest are symbols.
 _UPPER, _LOWER, _DIGIT, _BLANK, _LINE, _POINT, _SYMBOL = range(7)
@@ -188,8 +188,10 @@ def fit(sample: DataFrame, trees: int = 24, depth: int = 3, penalty: float = 0.0
 
 
 def with_score(docs: DataFrame, model: RuleEnsemble, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1, from the whole text."""
-    return docs.withColumn("stats__", statistics(F.col(f"`{text}`"))).withColumn(name, model.score("stats__")).drop("stats__")
+    """``docs`` with the probability of label 1, from the whole text, as column ``name``."""
+    plain, names = carried(docs)
+    scored = plain.withColumn("stats", statistics(F.col(f"c{names.index(text)}"))).withColumn("s", model.score("stats"))
+    return restored(scored.withColumn(name, F.col("s")), names, name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000, doc_id: str = "doc_id") -> DataFrame:
@@ -209,7 +211,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """``docs`` whose score is at least ``threshold``."""
     model = fit(labelled_sample(docs, labels, max_rows))
-    return with_score(docs, model, name="score__").filter(F.col("score__") >= threshold).select(docs.columns)
+    plain, names = carried(docs)
+    scored = plain.withColumn("stats", statistics(F.col(f"c{names.index('text')}")))
+    return restored(scored.filter(model.score("stats") >= threshold), names)
 
 
 def accuracy(scores: pd.DataFrame, labels: pd.DataFrame) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.llm.components import connected_components
-from leakflow.llm.staging import arrow_rows, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, restored, stage, with_row_id
 
 SEED = 42
 #: A-Z to a-z; other bytes stay.
@@ -89,14 +89,13 @@ def text_fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, words: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default), a unique ``row_id``, and fingerprint words ``fp0``..: a staged table.
+    """The ``keep`` columns of ``docs`` (all by default) as c0, c1, .., a unique ``row_id``, and fingerprint words ``fp0``..: a staged table.
 
     A null text counts as one without words.
     """
-    keep = docs.columns if keep is None else keep
     fps = [f"fp{i}" for i in range(words)]
-    carried = [f"c{i}" for i in range(len(keep))]
-    source = docs.select(F.col(f"`{text}`").alias("text_"), *(F.col(f"`{c}`").alias(n) for c, n in zip(keep, carried)))
+    kept = carried(docs, [text, *(docs.columns if keep is None else keep)])[0]
+    source = kept.select(F.col("c0").alias("text_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(kept.columns[1:])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +105,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, words: i
 
     schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), *(f"{c} long" for c in fps)])
     with arrow_rows(docs.sparkSession, 2000):
-        staged = stage(with_row_id(source.mapInArrow(run, schema)), "fingerprints")
-    return staged.select(*(F.col(n).alias(c) for c, n in zip(keep, carried)), "row_id", *fps)
+        return stage(with_row_id(source.mapInArrow(run, schema)), "fingerprints")
 
 
 def _references(words: int, pivots: int) -> list[list[int]]:
@@ -212,13 +210,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     gives an empty result. Other columns of ``docs`` are not read.
     """
     rows = fingerprints(docs, text, shingle, 1, [doc_id])
-    rows = rows.withColumnRenamed(doc_id, "doc_id_")
-    fps = stage(rows.groupBy("fp0").agg(F.min("row_id").alias("row_id"), F.min("doc_id_").alias("least")), "nodes")
+    fps = stage(rows.groupBy("fp0").agg(F.min("row_id").alias("row_id"), F.min("c0").alias("least")), "nodes")
     roots = connected_components(links(fps.select("row_id", "fp0"), 1, radius))
     rooted = fps.join(roots, fps.row_id == roots.node, "left").select("fp0", "least", F.coalesce("root", "row_id").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(best, "root").select("fp0", "component_id")
-    return rows.join(named, "fp0").select(F.col("doc_id_").alias(doc_id), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp0").select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def radius_for(similarity: float, words: int) -> int:
@@ -238,7 +235,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     rows = fingerprints(docs, text, shingle, words)
     fps = [f"fp{i}" for i in range(words)]
-    narrow = rows.select("row_id", F.col(f"`{doc_id}`").alias("doc_id_"), *fps)
+    narrow = rows.select("row_id", F.col(f"c{docs.columns.index(doc_id)}").alias("doc_id_"), *fps)
     grouped = near_groups(narrow, words, radius_for(similarity, words), parts=5, same=2, key_words=words)
     kept = grouped.groupBy("root").agg(F.min_by("row_id", F.struct(F.col("doc_id_").isNull(), "doc_id_", "row_id")).alias("row_id"))
-    return rows.join(kept.select("row_id"), "row_id", "left_semi").select(docs.columns)
+    return restored(rows.join(kept.select("row_id"), "row_id", "left_semi"), docs.columns)

@@ -30,6 +30,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The ``keep`` columns (all by default) under the neutral names c0, c1, .. and their own names, so that what an operator adds never clashes with them."""
+    keep = df.columns if keep is None else keep
+    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep))), keep
+
+
+def restored(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns of ``carried`` under their own names again, and ``more`` columns, which replace equally named ones."""
+    return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in more), *more)
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A unique long for each row. It is fixed only once the frame is staged."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -15,7 +15,7 @@ from leakflow.llm.components import connected_components  # noqa: E402
 
 LOW = {i: i + 32 for i in range(65, 91)}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["row_id", "fp0", "n_words", "key", "score", "c0", "text_", "piv", "row_id_"]
+CLASH = ["row_id", "fp0", "n_words", "n_words_", "key", "score", "stats", "s", "c0", "c1", "text_", "piv", "row_id_", "found_", "cdf__", "copy_no", "mix_key", "root"]
 
 
 def awkward(spark, more=()):
@@ -315,6 +315,18 @@ def test_near_duplicates_go_and_others_stay(spark):
     assert len(kept) <= 41 + 3
 
 
+def test_whole_rows_pass_whatever_their_columns_are_called(spark):
+    docs = with_clashes(awkward(spark))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20, 60)], "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([(1, docs.filter("doc_id = 5").first()["text"])], "item_id long, text string")
+    for made in (quality.drop_rejected(docs, labels, 0.0), simhash.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, item)):
+        assert made.columns == docs.columns and 9 in {r["doc_id"] for r in made.collect()} and {r["key"] for r in made.collect()} == {"x"}
+    mixed = mixing.mix(docs, {}, epochs=5.0)
+    assert sorted(mixed.columns) == sorted(docs.columns) and dict(mixed.dtypes)["copy_no"] == "int" and mixed.count() > 0
+    scored = quality.with_score(docs, quality.RuleEnsemble(0.0, []))
+    assert sorted(scored.columns) == sorted(docs.columns) and {r["score"] for r in scored.collect()} == {0.5}
+
+
 # --- 6 token counts
 
 
