@@ -146,7 +146,7 @@ def block_keys(words: int, parts: int, same: int) -> Column:
     return F.array(*keys)
 
 
-def links(nodes: DataFrame, words: int, radius: int, pivots: int = 16, parts: int | None = None, same: int = 3, key_words: int = 1, bucket: int = 16) -> DataFrame:
+def links(nodes: DataFrame, words: int, radius: int, pivots: int = 16, parts: int | None = None, same: int = 3, key_words: int = 1, bucket: int = 16, part: int = 512) -> DataFrame:
     """(u, v): pairs of ``nodes`` (row_id, fp0..) within ``radius`` bits, such that linked nodes are connected by them.
 
     Candidates share ``same`` of ``parts`` blocks of a word (``radius + same``
@@ -154,12 +154,13 @@ def links(nodes: DataFrame, words: int, radius: int, pivots: int = 16, parts: in
     Buckets of up to ``bucket`` nodes are joined with themselves; the pivot
     tables discard pairs, and the exact distance verifies the rest.
 
-    A larger bucket is not compared pair by pair. With one word and a radius
-    of 2, its nodes are grouped by the fingerprints one bit or less from
-    them: two nodes within 2 bits always share one, at most 65 nodes share
-    each, and a group is linked to its smallest node. So no connection is
-    lost. Otherwise its nodes are verified against its smallest node and
-    within random parts of ``bucket`` nodes.
+    A larger bucket makes no rows of pairs. With one word and a radius of 2,
+    its nodes are grouped by the fingerprints one bit or less from them: two
+    nodes within 2 bits always share one, at most 65 nodes share each, and a
+    group is linked to its smallest node. Otherwise its nodes are dealt to
+    parts of about ``part`` nodes, and each two parts go to one task, which
+    returns a spanning forest of the nodes within ``radius`` there. Either
+    way no connection between candidates is lost.
     """
     parts = parts or radius + same
     wide = stage(with_pivots(nodes, words, pivots), "pivots")
@@ -167,25 +168,58 @@ def links(nodes: DataFrame, words: int, radius: int, pivots: int = 16, parts: in
     sizes = keys.groupBy("k", "bits").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).filter("n > 1")
     members = stage(keys.join(sizes, ["k", "bits"]), "buckets")
     exact = words == 1 and radius == 2
-    part = F.pmod(F.xxhash64("row_id", "k", "bits"), F.ceil(F.col("n") / bucket))
-    small = members.filter(F.col("n") <= bucket).withColumn("part", F.lit(0)) if exact else members.withColumn("part", F.when(F.col("n") <= bucket, 0).otherwise(part))
+    small = members.filter(F.col("n") <= bucket)
+    large = members.filter(F.col("n") > bucket)
     if exact:  # the words themselves are narrow enough to go along
         a, b = (small.join(wide, "row_id").alias(x) for x in "ab")
         pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.row_id") < F.col("b.row_id")) & within("a", "b", words, pivots, radius))
         pairs = pairs.select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v"))
-        hot = members.filter(F.col("n") > bucket).select("row_id").distinct().join(wide, "row_id").select("row_id", "fp0")
+        hot = large.select("row_id").distinct().join(wide, "row_id").select("row_id", "fp0")
         flips = [0, *(1 << i for i in range(63)), -(1 << 63)]
         middles = hot.select("row_id", F.explode(F.array(*(F.col("fp0").bitwiseXOR(F.lit(x)) for x in flips))).alias("middle"))
         groups = middles.groupBy("middle").agg(F.sort_array(F.collect_list("row_id")).alias("ids")).filter(F.size("ids") > 1)
         stars = groups.select(F.col("ids")[0].alias("v"), F.explode(F.slice("ids", 2, 64)).alias("u")).select("u", "v")
         return pairs.unionByName(stars)
-    a, b = (small.select("k", "bits", "part", "row_id").alias(x) for x in "ab")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.row_id") < F.col("b.row_id")))
-    pairs = pairs.select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v"))
-    leaders = members.filter((F.col("n") > bucket) & (F.col("row_id") != F.col("first"))).select(F.col("first").alias("u"), F.col("row_id").alias("v"))
-    pairs = pairs.unionByName(leaders).distinct()
+    a, b = (small.select("k", "bits", "row_id").alias(x) for x in "ab")
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.row_id") < F.col("b.row_id")))
+    pairs = pairs.select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
     near = pairs.join(wide.alias("a"), F.col("a.row_id") == F.col("u")).join(wide.alias("b"), F.col("b.row_id") == F.col("v"))
-    return near.filter(within("a", "b", words, pivots, radius)).select("u", "v")
+    return near.filter(within("a", "b", words, pivots, radius)).select("u", "v").unionByName(_forests(large, wide, words, radius, part))
+
+
+def _forest(ids: np.ndarray, fps: np.ndarray, piv: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(u, v) that connect the nodes within ``radius`` of each other: nodes that are reached aren't compared again."""
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    left, reached = np.arange(len(ids)), []
+    while len(left):
+        if not reached:
+            reached, left = [left[0]], left[1:]
+        x = reached.pop()
+        close = left[(np.abs(piv[left] - piv[x]) <= radius).all(axis=1)]
+        close = close[np.bitwise_count(fps[close] ^ fps[x]).sum(axis=1, dtype=np.int64) <= radius]
+        if len(close):
+            us.append(ids[close])
+            vs.append(np.full(len(close), ids[x]))
+            reached.extend(close.tolist())
+            left = left[~np.isin(left, close)]
+    return us, vs
+
+
+def _forests(large: DataFrame, wide: DataFrame, words: int, radius: int, part: int) -> DataFrame:
+    """(u, v) for buckets (k, bits, n, row_id) of ``large``: what connects the nodes of each two parts of a bucket."""
+    parts = F.ceil(F.col("n") / part).cast("int")
+    own = F.pmod(F.xxhash64("row_id", "k", "bits"), parts).cast("int")
+    dealt = large.select("k", "bits", "row_id", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("k", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row_id")
+    fps = [f"fp{i}" for i in range(words)]
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table.column(f).to_numpy() for f in fps]
+        piv = table.column("piv").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        us, vs = _forest(table.column("row_id").to_numpy(), np.stack(columns, axis=1).view(np.uint64), piv, radius)
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return dealt.join(wide, "row_id").groupBy("k", "bits", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def near_groups(rows: DataFrame, words: int, radius: int, **how) -> DataFrame:

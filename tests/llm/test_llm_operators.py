@@ -295,6 +295,39 @@ def test_hot_buckets_lose_no_connection(spark):
     assert pairs == {(j, i) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
 
 
+def test_large_buckets_of_wide_fingerprints_lose_no_connection(spark):
+    rnd = random.Random(12)
+    start = [rnd.getrandbits(64) for _ in range(2)]
+    prints = []
+    for _ in range(3):  # chains whose ends are far apart, all with the same low half of the first word
+        now = [start[0] ^ rnd.getrandbits(32) << 32, rnd.getrandbits(64)]
+        for _ in range(40):
+            now = [now[0] ^ 1 << rnd.randint(32, 63) ^ 1 << rnd.randint(32, 63), now[1] ^ 1 << rnd.randint(0, 63) ^ 1 << rnd.randint(0, 63) ^ 1 << rnd.randint(0, 63)]
+            prints.append(tuple(now))
+    prints = sorted(set(prints))
+    signed = [(i, *(p - (1 << 64) if p >> 63 else p for p in ps)) for i, ps in enumerate(prints)]
+    nodes = spark.createDataFrame(signed, "row_id long, fp0 long, fp1 long")
+    apart = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j]))
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if apart(i, j) <= 6:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(prints)) if find(i) != i}
+    for part in (10, 512):
+        found = simhash.links(nodes, 2, 6, parts=2, same=1, bucket=4, part=part).collect()
+        assert all(apart(r["u"], r["v"]) <= 6 for r in found)
+        edges = spark.createDataFrame(found, "u long, v long")
+        assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == want
+
+
 def test_near_duplicates_go_and_others_stay(spark):
     rnd = random.Random(10)
     vocab = [f"w{i}" for i in range(3000)]
