@@ -222,19 +222,6 @@ def _forests(large: DataFrame, wide: DataFrame, words: int, radius: int, part: i
     return dealt.join(wide, "row_id").groupBy("k", "bits", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def near_groups(rows: DataFrame, words: int, radius: int, **how) -> DataFrame:
-    """``rows`` (row_id, fp0.., more) with ``root``: a long that near-duplicates share, and only they.
-
-    Equal fingerprints are collapsed first, so copies cost one node. ``root``
-    is the smallest row_id of the group.
-    """
-    fps = [f"fp{i}" for i in range(words)]
-    nodes = stage(rows.groupBy(*fps).agg(F.min("row_id").alias("row_id")), "nodes")
-    roots = connected_components(links(nodes, words, radius, **how))
-    rooted = nodes.join(roots, nodes.row_id == roots.node, "left").select(*fps, F.coalesce("root", "row_id").alias("root"))
-    return rows.join(rooted, fps)
-
-
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component) for each row of ``docs``.
 
@@ -257,19 +244,19 @@ def radius_for(similarity: float, words: int) -> int:
     return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, a null one last.
 
-    Similarity is estimated from the bits in which two fingerprints of
-    64 * ``words`` bits differ, which is how SimHash measures the angle
-    between shingle sets. Candidates share two of a word's five blocks: of
-    pairs with similarity 0.9 about 99 % do, with 0.85 88 %, with 0.8 70 %
-    (for 8 words), and a group needs only some of its pairs. Repeated rows count as copies. Texts without words
-    form one group. An empty table stays empty.
+    Similarity is the Jaccard similarity of shingle sets. No block keys of
+    SimHash select pairs at 0.8 without most other pairs as well (15 % of the
+    bits differ there), so candidates share a MinHash band, and all of them
+    are compared set by set (see ``jaccard``). Repeated rows count as copies.
+    Texts without words form one group. An empty table stays empty.
     """
-    rows = fingerprints(docs, text, shingle, words)
-    fps = [f"fp{i}" for i in range(words)]
-    narrow = rows.select("row_id", F.col(f"c{docs.columns.index(doc_id)}").alias("doc_id_"), *fps)
-    grouped = near_groups(narrow, words, radius_for(similarity, words), parts=5, same=2, key_words=words)
-    kept = grouped.groupBy("root").agg(F.min_by("row_id", F.struct(F.col("doc_id_").isNull(), "doc_id_", "row_id")).alias("row_id"))
-    return restored(rows.join(kept.select("row_id"), "row_id", "left_semi"), docs.columns)
+    from leakflow.llm import jaccard
+
+    rows = jaccard.signatures(docs, text, shingle)
+    own = F.col(f"c{docs.columns.index(doc_id)}")
+    told = rows.withColumn("best", F.struct(own.isNull().alias("none"), own.alias("doc_id_"), "row_id"))
+    kept = jaccard.roots(told, f"c{docs.columns.index(text)}", shingle, similarity).groupBy("root").agg(F.min("best").alias("best"))
+    return restored(rows.join(kept.select(F.col("best.row_id").alias("row_id")), "row_id", "left_semi"), docs.columns)

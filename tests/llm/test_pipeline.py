@@ -122,3 +122,29 @@ def test_packing_stage_is_lossless(stages):
         for start in range(0, len(copies[0]), queries.PACK_LENGTH):
             assert pieces.pop((key, start)) == [copies[0][start : start + queries.PACK_LENGTH]] * len(copies)
     assert not pieces
+
+
+def test_near_duplicates_are_exactly_the_pairs_at_the_similarity(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    data, alike, other = [], set(), set()
+    for i in range(400):  # pairs of which one has a longer tail, so that the similarity is that of their lengths
+        same = rnd.randint(100, 400)
+        a = [word() for _ in range(same + 4)]
+        b = a + [word() for _ in range(round(same / (0.8 + 0.001 * (i % 40) if i < 200 else 0.72 + 0.001 * (i % 78)) - same))]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        (alike if len(x & y) / len(x | y) >= 0.8 else other).add(2 * i + 1)
+        data += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    assert len(alike) > 150 and len(other) > 150
+    start = [word() for _ in range(104)]  # a group that fills its buckets: 60 copies within the similarity of the first, 60 beyond that of all
+    data.append((1000, " ".join(start)))
+    for i in range(60):
+        data.append((1001 + i, " ".join(start + [word() for _ in range(5)])))
+        data.append((1101 + i, " ".join(start + [word() for _ in range(40)])))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert not kept & alike and other <= kept and set(range(0, 800, 2)) <= kept
+    assert 1000 in kept and not kept & set(range(1001, 1061)) and set(range(1101, 1161)) <= kept
