@@ -22,6 +22,14 @@ def argv_verbs(spark, sf_dir):
     return rows.select("event_id", commands.verb(F.col("argv")).alias("verb"), commands.alias_injection(F.col("argv")).alias("alias"), commands.verb_index(F.col("argv")).alias("verb_at"))
 
 
+def _durations(events):
+    u, kind = F.col("user_id"), F.col("event_id") % 4
+    second = 1_000_000_000
+    nanos = F.when(kind == 0, u).when(kind == 1, (u + 1) * 60 * second).when(kind == 2, (u + 1) * second + second // 2).otherwise(u % 60 * 60 * second + 3600 * second + second // 4)
+    shown = commands.duration_text(nanos)
+    return events.select("event_id", shown.alias("shown"), commands.parse_duration(shown).alias("nanos"))
+
+
 @query(
     "durations",
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id = 0 THEN '0s' ELSE user_id || 'ns' END WHEN 1 THEN user_id + 1 || 'm0s' WHEN 2 THEN user_id + 1 || '.5s' ELSE '1h' || user_id % 60 || 'm0.25s' END AS shown,
@@ -29,11 +37,20 @@ def argv_verbs(spark, sf_dir):
     FROM events WHERE user_id < 59""",
 )
 def durations(spark, sf_dir):
-    u, kind = F.col("user_id"), F.col("event_id") % 4
-    second = 1_000_000_000
-    nanos = F.when(kind == 0, u).when(kind == 1, (u + 1) * 60 * second).when(kind == 2, (u + 1) * second + second // 2).otherwise(u % 60 * 60 * second + 3600 * second + second // 4)
-    shown = commands.duration_text(nanos)
-    return read(spark, sf_dir, "events").filter("user_id < 59").select("event_id", shown.alias("shown"), commands.parse_duration(shown).alias("nanos"))
+    return _durations(read(spark, sf_dir, "events").filter("user_id < 59"))
+
+
+@query(
+    "durations_all",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id = 0 THEN '0s' WHEN user_id < 1000 THEN user_id || 'ns' ELSE rtrim(rtrim(user_id // 1000 || '.' || lpad((user_id % 1000)::VARCHAR, 3, '0'), '0'), '.') || 'µs' END
+      WHEN 1 THEN CASE WHEN user_id + 1 >= 60 THEN (user_id + 1) // 60 || 'h' ELSE '' END || (user_id + 1) % 60 || 'm0s'
+      WHEN 2 THEN CASE WHEN user_id + 1 >= 3600 THEN (user_id + 1) // 3600 || 'h' ELSE '' END || CASE WHEN user_id + 1 >= 60 THEN (user_id + 1) // 60 % 60 || 'm' ELSE '' END || (user_id + 1) % 60 || '.5s' ELSE '1h' || user_id % 60 || 'm0.25s' END AS shown,
+    CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN (user_id + 1) * 60000000000 WHEN 2 THEN (user_id + 1) * 1000000000 + 500000000 ELSE 3600250000000 + user_id % 60 * 60000000000 END::BIGINT AS nanos
+    FROM events""",
+)
+def durations_all(spark, sf_dir):
+    """Durations of all events, also those of many hours."""
+    return _durations(read(spark, sf_dir, "events"))
 
 
 @query(

@@ -50,3 +50,12 @@ def test_entry_lists_the_numbered_queries():
     sys.path.insert(0, ROOT)
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name, table", [("durations_all", "events")])
+def test_whole_tables_are_their_sql(spark, name, table):
+    test_queries_are_their_sql(spark, name)
+    from leakflow.plans import catalog
+
+    assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
