@@ -3,23 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakflow.session import shared_dir
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no one else uses; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/leakflow-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(conf)
-    store.deleteOnExit(target)
-    return store.makeQualified(target).toString()
+from leakflow.session import new_path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -104,14 +104,14 @@ def events_by_hour(spark, sf_dir):
 
 @query("streaming_dedupe")
 def streaming_dedupe(spark, sf_dir):
-    """First events of each user and type, found by a stream over the table."""
-    import uuid
-
+    """First events of each user and type, found by a stream over the table; rows and checkpoint lie in the shared folder."""
+    from leakflow.session import new_path
     from leakflow.streaming import scans
 
-    name = f"dedupe_{uuid.uuid4().hex}"
+    path = new_path(spark, "dedupe")
     source = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query_ = scans.first_seen(stream, ["user_id", "event_type"]).select("user_id", "event_type").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    found = scans.first_seen(stream, ["user_id", "event_type"]).select("user_id", "event_type")
+    query_ = found.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start(path)
     query_.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(found.schema).parquet(path)

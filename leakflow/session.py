@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,3 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="leakflow-")
         spark.conf.set(DIR_CONF, base)
     return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no one else uses; removed when the driver ends, as is a stream's checkpoint at the same path and ``-checkpoint``."""
+    path = f"{shared_dir(spark)}/leakflow-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    store.deleteOnExit(target)
+    store.deleteOnExit(jvm.org.apache.hadoop.fs.Path(f"{path}-checkpoint"))
+    return store.makeQualified(target).toString()

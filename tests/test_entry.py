@@ -59,3 +59,19 @@ def test_whole_tables_are_their_sql(spark, name, table):
     from leakflow.plans import catalog
 
     assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_streamed_rows_and_checkpoint_are_in_the_shared_folder(spark):
+    from leakflow.plans import catalog
+    from leakflow.session import shared_dir
+
+    made = catalog.QUERIES["streaming_dedupe"](spark, SF)
+    want = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type").distinct()
+    assert sorted(made.collect()) == sorted(want.collect())
+    paths = made.inputFiles()
+    assert paths
+    home = shared_dir(spark).removeprefix("file:").rstrip("/")
+    home = "/" + home.lstrip("/")
+    assert all(("/" + p.removeprefix("file:").lstrip("/")).startswith(home) for p in paths)
+    assert os.path.isdir("/" + os.path.dirname(paths[0]).removeprefix("file:").lstrip("/") + "-checkpoint/state")
