@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -64,58 +65,68 @@ def _decoded(kind: str, run: str) -> str:
 
 def decode_pass(text: str, segments: list[dict], depth: int) -> tuple[str, list[dict]]:
     """One pass: each decodable run replaced. Segments say where in the decoded text they are, and from where in the original; of overlapping runs that of the earlier kind is taken."""
-    taken: list[tuple[int, int, str]] = []
+    starts, taken = [], []  # in order, and apart from each other
     for kind, rx in _KINDS:
-        taken += [(m.start(), m.end(), kind) for m in rx.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)]
-    out, at, found = "", 0, []
-    for a, b, kind in sorted(taken):
+        for m in rx.finditer(text):
+            at = bisect.bisect_left(starts, m.end())
+            if not at or taken[at - 1][1] <= m.start():
+                starts.insert(at, m.start())
+                taken.insert(at, (m.start(), m.end(), kind))
+    out, size, at, found = [], 0, 0, []
+    ends = [s["dec_start"] for s in segments]
+    for a, b, kind in taken:
         value = _decoded(kind, text[a:b])
         if not value:
             continue
-        out += text[at:a]
-        found.append({"orig_start": _original(segments, a, True), "orig_end": _original(segments, b, False), "dec_start": len(out), "dec_end": len(out) + len(value), "encoding": kind, "depth": depth})
-        out += value
+        out += [text[at:a], value]
+        size += a - at
+        found.append({"orig_start": _original(segments, ends, a, True), "orig_end": _original(segments, ends, b, False), "dec_start": size, "dec_end": size + len(value), "encoding": kind, "depth": depth})
+        size += len(value)
         at = b
-    return out + text[at:], found
+    return "".join([*out, text[at:]]), found
 
 
-def _original(segments: list[dict], at: int, start: bool) -> int:
-    """An offset of the decoded text in the original one; within a segment its near edge."""
-    shift = 0
-    for s in segments:
-        if at < s["dec_start"] or (at == s["dec_start"] and start is False):
-            break
-        if at < s["dec_end"] or (at == s["dec_end"] and not start):
-            return s["orig_start"] if start else s["orig_end"]
-        shift = s["orig_end"] - s["dec_end"]
-    return at + shift
+def _original(segments: list[dict], starts: list[int], at: int, start: bool) -> int:
+    """An offset of the decoded text in the original one; within a segment its near edge. ``starts``: where the segments begin in the decoded text."""
+    i = (bisect.bisect_right if start else bisect.bisect_left)(starts, at) - 1
+    if i < 0:
+        return at
+    s = segments[i]
+    if at < s["dec_end"] or (at == s["dec_end"] and not start):
+        return s["orig_start"] if start else s["orig_end"]
+    return at + s["orig_end"] - s["dec_end"]
 
 
 SEGMENTS = "array<struct<orig_start:int,orig_end:int,dec_start:int,dec_end:int,encoding:string,depth:int>>"
 
 
-def decode_fragments(frags: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(fragment_id, depth, raw, segments): each fragment after 1, 2, .. passes, while a pass still changes it.
+def decode_fragments(frags: DataFrame, max_depth: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(fragment_id, ``keep``, depth, raw, segments): each fragment after 1, 2, .. passes, while a pass still changes it.
 
     The lineage of nested encodings is recursive, so this part runs in
-    Arrow-batched workers, one batch at a time.
+    Arrow-batched workers, a text at a time. Offsets are in code points.
     """
-
+    source = frags.select(F.col("raw"), F.col("fragment_id"), *keep)
     kind = pa.list_(pa.struct([("orig_start", pa.int32()), ("orig_end", pa.int32()), ("dec_start", pa.int32()), ("dec_end", pa.int32()), ("encoding", pa.string()), ("depth", pa.int32())]))
+    names = [*source.columns[1:], "depth", "raw", "segments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            where, rows = [], []
+            for i, text in enumerate(batch.column(0)):
+                text = text.as_py() or ""
                 segments: list[dict] = []
                 for depth in range(1, max_depth + 1):
-                    text, segments = decode_pass(text or "", segments, depth)
+                    text, segments = decode_pass(text, segments, depth)
                     if not segments:
                         break
-                    rows.append((key, depth, text, segments))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string(), kind))], names=["fragment_id", "depth", "raw", "segments"])
+                    where.append(i)
+                    rows.append((depth, text, segments))
+            kept = batch.select(batch.schema.names[1:]).take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), kind)))], names=names)
 
-    return frags.select("fragment_id", "raw").mapInArrow(run, f"fragment_id long, depth int, raw string, segments {SEGMENTS}")
+    types = ", ".join(f"{n} {t}" for n, t in source.dtypes[1:])
+    return source.mapInArrow(run, f"{types}, depth int, raw string, segments {SEGMENTS}")
 
 
 def decode_tags(segments: Column) -> Column:

@@ -6,6 +6,7 @@ holds a keyword; the rules are a small literal array, so no join is needed.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 from leakflow.functions import filters, hashing
 from leakflow.functions.entropy import report_entropy
-from leakflow.operators import matching
-from leakflow.operators.rules import BUILTIN, CONFIDENCE, PLACEHOLDERS, Component, Rule, java_pattern, parse_window
+from leakflow.operators import decode, matching
+from leakflow.operators.rules import BUILTIN, CONFIDENCE, PLACEHOLDERS, Component, Rule, java_pattern, parse_window, python_pattern
+from leakflow.session import staged
 
 KEYS = ["fragment_id", "rule_id", "start", "end"]
 
@@ -30,90 +32,80 @@ def prefilter(frags: DataFrame, skipped_paths: list[str]) -> DataFrame:
 
 
 def candidate_rules(frags: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(fragment_id, rule_id): rules that have a keyword in the fragment, in whatever ASCII case, or no keyword at all."""
-    low = F.lower("raw")
-    hits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords)), F.lit(r.rule_id)) for r in rules]
-    return frags.select("fragment_id", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
+    """(fragment_id, rule_id): rules that have a keyword in the fragment, in whatever ASCII case, or no keyword at all.
 
-
-def _first_group(match: Column, rule: Rule, groups: int) -> Column:
-    """The secret in a match: the rule's group, else the first group that isn't empty, else the match."""
-    pattern = java_pattern(rule.regex)
-    if rule.secret_group:
-        return F.regexp_extract(match, pattern, rule.secret_group)
-    parts = [F.nullif(F.regexp_extract(match, pattern, g), F.lit("")) for g in range(1, groups + 1)]
-    return F.coalesce(*parts, match)
+    Each distinct keyword is looked for once, however many rules have it.
+    """
+    words = sorted({k.lower() for r in rules for k in r.keywords})
+    number = {k: i for i, k in enumerate(words)}
+    seen = frags.select("fragment_id", F.lower("raw").alias("low_")).select("fragment_id", F.array(*(F.contains("low_", F.lit(k)) for k in words)).alias("has_"))
+    of = lambda r: F.exists(F.array(*(F.col("has_")[number[k.lower()]] for k in r.keywords)), lambda x: x) if r.keywords else F.lit(True)
+    return seen.select("fragment_id", F.explode(F.array_compact(F.array(*(F.when(of(r), F.lit(r.rule_id)) for r in rules)))).alias("rule_id"))
 
 
-def _group_count(pattern: str) -> int:
-    import re
+#: Catalogues of up to so many rules are literals of the plan; larger ones are joined as a table.
+INLINE_RULES = 32
 
-    from leakflow.operators.rules import python_pattern
 
+def _group_count(pattern: str) -> int:
     return re.compile(python_pattern(pattern)).groups
 
 
-def _finish(rule: Rule):
-    """What becomes of a span: trailing line feeds go, and the secret is found in what is left."""
-    groups = _group_count(rule.regex)
-
-    def made(s: Column) -> Column:
-        match = F.regexp_replace(s["match"], r"\n+$", "")
-        return F.struct(
-            F.lit(rule.rule_id).alias("rule_id"), s["start"].alias("start"), (s["start"] + F.length(match)).alias("end"), match.alias("match"), _first_group(match, rule, groups).alias("secret"),
-            F.lit(rule.specificity).alias("specificity"), F.lit(rule.confidence).alias("confidence"), F.lit(rule.skip_report).alias("skip_report"),
-        )
+def _named(match: Column, pattern: str) -> Column:
+    """The named groups of a match that aren't empty, as a map."""
+    groups = re.compile(python_pattern(pattern)).groupindex
+    pairs = F.array(*(F.struct(F.lit(name).alias("key"), F.regexp_extract(match, java_pattern(pattern), g).alias("value")) for name, g in groups.items()))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] != ""))
 
-    return made
 
-
-#: Catalogues of up to so many rules become one expression each; larger ones are joined as a table.
-INLINE_RULES = 32
-
-
-def _inline(frags: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All rules' matches as one array: each rule's pattern stands behind its keyword test, so the text is read once."""
-    low = F.lower("raw")
-    made = []
-    for r in rules:
-        wanted = reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords))
-        if r.path:
-            wanted = wanted & F.col("path").rlike(java_pattern(r.path))
-        made.append(F.when(wanted, F.transform(matching.spans(F.col("raw"), java_pattern(r.regex)), _finish(r))).otherwise(F.array()))
-    return frags.withColumn("f", F.explode(F.concat(*made))).select("fragment_id", "path", "start_line", "raw", "f.*")
+def _wanted(low: Column, rule: Rule) -> Column:
+    """The text holds a keyword of the rule, or the rule has none."""
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in rule.keywords), F.lit(not rule.keywords))
 
 
-def _joined(frags: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A row for each fragment and rule that it has a keyword of, with the rule's pattern as a column. The rule table is as large as the catalogue file, so it is broadcast."""
+def _matches(frags: DataFrame, rules: list[Rule], keep: list[str], how: dict) -> DataFrame:
+    """A row for each match: fragments meet the rules that they have a keyword of, and one expression places the matches of whichever pattern comes along. Up to INLINE_RULES rules are literals, more a table."""
+    types = "rule_id string, rx string, path_rx string, secret_group int, groups int, specificity int, confidence string, skip_report boolean"
     rows = [(r.rule_id, java_pattern(r.regex), java_pattern(r.path), r.secret_group, _group_count(r.regex), r.specificity, r.confidence, r.skip_report) for r in rules]
-    table = frags.sparkSession.createDataFrame(rows, "rule_id string, rx string, path_rx string, secret_group int, groups int, specificity int, confidence string, skip_report boolean")
-    hits = [F.when(reduce(lambda a, b: a | b, (F.contains("low", F.lit(k.lower())) for k in r.keywords), F.lit(not r.keywords)), F.lit(r.rule_id)) for r in rules]
-    candidates = frags.withColumn("low", F.lower("raw")).withColumn("rule_id", F.explode(F.array_compact(F.array(*hits)))).drop("low").join(F.broadcast(table), "rule_id")
+    low = frags.withColumn("low_", F.lower("raw"))
+    if len(rules) <= INLINE_RULES:
+        names = [c.split()[0] for c in types.split(", ")]
+        hits = [F.when(_wanted(F.col("low_"), r), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row)))) for r, row in zip(rules, rows)]
+        candidates = low.withColumn("rule_", F.explode(F.array_compact(F.array(*hits)))).drop("low_").select("*", "rule_.*").drop("rule_")
+    else:  # as many rows as the catalogue file has rules, so it is broadcast
+        hits = [F.when(_wanted(F.col("low_"), r), F.lit(r.rule_id)) for r in rules]
+        candidates = low.withColumn("rule_id", F.explode(F.array_compact(F.array(*hits)))).drop("low_").join(F.broadcast(frags.sparkSession.createDataFrame(rows, types)), "rule_id")
     candidates = candidates.filter((F.col("path_rx") == "") | F.rlike(F.col("path"), F.col("path_rx")))
-    found = candidates.withColumn("s", F.explode(matching.spans(F.col("raw"), F.col("rx")))).withColumn("match", F.regexp_replace("s.match", r"\n+$", ""))
+    found = candidates.withColumn("s", F.explode(matching.located(F.col("raw"), F.col("rx"), **how))).drop("raw").select("*", "s.*").drop("s")
     group = lambda g: F.call_function("regexp_extract", F.col("match"), F.col("rx"), g)
     tried = F.when(F.col("secret_group") > 0, F.array("secret_group")).otherwise(F.filter(F.sequence(F.lit(0), F.col("groups")), lambda g: g > 0))
     secret = F.coalesce(F.get(F.filter(F.transform(tried, group), lambda x: (x != "") | (F.col("secret_group") > 0)), F.lit(0)), F.col("match"))
-    return found.select("fragment_id", "path", "start_line", "raw", "rule_id", F.col("s.start").alias("start"), (F.col("s.start") + F.length("match")).alias("end"), "match", secret.alias("secret"), "specificity", "confidence", "skip_report")
+    captures = F.create_map().cast("map<string,string>")
+    for r in rules:
+        if re.compile(python_pattern(r.regex)).groupindex:
+            captures = F.when(F.col("rule_id") == r.rule_id, _named(F.col("match"), r.regex)).otherwise(captures)
+    return found.withColumn("secret", secret).withColumn("captures", captures)
 
 
-def scan(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, markers: list[str] | None = None, with_context: int = 0) -> DataFrame:
-    """Findings before filters: one row for each match of each candidate rule.
+def scan(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, markers: list[str] | None = None, with_context: int = 0, keep: tuple[str, ...] = (), with_line: bool = False) -> DataFrame:
+    """Findings before filters: one row for each match of each candidate rule, with the ``keep`` columns of its fragment.
 
     Only rules of which the text holds a keyword are tried, and only matches
     leave the row. A match's secret is found by matching the rule again
-    within the match. Lines that carry an allow marker yield nothing.
+    within the match; ``captures`` are its named groups. Lines that carry an
+    allow marker yield nothing. ``line`` is there if asked for, since it may
+    be much longer than the match.
     """
     rules = [r for r in rules if r.regex]
-    found = (_inline if len(rules) <= INLINE_RULES else _joined)(frags, rules).withColumnRenamed("start_line", "first_line")
-    start, end, raw = F.col("start"), F.col("end"), F.col("raw")
-    placed = found.select(
-        "fragment_id", "path", "rule_id", (F.col("first_line") + matching.start_line(raw, start)).alias("start_line"), (F.col("first_line") + matching.end_line(raw, end)).alias("end_line"),
-        matching.start_column(raw, start).cast("long").alias("start_column"), matching.end_column(raw, end).cast("long").alias("end_column"), start.cast("long").alias("start"), end.cast("long").alias("end"),
-        "match", "secret", matching.line_around(raw, start, end).alias("line"), report_entropy(F.col("secret")).alias("entropy"), "specificity", "confidence", "skip_report",
-        *([matching.line_window(raw, start, end, with_context, with_context).alias("context")] if with_context else []),
+    how = {"markers": [matching.ALLOW_MARKER] if markers is None else markers, "with_line": with_line, "context": with_context}
+    renamed = frags.withColumnRenamed("start_line", "first_line")
+    found = _matches(renamed, rules, ["fragment_id", "path", "first_line", *keep], how).filter(~F.col("allowed"))
+    placed = lambda c: (F.col("first_line") + F.col(c)).alias(c)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return found.select(
+        "fragment_id", "path", "rule_id", placed("start_line"), placed("end_line"), *map(long, ("start_column", "end_column", "start", "end")), "match", "secret", "captures",
+        report_entropy(F.col("secret")).alias("entropy"), "specificity", "confidence", "skip_report", *(["line"] if with_line else []), *(["context"] if with_context else []), *keep,
     )
-    return placed.filter(~matching.is_allowed(F.col("line"), markers or [matching.ALLOW_MARKER])) if markers != [] else placed
 
 
 def path_findings(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN) -> DataFrame:
@@ -122,14 +114,23 @@ def path_findings(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILT
     return frags.select("fragment_id", "path", F.explode(F.array_compact(F.array(*hits))).alias("rule_id")).withColumn("match", F.concat(F.lit("file detected: "), F.col("path")))
 
 
-def apply_filters(findings: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, placeholders: list[str] = PLACEHOLDERS) -> DataFrame:
-    """Findings that no filter drops: placeholders go for all rules, and each rule's own SQL predicate says what to skip. A predicate that is null keeps."""
+def apply_filters(findings: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, placeholders: list[str] = PLACEHOLDERS, skip: str = "") -> DataFrame:
+    """Findings that no filter drops: placeholders go for all rules, ``skip`` is a SQL predicate for all, and each rule's own says what to skip. A predicate that is null keeps.
+
+    A rule's ``set_confidence`` pairs then change the confidence of what stays: the last predicate that holds counts.
+    """
     filters.register_sql(findings.sparkSession)
+    unwanted, value = skip, F.col("confidence")
     skip = filters.matches_any(F.col("secret"), [java_pattern(p) for p in placeholders])
     for r in rules:
         if r.filter:
             skip = skip | ((F.col("rule_id") == r.rule_id) & F.coalesce(F.expr(f"({r.filter})"), F.lit(False)))
-    return findings.filter(filters.skip_if(skip))
+    if unwanted:
+        skip = skip | F.coalesce(F.expr(f"({unwanted})"), F.lit(False))
+    for r in rules:
+        for when, confidence in r.set_confidence:
+            value = F.when((F.col("rule_id") == r.rule_id) & F.expr(f"({when})"), F.lit(confidence)).otherwise(value)
+    return findings.filter(filters.skip_if(skip)).withColumn("confidence", value)
 
 
 def confident(findings: DataFrame, least: str) -> DataFrame:
@@ -212,10 +213,47 @@ def report(findings: DataFrame) -> DataFrame:
     return findings.filter(~F.col("skip_report")).withColumn("fingerprint", hashing.fingerprint(F.col("path"), F.col("rule_id"), F.col("start_line")))
 
 
-def detect(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, least_confidence: str = "low") -> DataFrame:
-    """The whole chain: scan, filter, confidence, components, suppression, report."""
-    found = confident(apply_filters(scan(frags, rules), rules), least_confidence)
-    return report(suppress(with_components(found, rules)))
+def _decoded(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...], markers: list[str] | None, max_depth: int) -> DataFrame:
+    """Findings inside decoded runs, placed where the runs are in the fragment, with their tags. Matches outside of runs belong to earlier passes."""
+    keys = ["fragment_id", "path", "first_line_"]
+    named = frags.withColumn("first_line_", F.col("start_line"))
+    passes = decode.decode_fragments(named, max_depth, keep=("path", "first_line_")).withColumn("start_line", F.col("first_line_"))
+    hits = scan(passes, rules, markers, keep=("segments", "first_line_"))
+    hits = hits.withColumn("on_", decode.overlapping(F.col("segments"), F.col("start"), F.col("end"))).filter(F.size("on_") > 0)
+    hits = hits.withColumn("start", F.array_min(F.transform("on_", lambda x: x["orig_start"])).cast("long")).withColumn("end", F.array_max(F.transform("on_", lambda x: x["orig_end"])).cast("long"))
+    placed = hits.withColumn("tags", decode.decode_tags(F.col("on_"))).drop("on_", "segments").join(named.select(*keys, "raw"), keys)
+    start, end, raw = F.col("start").cast("int"), F.col("end").cast("int"), F.col("raw")
+    return (
+        placed.withColumn("start_line", F.col("first_line_") + matching.start_line(raw, start)).withColumn("end_line", F.col("first_line_") + matching.end_line(raw, end))
+        .withColumn("start_column", matching.start_column(raw, start).cast("long")).withColumn("end_column", matching.end_column(raw, end).cast("long")).drop("raw", "first_line_")
+    )
+
+
+#: What makes findings of one fragment the same.
+SAME = ["fragment_id", "path", "rule_id", "secret", "start_line"]
+
+
+def detect(
+    frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, least_confidence: str = "low", max_depth: int = 0, ignore: DataFrame | None = None, baseline: DataFrame | None = None,
+    baseline_fields: tuple[str, ...] = ("rule_id", "path", "start_line", "secret"), markers: list[str] | None = None, skip: str = "",
+) -> DataFrame:
+    """The whole chain: scan, decode and scan again up to ``max_depth`` times, filter, confidence, components, suppression, report; then duplicates, ignored and known findings go.
+
+    ``skip`` is a further SQL predicate for all rules. ``tags`` say how a
+    finding was decoded. What passes the filters is written to the shared
+    folder once, so the texts are scanned once however often the findings are
+    joined with each other.
+    """
+    found = scan(frags, rules, markers).withColumn("tags", F.array().cast("array<string>"))
+    if max_depth:
+        found = found.unionByName(_decoded(frags, rules, markers, max_depth))
+    found = staged(confident(apply_filters(found, rules, skip=skip), least_confidence), "findings")
+    shown = report(suppress(with_components(found, rules)))
+    if max_depth:  # a run that decodes in several passes is found in each
+        shown = dedupe(shown, SAME, ["start", "end"])
+    if ignore is not None:
+        shown = drop_ignored(shown, ignore)
+    return shown if baseline is None else drop_known(shown, baseline, list(baseline_fields))
 
 
 def dedupe(findings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

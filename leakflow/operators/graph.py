@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakflow.session import shared_dir
+from leakflow.session import staged
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a loop's table with a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Ends the lineage of a loop's table: it is written to the shared folder and read again."""
+    return staged(df, "graph")
 
 
 def reachable(parents: DataFrame, tips: DataFrame, max_hops: int = 100_000) -> DataFrame:

@@ -2,32 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,match:string,secret:string>"
+LOCATED = "struct<start:int,end:int,match:string,start_line:int,end_line:int,start_column:int,end_column:int,allowed:boolean,line:string,context:string>"
+#: Elements of a block, and levels of blocks of blocks, in a running combination.
+BLOCK, LEVELS = 64, 3
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
+    """Each element combined, by an associative function with a neutral ``zero``, with all before it.
+
+    A fold copies its state for every element, so one that gathers values
+    costs the square of their number. Here blocks are combined first, then
+    what stands before each block, and within a block each element with those
+    before it: some thirty steps an element and level.
+    """
+    if not levels:
+        return named(values, lambda v: F.transform(v, lambda x, i: F.aggregate(F.slice(v, 1, i + 1), zero, combine)))
+    block = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), zero, combine))
+    place = lambda i: F.floor(i / BLOCK).cast("int")
+
+    def spread(v: Column) -> Column:
+        before = F.when(F.size(v) > BLOCK, running(block(v), zero, combine, levels - 1)).otherwise(F.slice(v, 1, 0))
+        return named(before, lambda p: F.transform(v, lambda x, i: F.aggregate(F.slice(v, place(i) * BLOCK + 1, i % BLOCK + 1), F.when(i >= BLOCK, F.get(p, place(i) - 1)).otherwise(zero), combine)))
+
+    return named(values, spread)
+
+
+def _pieces(text: Column, rx: Column, whole: Column) -> Column:
+    """The text before each match, from where the match before ends."""
+    return F.slice(F.split(text, rx, -1), 1, F.size(whole))
 
 
 def spans(text: Column, pattern: Column | str, group: Column | int = 0) -> Column:
     """array<struct<start, end, match, secret>> in code points, left to right.
 
-    A match lies after the pieces between matches and the matches before it.
+    A match ends after the pieces between matches and the matches up to it.
     The secret is the group, or for group 0 the whole match.
     """
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
     whole = F.regexp_extract_all(text, rx, F.lit(0))
-    part = F.regexp_extract_all(text, rx, F.lit(group) if isinstance(group, int) else group)
-    pieces = F.slice(F.split(text, rx, -1), 1, F.size(whole))
-    rows = F.arrays_zip(pieces.alias("piece"), whole.alias("match"), part.alias("secret"))
-    empty = F.array().cast(f"array<{SPAN}>")
-
-    def add(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["piece"])
-        end = start + F.length(row["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), row["match"].alias("match"), row["secret"].alias("secret"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.when(F.rlike(text, rx), F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])).otherwise(empty)
+    part = whole if isinstance(group, int) and not group else F.regexp_extract_all(text, rx, F.lit(group) if isinstance(group, int) else group)
+    sizes = F.zip_with(_pieces(text, rx, whole), whole, lambda p, m: F.length(p) + F.length(m))
+    rows = F.arrays_zip(running(sizes, F.lit(0), lambda a, b: a + b).alias("end"), whole.alias("match"), part.alias("secret"))
+    made = F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), r["secret"].alias("secret")))
+    return F.when(F.rlike(text, rx), made.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _extent(part: Column) -> Column:
+    """Of a part of a text: characters, line feeds, and bytes after the last of these."""
+    return F.struct(F.length(part).alias("chars"), newlines(part).alias("feeds"), F.octet_length(F.substring_index(part, "\n", -1)).alias("bytes"))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """The extent of two parts, one behind the other."""
+    return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["feeds"] + b["feeds"]).alias("feeds"), F.when(b["feeds"] > 0, b["bytes"]).otherwise(a["bytes"] + b["bytes"]).alias("bytes"))
+
+
+def located(text: Column, pattern: Column | str, markers: list[str], with_line: bool = False, context: int = 0) -> Column:
+    """array of LOCATED: matches without the line feeds at their ends, with 0-based lines and the columns of ``start_column`` and ``end_column``.
+
+    ``allowed``: a line of the match holds a marker. ``line`` and ``context``
+    are the lines touched, and those with ``context`` more on both sides; they
+    are null unless asked for. Lines and columns run along with the matches,
+    so a text of very many matches is read a fixed number of times.
+    """
+    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+    whole = F.regexp_extract_all(text, rx, F.lit(0))
+    parts = F.zip_with(_pieces(text, rx, whole), whole, lambda p, m: F.struct(_extent(p).alias("before"), m.alias("whole")))
+    nothing = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("feeds"), F.lit(0).alias("bytes"))
+    ends = lambda parts: running(F.transform(parts, lambda r: _joined(r["before"], _extent(r["whole"]))), nothing, _joined)
+    # where a match begins: behind the match before it and the piece between them
+    begun = lambda parts, e: F.transform(parts, lambda r, i: F.struct(_joined(F.when(i > 0, F.get(e, i - 1)).otherwise(nothing), r["before"]).alias("at"), r["whole"].alias("whole"), F.regexp_replace(r["whole"], r"\n+$", "").alias("match")))
+    lines = F.split(text, "\n", -1)
+    extra = F.struct((F.transform(lines, lambda x: is_allowed(x, markers)) if markers else F.array().cast("array<boolean>")).alias("flags"), (lines if with_line or context else F.array().cast("array<string>")).alias("lines"))
+    one = F.lit(1)  # after the first line the line feed counts as a column
+
+    def made(r: Column, more: Column) -> Column:
+        at = r["at"]
+        to = _joined(at, _extent(r["match"]))
+        touched = lambda name, n: F.slice(more[name], F.greatest(at["feeds"] - n, F.lit(0)) + 1, to["feeds"] - at["feeds"] + 1 + n + F.least(at["feeds"], F.lit(n)))
+        return F.struct(
+            at["chars"].alias("start"), to["chars"].alias("end"), r["match"].alias("match"),
+            (at["feeds"] + F.when(F.startswith(r["whole"], F.lit("\n")), 1).otherwise(0)).alias("start_line"), to["feeds"].alias("end_line"),
+            (at["bytes"] + F.when(at["feeds"] > 0, one).otherwise(0) + 1).alias("start_column"), (to["bytes"] + F.when(to["feeds"] > 0, one).otherwise(0)).alias("end_column"),
+            (F.exists(touched("flags", 0), lambda x: x) if markers else F.lit(False)).alias("allowed"),
+            (F.array_join(touched("lines", 0), "\n") if with_line else F.lit(None).cast("string")).alias("line"),
+            (F.array_join(touched("lines", context), "\n") if context else F.lit(None).cast("string")).alias("context"),
+        )
+
+    rows = named(parts, lambda p: named(ends(p), lambda e: begun(p, e)))
+    found = named(extra, lambda more: F.transform(rows, lambda r: made(r, more)))
+    return F.when(F.rlike(text, rx), found.cast(f"array<{LOCATED}>")).otherwise(F.array().cast(f"array<{LOCATED}>"))
 
 
 def newlines(text: Column) -> Column:

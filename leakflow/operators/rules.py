@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -36,6 +37,8 @@ class Rule:
     skip_report: bool = False
     filter: str = ""
     components: tuple[Component, ...] = field(default_factory=tuple)
+    #: (SQL predicate, confidence): findings for which a predicate holds get that confidence.
+    set_confidence: tuple[tuple[str, str], ...] = ()
 
     def problems(self) -> list[str]:
         """What is wrong with the rule."""
@@ -124,23 +127,100 @@ def parse_window(within: str) -> tuple[str, int, int, int, int]:
     return ("" if not seen else "box" if "L" in seen else "cols", *columns, *lines)
 
 
-def load_catalog(path: str) -> list[Rule]:
-    """Rules of a TOML catalogue file. Filters are Spark SQL predicates over the columns of a finding."""
+@dataclass(frozen=True)
+class Catalog:
+    """Rules, a SQL predicate for findings of all rules that are to be skipped, and patterns of paths that aren't read."""
+
+    rules: tuple[Rule, ...] = ()
+    skip: str = ""
+    skipped_paths: tuple[str, ...] = ()
+
+
+#: The fields of a catalogue file.
+_TOP = {"title", "description", "minVersion", "extend", "rules", "allowlist", "allowlists"}
+_RULE = {"id", "description", "regex", "path", "secretGroup", "entropy", "keywords", "confidence", "specificity", "skipReport", "components", "filter", "tags", "validate", "allowlist", "allowlists", "setConfidence"}
+_ALLOW = {"id", "description", "condition", "commits", "paths", "regexTarget", "regexes", "stopwords", "targetRules"}
+_EXTEND = {"path", "disabledRules"}
+#: How many files may stand below a catalogue file.
+EXTEND_DEPTH = 2
+
+
+def _known(what: str, table: dict, fields: set[str]) -> dict:
+    if unknown := set(table) - fields:
+        raise ValueError(f"{what}: unknown fields {sorted(unknown)}")
+    return table
+
+
+def _sql(texts: list[str]) -> str:
+    """A SQL array of texts."""
+    return "array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in texts) + ")"
+
+
+def _tables(owner: dict) -> list[dict]:
+    return [*owner.get("allowlists", []), *([owner["allowlist"]] if "allowlist" in owner else [])]
+
+
+def allowlist_predicate(what: str, table: dict) -> str:
+    """An allowlist as a SQL predicate over a finding: any of its parts holds, or all of them with the condition AND."""
+    _known(f"allowlist of {what}", table, _ALLOW)
+    target = table.get("regexTarget", "secret") or "secret"
+    if target not in ("secret", "match"):
+        raise ValueError(f"allowlist of {what}: target {target}")
+    parts = []
+    if commits := table.get("commits"):
+        parts.append(f"array_contains({_sql([c.lower() for c in commits])}, lower(commit))")
+    if paths := table.get("paths"):
+        parts.append(f"matches_any(path, {_sql([java_pattern(p) for p in paths])})")
+    if regexes := table.get("regexes"):
+        parts.append(f"matches_any({target}, {_sql([java_pattern(p) for p in regexes])})")
+    if words := table.get("stopwords"):
+        parts.append(f"contains_any(secret, {_sql(words)})")
+    if not parts:
+        raise ValueError(f"allowlist of {what} is empty")
+    both = table.get("condition", "OR").upper() in ("AND", "&&")
+    made = (" and " if both else " or ").join(parts)
+    return f"array_contains({_sql(table['targetRules'])}, rule_id) and ({made})" if table.get("targetRules") else made
+
+
+def _rule(r: dict) -> Rule:
+    name = r.get("id", "")
+    _known(f"rule {name}", r, _RULE)
+    filters = [f for f in (r.get("filter", ""), f"byte_entropy(secret) <= {r['entropy']}" if "entropy" in r else "", *(allowlist_predicate(name, t) for t in _tables(r))) if f]
+    return Rule(
+        name, r.get("regex", ""), tuple(k.lower() for k in r.get("keywords", [])), r.get("description", ""), r.get("path", ""), r.get("secretGroup", 0), r.get("confidence", "high"),
+        r.get("specificity", DEFAULT_SPECIFICITY), r.get("skipReport", False), " or ".join(f"({f})" for f in filters), tuple(Component(c["id"], c.get("optional", False), c.get("within", "")) for c in r.get("components", [])),
+        tuple((c["when"], c["value"]) for c in r.get("setConfidence", [])),
+    )
+
+
+def load_config(path: str, depth: int = 0) -> Catalog:
+    """A TOML catalogue file with its allowlists as SQL predicates, over the file that it extends.
+
+    Filters are Spark SQL predicates over the columns of a finding.
+    ``extend.path`` is relative to the file; what stands below is overlaid:
+    rules of equal id are replaced, ``disabledRules`` go, predicates and paths
+    are added. A global allowlist of nothing but paths also keeps the paths
+    from being read. Unknown fields, and more than EXTEND_DEPTH files below,
+    raise ValueError.
+    """
     with open(path, "rb") as f:
-        raw = tomllib.load(f)
-    known = {"id", "description", "regex", "path", "secretGroup", "entropy", "keywords", "confidence", "specificity", "skipReport", "components", "filter", "tags", "validate"}
-    rules = []
-    for r in raw.get("rules", []):
-        if unknown := set(r) - known:
-            raise ValueError(f"rule {r.get('id')}: unknown fields {sorted(unknown)}")
-        filters = [f for f in (r.get("filter", ""), f"byte_entropy(secret) <= {r['entropy']}" if "entropy" in r else "") if f]
-        rules.append(
-            Rule(
-                r["id"], r.get("regex", ""), tuple(k.lower() for k in r.get("keywords", [])), r.get("description", ""), r.get("path", ""), r.get("secretGroup", 0), r.get("confidence", "high"),
-                r.get("specificity", DEFAULT_SPECIFICITY), r.get("skipReport", False), " or ".join(f"({f})" for f in filters), tuple(Component(c["id"], c.get("optional", False), c.get("within", "")) for c in r.get("components", [])),
-            )
-        )
-    return rules
+        raw = _known(path, tomllib.load(f), _TOP)
+    base = Catalog()
+    below = _known("extend", raw.get("extend", {}), _EXTEND)
+    if "path" in below:
+        if depth >= EXTEND_DEPTH:
+            raise ValueError(f"{path}: more than {EXTEND_DEPTH} files below")
+        base = load_config(os.path.join(os.path.dirname(path), below["path"]), depth + 1)
+    tables = _tables(raw)
+    only_paths = [t for t in tables if set(t) - {"id", "description", "condition"} == {"paths"}]
+    skips = [base.skip, *(allowlist_predicate("all", t) for t in tables)]
+    rules = extend(list(base.rules), [_rule(r) for r in raw.get("rules", [])], set(below.get("disabledRules", [])))
+    return Catalog(tuple(rules), " or ".join(f"({s})" for s in skips if s), (*base.skipped_paths, *(p for t in only_paths for p in t["paths"])))
+
+
+def load_catalog(path: str) -> list[Rule]:
+    """The rules of ``load_config``."""
+    return list(load_config(path).rules)
 
 
 def extend(base: list[Rule], local: list[Rule], disabled: set[str] = frozenset()) -> list[Rule]:

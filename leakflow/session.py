@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DIR_CONF = "spark.checkpoint.dir"
 DEFAULTS = {
@@ -61,3 +61,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     store.deleteOnExit(target)
     store.deleteOnExit(jvm.org.apache.hadoop.fs.Path(f"{path}-checkpoint"))
     return store.makeQualified(target).toString()
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here, one job does it, and lost executors cost no work done before."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
