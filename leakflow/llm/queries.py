@@ -89,23 +89,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _MIX_SQL = """
 WITH RECURSIVE sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY source),
 weighed AS (SELECT source, size, CASE WHEN size > 0 THEN CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.0::DOUBLE END AS weight FROM sizes),
-rates AS (SELECT source, (SELECT sum(size) FROM weighed)::DOUBLE * weight / (SELECT sum(weight) FROM weighed) / size AS rate FROM weighed WHERE size > 0 AND weight > 0),
+rates AS (SELECT source, (SELECT sum(size) FROM weighed)::DOUBLE * weight / (SELECT sum(weight) FROM weighed) / size AS whole FROM weighed WHERE size > 0 AND weight > 0),
+split AS (SELECT source, greatest(ceil(whole / 64), 1)::BIGINT AS parts, whole / greatest(ceil(whole / 64), 1) AS rate FROM rates),
 terms AS (
-  SELECT source, rate, 0 AS k, -rate AS lp, exp(-rate) AS cdf FROM rates
+  SELECT source, rate, 0 AS k, -rate AS lp, exp(-rate) AS cdf FROM split
   UNION ALL
   SELECT source, rate, k + 1, lp + ln(rate) - ln((k + 1)::DOUBLE), cdf + exp(lp + ln(rate) - ln((k + 1)::DOUBLE)) FROM terms WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 30)
 ),
+parted AS (SELECT d.*, s.parts, unnest(range(0, s.parts)) AS part FROM documents d JOIN split s ON d.source IS NOT DISTINCT FROM s.source),
 drawn AS (
-  SELECT d.*, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents d
+  SELECT *, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || CASE WHEN part = 0 THEN '' ELSE ':part ' || part END), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM parted
 ),
 counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS copies
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.part, count(*) AS copies
   FROM drawn d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND t.cdf < d.u
   GROUP BY ALL
 )
-SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
-       ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no), 1, 13))::BIGINT AS mix_key
-FROM (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM counted)
+SELECT doc_id, text, lang, source, n_chars, (part * 1024 + copy)::BIGINT AS copy_no,
+       ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || (part * 1024 + copy)), 1, 13))::BIGINT AS mix_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
 """
 
 _LINES_SQL = f"""
