@@ -9,11 +9,13 @@ functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.llm.staging import stage, with_row_id
+from leakflow.operators.matching import named, running, spans
 
 
 @dataclass(frozen=True)
@@ -44,29 +46,35 @@ BASE = (
 OWNED = Kind("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20, ("[A-Z]", "[a-z]", "[0-9]"))
 
 
+SPANS = "array<struct<start:int,ord:int,kind:string,end:int,print:string>>"
+#: A secret that is at least this often there, and in at least a hundred-thousandth of all places, is looked up by broadcast: there are 100,000 of them at most.
+HOT_PLACES, HOT_SHARE = 10_000, 100_000
+
+
 def found_spans(text: Column, kind: Kind, order: int) -> Column:
-    """array<struct<start, ord, kind, end, print>>: leftmost non-overlapping matches, in code points; ``print`` is the secret's SHA-256.
+    """array<struct<start, ord, kind, end, print>>: leftmost non-overlapping matches, in code points; ``print`` is the secret's SHA-256. The work grows with the text and its matches."""
+    needed = lambda s: reduce(lambda a, n: a & s["secret"].rlike(n), kind.needs, F.length(s["secret"]) >= kind.least)
+    good = F.filter(spans(text, kind.pattern, kind.group), needed)
+    made = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.sha2(s["secret"], 256).alias("print")))
+    return made.cast(SPANS)
+
+
+def outside(more: Column, base: Column) -> Column:
+    """Those of ``more`` that overlap none of ``base``; in the order of their starts.
 
-    A match starts after the pieces of text between matches and the matches
-    before it, whose lengths are summed up.
+    Among all in order, a span overlaps one before it if some base ends
+    behind its start, and one after it if some base begins before its end.
     """
-    pieces = F.split(text, kind.pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    secret = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
-    rows = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("piece"), whole.alias("whole"), secret.alias("secret"))
-    empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int,print:string,good:boolean>>")
+    whole = 1 << 30
+    in_base = lambda s: s["ord"] < len(BASE)
 
-    def add(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["piece"])
-        end = start + F.length(row["whole"])
-        good = F.length(row["secret"]) >= kind.least
-        for needed in kind.needs:
-            good = good & row["secret"].rlike(needed)
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind.name).alias("kind"), end.alias("end"), F.sha2(row["secret"], 256).alias("print"), good.alias("good"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def kept(sorted_: Column) -> Column:
+        ends = running(F.transform(sorted_, lambda s: F.when(in_base(s), s["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        starts = F.reverse(running(F.reverse(F.transform(sorted_, lambda s: F.when(in_base(s), s["start"]).otherwise(whole))), F.lit(whole), lambda a, b: F.least(a, b)))
+        rows = F.arrays_zip(sorted_.alias("s"), ends.alias("to"), starts.alias("begin"))
+        return F.transform(F.filter(rows, lambda r: ~in_base(r["s"]) & (r["to"] <= r["s"]["start"]) & (r["begin"] >= r["s"]["end"])), lambda r: r["s"])
 
-    made = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: F.filter(acc["spans"], lambda s: s["good"]))
-    return F.when(text.rlike(kind.pattern), made).otherwise(empty)
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), named(F.array_sort(F.concat(base, more)), kept)).otherwise(more)
 
 
 def _listed(spans: Column) -> Column:
@@ -84,20 +92,25 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
 
     A null text is empty; null owners and repositories count as one owner and
     one repository each. Repeated rows each return a row (and are one owner);
-    an empty table returns none.
+    an empty table returns none. Texts may be of any length and hold any
+    number of matches.
     """
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     repo = F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in repository))
     base = F.concat(*(found_spans(column, k, i) for i, k in enumerate(BASE)))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id_"), F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("\x1e")).alias("owner_"), repo.alias("repo_"), F.array_sort(base).alias("base_"), found_spans(column, OWNED, len(BASE)).alias("more_"))
-    apart = F.filter("more_", lambda m: ~F.exists("base_", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    staged = stage(with_row_id(rows.withColumn("more_", apart), "row_id_"), "spans")
+    staged = stage(with_row_id(rows.withColumn("more_", outside(F.col("more_"), F.col("base_"))), "row_id_"), "spans")
     candidates = staged.filter((F.size("base_") > 0) | (F.size("more_") > 0)).select("row_id_", "owner_", "repo_", F.explode(F.concat("base_", "more_")).alias("s")).select("row_id_", "owner_", "repo_", "s.*")
     # one row for each holder first, so that a value that is everywhere meets only its distinct holders
     holders = candidates.groupBy("print", "owner_", "repo_").agg(F.count("*").alias("n"))
-    spread = holders.groupBy("print").agg(F.count_distinct("owner_").alias("owners"), F.count_distinct("repo_").alias("repositories"))
+    spread = holders.groupBy("print").agg(F.count_distinct("owner_").alias("owners"), F.count_distinct("repo_").alias("repositories"), F.sum("n").alias("places"))
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    judged = candidates.join(spread.select("print", live.alias("live")), "print")
+    told = stage(spread.select("print", live.alias("live"), "places"), "spread")
+    # a value that is everywhere never is the key of a shuffle: those are few, whatever the corpus, so they are broadcast
+    often = max(HOT_PLACES, (told.agg(F.sum("places")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(told.filter(F.col("places") >= often).select("print", "live"))
+    rest = told.filter(F.col("places") < often).select("print", "live")
+    judged = candidates.join(hot, "print").unionByName(candidates.join(hot, "print", "left_anti").join(rest, "print"))
     shown = (F.col("ord") < len(BASE)) | F.col("live")
     by_row = judged.groupBy("row_id_").agg(
         F.array_sort(F.collect_list(F.when(shown, F.struct("start", "ord", "kind", "end")))).alias("spans_"),
