@@ -155,15 +155,19 @@ def _paths(node, rule: Rule) -> list[Rule]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(stats, label) of at most ``max_rows`` labelled texts, never those whose crc32(id as text) is divisible by 5.
 
-    Which rows: those with the smallest hashes of their ids. Labels that are
-    null or aren't 0 or 1, and those without a document, are left out.
+    Which: the distinct (id, text, label) with the smallest hashes of their
+    ids, so repeated ids, texts and labels don't exceed the bound. Labels that
+    are null or aren't 0 or 1, and those without a document, are left out.
     """
-    key = F.col(doc_id).cast("string")
-    usable = labels.filter(F.col(label).isin(0, 1) & (F.crc32(key) % 5 != 0)).select(F.col(doc_id).alias("key_"), F.col(label).cast("double").alias("label"))
-    chosen = usable.join(docs.select(F.col(f"`{doc_id}`").alias("key_")).distinct(), "key_", "left_semi").orderBy(F.xxhash64("key_"), "key_", "label").limit(max_rows)
+    key = F.col(f"`{doc_id}`")
+    usable = labels.filter(F.col(label).isin(0, 1) & (F.crc32(key.cast("string")) % 5 != 0)).select(key.alias("key_"), F.col(label).cast("double").alias("label")).distinct()
+    texts = docs.select(key.alias("key_"), F.col(f"`{text}`").alias("text_")).withColumn("which_", F.xxhash64("text_"))
+    # narrow rows first: keys and hashes of texts
+    pairs = texts.select("key_", "which_").distinct().join(usable, "key_")
+    chosen = pairs.orderBy(F.xxhash64("key_"), "key_", "which_", "label").limit(max_rows)
     # bounded by max_rows, so fit to be broadcast
-    texts = docs.select(F.col(f"`{doc_id}`").alias("key_"), F.col(f"`{text}`").alias("text_")).join(F.broadcast(chosen), "key_")
-    return stage(texts.select(statistics("text_").alias("stats"), "label"), "labelled")
+    taught = texts.join(F.broadcast(chosen), ["key_", "which_"]).dropDuplicates(["key_", "which_", "label"])
+    return stage(taught.select(statistics("text_").alias("stats"), "label"), "labelled")
 
 
 def fit(sample: DataFrame, trees: int = 24, depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> RuleEnsemble:
