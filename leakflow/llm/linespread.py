@@ -42,12 +42,27 @@ def shared_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
+def _bucket(key: Column, n: Column) -> Column:
+    return F.pmod(key["h1"], n.cast("long")).cast("int")
+
+
+def _buckets(keys: Column) -> Column:
+    """A set of keys as an array of about as many buckets as a bucket has keys: a long document's lines are looked up among few."""
+    n = F.ceil(F.sqrt(F.size(keys))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(keys, lambda k: _bucket(k, n) == b))
+
+
+def _in_buckets(buckets: Column, key: Column) -> Column:
+    return F.array_contains(F.get(buckets, _bucket(key, F.size(buckets))), key)
+
+
 def drop_shared_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """doc_id, n_lines, n_removed, clean_text for each row of ``docs``: its text without lines that ``min_sites`` or more sites share.
 
     Lines end at line feeds and are compared without the spaces around them;
     blank ones are never removed. A null site counts as none. A null text has
-    no lines and stays null; an empty one has one blank line. Repeated rows
+    no lines and stays null; an empty one has one blank line; long ones may
+    have any number of lines. Repeated rows
     each return a row, an empty table returns none; other columns are not
     read.
     """
@@ -56,8 +71,8 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id
     keys = F.transform(F.filter(_lines(F.col("text_")), lambda x: F.trim(x) != ""), line_key)
     lines = stage(staged.select("row_id_", F.col("site_").alias("site"), F.explode(F.array_distinct(keys)).alias("key")).select("row_id_", "site", "key.*"), "lines")
     shared = shared_lines(lines.select("h1", "h2", "site"), min_sites)
-    flagged = lines.join(shared, ["h1", "h2"]).groupBy("row_id_").agg(F.collect_set(F.struct("h1", "h2")).alias("flags_"))
-    kept = F.filter(_lines(F.col("text_")), lambda x: ~F.array_contains("flags_", line_key(x)) | (F.trim(x) == ""))
+    flagged = lines.join(shared, ["h1", "h2"]).groupBy("row_id_").agg(F.collect_set(F.struct("h1", "h2")).alias("flags_")).select("row_id_", _buckets(F.col("flags_")).alias("flags_"))
+    kept = F.filter(_lines(F.col("text_")), lambda x: ~_in_buckets(F.col("flags_"), line_key(x)) | (F.trim(x) == ""))
     all_lines = F.coalesce(F.size(_lines(F.col("text_"))), F.lit(0))
     n_lines = F.when(F.col("text_").isNull(), 0).otherwise(all_lines).cast("long")
     joined = staged.join(flagged, "row_id_", "left").withColumn("kept_", F.when(F.col("flags_").isNotNull(), kept))
