@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Words are hashed; five-word gram hashes are taken at every word, and each
-window of six consecutive grams keeps its smallest. Ten equal words hold the
-same six grams, so a shared span of ten or more words always shares a kept
-fingerprint. The benchmark's fingerprints go to the tasks as a bitmap of
-fixed size, whatever the benchmark's size; windows whose fingerprint is in it
-are joined with the benchmark's windows and compared word for word, and
-overlapping hits are extended to spans.
+Words are hashed; gram hashes of five words are taken at every word, and each
+window of six consecutive grams keeps its smallest, with its place. Ten equal
+words hold the same six grams, so a shared span of ten or more words always
+shares a kept fingerprint. Kept fingerprints of documents and of benchmark
+items are joined; each hit is extended word by word to the windows around it.
+Documents' fingerprints that no item has are told apart beforehand with a
+bitmap that grows with the benchmark up to a bound; beyond it more of them
+reach the join, which decides alone.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from leakflow.llm.staging import arrow_rows, carried, restored, stage, with_row_id
 
 GRAM = 5
-#: Bits of a bitmap's index; 2 ** 24 bits are 2 MB.
-BITS = 24
+#: The bitmap's index has as many bits as give 1/16 of its places to fingerprints, between these; 2 ** 28 bits are 32 MB.
+MIN_BITS, MAX_BITS = 20, 28
+#: Documents' contexts of one fingerprint are dealt to so many tasks.
+SALTS = 16
 _PIECE = 1 << 20
 _U = np.uint64
 
@@ -115,103 +118,113 @@ def _grams(words: Words, n: int) -> np.ndarray:
     return _mix(grams + _U(n))
 
 
-def _smallest(words: Words, window: int) -> np.ndarray:
-    """For each ``window`` consecutive words the smallest of their gram hashes."""
-    grams = _grams(words, GRAM)
-    count = max(0, len(words.hashes) - window + 1)
-    least = grams[:count].copy()
-    for j in range(1, window - GRAM + 1):
-        np.minimum(least, grams[j : j + count], out=least)
-    return least
+def _kept(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing for windows of ``n`` words: (first word of each window inside a text, its fingerprint's word, its fingerprint).
 
-
-def _within(words: Words, n: int) -> np.ndarray:
+    The fingerprint is the window's smallest gram hash, of equal ones the last;
+    windows of fewer words than a gram are one gram.
+    """
+    gram = min(GRAM, n)
+    grams = _grams(words, gram)
     count = max(0, len(words.hashes) - n + 1)
-    return words.text[:count] == words.text[n - 1 : n - 1 + count]
-
+    least, at = grams[:count].copy(), np.zeros(count, dtype=np.int8)
+    for j in range(1, n - gram + 1):
+        later = grams[j : j + count] <= least
+        least[later], at[later] = grams[j : j + count][later], j
+    first = np.flatnonzero(words.text[:count] == words.text[n - 1 : n - 1 + count])
+    return first, first + at[first], _mix(least[first] + _U(n))
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(64 - BITS)).astype(np.int64)
 
-
-WINDOW_SCHEMA = "item_id_ string, n_words int, words string, print long, slot_min long, slot_all long"
+WINDOW_SCHEMA = "item_id_ string, n_words int, words string, print long, lead int"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The windows of each item: ``window`` consecutive words, or all words of a shorter item."""
+    """The windows of each item: ``window`` consecutive words, or all words of a shorter item. ``lead``: words before the fingerprint's gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = words_of(batch.column(1))
             counts = np.bincount(w.text, minlength=batch.num_rows)
-            begin = np.concatenate(([0], np.cumsum(counts)))
             rows: list[tuple] = []
             for n in sorted({min(window, int(c)) for c in counts if c}):
-                grams, inner = _grams(w, n), _within(w, n)
-                least = _smallest(w, n) if n == window else grams
-                for i in np.flatnonzero(inner).tolist():
+                for i, g, h in zip(*(x.tolist() for x in _kept(w, n))):
                     item = int(w.text[i])
-                    if min(window, int(counts[item])) == n and (n == window or i == begin[item]):
-                        rows.append((batch.column(0)[item].as_py(), n, w.joined(i, n), int(grams[i].view(np.int64)), int(_slots(least[i])), int(_slots(grams[i]))))
+                    if min(window, int(counts[item])) == n:
+                        rows.append((batch.column(0)[item].as_py(), n, w.joined(i, n), h - (1 << 64) if h >> 63 else h, g - i))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                names=["item_id_", "n_words", "words", "print", "slot_min", "slot_all"],
+                [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32()))],
+                names=["item_id_", "n_words", "words", "print", "lead"],
             )
 
     return benchmark.select(F.col(item_id).cast("string"), F.col(text)).mapInArrow(run, WINDOW_SCHEMA)
 
 
-def _bitmap(windows: DataFrame, slot: str) -> np.ndarray:
-    """Set bits of a fixed-size bitmap, as one byte for each: at most 2 ** BITS / 64 rows reach the driver."""
-    cells = windows.groupBy(F.shiftrightunsigned(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("bits")).toArrow()
-    packed = np.zeros(1 << (BITS - 6), dtype=np.int64)
+def _bitmap(prints: DataFrame) -> tuple[np.ndarray, int]:
+    """(a bitmap of the fingerprints, bits of its index). At most 2 ** MAX_BITS / 64 rows reach the driver."""
+    n = prints.count()
+    bits = min(MAX_BITS, max(MIN_BITS, (16 * n).bit_length()))
+    slot = F.shiftrightunsigned("print", 64 - bits)
+    cells = prints.groupBy(F.shiftrightunsigned(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    packed = np.zeros(1 << (bits - 6), dtype=np.int64)
     packed[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return packed.view(np.uint8)
+    return packed.view(np.uint8), bits
 
 
-def _has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def _has(bitmap: np.ndarray, bits: int, prints: np.ndarray) -> np.ndarray:
+    slots = (prints >> _U(64 - bits)).astype(np.int64)
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits). rows: ``keep`` columns (all by default) as c0, c1, .. and row_id_, n_words_ for each document; hits: row_id_, item_id_, at, n_words for each window that occurs.
+def find_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, owners). rows: ``keep`` columns (all by default) as c0, c1, .. and row_id_, n_words_ for each document; hits: row_id_, at, n_words, words for each occurrence of a window; owners: words, item_id_ for each window and item.
 
     A null document text has no words, and an item without words no window.
+    Kept fingerprints go along with the words around them. Equal ones are one
+    row of the join, so what many documents share is compared once, and items
+    that share a window are looked up afterwards.
     """
     spark = docs.sparkSession
     windows = stage(benchmark_windows(benchmark, window, item_id, item_text), "windows")
-    short = sorted(r[0] for r in windows.select("n_words").distinct().collect() if r[0] < window)
-    maps = spark.sparkContext.broadcast((_bitmap(windows.filter(F.col("n_words") == window), "slot_min"), _bitmap(windows, "slot_all")))
+    lengths = sorted(r[0] for r in windows.select("n_words").distinct().collect())  # at most ``window``
+    bitmap = spark.sparkContext.broadcast(_bitmap(windows.select("print").distinct()))
     kept_columns = carried(docs, [text, *(docs.columns if keep is None else keep)])[0]
     names = [f"c{i}" for i in range(len(kept_columns.columns) - 1)]
     source = kept_columns.select(F.col("c0").alias("text_"), *(F.col(c).alias(n) for c, n in zip(kept_columns.columns[1:], names)))
-    spans = pa.list_(pa.struct([("at", pa.int32()), ("n_words", pa.int32()), ("print", pa.int64()), ("words", pa.string())]))
+    prints = pa.list_(pa.struct([("at", pa.int32()), ("n_words", pa.int32()), ("print", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, full = maps.value
         for batch in batches:
             w = words_of(batch.column(0))
             counts = np.bincount(w.text, minlength=batch.num_rows)
             begin = np.concatenate(([0], np.cumsum(counts)))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for n in [*short, window]:
-                grams = _grams(w, n)
-                likely = _within(w, n)
-                if n == window:
-                    likely &= _has(kept, _slots(_smallest(w, n)))
-                at = np.flatnonzero(likely)
-                for i in at[_has(full, _slots(grams[at]))].tolist():
-                    row = int(w.text[i])
-                    found[row].append({"at": i - int(begin[row]), "n_words": n, "print": int(grams[i].view(np.int64)), "words": w.joined(i, n)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(found, spans)], names=[*names, "n_words_", "found_"])
-
-    schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), "n_words_ long", "found_ array<struct<at:int,n_words:int,print:long,words:string>>"])
+            for n in lengths:
+                _, at, hashes = _kept(w, n)
+                likely = _has(*bitmap.value, hashes)
+                at, once = np.unique(at[likely], return_index=True)
+                for g, h in zip(at.tolist(), hashes[likely][once].view(np.int64).tolist()):
+                    row, reach = int(w.text[g]), n - min(GRAM, n)
+                    a, b = max(g - reach, int(begin[row])), min(g + n, int(begin[row + 1]))
+                    found[row].append({"at": g - int(begin[row]), "n_words": n, "print": h, "before": g - a, "around": w.joined(a, b - a)})
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(found, prints)], names=[*names, "n_words_", "found_"])
+
+    schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), "n_words_ long", "found_ array<struct<at:int,n_words:int,print:long,before:int,around:string>>"])
     with arrow_rows(spark, 2000):
         staged = stage(with_row_id(source.mapInArrow(run, schema), "row_id_"), "scanned")
-    seeds = staged.filter(F.size("found_") > 0).select("row_id_", F.explode("found_").alias("s")).select("row_id_", "s.*")
-    items = windows.select("item_id_", "print", "words").distinct()
-    hits = seeds.join(items, ["print", "words"]).select("row_id_", "item_id_", "at", "n_words")
-    return staged.select(*names, "row_id_", "n_words_"), hits
+    kept = staged.filter(F.size("found_") > 0).select("row_id_", F.explode("found_").alias("s")).select("row_id_", "s.*")
+    # the words around a fingerprint, once for all documents that have them
+    contexts = kept.select("print", "n_words", "before", "around").distinct().withColumn("salt", F.pmod(F.xxhash64("around"), F.lit(SALTS)).cast("int"))
+    tests = windows.select("print", "n_words", "lead", "words").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = contexts.join(tests, ["print", "n_words", "salt"])
+    # extension: the item's words before and behind the fingerprint are the document's
+    there = F.array_join(F.slice(F.split("around", " "), F.greatest(F.col("before") - F.col("lead"), F.lit(0)) + 1, F.col("n_words")), " ")
+    extended = joined.filter((F.col("lead") <= F.col("before")) & (there == F.col("words")))
+    matched = extended.groupBy("print", "n_words", "before", "around").agg(F.collect_list(F.struct("lead", "words")).alias("m"))
+    salted = matched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = kept.withColumn("salt", F.pmod(F.xxhash64("row_id_"), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(salted, ["print", "n_words", "before", "around", "salt"]).select("row_id_", "at", "n_words", F.explode("m").alias("m"))
+    hits = stage(hits.select("row_id_", (F.col("at") - F.col("m.lead")).alias("at"), "n_words", F.col("m.words").alias("words")), "hits")
+    return staged.select(*names, "row_id_", "n_words_"), hits, windows.select("words", "item_id_").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", window: int = 10) -> DataFrame:
@@ -223,8 +236,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     one item, and an item whose id is null hits words but is not listed.
     Without documents the result is empty, without items nothing hits.
     """
-    rows, hits = find_hits(docs, benchmark, [doc_id], window)
-    by_row = hits.groupBy("row_id_").agg(F.sort_array(F.collect_set(F.struct("at", "n_words"))).alias("spans"), F.sort_array(F.collect_set("item_id_")).alias("items"))
+    rows, hits, owners = find_hits(docs, benchmark, [doc_id], window)
+    spans = hits.groupBy("row_id_").agg(F.sort_array(F.collect_set(F.struct("at", "n_words"))).alias("spans"))
+    # each window once a document, so that no occurrence meets all items
+    salt = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int")
+    held = hits.select("row_id_", "words").distinct().withColumn("salt", salt("row_id_"))
+    named = held.join(owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["words", "salt"])
+    by_row = spans.join(named.groupBy("row_id_").agg(F.sort_array(F.collect_set("item_id_")).alias("items")), "row_id_")
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")),
@@ -241,5 +259,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item."""
-    rows, hits = find_hits(docs, benchmark, None, window)
+    rows, hits, _ = find_hits(docs, benchmark, None, window)
     return restored(rows.join(hits.select("row_id_"), "row_id_", "left_anti"), docs.columns)
