@@ -53,6 +53,9 @@ def _byte_letters() -> dict[str, int]:
 class Merges:
     """A byte-level BPE vocabulary file's merges, and the pre-tokens met so far."""
 
+    #: Bits of a pre-token's hash. Fewer only cost time.
+    hash_bits = 64
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
@@ -81,6 +84,9 @@ class Merges:
 
     def _forget(self) -> None:
         self._hashes = np.zeros(0, dtype=np.uint64)
+        self._bytes = np.zeros(0, dtype=np.uint8)
+        self._from = np.zeros(0, dtype=np.int64)
+        self._size = np.zeros(0, dtype=np.int64)
         self._begin = np.zeros(0, dtype=np.int64)
         self._count = np.zeros(0, dtype=np.int32)
         self._pool = np.zeros(0, dtype=np.int32)
@@ -205,16 +211,26 @@ class Merges:
         sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(_SALT[raw] * _powers(_BASE, len(raw)), out=sums[1:])
         hashes = (sums[b] - sums[a]) * _powers(pow(_BASE, -1, 1 << 64), len(raw))[a] + (b - a).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+        hashes >>= _U(64 - self.hash_bits)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self._look_up(distinct, a[where], b[where], raw)
-        n = self._count[at][back].astype(np.int64)
+        at = self._look_up(distinct, a[where], b[where], raw)[back]
+        n, begin = self._count[at].astype(np.int64), self._begin[at]
+        # hashes only propose: a pre-token whose bytes aren't those of the known one is merged by itself
+        odd = np.flatnonzero(_differ(raw, a, b, self._bytes, self._from[at], self._size[at]))
+        if len(odd):
+            symbols, n[odd] = self._merged(a[odd], b[odd], raw)
+            begin[odd] = len(self._pool) + np.cumsum(n[odd]) - n[odd]
+            self._pool = np.concatenate((self._pool, symbols))
         counts = np.bincount(of_text, weights=n, minlength=len(texts)).astype(np.int64)
         if not ids:
             return np.zeros(0, np.int32), counts
-        begin = self._begin[at][back]
         stops = np.cumsum(n)
         return self._pool[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - (stops - n), n)], counts
 
+    def _merged(self, a: np.ndarray, b: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pre-tokens from bytes ``a`` to ``b``."""
+        return self.merge(self.of_byte[raw[_ranges(a, b - a)]], b - a)
+
     def _look_up(self, hashes: np.ndarray, a: np.ndarray, b: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """Where each pre-token stands among the known ones; new ones are merged first."""
         if len(self._hashes) > _KNOWN:
@@ -223,18 +239,33 @@ class Merges:
         new = at == len(self._hashes)
         new[~new] = self._hashes[at[~new]] != hashes[~new]
         if new.any():
-            sizes = b[new] - a[new]
-            stops = np.cumsum(sizes)
-            symbols, counts = self.merge(self.of_byte[raw[np.arange(stops[-1]) + np.repeat(a[new] - (stops - sizes), sizes)]], sizes)
+            symbols, counts = self._merged(a[new], b[new], raw)
             begin = len(self._pool) + np.cumsum(counts) - counts
             self._pool = np.concatenate((self._pool, symbols))
-            place = at[new]
+            sizes, place = (b - a)[new], at[new]
+            held = len(self._bytes) + np.cumsum(sizes) - sizes
+            self._bytes = np.concatenate((self._bytes, raw[_ranges(a[new], sizes)]))
             self._hashes = np.insert(self._hashes, place, hashes[new])
             self._begin, self._count = np.insert(self._begin, place, begin), np.insert(self._count, place, counts)
+            self._from, self._size = np.insert(self._from, place, held), np.insert(self._size, place, sizes)
             at = np.searchsorted(self._hashes, hashes)
         return at
 
 
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - (stops - sizes), sizes)
+
+
+def _differ(raw: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each stretch of ``raw`` (they follow each other without gaps) has other bytes than its known one."""
+    other = (b - a) != sizes
+    place = np.repeat(np.where(other, 0, begin) - a, b - a) + np.arange(len(raw))
+    unlike = raw != (known.take(place, mode="clip") if len(known) else 0)
+    return other | (np.logical_or.reduceat(unlike, a) if len(a) else False)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     size = 1 << max(0, n - 1).bit_length()
     return _all_powers(base, size)[:n]
