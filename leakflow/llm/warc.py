@@ -21,6 +21,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 _READ = 1 << 18
+#: Pages carry no time of their own.
+DATE = "1970-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("5b0c8c7e-6c1e-5f5e-9d0a-3f1f6f0c2a10")
 #: Salts of a payload that several pages share.
 SALTS = 32
@@ -41,26 +43,48 @@ def _line_safe(value: str) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One record as a gzip member. A revisit holds the HTTP header only; its Content-Length is the payload's."""
+def _id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>"
+
+
+def response_id(page_id: int | None, url: str | None, payload_digest: str) -> str:
+    """The record id of a response that revisits refer to: the same wherever it is asked for."""
+    return _id(f"{page_id} {url} {payload_digest}")
+
+
+def _member_of(fields: dict[str, str | None], block: bytes) -> bytes:
+    lines = [VERSION, *(f"{k}: {v}".encode() for k, v in fields.items() if v is not None)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(b"\r\n".join(lines) + _END + block + _END) + packer.flush()
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: leakflow\r\nformat: WARC File Format 1.1\r\n"
+    return _member_of({"WARC-Type": "warcinfo", "WARC-Record-ID": _id(f"{name} info"), "WARC-Date": date, "WARC-Filename": name, "WARC-Block-Digest": f"sha1:{digest(block)}", "Content-Type": "application/warc-fields", "Content-Length": str(len(block))}, block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, refers_url: str | None = None, record_id: str | None = None, refers_id: str | None = None, date: str = DATE) -> bytes:
+    """One record as a gzip member. A revisit holds the HTTP header only, whose Content-Length is the payload's; it names the response's target, date and, where given, record."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if revisit else head + payload
+    block, payload_digest = head if revisit else head + payload, digest(payload)
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url}')}>",
+        "WARC-Record-ID": record_id or response_id(page_id, url, payload_digest),
         "WARC-Date": date,
         "WARC-Target-URI": None if url is None else _line_safe(url),
-        "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        "WARC-Payload-Digest": f"sha1:{payload_digest}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
         "WARC-Profile": PROFILE if revisit else None,
+        "WARC-Refers-To": refers_id if revisit else None,
+        "WARC-Refers-To-Target-URI": _line_safe(refers_url) if revisit and refers_url is not None else None,
+        "WARC-Refers-To-Date": date if revisit else None,
         "Page-ID": None if page_id is None else str(page_id),
         "Refers-To-Page-ID": None if refers_to is None else str(refers_to),
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
-    lines = [VERSION, *(f"{k}: {v}".encode() for k, v in fields.items() if v is not None)]
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(b"\r\n".join(lines) + _END + block + _END) + packer.flush()
+    return _member_of(fields, block)
 
 
 @dataclass
@@ -127,7 +151,8 @@ def read_records(source: Callable[[int], bytes], with_payload: bool = False) ->
             raise ValueError("a record doesn't start with a WARC version")
         left = int(fields["content-length"])
         whole, body, size, kept = hashlib.sha1(), hashlib.sha1(), 0, []
-        head: bytes | None = b""
+        http = fields.get("content-type", "").startswith("application/http")
+        head: bytes | None = b"" if http else None
         found = Record(fields)
         for part in member.exactly(left):
             whole.update(part)
@@ -163,18 +188,26 @@ def read_records(source: Callable[[int], bytes], with_payload: bool = False) ->
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit) of pages (page_id, url, html): payloads of at least ``min_bytes`` that equal that of a page with a larger id are revisits of the largest."""
+    """(page_id, url, html, refers_to, revisit, refers_url, named) of pages (page_id, url, html): payloads of at least ``min_bytes`` that equal that of a page with a larger id are revisits of the largest.
+
+    ``named``: there is one such response only, so its record id can be told from the page.
+    """
     keyed = pages.withColumn("bytes_", F.octet_length("html")).withColumn("sum_", F.sha1(F.encode("html", "utf-8")))
-    shared = keyed.filter(F.col("bytes_") >= min_bytes).groupBy("sum_", "bytes_").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+    # one row for each page first, so that a payload that is everywhere meets only distinct pages
+    each = keyed.filter(F.col("bytes_") >= min_bytes).groupBy("sum_", "bytes_", "page_id", "url").agg(F.count("*").alias("n_"))
+    order = F.struct(F.col("page_id").isNotNull().alias("given"), "page_id", "url", "n_")
+    shared = each.groupBy("sum_", "bytes_").agg(F.max(order).alias("top_"), F.sum("n_").alias("all_")).filter("all_ > 1")
+    shared = shared.select("sum_", "bytes_", F.col("top_.page_id").alias("refers_to"), F.col("top_.url").alias("refers_url"), (F.col("top_.n_") == 1).alias("named"))
     salted = shared.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = keyed.withColumn("salt_", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = left.join(salted, ["sum_", "bytes_", "salt_"], "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
+    one = F.coalesce(F.col("named") & (revisit | F.col("url").eqNullSafe(F.col("refers_url"))), F.lit(False))
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"), "refers_url", one.alias("named"))
 
 
 def write_archives(pages: DataFrame, path: str, max_bytes: int = 32 << 20) -> DataFrame:
-    """Writes pages (page_id, url, html, refers_to, revisit) to archives of about ``max_bytes`` under ``path``; returns their (file, n_records, n_bytes).
+    """Writes the pages of ``with_revisits`` to archives of about ``max_bytes`` under ``path``; returns their (file, n_records, n_bytes).
 
     Each attempt of a task writes files of its own names, so that a repeated
     task leaves the others' files alone; only files in the returned table
@@ -190,7 +223,13 @@ def write_archives(pages: DataFrame, path: str, max_bytes: int = 32 << 20) -> Da
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
-                member = record(row[0], row[1], row[2].encode(), row[3], row[4])
+                    out.write(info(name))
+                page, url, html, refers_to, revisit, refers_url, named = row
+                payload = html.encode()
+                # the file's name is new for each attempt, so ids made of it are unique
+                own = None if named and not revisit else _id(f"{name} {n}")
+                target = response_id(refers_to, refers_url, digest(payload)) if named and revisit else None
+                member = record(page, url, payload, refers_to, revisit, refers_url, own, target)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= max_bytes:
@@ -203,7 +242,7 @@ def write_archives(pages: DataFrame, path: str, max_bytes: int = 32 << 20) -> Da
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "n_records", "n_bytes"])
 
     with arrow_rows(pages.sparkSession, 500):
-        return stage(pages.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(run, "file string, n_records long, n_bytes long"), "archives")
+        return stage(pages.select("page_id", "url", "html", "refers_to", "revisit", "refers_url", "named").mapInArrow(run, "file string, n_records long, n_bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, path: str) -> DataFrame:
@@ -218,6 +257,8 @@ def read_archives(archives: DataFrame, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 with store.open_input_stream(f"{at}/{name}", compression=None) as stream:
                     for r in read_records(stream.read):
+                        if r.fields["warc-type"] not in ("response", "revisit"):
+                            continue
                         rows.append((number(r.fields.get("page-id")), r.payload_bytes, r.payload_digest, r.fields["warc-type"], number(r.fields.get("refers-to-page-id")), r.fields.get("warc-target-uri")))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
