@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from leakflow.llm.staging import arrow_rows, stage, with_row_id
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 512, 128
+#: Query blocks that pass through one task with a shard's tree.
+TASK_BLOCKS = 64
 
 
 @dataclass
@@ -93,47 +95,87 @@ def quantized(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> Da
     return stage(with_row_id(good.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * scale)).alias("v"))), "vectors")
 
 
-def _packed(rows: DataFrame, *keys: str) -> DataFrame:
-    """Groups of bounded size as one row each: binary matrices of ids, row ids and vectors."""
+def _trees(rows: DataFrame) -> DataFrame:
+    """(dim, shard, ids, uids, m, nodes, boxes): each shard's tree, built once. ``m`` is the matrix in the tree's order, ``nodes`` their first and last rows, ``boxes`` their lower and upper corners."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
+        tree = Tree.build(v)
+        column = lambda c: pdf[c].to_numpy(np.int64)[tree.order].tobytes()
+        parts = {"ids": column("vec_id"), "uids": column("row_id"), "m": v[tree.order].tobytes(), "nodes": np.stack([tree.start, tree.end]).tobytes(), "boxes": np.stack([tree.low, tree.high]).tobytes()}
+        return pd.DataFrame([{"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0]} | parts])
+
+    return rows.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, uids binary, m binary, nodes binary, boxes binary")
+
+
+def _loaded(x: dict) -> Tree:
+    nodes, boxes = np.frombuffer(x["nodes"], dtype=np.int64).reshape(2, -1), np.frombuffer(x["boxes"], dtype=np.float64)
+    boxes = boxes.reshape(2, nodes.shape[1], -1) if x["dim"] else np.zeros((2, nodes.shape[1], 0))
+    rows = _matrix(x["m"], x["dim"]) if x["dim"] else np.zeros((len(x["ids"]) // 8, 0), np.int64)
+    return Tree(rows, np.arange(len(rows)), nodes[0], nodes[1], boxes[0], boxes[1])
+
+
+def _blocks(queries: DataFrame) -> DataFrame:
+    """(dim, block, ids, uids, m, floors): blocks of queries (dim, block, vec_id, row_id, v, floor) as one row each; a null floor is the least long."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
+        column = lambda c: pdf[c].to_numpy(np.int64).tobytes()
         v = np.array(pdf["v"].tolist(), dtype=np.int64)
-        return pd.DataFrame([head | {"ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "uids": pdf["row_id"].to_numpy(np.int64).tobytes(), "m": v.tobytes()}])
+        return pd.DataFrame([{"dim": pdf["dim"].iloc[0], "block": pdf["block"].iloc[0], "ids": column("vec_id"), "uids": column("row_id"), "m": v.tobytes(), "floors": column("floor")}])
 
-    types = dict(rows.dtypes)
-    return rows.groupBy(*keys).applyInPandas(pack, ", ".join([*(f"{k} {types[k]}" for k in keys), "ids binary, uids binary, m binary"]))
+    filled = queries.withColumn("floor", F.coalesce("floor", F.lit(_LEAST)))
+    return filled.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, uids binary, m binary, floors binary")
 
 
 FOUND = "query_uid long, query_id long, vec_id long, uid long, score long"
+_LEAST = -(1 << 63)
 
 
-def _search(pairs: DataFrame, k: int, label: str) -> DataFrame:
-    """The best of each query in each shard, from rows of a shard, a query block and the queries' floors."""
+def _search(trees: DataFrame, blocks: DataFrame, k: int, shards: int, first: int, last: int) -> DataFrame:
+    """The best of each query in the shards ``first`` to ``last`` places after its block's own.
+
+    A shard's tree goes to a task once, before up to TASK_BLOCKS blocks that
+    pass through it.
+    """
+    places = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("place")
+    visits = blocks.select("*", places).withColumn("shard", F.pmod(F.col("block") + F.col("place"), F.lit(shards)).cast("int"))
+    visits = visits.withColumn("task", F.floor(F.col("block") / (TASK_BLOCKS * shards)).cast("int")).withColumn("kind", F.lit(1))
+    none = F.lit(None).cast("binary")
+    tasks = visits.select("dim", "shard", "task").distinct()
+    names = ["dim", "shard", "task", "kind", "ids", "uids", "m", "nodes", "boxes", "floors"]
+    held = trees.join(tasks, ["dim", "shard"]).withColumn("kind", F.lit(0)).withColumn("floors", none).select(names)
+    stream = held.unionByName(visits.withColumn("nodes", none).withColumn("boxes", none).select(names))
+    stream = stream.repartition("dim", "shard", "task").sortWithinPartitions("dim", "shard", "task", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, ids, uids, exact, loaded = None, None, None, {}, None
         for batch in batches:
             for row in range(batch.num_rows):
                 x = {n: batch.column(i)[row].as_py() for i, n in enumerate(batch.schema.names)}
-                rows, queries = _matrix(x["m"], x["dim"]), _matrix(x["qm"], x["dim"])
-                ids, uids, qids, quids = (np.frombuffer(x[c], dtype=np.int64) for c in ("ids", "uids", "qids", "quids"))
-                if x["dim"] == 0:
-                    rows, queries = np.zeros((len(ids), 0), np.int64), np.zeros((len(qids), 0), np.int64)
-                most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, x["dim"])
-                exact = np.float64 if most < 2**53 else np.int64  # products of floats are exact below, and faster
-                tree = Tree.build(rows.astype(exact))
+                place = (x["dim"], x["shard"], x["task"])
+                if not x["kind"]:
+                    tree, exact, loaded = _loaded(x), {}, place
+                    ids, uids = (np.frombuffer(x[c], dtype=np.int64) for c in ("ids", "uids"))
+                    continue
+                if loaded != place:  # no vector of this length is in the shard
+                    continue
+                qids, quids, floors = (np.frombuffer(x[c], dtype=np.int64) for c in ("ids", "uids", "floors"))
+                queries = _matrix(x["m"], x["dim"]) if x["dim"] else np.zeros((len(qids), 0), np.int64)
+                most = float(np.abs(tree.rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, x["dim"])
+                kind = np.float64 if most < 2**53 else np.int64  # products of floats are exact below, and faster
+                if kind not in exact:
+                    exact[kind] = replace(tree, rows=tree.rows.astype(kind))
                 bounds = tree.bounds(queries.astype(np.float64))
                 bounds += np.abs(bounds) * 1e-12 if most >= 2**53 else 0
-                floors = dict(zip(*(np.frombuffer(x[c], dtype=np.int64).tolist() for c in ("fuids", "floors")))) if x["floors"] else {}
                 out: list[tuple] = []
-                for i, (query, own) in enumerate(zip(queries.astype(exact), quids.tolist())):
-                    found = tree.search(query, bounds[i], k, floors.get(own, -np.inf), ids, uids, own)
+                for i, (query, own, floor) in enumerate(zip(queries.astype(kind), quids.tolist(), floors.tolist())):
+                    found = exact[kind].search(query, bounds[i], k, -np.inf if floor == _LEAST else floor, ids, uids, own)
                     out += [(own, int(qids[i]), -v, -u, s) for s, v, u in found]
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_uid", "query_id", "vec_id", "uid", "score"])
 
-    with arrow_rows(pairs.sparkSession, 4):
-        return stage(pairs.select("dim", "ids", "uids", "m", "qids", "quids", "qm", "fuids", "floors").mapInArrow(run, FOUND), label)
+    with arrow_rows(trees.sparkSession, 4):
+        return stage(stream.mapInArrow(run, FOUND), "found")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -146,31 +188,28 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     its own. With fewer than ``k`` candidates all are returned; an empty
     table returns none. Scores must fit a long.
 
-    Rows are dealt at random to shards of about ``shard_rows``. Queries, in
-    blocks, first search one shard; the kth scores they find there go along
-    to all other shards, where whole boxes below them are left out.
+    Rows are dealt at random to shards of about ``shard_rows``, whose trees
+    are built once. Queries, in blocks, search one shard first, then 1, 2, 4,
+    .. further ones at a time; after each round a query's kth score so far is
+    the bound below which whole boxes are left out.
     """
     rows = quantized(vectors, scale, vec_id, embedding)
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int"))
-    trees = stage(_packed(dealt, "dim", "shard"), "shards")
+    trees = stage(_trees(dealt), "trees")
     queries = rows.filter(F.col("vec_id") % every == 0)
     blocks_n = max(1, -(-queries.count() // BLOCK_ROWS))
-    block = queries.withColumn("block", F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(blocks_n)).cast("int"))
-    blocks = stage(_packed(block, "dim", "block").select("dim", "block", F.col("ids").alias("qids"), F.col("uids").alias("quids"), F.col("m").alias("qm")), "queries")
-    home = F.pmod("block", F.lit(shards)).cast("int")
-    none = F.lit(None).cast("binary")
-    first = _search(blocks.withColumn("shard", home).withColumn("fuids", none).withColumn("floors", none).join(trees, ["dim", "shard"]), k, "first")
-    # a query's kth score at home bounds its search elsewhere
-    kth = first.groupBy("query_uid").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k)
-
-    def to_binary(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"dim": pdf["dim"].iloc[0], "block": pdf["block"].iloc[0], "fuids": pdf["query_uid"].to_numpy(np.int64).tobytes(), "floors": pdf["floor"].to_numpy(np.int64).tobytes()}])
-
-    named = block.join(kth, block.row_id == kth.query_uid).select("dim", "block", "query_uid", "floor")
-    floors = named.groupBy("dim", "block").applyInPandas(to_binary, "dim int, block int, fuids binary, floors binary")
-    elsewhere = blocks.join(floors, ["dim", "block"], "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != home)
-    rest = _search(elsewhere.join(trees, ["dim", "shard"]), k, "rest")
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(blocks_n)).cast("int")).withColumn("floor", F.lit(None).cast("long"))
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best, place = None, 0
+    while place < shards:
+        last = min(shards - 1, 2 * place)
+        found = _search(trees, _blocks(queries), k, shards, place, last)
+        found = found if best is None else best.unionByName(found)
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        place = last + 1
+        if place < shards:
+            best = stage(best.drop("rank"), "best")
+            kth = best.groupBy("query_uid").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k)
+            queries = queries.drop("floor").join(kth.select(F.col("query_uid").alias("row_id"), "floor"), "row_id", "left")
+    return best.select("query_id", "rank", "vec_id", "score")
