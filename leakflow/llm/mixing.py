@@ -107,6 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0,
     draw = F.when(F.col("part__") == 0, unit_hash(F.lit(str(seed)), id_text)).otherwise(unit_hash(F.lit(str(seed)), id_text, F.concat(F.lit("part "), F.col("part__").cast("string"))))
     # the inverse: how many values of the distribution function lie below the draw
     drawn = parts.withColumn("draw__", draw).withColumn("copies__", F.size(F.filter("cdf__", lambda c: c < F.col("draw__")))).filter("copies__ > 0")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies__"))) + F.col("part__") * PART_COPIES)
+    before = F.col("part__") * PART_COPIES
+    copies = drawn.withColumn("copy_no", F.explode(F.sequence(before + 1, before + F.col("copies__"))))
     keyed = copies.withColumn("mix_key", hash_key(F.concat_ws(":", F.lit(str(seed)), id_text, F.col("copy_no").cast("string"))))
     return restored(keyed, names, "copy_no", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")

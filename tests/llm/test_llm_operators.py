@@ -355,7 +355,7 @@ def test_whole_rows_pass_whatever_their_columns_are_called(spark):
     for made in (quality.drop_rejected(docs, labels, 0.0), simhash.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, item)):
         assert made.columns == docs.columns and 9 in {r["doc_id"] for r in made.collect()} and {r["key"] for r in made.collect()} == {"x"}
     mixed = mixing.mix(docs, {}, epochs=5.0)
-    assert sorted(mixed.columns) == sorted(docs.columns) and dict(mixed.dtypes)["copy_no"] == "int" and mixed.count() > 0
+    assert sorted(mixed.columns) == sorted(docs.columns) and dict(mixed.dtypes)["copy_no"] == "bigint" and mixed.count() > 0
     scored = quality.with_score(docs, quality.RuleEnsemble(0.0, []))
     assert sorted(scored.columns) == sorted(docs.columns) and {r["score"] for r in scored.collect()} == {0.5}
 
@@ -515,3 +515,104 @@ def test_secret_spans_are_brute_force(spark):
     got = secretfreq.scan(with_clashes(docs))
     assert rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied") == want
     assert secretfreq.scan(docs.limit(0)).count() == 0
+
+
+# --- hard cases: hashes that collide, very long texts, tiny sources, repeated labels
+
+
+def test_colliding_hashes_change_no_tokens():
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(21)
+    merges, tok = bpe.Merges(path), Tokenizer.from_file(path)
+    merges.hash_bits = 6
+    for _ in range(3):
+        texts = [" ".join("".join(rnd.choices("abcdeé ", k=rnd.randint(1, 9))) for _ in range(60)) for _ in range(20)]
+        ids, counts = merges.encode(texts)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_secrets_of_a_very_long_text(spark):
+    rnd = random.Random(22)
+    hexes = ["".join(rnd.choices("0123456789abcdef", k=24)) for _ in range(20_000)]
+    text = "\n".join(h + (" token=Abcdef12" if i % 3 else " Qq1" + h[:20] + "Z ") for i, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text, "en", "a", 1), (2, "x", "en", "a", 1)], DOCS)
+    want = brute_secrets([(1, text, "a", ("a", "en")), (2, "x", "a", ("a", "en"))])
+    assert rows(secretfreq.scan(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied") == want
+
+
+def test_secrets_that_are_everywhere_are_broadcast(spark, monkeypatch):
+    data = [(i, "token=abcdef123 " + ("token=only%06d" % i), "en", f"s{i % 3}", 1) for i in range(200)]
+    docs = spark.createDataFrame(data, DOCS)
+    cols = ["doc_id", "spans", "n_live", "n_copied"]
+    plain = rows(secretfreq.scan(docs), *cols)
+    monkeypatch.setattr(secretfreq, "HOT_PLACES", 50)
+    assert rows(secretfreq.scan(docs), *cols) == plain and {r[2:] for r in plain} == {(1, 1)}
+
+
+def test_lines_of_a_very_long_text(spark):
+    lines = [f"line {i}" for i in range(30_000)]
+    data = [(i, "\n".join(lines[i % 2 :: 1]), "en", f"s{i}", 1) for i in range(5)] + [(9, "own\n" + "\n".join(lines[:3]), "en", "s0", 1)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["clean_text"]) for r in linespread.drop_shared_lines(spark.createDataFrame(data, DOCS), 5).collect()}
+    assert got[0] == (30_000, 29_999, "line 0") and got[1] == (29_999, 29_999, "") and got[9] == (4, 2, "own\nline 0")
+
+
+def test_a_tiny_source_beside_a_large_one(spark):
+    from math import sqrt
+
+    data = [(1, "x", "en", "tiny", 1), (2, "y" * 300_000, "en", "large", 1), (3, "z" * 300_000, "en", "large", 1)]
+    got = mixing.mix(spark.createDataFrame(data, DOCS), {}).select("doc_id", "copy_no", "mix_key").toPandas()
+    rate = 600_001 / 2
+    n = int((got.doc_id == 1).sum())
+    assert abs(n - rate) < 6 * sqrt(rate) and not got.duplicated(["doc_id", "copy_no"]).any()
+    # by hand: the parts' draws
+    parts = -(-600_001 // (2 * 64))
+    part_rate, want = rate / parts, 0
+    cdf, p = [], np.exp(-part_rate)
+    for k in range(300):
+        cdf.append(p if not cdf else cdf[-1] + p)
+        p *= part_rate / (k + 1)
+    for i in range(parts):
+        key = "17:1" if i == 0 else f"17:1:part {i}"
+        u = (int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        want += int(np.searchsorted(cdf, u, side="left"))
+    assert n == want
+
+
+def test_repeated_ids_and_labels_stay_within_the_sample(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i % 600} " + "w " * (i % 50), "en", "a", 1) for i in range(1800)], DOCS)
+    labels = spark.createDataFrame([(i % 5, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    sample = quality.labelled_sample(with_clashes(docs), labels, max_rows=100)
+    assert sample.count() == 100
+    assert quality.labelled_sample(docs, labels.filter("false")).count() == 0
+    long = spark.createDataFrame([(1, "A" * 3_000_000, "en", "a", 1), (2, "good words here " * 200_000, "en", "a", 1)], DOCS)
+    assert quality.with_score(long, quality.RuleEnsemble(0.0, [(quality.Rule({0: (1.0, np.inf)}), 1.0)])).filter("score > 0.5").count() == 2
+
+
+def test_archives_open_with_info_and_ids_are_unique(spark, tmp_path):
+    pages = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, "http://c/", "own"), (4, "http://d/", "twice"), (4, "http://d/", "twice"), (5, "u", ""), (None, None, "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    files = warc.write_archives(warc.with_revisits(frame), str(tmp_path))
+    records = [(i, r.fields) for row in files.collect() for i, r in enumerate(warc.read_records(open(tmp_path / row["file"], "rb").read))]
+    assert all((f["warc-type"] == "warcinfo") == (i == 0) for i, f in records)
+    ids = [f["warc-record-id"] for _, f in records]
+    assert len(set(ids)) == len(ids)
+    (revisit,) = [f for _, f in records if f["warc-type"] == "revisit" and f.get("page-id") == "1"]
+    (response,) = [f for _, f in records if f.get("page-id") == "2"]
+    assert revisit["warc-refers-to"] == response["warc-record-id"] and revisit["warc-refers-to-target-uri"] == "http://b/" and revisit["warc-refers-to-date"] == response["warc-date"]
+    assert sum(f["warc-type"] == "response" and f.get("page-id") == "4" for _, f in records) == 2
+
+
+def test_top_k_of_many_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kdtopk, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(kdtopk, "TASK_BLOCKS", 1)
+    rnd = np.random.default_rng(23)
+    data = [(i, [float(x) for x in rnd.normal(size=4)]) for i in range(900)]
+    got = kdtopk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>"), every=10, shard_rows=100)
+    q = np.floor(np.array([v for _, v in data], np.float32).astype(float) * 1024).astype(int)
+    want = []
+    for i in range(0, 900, 10):
+        scored = sorted((-int(q[i] @ q[j]), j) for j in range(900) if j != i)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:10])]
+    assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
