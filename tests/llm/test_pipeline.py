@@ -148,3 +148,59 @@ def test_near_duplicates_are_exactly_the_pairs_at_the_similarity(spark):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     assert not kept & alike and other <= kept and set(range(0, 800, 2)) <= kept
     assert 1000 in kept and not kept & set(range(1001, 1061)) and set(range(1101, 1161)) <= kept
+
+
+def test_large_groups_lose_no_link(spark):
+    import random
+
+    from leakflow.llm import jaccard
+    from leakflow.llm.components import connected_components
+
+    rnd = random.Random(31)
+    sets = [set(rnd.sample(range(10**9), 100))]
+    for i in range(240):  # copies of copies, so that groups are chains, rings around a middle, and near misses
+        old = list(rnd.choice(sets[: 1 + i // 3]))
+        gone = rnd.randint(1, 14)
+        rnd.shuffle(old)
+        sets.append(set(old[gone:]) | set(rnd.sample(range(10**9), gone)))
+    texts = [" ".join(f"w{x}" for x in sorted(s)) for s in sets]
+    hashed = [set(jaccard.shingle_set(t, 1).tolist()) for t in texts]
+    rows_ = [(i, len(hashed[i]), jaccard.band_keys(jaccard.shingle_set(t, 1)), t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows_, "row_id long, size long, bands array<long>, text_ string").cache()
+    bands = [set(r[2]) for r in rows_]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(hashed[i] & hashed[j]) >= 0.8 * len(hashed[i] | hashed[j]) and bands[i] & bands[j]:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in range(len(sets)) if find(i) != i}
+    for hubs, part in ((6, 512), (6, 10), (1, 10)):
+        was, jaccard.HUBS = jaccard.HUBS, hubs
+        near = jaccard.links(table.select("row_id", "size", "bands"), table.select("row_id", "text_"), 1, 0.8, part=part).collect()
+        jaccard.HUBS = was
+        assert all(len(hashed[r["u"]] & hashed[r["v"]]) >= 0.8 * len(hashed[r["u"]] | hashed[r["v"]]) for r in near)
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(near, "u long, v long")).collect()}
+        assert all(got.get(i, i) == got.get(r, r) for i, r in want.items())
+
+
+def test_stages_take_nulls_empty_tables_and_clashing_names(spark):
+    from test_llm_operators import awkward, with_clashes
+
+    labels, item = [(i, i % 2, 0) for i in range(20, 60)], "alpha beta gamma"
+    base = awkward(spark)
+    for name, step in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[3:4]:
+        odd = with_clashes(base)
+        made = step(spark, odd, SF)
+        assert (made.columns == odd.columns if name != "mixing" else sorted(made.columns) == sorted(odd.columns)) and made.count() > 0, name
+        assert step(spark, base.limit(0), SF).count() == 0
+    assert labels and item
+    for name, step in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[2], corpus_pipeline.STAGES[4]):
+        step(spark, base, SF).count()
+        assert step(spark, base.limit(0), SF).count() == 0, name
