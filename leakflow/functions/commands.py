@@ -141,3 +141,24 @@ def quote_path(path: Column) -> Column:
     """A path that starts with a quote or holds a line feed, in quotes with escapes; others stay."""
     escaped = F.replace(F.replace(F.replace(F.replace(path, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
     return F.when(path.startswith('"') | F.contains(path, F.lit("\n")), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(path)
+
+
+def object_counts(text: Column) -> Column:
+    """struct<loose, packed, packs> of ``name: number`` lines; what isn't told is 0."""
+    told = lambda name: F.coalesce(F.regexp_extract(text, rf"(?m)^{name}: (\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(told("count").alias("loose"), told("in-pack").alias("packed"), told("packs").alias("packs"))
+
+
+def unreachable_count(text: Column) -> Column:
+    """How many lines tell of an unreachable object."""
+    return F.regexp_count(text, F.lit("(?m)^unreachable ")).cast("long")
+
+
+def shortened(text: Column, width: int) -> Column:
+    """At most ``width`` characters; what is cut off becomes an ellipsis."""
+    return F.when(F.length(text) > width, F.concat(F.left(text, F.lit(width - 1)), F.lit("…"))).otherwise(text)
+
+
+def short_argv(argv_json: Column, width: int) -> Column:
+    """A JSON array of arguments, joined by spaces and shortened."""
+    return shortened(F.array_join(F.from_json(argv_json, "array<string>"), " "), width)

@@ -55,6 +55,11 @@ def hmac_sha1(key: Column, data: Column) -> Column:
     return _hmac(key, data, F.sha1)
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 of a binary in one line: Spark's own breaks it every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def query_escape(text: Column) -> Column:
     """URL query escaping: letters, digits and ``-_.~`` stay, a space becomes a plus."""
     return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leakflow.functions import commands, secrets
-from leakflow.plans.documents import tokens
-from leakflow.plans.registry import query, read
+from leakflow.plans.documents import TOKENS_SQL, tokens
+from leakflow.plans.registry import ORACLE_SQL, QUERIES, query, read
 
 
 @query(
@@ -30,29 +30,22 @@ def _durations(events):
     return events.select("event_id", shown.alias("shown"), commands.parse_duration(shown).alias("nanos"))
 
 
-@query(
-    "durations",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id = 0 THEN '0s' ELSE user_id || 'ns' END WHEN 1 THEN user_id + 1 || 'm0s' WHEN 2 THEN user_id + 1 || '.5s' ELSE '1h' || user_id % 60 || 'm0.25s' END AS shown,
-    CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN (user_id + 1) * 60000000000 WHEN 2 THEN (user_id + 1) * 1000000000 + 500000000 ELSE 3600250000000 + user_id % 60 * 60000000000 END::BIGINT AS nanos
-    FROM events WHERE user_id < 59""",
-)
-def durations(spark, sf_dir):
-    return _durations(read(spark, sf_dir, "events").filter("user_id < 59"))
-
-
-@query(
-    "durations_all",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id = 0 THEN '0s' WHEN user_id < 1000 THEN user_id || 'ns' ELSE rtrim(rtrim(user_id // 1000 || '.' || lpad((user_id % 1000)::VARCHAR, 3, '0'), '0'), '.') || 'µs' END
+_DURATIONS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id = 0 THEN '0s' WHEN user_id < 1000 THEN user_id || 'ns' ELSE rtrim(rtrim(user_id // 1000 || '.' || lpad((user_id % 1000)::VARCHAR, 3, '0'), '0'), '.') || 'µs' END
       WHEN 1 THEN CASE WHEN user_id + 1 >= 60 THEN (user_id + 1) // 60 || 'h' ELSE '' END || (user_id + 1) % 60 || 'm0s'
       WHEN 2 THEN CASE WHEN user_id + 1 >= 3600 THEN (user_id + 1) // 3600 || 'h' ELSE '' END || CASE WHEN user_id + 1 >= 60 THEN (user_id + 1) // 60 % 60 || 'm' ELSE '' END || (user_id + 1) % 60 || '.5s' ELSE '1h' || user_id % 60 || 'm0.25s' END AS shown,
     CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN (user_id + 1) * 60000000000 WHEN 2 THEN (user_id + 1) * 1000000000 + 500000000 ELSE 3600250000000 + user_id % 60 * 60000000000 END::BIGINT AS nanos
-    FROM events""",
-)
-def durations_all(spark, sf_dir):
+    FROM events"""
+
+
+@query("durations", _DURATIONS_SQL)
+def durations(spark, sf_dir):
     """Durations of all events, also those of many hours."""
     return _durations(read(spark, sf_dir, "events"))
 
 
+QUERIES["durations_all"], ORACLE_SQL["durations_all"] = durations, _DURATIONS_SQL
+
+
 @query(
     "status_output",
     "SELECT event_id, event_type AS branch, user_id AS ahead, user_id + 1 AS behind, 1::BIGINT AS staged, 2::BIGINT AS unstaged, 1::BIGINT AS conflicts, (user_id % 3)::BIGINT AS untracked FROM events",
@@ -79,6 +72,41 @@ def decoys(spark, sf_dir):
     return tokens(spark, sf_dir).select("doc_id", "token", secrets.obfuscate(F.col("token")).alias("decoy"))
 
 
+@query("decoy_shapes", f"SELECT doc_id, token, length(token)::INTEGER AS n, regexp_replace(regexp_replace(token, '[0-9]', '9', 'g'), '[a-z]', 'a', 'g') AS shape FROM ({TOKENS_SQL})")
+def decoy_shapes(spark, sf_dir):
+    """Lengths and character classes of decoys, which are those of the tokens."""
+    made = secrets.obfuscate(F.col("token"))
+    return tokens(spark, sf_dir).select("doc_id", "token", F.length(made).alias("n"), F.regexp_replace(F.regexp_replace(made, "[0-9]", "9"), "[a-z]", "a").alias("shape"))
+
+
+def _quarters(texts: list[str]) -> list[int]:
+    """A tokenizer of four characters a token."""
+    return [len(t) // 4 + 1 for t in texts]
+
+
+@query("token_ratios", f"SELECT doc_id, token, strlen(token)::DOUBLE / (length(token) // 4 + 1) AS ratio, strlen(token)::DOUBLE / (length(token) // 4 + 1) >= 2.5 AS fails FROM ({TOKENS_SQL})")
+def token_ratios(spark, sf_dir):
+    """Bytes for each token, and which tokens read like words by it, with a tokenizer of the caller."""
+    rows = tokens(spark, sf_dir).withColumn("ratio", secrets.token_ratio(F.col("token"), _quarters).cast("double"))
+    return rows.select("doc_id", "token", "ratio", secrets.fails_efficiency(F.col("token"), F.col("ratio"), F.lit(False), F.lit(False)).alias("fails"))
+
+
+@query("object_counts", "SELECT event_id, user_id AS loose, user_id + 2 AS packed, event_id % 5 AS packs, event_id % 4 AS unreachable FROM events")
+def object_counts(spark, sf_dir):
+    """Numbers of loose and packed objects, and of unreachable ones, from the texts that tell them."""
+    number = lambda c: F.expr(c).cast("string")
+    counted = F.concat(F.lit("count: "), number("user_id"), F.lit("\nsize: 7\nin-pack: "), number("user_id + 2"), F.lit("\npacks: "), number("event_id % 5"), F.lit("\nsize-pack: 3\ngarbage: 0\n"))
+    checked = F.concat(F.lit("dangling commit ab\n"), F.repeat(F.lit("unreachable blob cd\n"), F.expr("cast(event_id % 4 as int)")))
+    rows = read(spark, sf_dir, "events").select("event_id", commands.object_counts(counted).alias("c"), commands.unreachable_count(checked).alias("unreachable"))
+    return rows.select("event_id", "c.loose", "c.packed", "c.packs", "unreachable")
+
+
+@query("shortened_argv", "SELECT event_id, CASE WHEN length(c) > 14 THEN left(c, 13) || '…' ELSE c END AS short FROM (SELECT event_id, 'git ' || event_type || ' ' || user_id AS c FROM events)")
+def shortened_argv(spark, sf_dir):
+    argv = F.to_json(F.array(F.lit("git"), F.col("event_type"), F.col("user_id").cast("string")))
+    return read(spark, sf_dir, "events").select("event_id", commands.short_argv(argv, 14).alias("short"))
+
+
 _WORDS = ["tion", "with", "that", "able", "this"]
 
 
@@ -95,13 +123,13 @@ def dictionary_parts(spark, sf_dir):
 @query(
     "diff_hunks",
     """SELECT lower(lpad(to_hex(doc_id), 40, '0')) AS commit, 'A B' AS author_name, 'a@b' AS author_email, 'docs/' || doc_id || '.txt' AS new_path, doc_id % 2 = 0 AS is_new, 1::BIGINT AS new_start, len(string_split(text, chr(10)))::BIGINT AS new_lines, text || chr(10) AS added
-    FROM documents WHERE NOT contains(text, chr(13))""",
+    FROM documents""",
 )
 def diff_hunks(spark, sf_dir):
-    """Documents as added files of commits, written as diff text and parsed again."""
+    """Documents as added files of commits, written as diff text and parsed again; a carriage return is part of its line."""
     from leakflow.sources import files
 
-    docs = read(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\r")))
+    docs = read(spark, sf_dir, "documents")
     path, lines = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.split("text", "\n", -1)
     text = F.concat(
         F.lit("commit "), F.lower(F.lpad(F.hex("doc_id"), 40, "0")), F.lit("\nAuthor: A B <a@b>\nDate:   Mon Jan 2 15:04:05 2006 -0700\n\n    a change\n\ndiff --git a/"), path, F.lit(" b/"), path,

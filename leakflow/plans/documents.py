@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +90,7 @@ def detect_builtin(spark, sf_dir):
     return found.select("fragment_id", "rule_id", "start_line", "start_column", "end_column", "secret", "entropy", "fingerprint")
 
 
-_TOKENS = f"SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]*{NUMBER}[a-z0-9]*', 0)) AS token FROM documents"
+TOKENS_SQL = f"SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]*{NUMBER}[a-z0-9]*', 0)) AS token FROM documents"
 
 
 def tokens(spark, sf_dir):
@@ -102,7 +100,7 @@ def tokens(spark, sf_dir):
 
 @query(
     "filter_expr_global",
-    f"SELECT doc_id, token FROM ({_TOKENS}) WHERE NOT (regexp_matches(token, '^[0-9]{{1,3}}$') OR regexp_matches(token, '^(?:a+|b+|0+)$') OR contains(lower(token), '12') OR contains(lower(token), 'ab'))",
+    f"SELECT doc_id, token FROM ({TOKENS_SQL}) WHERE NOT (regexp_matches(token, '^[0-9]{{1,3}}$') OR regexp_matches(token, '^(?:a+|b+|0+)$') OR contains(lower(token), '12') OR contains(lower(token), 'ab'))",
 )
 def filter_expr_global(spark, sf_dir):
     filters.register_sql(spark)
@@ -110,21 +108,25 @@ def filter_expr_global(spark, sf_dir):
     return tokens(spark, sf_dir).filter(filters.skip_if(skip))
 
 
-_BYTES_SQL = """WITH f AS (SELECT DISTINCT doc_id, {unit} AS s FROM documents WHERE {where}),
-u AS (SELECT doc_id, s, unnest({units}) AS b FROM f), c AS (SELECT doc_id, s, b, count(*) AS n FROM u GROUP BY ALL)
-SELECT doc_id, s AS head, round(-sum(n::DOUBLE / strlen(s) * log2(n::DOUBLE / strlen(s))), 6) AS entropy FROM c GROUP BY doc_id, s"""
+_UNITS_SQL = """WITH u AS (SELECT doc_id, strlen(text) AS size, unnest({units}) AS b FROM documents WHERE text <> ''), c AS (SELECT doc_id, size, b, count(*) AS n FROM u GROUP BY ALL),
+e AS (SELECT doc_id, 0 - sum(n::DOUBLE / size * log2(n::DOUBLE / size)) AS h FROM c GROUP BY doc_id)
+SELECT doc_id, round(coalesce(h, 0), 6) AS entropy FROM documents LEFT JOIN e USING (doc_id)"""
+
 
+def _whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
-@query("byte_entropy", _BYTES_SQL.format(unit="left(text, 60)", where="text <> ''", units="regexp_extract_all(hex(encode(s)), '..')"))
+
+@query("byte_entropy", _UNITS_SQL.format(units="regexp_extract_all(hex(encode(text)), '..')"))
 def byte_entropy_query(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.left("text", F.lit(60)).alias("head")).distinct()
-    return docs.select("doc_id", "head", F.round(byte_entropy(F.col("head")), 6).alias("entropy"))
+    """Of whole texts; empty ones have 0."""
+    return _whole(spark, sf_dir).select("doc_id", F.round(byte_entropy(F.col("t")), 6).alias("entropy"))
 
 
-@query("char_entropy_hybrid", _BYTES_SQL.format(unit="left(text, 60)", where="text <> ''", units="string_split(s, '')"))
+@query("char_entropy_hybrid", _UNITS_SQL.format(units="string_split(text, '')"))
 def char_entropy_query(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", F.left("text", F.lit(60)).alias("head")).distinct()
-    return docs.select("doc_id", "head", F.round(report_entropy(F.col("head")), 6).alias("entropy"))
+    """Of whole texts; empty ones have 0."""
+    return _whole(spark, sf_dir).select("doc_id", F.round(report_entropy(F.col("t")), 6).alias("entropy"))
 
 
 @query("matches_any", "SELECT doc_id, regexp_matches(text, '(?:All rights)|(?:[A-Z]{6,})|(?:@[a-z]+)') AS hit FROM documents")
@@ -156,11 +158,13 @@ def any_all_one_none(spark, sf_dir):
 
 @query(
     "last_index_and_slice",
-    "SELECT doc_id, CASE WHEN contains(text, 'ing') THEN strlen(text) - strlen(string_split(text, 'ing')[-1]) - 3 ELSE -1 END::BIGINT AS last_at, left(text, 20) AS head FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')",
+    """SELECT doc_id, CASE WHEN contains(text, 'ing') THEN strlen(text) - strlen(string_split(text, 'ing')[-1]) - 3 ELSE -1 END::BIGINT AS last_at,
+    CASE WHEN contains(text, 'ing') THEN left(text, length(text) - length(string_split(text, 'ing')[-1]) - 3) ELSE '' END AS before FROM documents""",
 )
 def last_index_and_slice(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[ -~\n]*$"))
-    return docs.select("doc_id", filters.last_index_of(F.col("text"), "ing").cast("long").alias("last_at"), filters.byte_slice(F.col("text"), F.lit(0), F.lit(20)).alias("head"))
+    """Byte offsets in all texts, and the bytes up to them."""
+    at = filters.last_index_of(F.col("text"), "ing")
+    return read(spark, sf_dir, "documents").select("doc_id", at.cast("long").alias("last_at"), filters.byte_slice(F.col("text"), F.lit(0), at).alias("before"))
 
 
 @query(
@@ -267,55 +271,101 @@ def confidence_gate(spark, sf_dir):
     return detect.confident(read(spark, sf_dir, "labels").select("doc_id", value.alias("confidence")), "medium")
 
 
-def _decode_sql(encoded: str, decoded: str) -> str:
-    return f"SELECT doc_id, {encoded} AS run, {decoded} AS text FROM (SELECT doc_id, left(text, 40) AS s FROM documents WHERE regexp_matches(left(text, 40), '^[ -~]+$') AND length(text) >= 40)"
+_SHOWN = "regexp_matches(text, '^[\\x09\\x0a\\x0d\\x20-\\x7e]+$')"
 
 
-def _ascii_heads(spark, sf_dir):
-    head = F.left("text", F.lit(40))
-    return read(spark, sf_dir, "documents").filter(head.rlike("^[ -~]+$") & (F.length("text") >= 40)).select("doc_id", head.alias("s"))
+def _decode_sql(encoded: str, good: str = "true") -> str:
+    return f"SELECT doc_id, {encoded} AS run, CASE WHEN {_SHOWN} AND {good} THEN text ELSE '' END AS text FROM documents"
 
 
-@query("decode_hex", _decode_sql("lower(hex(encode(s)))", "s"))
+@query("decode_hex", _decode_sql("lower(hex(encode(text)))"))
 def decode_hex_query(spark, sf_dir):
-    runs = _ascii_heads(spark, sf_dir).select("doc_id", F.lower(F.hex(F.encode("s", "utf-8"))).alias("run"))
+    """Whole texts, encoded and decoded again; what isn't printable decodes to nothing."""
+    runs = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.encode("text", "utf-8"))).alias("run"))
     return runs.select("doc_id", "run", decode.decode_hex(F.col("run")).alias("text"))
 
 
-@query("decode_base64", _decode_sql("to_base64(encode(s))", "CASE WHEN regexp_matches(to_base64(encode(s)), '[0-9+/_-]') THEN s ELSE '' END"))
+@query("decode_base64", _decode_sql("to_base64(encode(text))", "regexp_matches(to_base64(encode(text)), '[0-9+/_-]')"))
 def decode_base64_query(spark, sf_dir):
-    runs = _ascii_heads(spark, sf_dir).select("doc_id", F.base64(F.encode("s", "utf-8")).alias("run"))
+    """Whole texts, encoded and decoded again; what isn't printable, or is letters only, decodes to nothing."""
+    runs = read(spark, sf_dir, "documents").select("doc_id", hashing.base64_text(F.encode("text", "utf-8")).alias("run"))
     return runs.select("doc_id", "run", decode.decode_base64(F.col("run")).alias("text"))
 
 
-@query("decode_percent", _decode_sql("url_encode(s)", "s"))
+@query("decode_percent", _decode_sql("url_encode(text)"))
 def decode_percent_query(spark, sf_dir):
-    runs = _ascii_heads(spark, sf_dir).select("doc_id", hashing.uri_encode(F.col("s")).alias("run"))
+    """Whole texts, encoded and decoded again; what isn't printable decodes to nothing."""
+    runs = read(spark, sf_dir, "documents").select("doc_id", hashing.uri_encode(F.col("text")).alias("run"))
     return runs.select("doc_id", "run", decode.decode_percent(F.col("run")).alias("text"))
 
 
-@query("decode_loop")
+@query(
+    "decode_loop",
+    f"""WITH b AS (SELECT doc_id, text, to_base64(encode('value 1: ' || text)) AS b FROM documents)
+    SELECT doc_id AS fragment_id, 1 AS depth, 'x ' || b || ' y' AS raw, 'decoded:hex,decode-depth:1' AS tags, 2 AS orig_start, (2 + 2 * length(b))::INTEGER AS orig_end FROM b
+    UNION ALL SELECT doc_id, 2, 'x value 1: ' || text || ' y', 'decoded:base64,decode-depth:2', 2, (2 + 2 * length(b))::INTEGER FROM b WHERE {_SHOWN} AND regexp_matches(b, '[0-9+/]') AND length(rtrim(b, '=')) >= 16""",
+)
 def decode_loop(spark, sf_dir):
-    heads = _ascii_heads(spark, sf_dir)
-    inner = F.base64(F.encode(F.concat(F.lit("value 1: "), "s"), "utf-8"))
-    frags = heads.select(F.col("doc_id").alias("fragment_id"), F.concat(F.lit("x "), F.lower(F.hex(F.encode(inner, "utf-8"))), F.lit(" y")).alias("raw"))
-    found = decode.decode_fragments(frags)
+    """Whole texts in base64 in hex, decoded in two passes."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    inner = hashing.base64_text(F.encode(F.concat(F.lit("value 1: "), "text"), "utf-8"))
+    frags = docs.select(F.col("doc_id").alias("fragment_id"), F.concat(F.lit("x "), F.lower(F.hex(F.encode(inner, "utf-8"))), F.lit(" y")).alias("raw"))
+    found = decode.decode_fragments(frags, max_depth=2)
     return found.select("fragment_id", "depth", "raw", F.array_join(decode.decode_tags(F.col("segments")), ",").alias("tags"), F.col("segments")[0]["orig_start"].alias("orig_start"), F.col("segments")[0]["orig_end"].alias("orig_end"))
 
 
-@query("redact_mask_first4", f"SELECT doc_id, token, left(token, 4) || repeat('*', greatest(length(token) - 4, 0)::INT) AS masked FROM ({_TOKENS})")
+_HIDDEN = "to_base64(encode(text || ' 0123'))"
+
+
+@query(
+    "decoded_findings",
+    f"""SELECT DISTINCT doc_id AS fragment_id, secret, 3::BIGINT AS start, (3 + length(b))::BIGINT AS "end", 0::BIGINT AS start_line, 'decoded:base64,decode-depth:1' AS tags
+    FROM (SELECT doc_id, {_HIDDEN} AS b, unnest(regexp_extract_all(text, {quoted(TOKEN)}, 1)) AS secret FROM documents WHERE {_SHOWN})""",
+)
+def decoded_findings(spark, sf_dir):
+    """Secrets of whole texts that are hidden in base64, found by scanning the decoded pass and placed at the run."""
+    hidden = F.concat(F.lit("v: "), hashing.base64_text(F.encode(F.concat("text", F.lit(" 0123")), "utf-8")))
+    frags = detect.fragments(read(spark, sf_dir, "documents").select("doc_id", hidden.alias("text")), "doc_id", "text")
+    found = detect.detect(frags, SAMPLE_RULES[:1], max_depth=1)
+    return found.select("fragment_id", "secret", "start", "end", "start_line", F.array_join("tags", ",").alias("tags"))
+
+
+@query("allowed_lines", f"""WITH {SAMPLE_SQL} SELECT fragment_id, start, secret FROM findings WHERE rule_id = 'mail' AND NOT contains(string_split(t, chr(10))[start_line + 1], 'the ')""")
+def allowed_lines(spark, sf_dir):
+    """Findings on lines without an allow marker."""
+    return detect.scan(sample_fragments(spark, sf_dir), SAMPLE_RULES[2:3], markers=["the "]).select("fragment_id", "start", "secret")
+
+
+_COVERED = [Rule("mail", MAIL, ("@",), components=(Component("number", within="2L"),))]
+
+
+@query(
+    "component_covered",
+    f"""WITH {SAMPLE_SQL}, pairs AS (SELECT p.fragment_id, p.start, c.start_line AS at_line, c.secret AS part FROM findings p JOIN findings c
+      ON p.fragment_id = c.fragment_id AND p.rule_id = 'mail' AND c.rule_id = 'number' AND c.start_line BETWEEN p.start_line - 1 AND p.end_line + 1),
+    held AS (SELECT * FROM findings f WHERE rule_id <> 'mail' OR EXISTS (SELECT 1 FROM pairs WHERE pairs.fragment_id = f.fragment_id AND pairs.start = f.start))
+    SELECT fragment_id, rule_id, start, secret FROM held f WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.fragment_id = f.fragment_id AND o.start_line = f.start_line AND o.rule_id <> f.rule_id AND o.specificity > f.specificity AND contains(o.secret, f.secret))
+    AND NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.fragment_id = f.fragment_id AND at_line = f.start_line AND part = f.secret)""",
+)
+def component_covered(spark, sf_dir):
+    """Findings that are neither part of a more specific one nor a component of a composite one."""
+    found = detect.with_components(sample_findings(spark, sf_dir), _COVERED, max_sets=100_000)
+    return detect.suppress(found).select("fragment_id", "rule_id", "start", "secret")
+
+
+@query("redact_mask_first4", f"SELECT doc_id, token, left(token, 4) || repeat('*', greatest(length(token) - 4, 0)::INT) AS masked FROM ({TOKENS_SQL})")
 def redact_mask_first4(spark, sf_dir):
     return tokens(spark, sf_dir).select("doc_id", "token", masking.mask_first4(F.col("token")).alias("masked"))
 
 
-@query("redact_percent", f"SELECT doc_id, token, CASE WHEN token = '' THEN token ELSE left(token, round_even(length(token) * 30 / 100.0, 0)::INT) || '...' END AS masked FROM ({_TOKENS})")
+@query("redact_percent", f"SELECT doc_id, token, CASE WHEN token = '' THEN token ELSE left(token, round_even(length(token) * 30 / 100.0, 0)::INT) || '...' END AS masked FROM ({TOKENS_SQL})")
 def redact_percent(spark, sf_dir):
     return tokens(spark, sf_dir).select("doc_id", "token", masking.mask_percent(F.col("token"), 70).alias("masked"))
 
 
 @query(
     "redact_gate_and_scrub",
-    f"SELECT doc_id, token, CASE WHEN length(token) <= 4 THEN repeat('*', length(token)::INT) ELSE left(token, 4) || '******' END AS gate, left(token, 4) || '… (' || length(token) || ' chars)' AS scrub FROM ({_TOKENS})",
+    f"SELECT doc_id, token, CASE WHEN length(token) <= 4 THEN repeat('*', length(token)::INT) ELSE left(token, 4) || '******' END AS gate, left(token, 4) || '… (' || length(token) || ' chars)' AS scrub FROM ({TOKENS_SQL})",
 )
 def redact_gate_and_scrub(spark, sf_dir):
     return tokens(spark, sf_dir).select("doc_id", "token", masking.mask_gate(F.col("token")).alias("gate"), masking.mask_counted(F.col("token")).alias("scrub"))
@@ -356,18 +406,18 @@ def byte_budget(spark, sf_dir):
     return graph.within_budget(sizes, "doc_id", "size", 1_500_000).select("doc_id", "running")
 
 
-@query("url_query_escape", "SELECT doc_id, replace(url_encode(left(text, 50)), '%20', '+') AS escaped FROM documents")
+@query("url_query_escape", "SELECT doc_id, replace(url_encode(text), '%20', '+') AS escaped FROM documents")
 def url_query_escape(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", hashing.query_escape(F.left("text", F.lit(50))).alias("escaped"))
+    return read(spark, sf_dir, "documents").select("doc_id", hashing.query_escape(F.col("text")).alias("escaped"))
 
 
 @query(
     "digests",
-    "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, to_base64(encode(left(text, 30))) AS b64, lower(hex(encode(left(text, 30)))) AS hx FROM documents",
+    "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1, to_base64(encode(text)) AS b64, lower(hex(encode(text))) AS hx FROM documents",
 )
 def digests(spark, sf_dir):
-    head = F.encode(F.left("text", F.lit(30)), "utf-8")
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.base64(head).alias("b64"), F.lower(F.hex(head)).alias("hx"))
+    raw = F.encode("text", "utf-8")
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), hashing.base64_text(raw).alias("b64"), F.lower(F.hex(raw)).alias("hx"))
 
 
 @query(
@@ -381,6 +431,62 @@ def report_csv_projection(spark, sf_dir):
     return reports.csv_projection(detect.report(sample_findings(spark, sf_dir)))
 
 
+_JSON = ", ".join(f"'{c}', {v}" for c, v in (
+    ("RuleID", "rule_id"), ("Commit", "''"), ("File", "path"), ("SymlinkFile", "''"), ("Secret", "secret"), ("Match", "match"), ("StartLine", "start_line"), ("EndLine", "end_line"), ("StartColumn", "start_column"), ("EndColumn", "end_column"),
+    ("Author", "''"), ("Message", "''"), ("Date", "''"), ("Email", "''"), ("Fingerprint", "path || ':' || rule_id || ':' || start_line"), ("Tags", "''"),
+))
+_COLUMNS_SQL = """shown AS (SELECT *, (CASE WHEN contains(left(t, start), chr(10)) THEN strlen(string_split(left(t, start), chr(10))[-1]) + 1 ELSE strlen(left(t, start)) END + 1)::BIGINT AS start_column,
+    (CASE WHEN contains(left(t, "end"), chr(10)) THEN strlen(string_split(left(t, "end"), chr(10))[-1]) + 1 ELSE strlen(left(t, "end")) END)::BIGINT AS end_column FROM findings WHERE NOT skip_report)"""
+
+
+@query("report_json", f"WITH {SAMPLE_SQL}, {_COLUMNS_SQL} SELECT json_object({_JSON})::VARCHAR AS value FROM shown")
+def report_json(spark, sf_dir):
+    return reports.json_projection(detect.report(sample_findings(spark, sf_dir)))
+
+
+@query(
+    "report_sarif",
+    f"""WITH {SAMPLE_SQL}, {_COLUMNS_SQL} SELECT json_object('message', json_object('text', rule_id || ' has detected secret for file ' || path || '.'), 'ruleId', rule_id, 'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', path),
+    'region', json_object('startLine', start_line, 'startColumn', start_column, 'endLine', end_line, 'endColumn', end_column, 'snippet', json_object('text', left(secret, 4) || repeat('*', greatest(length(secret) - 4, 0)::INT)))))))::VARCHAR AS value FROM shown""",
+)
+def report_sarif(spark, sf_dir):
+    return reports.sarif_results(detect.report(sample_findings(spark, sf_dir)))
+
+
+@query(
+    "report_junit",
+    f"""WITH {SAMPLE_SQL} SELECT '<testcase classname="' || rule_id || '" file="' || path || '"><failure message="' || rule_id || ' has detected a secret in file ' || path || ', line ' || start_line || '."/></testcase>' AS value FROM findings WHERE NOT skip_report""",
+)
+def report_junit(spark, sf_dir):
+    return reports.junit_cases(detect.report(sample_findings(spark, sf_dir)))
+
+
+@query("strip_controls", r"SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f\x{80}-\x{9f}]', '', 'g') AS plain FROM documents")
+def strip_controls(spark, sf_dir):
+    """Texts between terminal escapes, without these and without control characters."""
+    coloured = F.concat(F.lit("\x1b[1;31m"), "text", F.lit("\x07\x1b[0m"))
+    return read(spark, sf_dir, "documents").select("doc_id", reports.strip_controls(coloured).alias("plain"))
+
+
+def _pads(key: bytes) -> tuple[str, str]:
+    padded = key.ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in padded).hex(), bytes(b ^ 0x5C for b in padded).hex()
+
+
+_INNER, _OUTER = _pads(b"a key")
+
+
+@query("keyed_digests", f"SELECT doc_id, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(text)))) AS sha256, sha1(unhex('{_OUTER}') || unhex(sha1(unhex('{_INNER}') || encode(text)))) AS sha1 FROM documents")
+def keyed_digests(spark, sf_dir):
+    key, data = F.encode(F.lit("a key"), "utf-8"), F.encode("text", "utf-8")
+    return read(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(hashing.hmac_sha256(key, data))).alias("sha256"), F.lower(F.hex(hashing.hmac_sha1(key, data))).alias("sha1"))
+
+
+@query("json_strings", r"SELECT doc_id, replace(replace(replace(to_json(text)::VARCHAR, '<', '\u003c'), '>', '\u003e'), '&', '\u0026') AS quoted FROM documents")
+def json_strings(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", hashing.json_string(F.col("text")).alias("quoted"))
+
+
 @query("human_report", f"""WITH {SAMPLE_SQL} SELECT path || ':' || start_line || ' [' || rule_id || '] ' || left(secret, 4) || repeat('*', greatest(length(secret) - 4, 0)::INT) || ' ' || path || ':' || rule_id || ':' || start_line AS value FROM findings WHERE NOT skip_report""")
 def human_report(spark, sf_dir):
     return reports.human_lines(detect.report(sample_findings(spark, sf_dir)))

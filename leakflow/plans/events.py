@@ -102,7 +102,7 @@ def events_by_hour(spark, sf_dir):
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("streaming_dedupe")
+@query("streaming_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedupe(spark, sf_dir):
     """First events of each user and type, found by a stream over the table; rows and checkpoint lie in the shared folder."""
     from leakflow.session import new_path

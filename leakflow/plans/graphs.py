@@ -18,36 +18,46 @@ def edges(spark, sf_dir):
     return both.filter("parent > 0").distinct()
 
 
-def _nodes(spark, *oids):
-    return spark.createDataFrame([(o,) for o in oids], "oid long")
+def _tips(spark, sf_dir, which: str):
+    """Nodes of the table that references point at."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid")).filter(which)
 
 
-def _reach_sql(name: str, tips: str) -> str:
-    return f"{name} AS (SELECT oid FROM (VALUES {tips}) t(oid) UNION SELECT e.parent FROM edges e JOIN {name} r ON e.oid = r.oid)"
+_LEFT, _RIGHT, _LEAVES = "oid % 100 = 99", "oid % 100 = 50", "oid NOT IN (SELECT parent FROM edges)"
 
 
-@query("graph_reach", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('r', '(1999::BIGINT), (1500::BIGINT)')} SELECT oid FROM r")
+def _reach_sql(name: str, which: str) -> str:
+    return f"{name} AS (SELECT oid FROM (SELECT p_partkey AS oid FROM part) WHERE {which} UNION SELECT e.parent FROM edges e JOIN {name} r ON e.oid = r.oid)"
+
+
+@query("graph_reach", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('r', _LEAVES)} SELECT oid FROM r")
 def graph_reach(spark, sf_dir):
-    return graph.reachable(edges(spark, sf_dir), _nodes(spark, 1999, 1500)).select("oid")
+    """What all nodes without a child reach."""
+    graph_edges = edges(spark, sf_dir)
+    tips = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid")).join(graph_edges.select(F.col("parent").alias("oid")).distinct(), "oid", "left_anti")
+    return graph.reachable(graph_edges, tips).select("oid")
 
 
-@query("graph_range_diff", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('a', '(1999::BIGINT)')}, {_reach_sql('b', '(1300::BIGINT)')} SELECT oid FROM a EXCEPT SELECT oid FROM b")
+@query("graph_range_diff", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('a', _LEFT)}, {_reach_sql('b', _RIGHT)} SELECT oid FROM a EXCEPT SELECT oid FROM b")
 def graph_range_diff(spark, sf_dir):
-    return graph.range_difference(edges(spark, sf_dir), _nodes(spark, 1999), _nodes(spark, 1300))
+    """References at one node of each hundred, against those at another."""
+    return graph.range_difference(edges(spark, sf_dir), _tips(spark, sf_dir, _LEFT), _tips(spark, sf_dir, _RIGHT))
 
 
-@query("graph_merged_range", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('a', '(1999::BIGINT), (1300::BIGINT)')} SELECT oid FROM a")
+@query("graph_merged_range", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('a', f'{_LEFT} OR {_RIGHT}')} SELECT oid FROM a")
 def graph_merged_range(spark, sf_dir):
-    return graph.merged_range(edges(spark, sf_dir), _nodes(spark, 1999), _nodes(spark, 1300))
+    return graph.merged_range(edges(spark, sf_dir), _tips(spark, sf_dir, _LEFT), _tips(spark, sf_dir, _RIGHT))
 
 
 @query(
     "residual_refs",
-    f"WITH RECURSIVE {_EDGES_SQL}, s AS (SELECT ref, oid FROM (VALUES ('a', 1999::BIGINT), ('b', 1300::BIGINT), ('c', 7::BIGINT)) t(ref, oid) UNION SELECT s.ref, e.parent FROM edges e JOIN s ON e.oid = s.oid) SELECT ref, count(*)::BIGINT AS n FROM s WHERE oid % 10 = 5 GROUP BY ref",
+    f"""WITH RECURSIVE {_EDGES_SQL}, s AS (SELECT 'r' || p_partkey AS ref, p_partkey AS oid FROM part WHERE p_partkey % 100 = 99 UNION SELECT s.ref, e.parent FROM edges e JOIN s ON e.oid = s.oid)
+    SELECT ref, count(*)::BIGINT AS n FROM s JOIN part ON p_partkey = oid WHERE p_size > 25 GROUP BY ref""",
 )
 def residual_refs(spark, sf_dir):
-    refs = spark.createDataFrame([("a", 1999), ("b", 1300), ("c", 7)], "ref string, oid long")
-    holders = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid")).filter("oid % 10 = 5")
+    """References, one for each hundred nodes, from which large parts are reached."""
+    refs = _tips(spark, sf_dir, _LEFT).select(F.concat(F.lit("r"), F.col("oid").cast("string")).alias("ref"), "oid")
+    holders = read(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("oid"))
     return graph.refs_that_hold(refs, edges(spark, sf_dir), holders)
 
 

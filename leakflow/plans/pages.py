@@ -73,3 +73,32 @@ def page_platforms(spark, sf_dir):
 @query("skip_paths", f"SELECT page_id, regexp_matches(url, {_ANY}) AS skipped FROM pages")
 def skip_paths(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", filters.matches_any(F.col("url"), [java_pattern(p) for p in _SKIPPED]).alias("skipped"))
+
+
+@query("canonical_queries", "SELECT page_id, 'a=1&b=' || page_id || '&c=' || url_encode(url) AS query FROM pages")
+def canonical_queries(spark, sf_dir):
+    from leakflow.functions import hashing
+
+    raw = F.concat(F.lit("c="), hashing.uri_encode(F.col("url")), F.lit("&&b="), F.col("page_id").cast("string"), F.lit("&a=1"))
+    return read(spark, sf_dir, "pages").select("page_id", hashing.canonical_query(raw).alias("query"))
+
+
+@query("valid_paths", "SELECT page_id, regexp_replace(url, '^https?:/', '') AS path, false AS rooted, NOT list_has_any(string_split(regexp_replace(url, '^https?://', ''), '/'), ['.', '..']) AS below FROM pages")
+def valid_paths(spark, sf_dir):
+    """A path from the root is never valid; one below is, unless a part of it is . or .."""
+    rooted, below = F.regexp_replace("url", "^https?:/", ""), F.regexp_replace("url", "^https?://", "")
+    return read(spark, sf_dir, "pages").select("page_id", rooted.alias("path"), rewrite.valid_path(rooted).alias("rooted"), rewrite.valid_path(below).alias("below"))
+
+
+@query("connection_strings", "SELECT page_id, url AS endpoint, 'k' || page_id || '==' AS key FROM pages WHERE NOT contains(url, ';')")
+def connection_strings(spark, sf_dir):
+    text = F.concat(F.lit("Endpoint="), "url", F.lit(";AccountKey=k"), F.col("page_id").cast("string"), F.lit("==;Version=2"))
+    parts = read(spark, sf_dir, "pages").filter(~F.contains("url", F.lit(";"))).select("page_id", places.connection_string(text).alias("m"))
+    return parts.select("page_id", F.try_element_at("m", F.lit("Endpoint")).alias("endpoint"), F.try_element_at("m", F.lit("AccountKey")).alias("key"))
+
+
+@query("versions", "SELECT page_id, (page_id % 7)::INTEGER AS major, (page_id % 11)::INTEGER AS minor, (page_id % 13)::INTEGER AS patch FROM pages")
+def versions(spark, sf_dir):
+    part = lambda n: (F.col("page_id") % n).cast("string")
+    v = read(spark, sf_dir, "pages").select("page_id", places.semver(F.concat(F.lit("v"), part(7), F.lit("."), part(11), F.lit("."), part(13))).alias("v"))
+    return v.select("page_id", *(F.col(f"v.{c}").cast("int").alias(c) for c in ("major", "minor", "patch")))
