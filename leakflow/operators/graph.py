@@ -13,31 +13,58 @@ def _cut(df: DataFrame) -> DataFrame:
     return staged(df, "graph")
 
 
-def reachable(parents: DataFrame, tips: DataFrame, max_hops: int = 100_000) -> DataFrame:
-    """(oid, hops): commits reached from ``tips`` (oid) over ``parents`` (oid, parent), tips included.
+def _shortcuts(parents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges beside the one each commit follows, jumps): jump k leads along followed edges to the ancestor 2^k away, where there is one.
 
-    One join of the frontier a hop; what was seen goes by an anti join, so
-    merges cost nothing extra. Lineage is cut at every hop.
+    Each commit follows its greatest parent: where ids grow with time that is
+    the latest, so lines of followed edges are long. The jumps together pass
+    over any such line; a circle ends them when they pass all commits.
     """
-    frontier = _cut(tips.select("oid").filter("oid is not null").distinct().withColumn("hops", F.lit(0)))
-    seen = frontier
-    for hop in range(1, max_hops + 1):
-        nxt = frontier.join(parents, "oid").select(F.col("parent").alias("oid")).filter("oid is not null").distinct().join(seen.select("oid"), "oid", "left_anti")
-        frontier = _cut(nxt.withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionByName(frontier)) if hop % 10 == 0 else seen.unionByName(frontier)
-    raise RuntimeError(f"more than {max_hops} hops")
+    known = parents.select("oid", "parent").filter("oid is not null and parent is not null").distinct()
+    edges = _cut(known.withColumn("followed", F.max("parent").over(Window.partitionBy("oid"))))
+    jump = edges.filter("parent = followed").select("oid", "parent")
+    jumps, n = [], jump.count()
+    ahead = n
+    while ahead and 2 ** len(jumps) <= n:
+        jumps.append(jump)
+        jump = _cut(jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.oid")).select("a.oid", "b.parent"))
+        ahead = jump.count()
+    return edges.filter("parent <> followed").select("oid", "parent"), jumps
+
+
+def _reached(shortcuts: tuple[DataFrame, list[DataFrame]], tips: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of all that ``tips`` reach. A round takes all jumps in one job, so rounds are as many as edges beside the followed ones on a path, and a line of any length is one."""
+    side, jumps = shortcuts
+    frontier, seen, rounds = tips.select(*keys).filter("oid is not null").distinct(), None, 0
+    while True:
+        for jump in jumps:
+            both = frontier.join(jump, "oid", "left").withColumn("oid", F.explode(F.array_compact(F.array("oid", "parent"))))
+            frontier = both.select(*keys).distinct()
+        found = _cut(frontier if seen is None else frontier.join(seen, keys, "left_anti"))
+        if found.isEmpty():
+            return found if seen is None else seen
+        rounds += 1
+        seen = found if seen is None else seen.unionByName(found)
+        if rounds % 10 == 0:
+            seen = _cut(seen)
+        onward = found.join(side, "oid").withColumn("oid", F.col("parent")).select(*keys).distinct()
+        frontier = onward.join(seen, keys, "left_anti")
+
+
+def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
+    """(oid): commits reached from ``tips`` (oid) over ``parents`` (oid, parent), tips included, each once. Nulls are no commits; circles end."""
+    return _reached(_shortcuts(parents), tips, ["oid"])
 
 
 def range_difference(parents: DataFrame, tips: DataFrame, excluded: DataFrame) -> DataFrame:
     """Commits reached from ``tips`` and not from ``excluded``."""
-    return reachable(parents, tips).select("oid").join(reachable(parents, excluded).select("oid"), "oid", "left_anti")
+    shortcuts = _shortcuts(parents)
+    return _reached(shortcuts, tips, ["oid"]).join(_reached(shortcuts, excluded, ["oid"]), "oid", "left_anti")
 
 
 def merged_range(parents: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``A...B``: commits reached from either side."""
-    return reachable(parents, left.select("oid").unionByName(right.select("oid"))).select("oid")
+    return reachable(parents, left.select("oid").unionByName(right.select("oid")))
 
 
 def first_introductions(touches: DataFrame, key: str = "oid", date: str = "date", commit: str = "commit", more: tuple[str, ...] = ()) -> DataFrame:
@@ -61,15 +88,8 @@ def expand_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 100) -> D
 
 
 def refs_that_hold(refs: DataFrame, parents: DataFrame, holders: DataFrame) -> DataFrame:
-    """(ref, n): refs (ref, oid) from which a commit of ``holders`` (oid) is reached, with how many. The frontier keeps the ref, so all refs share each hop."""
-    frontier = _cut(refs.select("ref", "oid").distinct())
-    seen = frontier
-    while True:
-        nxt = frontier.join(parents, "oid").select("ref", F.col("parent").alias("oid")).filter("oid is not null").distinct().join(seen, ["ref", "oid"], "left_anti")
-        frontier = _cut(nxt)
-        if frontier.isEmpty():
-            break
-        seen = _cut(seen.unionByName(frontier))
+    """(ref, n): refs (ref, oid) from which a commit of ``holders`` (oid) is reached, with how many. Rows keep their ref, so all refs share each round."""
+    seen = _reached(_shortcuts(parents), refs, ["ref", "oid"])
     return seen.join(holders.select("oid").distinct(), "oid").groupBy("ref").agg(F.count("*").alias("n"))
 
 

@@ -35,7 +35,7 @@ def graph_reach(spark, sf_dir):
     """What all nodes without a child reach."""
     graph_edges = edges(spark, sf_dir)
     tips = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid")).join(graph_edges.select(F.col("parent").alias("oid")).distinct(), "oid", "left_anti")
-    return graph.reachable(graph_edges, tips).select("oid")
+    return graph.reachable(graph_edges, tips)
 
 
 @query("graph_range_diff", f"WITH RECURSIVE {_EDGES_SQL}, {_reach_sql('a', _LEFT)}, {_reach_sql('b', _RIGHT)} SELECT oid FROM a EXCEPT SELECT oid FROM b")

@@ -138,6 +138,41 @@ def test_reachability_of_a_merged_graph(spark):
     assert {(r["oid"], r["parent"]) for r in graph.survivors(first, tip("d", "b")).collect()} == {("d", "a"), ("b", "a")}
 
 
+def test_reachability_of_long_lines_circles_and_random_graphs(spark):
+    rnd = random.Random(8)
+    tips_of = lambda *o: spark.createDataFrame([(x,) for x in o], "oid long")
+    table = lambda pairs: spark.createDataFrame(pairs, "oid long, parent long")
+
+    def walk(pairs, *start):
+        after, seen, left = {}, set(start), list(start)
+        for a, b in pairs:
+            after.setdefault(a, []).append(b)
+        while left:
+            fresh = [b for b in after.get(left.pop(), []) if b is not None and b not in seen]
+            seen.update(fresh)
+            left.extend(fresh)
+        return seen
+
+    def reached(pairs, *start):
+        rows = [r["oid"] for r in graph.reachable(table(pairs), tips_of(*start)).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    # 5,000 commits in a line, every tenth of which merges a branch of three commits that left the line before
+    line = [(i, i - 1) for i in range(1, 5000)]
+    merged = [p for i in range(20, 5000, 10) for p in ((i, 10_000 + 3 * i), (10_000 + 3 * i, 10_001 + 3 * i), (10_001 + 3 * i, i - 15))]
+    assert reached(line + merged, 4999) == walk(line + merged, 4999)
+    circle = [(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (None, 4), (5, None), (4, 1)]
+    assert reached(circle, 4) == {1, 2, 3, 4, 5} and reached(circle, 5, 5, 77) == {5, 77} and reached([], 3) == {3}
+    assert reached(circle) == set() and reached(circle, None) == set()
+    wild = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(330)]
+    assert reached(wild, 7, 8) == walk(wild, 7, 8)
+    refs = spark.createDataFrame([(f"r{i}", i) for i in range(12)] + [("r1", 2), ("empty", None)], "ref string, oid long")
+    want = {f"r{i}": len({x for x in walk(wild, i, *([2] if i == 1 else [])) if x % 3 == 0}) for i in range(12)}
+    got = {r["ref"]: r["n"] for r in graph.refs_that_hold(refs, table(wild), tips_of(*range(0, 300, 3))).collect()}
+    assert got == {ref: n for ref, n in want.items() if n}
+
+
 def test_budget_cuts_like_one_running_total(spark):
     rows = spark.createDataFrame([(i, (i * 37) % 11) for i in range(500)], "k long, n long")
     total, want = 0, []
