@@ -286,3 +286,9 @@ def drop_known(findings: DataFrame, baseline: DataFrame, fields: list[str]) -> D
     return f.join(b, reduce(lambda x, y: x & y, (F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in fields)), "left_anti")
 
 
+def traced(findings: DataFrame, wanted: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """Findings whose fingerprint, with or without its ``v1:``, begins with ``wanted`` (blanks around it don't count). A blank ``wanted`` finds none, as does a null fingerprint. Both tests reach a Parquet scan."""
+    head = wanted.strip()
+    if not head:
+        return findings.filter("false")
+    return findings.filter(F.col(fingerprint).startswith(head) | F.col(fingerprint).startswith(f"v1:{head}"))

@@ -73,6 +73,21 @@ def first_introductions(touches: DataFrame, key: str = "oid", date: str = "date"
     return touches.groupBy(key).agg(F.min(F.struct(*carried)).alias("x")).select(key, *(f"x.{c}" for c in carried))
 
 
+def paths_of(listing: DataFrame, ids: DataFrame, longest: int = 64) -> DataFrame:
+    """(id, path): paths in ``listing`` (oid, path) of objects named in full or by their beginning in ``ids`` (id), each once.
+
+    An id of any length up to ``longest`` is joined by equality with as many
+    characters of an oid, so nothing is compared with everything. Blank paths,
+    and null, empty or longer ids, give no rows.
+    """
+    wanted = ids.select("id").filter(f"length(id) between 1 and {longest}").distinct()
+    lengths = [r["n"] for r in wanted.select(F.length("id").alias("n")).distinct().collect()]  # at most ``longest`` rows
+    if not lengths:
+        return wanted.withColumn("path", F.lit("")).filter("false")
+    named = listing.filter("trim(path) <> ''").select("oid", "path").distinct().withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths)))))
+    return named.withColumn("id", F.expr("substring(oid, 1, n)")).filter("length(id) = n").join(wanted, "id").select("id", "path").distinct()
+
+
 def expand_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
     """(root, path, oid) of blobs below ``roots`` (root), over ``entries`` (tree_oid, name, oid, kind); one join a level."""
     level = roots.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("prefix"))

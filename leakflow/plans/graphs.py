@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leakflow.functions import places
-from leakflow.operators import graph, rewrite
+from leakflow.operators import detect, graph, rewrite
 from leakflow.plans.registry import query, read
 
 #: A graph with merges: node k has the parents k/2 and k/3.
@@ -140,3 +140,29 @@ def commit_dates(spark, sf_dir):
     raw = F.concat(F.date_format("t", "EEE MMM d HH:mm:ss yyyy"), F.lit(" +0200"))
     seconds = F.unix_seconds("t")
     return orders.select("o_orderkey", places.rfc3339(seconds).alias("rfc3339"), places.rfc1123(seconds).alias("rfc1123"), places.parse_commit_date(raw).alias("parsed"))
+
+
+@query(
+    "trace_findings",
+    """SELECT o_orderkey, f AS fingerprint FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'v1:' ELSE '' END || 'src/' || o_custkey || ':rule:' || o_orderkey AS f FROM orders)
+    WHERE f = 'src/12' OR f[:7] = 'src/12' OR f[:6] = 'src/12' OR (f[:3] = 'v1:' AND f[4:9] = 'src/12')""",
+)
+def trace_findings(spark, sf_dir):
+    """Orders as findings, some with an acknowledgement's prefix, looked up by the beginning of a fingerprint."""
+    head = F.when(F.col("o_orderkey") % 2 == 0, "v1:").otherwise("")
+    text = F.concat(head, F.lit("src/"), F.col("o_custkey").cast("string"), F.lit(":rule:"), F.col("o_orderkey").cast("string"))
+    return detect.traced(read(spark, sf_dir, "orders").select("o_orderkey", text.alias("fingerprint")), " src/12 ")
+
+
+@query(
+    "blob_paths",
+    """SELECT DISTINCT id, path FROM (SELECT DISTINCT left(md5(s_suppkey::VARCHAR), 4 + s_suppkey % 3) AS id FROM supplier)
+    JOIN (SELECT md5(p_partkey::VARCHAR) AS oid, p_partkey AS k FROM part) ON starts_with(oid, id)
+    JOIN (SELECT l_partkey, l_orderkey || '/' || l_linenumber AS path FROM lineitem) ON l_partkey = k""",
+)
+def blob_paths(spark, sf_dir):
+    """Paths of parts in all line items, of objects named by four to six characters."""
+    md5 = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    path = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    ids = read(spark, sf_dir, "supplier").select(F.substr(md5("s_suppkey"), F.lit(1), (F.lit(4) + F.col("s_suppkey") % 3).cast("int")).alias("id"))
+    return graph.paths_of(read(spark, sf_dir, "lineitem").select(md5("l_partkey").alias("oid"), path.alias("path")), ids)

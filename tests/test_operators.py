@@ -138,6 +138,16 @@ def test_reachability_of_a_merged_graph(spark):
     assert {(r["oid"], r["parent"]) for r in graph.survivors(first, tip("d", "b")).collect()} == {("d", "a"), ("b", "a")}
 
 
+def test_lookups_by_the_beginning_of_an_id(spark):
+    listing = spark.createDataFrame([("abcd", "x"), ("abce", "y"), ("abce", "y"), ("b", "z"), ("abcd", " "), (None, "n"), ("abcf", None)], "oid string, path string")
+    ids = lambda *o: spark.createDataFrame([(x,) for x in o], "id string")
+    got = sorted(tuple(r) for r in graph.paths_of(listing, ids("abc", "abcd", "bb", "", None, "abc", "q" * 65)).collect())
+    assert got == [("abc", "x"), ("abc", "y"), ("abcd", "x")] and graph.paths_of(listing, ids("", None)).collect() == []
+    findings = spark.createDataFrame([("v1:a.txt:r:1",), ("a.txt:r:1",), ("b.txt:r:1",), (None,)], "fingerprint string")
+    count = lambda wanted: detect.traced(findings, wanted).count()
+    assert [count(w) for w in ("a.txt:r:1", " a.t ", "v1:a", "v1:b", "", "b.txt:r:12", "b%")] == [2, 2, 1, 0, 0, 0, 0]
+
+
 def test_reachability_of_long_lines_circles_and_random_graphs(spark):
     rnd = random.Random(8)
     tips_of = lambda *o: spark.createDataFrame([(x,) for x in o], "oid long")
