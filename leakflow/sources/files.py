@@ -19,6 +19,8 @@ from leakflow.operators.rules import SKIPPED_PATHS
 
 #: Bytes of a chunk, bytes looked ahead for its end, and bytes looked at for a NUL.
 CHUNK, AHEAD, SNIFF = 100_000, 25_000, 8_192
+#: Bytes of chunks that a task holds before it hands them on.
+HELD = 4 << 20
 SKIPPED_DIRS = [".git", ".svn", ".hg", "node_modules", "vendor", "third_party"]
 
 #: First bytes of archive formats.
@@ -30,7 +32,8 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = 10 << 20, skippe
     """(path, length, content) below a folder: neither empty nor larger than ``max_bytes`` nor skipped. Size limits reach the source; contents are read only for what is left."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter((F.col("length") > 0) & (F.col("length") <= max_bytes))
     dirs = "|".join(re.escape(d) for d in (SKIPPED_DIRS if skipped_dirs is None else skipped_dirs))
-    skip = F.col("path").rlike("|".join(f"(?:{p})" for p in (SKIPPED_PATHS if skipped_paths is None else skipped_paths)))
+    patterns = SKIPPED_PATHS if skipped_paths is None else skipped_paths
+    skip = F.col("path").rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
     return files.filter(~skip & ~F.col("path").rlike(rf"/(?:{dirs})/") if dirs else ~skip).select("path", "length", "content")
 
 
@@ -67,11 +70,19 @@ def file_fragments(files: DataFrame, size: int = CHUNK, skip_binary: bool = Fals
     schema = pa.schema([("path", pa.string()), ("raw", pa.string()), ("start_line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for name, data in unpack(path, content or b"", max_archive_depth):
-                    if not (skip_binary and b"\0" in data[:SNIFF]):
-                        yield _rows([(name, c.decode("utf-8", "replace"), line) for line, c in chunk_bytes(data, size)], schema)
+                    if skip_binary and b"\0" in data[:SNIFF]:
+                        continue
+                    for line, chunk in chunk_bytes(data, size):
+                        rows.append((name, chunk.decode("utf-8", "replace"), line))
+                        held += len(chunk)
+                        if held >= HELD:
+                            yield _rows(rows, schema)
+                            rows, held = [], 0
+        yield _rows(rows, schema)
 
     return files.select("path", "content").mapInArrow(run, FRAGMENTS)
 
@@ -98,7 +109,7 @@ def unpack(path: str, data: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
                 entries = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
         elif kind in ("gzip", "bzip2", "xz"):
             inner = {"gzip": gzip, "bzip2": bz2, "xz": lzma}[kind].decompress(data)
-            name = re.sub(r"(?i)\.(?:gz|bz2|xz)$", "", re.sub(r"(?i)\.(?:tgz|tbz2?|txz)$", ".tar", path.rsplit("/", 1)[-1]))
+            name = re.sub(r"(?i)\.(?:gz|bz2|xz)$", "", re.sub(r"(?i)\.(?:tgz|tbz2?|txz)$", ".tar", re.split("[/!]", path)[-1]))
             entries = [(name, inner)]
         else:
             yield path, data

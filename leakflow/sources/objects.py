@@ -23,14 +23,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def inflate(data: bytes, limit: int) -> tuple[bytes, int] | None:
-    """(inflated, bytes used); None if it is larger than ``limit`` or broken."""
-    d = zlib.decompressobj()
+def inflate(data: bytes, limit: int, at: int = 0) -> tuple[bytes, int] | None:
+    """(inflated, bytes used) from ``at`` on; None if it is larger than ``limit`` or broken. Fed in pieces, so what follows isn't copied."""
+    d, out, view, end = zlib.decompressobj(), bytearray(), memoryview(data), at
     try:
-        out = d.decompress(data, limit + 1)
+        while not d.eof and end < len(view) and len(out) <= limit:
+            piece = view[end : end + (1 << 16)]
+            out += d.decompress(piece, limit + 1 - len(out))
+            end += len(piece) - len(d.unused_data) - len(d.unconsumed_tail)
     except zlib.error:
         return None
-    return None if len(out) > limit or not d.eof else (out, len(data) - len(d.unused_data))
+    return (bytes(out), end - at) if d.eof and len(out) <= limit else None
 
 
 def loose_objects(spark: SparkSession, git_dir: str, limit: int = 64 << 20) -> DataFrame:
@@ -138,7 +141,7 @@ def pack_objects(pack: bytes, idx: bytes, limit: int = 64 << 20, max_depth: int
             at += 20
             if base is None:
                 return None
-        body = inflate(pack[at:], limit)
+        body = inflate(pack, limit, at)
         if body is None:
             return None
         if base is None:
