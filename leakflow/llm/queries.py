@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables with production parameters, and SQL for those that SQL can express."""
+"""The operators applied to their whole tables with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakflow.llm import bpe, decontaminate, kdtopk, linespread, mixing, packing, quality, secretfreq, simhash, warc
+from leakflow.llm import bpe, contentsort, decontaminate, hardneg, kdtopk, linespread, mixing, packing, quality, secretfreq, simhash, vectorcode, warc
 
 PACK_LENGTH, PAD_ID = 2048, 50256
 #: Targets of the mix; sources that aren't listed have weight 1.
@@ -66,6 +66,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_top_k": op8_kd_top_k,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_owners": op10_secret_owners,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
@@ -165,4 +180,48 @@ FROM docs d LEFT JOIN by_doc USING (doc_id)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_line_spread": _LINES_SQL, "op8_kd_top_k": _TOP_K_SQL, "op9_mix_sources": _MIX_SQL, "op10_secret_owners": _secrets_sql()}
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+def _codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT r, part, q[part * len(q) // {parts} + 1 : (part + 1) * len(q) // {parts}] AS x FROM v, range({parts}) AS t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p.part, any_value(x) AS x, min({far} * {entries} + entry) AS best FROM p JOIN b{i} b ON p.part = b.part GROUP BY r, p.part)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT part, best % {entries} AS entry, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS j FROM a{i})")
+            steps.append(f"m{i} AS (SELECT part, entry, list(m ORDER BY j) AS c FROM (SELECT part, entry, j, floor(sum(x) / count(*))::BIGINT AS m FROM u{i} GROUP BY part, entry, j) GROUP BY part, entry)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.entry = m.entry)")
+    steps.append(f"codes AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN codes USING (r), books"
+
+
+_COPIES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_spread": _LINES_SQL, "op8_kd_top_k": _TOP_K_SQL, "op9_mix_sources": _MIX_SQL, "op10_secret_owners": _secrets_sql(), "op11_hard_negatives": _NEGATIVES_SQL, "op12_vector_codes": _codes_sql(), "op13_exact_dedup": _COPIES_SQL,
+}
