@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 from leakflow.functions.entropy import byte_entropy
 
 
+#: Terms up to which each is a test of its own.
+MANY_TERMS = 64
+
+
 def matches_any(text: Column, patterns: list[str]) -> Column:
     """Any of the patterns matches somewhere. No patterns: false."""
     return text.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:
-    """Any of the terms occurs, in whatever case."""
+    """Any of the terms occurs, in whatever case. More than MANY_TERMS are looked for in one pass over the text."""
+    if len(terms) > MANY_TERMS:
+        from leakflow.operators.keywords import holds_any
+
+        return holds_any(text, terms)
     low = F.lower(text)
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(t.lower())) for t in terms), F.lit(False))
 
@@ -79,10 +87,17 @@ SQL_FUNCTIONS = {
 }
 
 
+#: What stands in for functions that need something of the caller's until it is there.
+_UNTIL_GIVEN = {"fails_token_efficiency": "(s STRING) RETURNS BOOLEAN RETURN false"}
+
+
 def register_sql(spark: SparkSession) -> None:
-    """Temporary SQL functions for ``F.expr`` and ``spark.sql``."""
+    """Temporary SQL functions for ``F.expr`` and ``spark.sql``. Functions of the caller's that are there stay."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    for name, body in _UNTIL_GIVEN.items():
+        if not spark.catalog.functionExists(name):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
 
 
 __all__ = ["all_of", "any_of", "byte_entropy", "byte_slice", "contains_any", "equal_or_missing", "find_match", "last_index_of", "matches_any", "none_of", "one_of", "register_sql", "skip_if"]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType
+
+from leakflow.operators import keywords
 
 #: The share of characters that change, and prefixes that don't.
 RATE, PREFIX_LEAST, PREFIX_LENGTH = 0.7, 20, 6
@@ -30,14 +33,48 @@ def obfuscate(secret: Column, seed: int = 0) -> Column:
     return F.concat(prefix, F.array_join(F.transform(body, swap), ""))
 
 
+#: Word lists of up to so many words become an automaton; larger ones are joined.
+MANY_WORDS = 2_000_000
+
+
 def dictionary_parts(words: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
-    """(token, start, word): all parts of ``tokens`` (token) of at least ``least`` letters that are ``words`` (word). Parts are joined with the words, however many there are."""
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    low = F.lower("token")
+    """(token, start, word): all parts of the distinct ``tokens`` (token) that are ``words`` (word) of at least ``least`` letters, in whatever case; overlapping ones too. Null and blank words and tokens have no part.
+
+    A list of up to MANY_WORDS goes to the driver and becomes an automaton, so
+    a token costs one pass whatever its length. Of a longer one, all parts of
+    all tokens are joined with the words.
+    """
+    low = words.select(F.lower("word").alias("word")).filter(F.length("word") >= least).distinct()
+    distinct = tokens.select("token").filter("token is not null").distinct()
+    if low.count() <= MANY_WORDS:
+        found = keywords.occurrences(distinct.withColumn("low_", F.lower("token")), "low_", [r["word"] for r in low.collect()], keep=("token", "low_"))
+        letters = F.length(F.substring(F.encode("low_", "utf-8"), F.lit(1), F.col("start").cast("int")).cast("string"))
+        return found.select("token", letters.alias("start"), "word")
+    longest = low.agg(F.max(F.length("word"))).first()[0]
     size = F.length("token")
-    starts = tokens.select("token").distinct().filter(size >= least).withColumn("start", F.explode(F.sequence(F.lit(0), size - least)))
+    starts = distinct.filter(size >= least).withColumn("start", F.explode(F.sequence(F.lit(0), size - least)))
     cut = starts.withColumn("n", F.explode(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(size - F.col("start"), F.lit(longest))))))
-    return cut.select("token", "start", F.substr(low, F.col("start") + 1, F.col("n")).alias("word")).join(words.select(F.lower("word").alias("word")).distinct(), "word").select("token", "start", "word")
+    return cut.select("token", "start", F.substr(F.lower("token"), F.col("start") + 1, F.col("n")).alias("word")).join(low, "word").select("token", "start", "word")
+
+
+def register_token_efficiency(spark: SparkSession, count_tokens: Callable[[list[str]], list[int]], words: list[str]) -> None:
+    """The SQL function ``fails_token_efficiency(secret)`` for filters, with a tokenizer and a word list of the caller's: see ``fails_efficiency``. Null doesn't fail."""
+    built = keywords.automata([w.lower() for w in words if len(w.encode()) >= 4], fold=False)
+
+    @arrow_udf(BooleanType())
+    def fails(secrets: pa.Array) -> pa.Array:
+        texts = [t or "" for t in secrets.to_pylist()]
+        short = [len(t.encode()) < 20 for t in texts]
+        texts = [t.replace("\n", "").replace("\r", "") if s else t for t, s in zip(texts, short)]
+        longest = [0] * len(texts)
+        low = [t.lower().encode() for t in texts]
+        for automaton in built:
+            for t, w in zip(*(x.tolist() for x in automaton.found(low))):
+                longest[t] = max(longest[t], len(automaton.words[w]))
+        sizes = [len(t.encode()) for t in texts]
+        return pa.array([n > 0 and (w >= 5 or s / n >= (2.1 if s < 12 and w >= 4 else 2.5)) for s, n, w in zip(sizes, count_tokens(texts), longest)], pa.bool_())
+
+    spark.udf.register("fails_token_efficiency", fails)
 
 
 def token_ratio(secret: Column, count_tokens: Callable[[list[str]], list[int]] | None = None) -> Column:

@@ -9,12 +9,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakflow.functions import filters, hashing
 from leakflow.functions.entropy import report_entropy
-from leakflow.operators import decode, matching
+from leakflow.operators import decode, keywords, matching
 from leakflow.operators.rules import BUILTIN, CONFIDENCE, PLACEHOLDERS, Component, Rule, java_pattern, parse_window, python_pattern
 from leakflow.session import staged
 
@@ -26,24 +26,36 @@ def fragments(table: DataFrame, fragment_id: str, raw: str, path: Column | None
     return table.select(F.col(fragment_id).cast("long").alias("fragment_id"), F.coalesce(F.col(raw), F.lit("")).alias("raw"), F.lit(start_line).cast("long").alias("start_line"), (path if path is not None else F.lit("")).alias("path"))
 
 
-def prefilter(frags: DataFrame, skipped_paths: list[str]) -> DataFrame:
-    """Fragments whose path isn't skipped; only the path is looked at."""
-    return frags.filter(~filters.matches_any(F.col("path"), [java_pattern(p) for p in skipped_paths]))
+def prefilter(frags: DataFrame, skipped_paths: list[str] | tuple[str, ...], skip: str = "") -> DataFrame:
+    """Fragments whose path isn't skipped, and for which the SQL predicate ``skip`` isn't true; a null path or predicate keeps."""
+    unwanted = filters.matches_any(F.col("path"), [java_pattern(p) for p in skipped_paths])
+    if skip:
+        filters.register_sql(frags.sparkSession)
+        unwanted = unwanted | F.expr(f"({skip})")
+    return frags.filter(filters.skip_if(unwanted))
+
+
+def _by_word(rules: list[Rule]) -> dict[str, list[int]]:
+    """Of each keyword, the numbers of the rules that have it."""
+    by: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        for k in r.keywords:
+            by.setdefault(k, []).append(i)
+    return by
 
 
 def candidate_rules(frags: DataFrame, rules: list[Rule]) -> DataFrame:
     """(fragment_id, rule_id): rules that have a keyword in the fragment, in whatever ASCII case, or no keyword at all.
 
-    Each distinct keyword is looked for once, however many rules have it.
+    One pass over a text, however many keywords there are (see ``keywords``).
     """
-    words = sorted({k.lower() for r in rules for k in r.keywords})
-    number = {k: i for i, k in enumerate(words)}
-    seen = frags.select("fragment_id", F.lower("raw").alias("low_")).select("fragment_id", F.array(*(F.contains("low_", F.lit(k)) for k in words)).alias("has_"))
-    of = lambda r: F.exists(F.array(*(F.col("has_")[number[k.lower()]] for k in r.keywords)), lambda x: x) if r.keywords else F.lit(True)
-    return seen.select("fragment_id", F.explode(F.array_compact(F.array(*(F.when(of(r), F.lit(r.rule_id)) for r in rules)))).alias("rule_id"))
+    by = _by_word(rules)
+    told = keywords.with_words(frags.select("fragment_id", "raw"), "raw", by, by, [i for i, r in enumerate(rules) if not r.keywords])
+    ids = F.array(*(F.lit(r.rule_id) for r in rules)) if rules else F.array().cast("array<string>")
+    return told.select("fragment_id", F.explode("numbers_").alias("n_")).select("fragment_id", F.get(ids, F.col("n_")).alias("rule_id"))
 
 
-#: Catalogues of up to so many rules are literals of the plan; larger ones are joined as a table.
+#: For catalogues of up to so many rules each keyword is a test of its own in the plan; for larger ones an automaton finds all keywords in one pass.
 INLINE_RULES = 32
 
 
@@ -63,27 +75,35 @@ def _wanted(low: Column, rule: Rule) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(low, F.lit(k.lower())) for k in rule.keywords), F.lit(not rule.keywords))
 
 
-def _matches(frags: DataFrame, rules: list[Rule], keep: list[str], how: dict) -> DataFrame:
-    """A row for each match: fragments meet the rules that they have a keyword of, and one expression places the matches of whichever pattern comes along. Up to INLINE_RULES rules are literals, more a table."""
-    types = "rule_id string, rx string, path_rx string, secret_group int, groups int, specificity int, confidence string, skip_report boolean"
-    rows = [(r.rule_id, java_pattern(r.regex), java_pattern(r.path), r.secret_group, _group_count(r.regex), r.specificity, r.confidence, r.skip_report) for r in rules]
-    low = frags.withColumn("low_", F.lower("raw"))
-    if len(rules) <= INLINE_RULES:
-        names = [c.split()[0] for c in types.split(", ")]
-        hits = [F.when(_wanted(F.col("low_"), r), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row)))) for r, row in zip(rules, rows)]
-        candidates = low.withColumn("rule_", F.explode(F.array_compact(F.array(*hits)))).drop("low_").select("*", "rule_.*").drop("rule_")
-    else:  # as many rows as the catalogue file has rules, so it is broadcast
-        hits = [F.when(_wanted(F.col("low_"), r), F.lit(r.rule_id)) for r in rules]
-        candidates = low.withColumn("rule_id", F.explode(F.array_compact(F.array(*hits)))).drop("low_").join(F.broadcast(frags.sparkSession.createDataFrame(rows, types)), "rule_id")
-    candidates = candidates.filter((F.col("path_rx") == "") | F.rlike(F.col("path"), F.col("path_rx")))
-    found = candidates.withColumn("s", F.explode(matching.located(F.col("raw"), F.col("rx"), **how))).drop("raw").select("*", "s.*").drop("s")
-    group = lambda g: F.call_function("regexp_extract", F.col("match"), F.col("rx"), g)
+def _numbered(frags: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``frags`` with ``number_``, a row for each rule of which the text holds a keyword."""
+    if len(rules) > INLINE_RULES:
+        by = _by_word(rules)
+        return keywords.with_words(frags, "raw", by, by, [i for i, r in enumerate(rules) if not r.keywords]).withColumn("number_", F.explode("numbers_")).drop("numbers_")
+    low = frags.withColumn("low_", F.replace(F.lower("raw"), F.lit("\u017f"), F.lit("s")))
+    hits = [F.when(_wanted(F.col("low_"), r), F.lit(i)) for i, r in enumerate(rules)]
+    return low.withColumn("number_", F.explode(F.array_compact(F.array(*hits)))).drop("low_")
+
+
+def _matches(frags: DataFrame, rules: list[Rule], how: dict) -> DataFrame:
+    """A row for each match: fragments meet the rules that they have a keyword of. Patterns are literals of the plan, so none is compiled again from row to row; what is known of a rule is looked up by its number."""
+    known = [F.struct(*(F.lit(v).alias(n) for n, v in (("rule_id", r.rule_id), ("secret_group", r.secret_group), ("groups", _group_count(r.regex)), ("specificity", r.specificity), ("confidence", r.confidence), ("skip_report", r.skip_report)))) for r in rules]
+    number, raw = F.col("number_"), F.col("raw")
+    here = _numbered(frags, rules)
+    if any(r.path for r in rules):
+        here = here.filter(matching.Patterns(number, [java_pattern(r.path) for r in rules]).of(lambda p: F.rlike("path", F.lit(p)) if p else F.lit(True)))
+    patterns = matching.Patterns(number, [java_pattern(r.regex) for r in rules])
+    found = here.withColumn("whole_", patterns.of(lambda p: F.regexp_extract_all(raw, F.lit(p), F.lit(0)))).filter(F.size("whole_") > 0)
+    found = found.withColumn("pieces_", patterns.of(lambda p: F.split(raw, p, -1)))
+    found = found.withColumn("s", F.explode(matching.located(raw, None, whole=F.col("whole_"), pieces=F.col("pieces_"), **how))).drop("raw", "whole_", "pieces_").select("*", "s.*").drop("s")
+    found = found.withColumn("rule_", F.get(F.array(*known), number)).select("*", "rule_.*").drop("rule_")
+    group = lambda g: patterns.of(lambda p: F.call_function("regexp_extract", F.col("match"), F.lit(p), g))
     tried = F.when(F.col("secret_group") > 0, F.array("secret_group")).otherwise(F.filter(F.sequence(F.lit(0), F.col("groups")), lambda g: g > 0))
     secret = F.coalesce(F.get(F.filter(F.transform(tried, group), lambda x: (x != "") | (F.col("secret_group") > 0)), F.lit(0)), F.col("match"))
     captures = F.create_map().cast("map<string,string>")
-    for r in rules:
+    for i, r in enumerate(rules):
         if re.compile(python_pattern(r.regex)).groupindex:
-            captures = F.when(F.col("rule_id") == r.rule_id, _named(F.col("match"), r.regex)).otherwise(captures)
+            captures = F.when(number == i, _named(F.col("match"), r.regex)).otherwise(captures)
     return found.withColumn("secret", secret).withColumn("captures", captures)
 
 
@@ -97,9 +117,11 @@ def scan(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, marke
     be much longer than the match.
     """
     rules = [r for r in rules if r.regex]
+    if not rules:  # nothing can match, but the columns are the same
+        return scan(frags.filter("false"), [Rule("none", "a")], markers, with_context, keep, with_line)
     how = {"markers": [matching.ALLOW_MARKER] if markers is None else markers, "with_line": with_line, "context": with_context}
     renamed = frags.withColumnRenamed("start_line", "first_line")
-    found = _matches(renamed, rules, ["fragment_id", "path", "first_line", *keep], how).filter(~F.col("allowed"))
+    found = _matches(renamed, rules, how).filter(~F.col("allowed"))
     placed = lambda c: (F.col("first_line") + F.col(c)).alias(c)
     long = lambda c: F.col(c).cast("long").alias(c)
     return found.select(
@@ -154,34 +176,69 @@ def near(p: str, c: str, within: str) -> Column:
     return held
 
 
+COMPONENT = "struct<rule_id:string,start_line:bigint,start:bigint,secret:string>"
+
+
+def _component(name: str) -> Column:
+    return F.struct(*(F.col(f"{name}.{c}").alias(c) for c in ("rule_id", "start_line", "start", "secret"))).cast(COMPONENT)
+
+
 def component_pairs(findings: DataFrame, rule_id: str, component: Component) -> DataFrame:
     """Findings of a rule with those of one component in its window: a join on the fragment with a range condition."""
     p, c = findings.filter(F.col("rule_id") == rule_id).alias("p"), findings.filter(F.col("rule_id") == component.rule_id).alias("c")
     joined = p.join(c, (F.col("p.fragment_id") == F.col("c.fragment_id")) & near("p", "c", component.within))
-    return joined.select(*(F.col(f"p.{k}").alias(k) for k in KEYS), F.struct(F.col("c.rule_id").alias("rule_id"), F.col("c.start_line").alias("start_line"), F.col("c.start").alias("start"), F.col("c.secret").alias("secret")).alias("component"))
+    return joined.select(*(F.col(f"p.{k}").alias(k) for k in KEYS), _component("c").alias("component"))
+
+
+def _first_parts(findings: DataFrame, rule: Rule, component: Component, most: int) -> tuple[DataFrame, list[str]]:
+    """(keys, part, n): the first ``most`` matches of a component, by place, and how many there are; for each primary, or for each fragment where the component has no window, so that nothing is paired with everything."""
+    if parse_window(component.within)[0]:
+        pairs, keys = component_pairs(findings, rule.rule_id, component), KEYS
+    else:
+        own = findings.filter(F.col("rule_id") == component.rule_id).alias("c")
+        pairs, keys = own.select("fragment_id", _component("c").alias("component")), ["fragment_id"]
+    order = Window.partitionBy(*keys).orderBy("component.start", "component.secret")
+    ranked = pairs.withColumn("at_", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("at_") <= most)
+    lists = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "component"))), lambda x: x["component"]).alias("part"), F.first("n").alias("n"))
+    return lists, keys
+
+
+def _primaries(findings: DataFrame, rule: Rule) -> DataFrame:
+    """Findings of a composite rule that have all components they need."""
+    own = findings.filter(F.col("rule_id") == rule.rule_id)
+    for c in rule.components:
+        if c.optional:
+            continue
+        if parse_window(c.within)[0]:
+            own = own.join(component_pairs(findings, rule.rule_id, c).select(*KEYS).distinct(), KEYS, "left_semi")
+        else:
+            own = own.join(findings.filter(F.col("rule_id") == c.rule_id).select("fragment_id"), "fragment_id", "left_semi")
+    return own
 
 
 def with_components(findings: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN, max_sets: int = 100) -> DataFrame:
-    """Findings with ``component_sets``: for composite rules every choice of one match per component, up to ``max_sets``; primaries that lack a required component go.
+    """Findings with ``component_sets``: for composite rules the choices of one match per component, the first ``max_sets`` of them by place; ``sets_left_out`` says how many more there are. Primaries that lack a required component go.
 
     Component-only findings stay until ``report`` drops them.
     """
     composite = [r for r in rules if r.components]
     plain = findings.filter(~F.col("rule_id").isin([r.rule_id for r in composite])) if composite else findings
-    sets_type = "array<array<struct<rule_id:string,start_line:bigint,start:bigint,secret:string>>>"
-    out = plain.withColumn("component_sets", F.array().cast(sets_type))
+    out = plain.withColumn("component_sets", F.array().cast(f"array<array<{COMPONENT}>>")).withColumn("sets_left_out", F.lit(0).cast("long"))
     for r in composite:
         own = findings.filter(F.col("rule_id") == r.rule_id)
         for i, c in enumerate(r.components):
-            by_key = component_pairs(findings, r.rule_id, c).groupBy(*KEYS).agg(F.array_sort(F.collect_list("component"), _by_place).alias(f"part{i}"))
-            own = own.join(by_key, KEYS, "left" if c.optional else "inner")
-        sets = F.array(F.array().cast("array<struct<rule_id:string,start_line:bigint,start:bigint,secret:string>>"))
+            lists, keys = _first_parts(findings, r, c, max_sets)
+            own = own.join(lists.withColumnsRenamed({"part": f"part{i}", "n": f"n{i}"}), keys, "left" if c.optional else "inner")
+        sets = F.array(F.array().cast(f"array<{COMPONENT}>"))
+        total = F.lit(1).cast("long")
         for i in range(len(r.components)):
             part = F.col(f"part{i}")
             grown = F.flatten(F.transform(sets, _each_with(part)))
             sets = F.when(F.coalesce(F.size(part), F.lit(0)) > 0, F.slice(grown, 1, max_sets)).otherwise(sets)
+            total = F.try_multiply(total, F.coalesce(f"n{i}", F.lit(1)))
         sets = F.filter(sets, lambda s: F.size(s) > 0)
-        out = out.unionByName(own.withColumn("component_sets", sets).drop(*(f"part{i}" for i in range(len(r.components)))))
+        made = own.withColumn("component_sets", sets).withColumn("sets_left_out", F.when(F.size(sets) > 0, total - F.size(sets)).otherwise(0))
+        out = out.unionByName(made.drop(*(f"{x}{i}" for i in range(len(r.components)) for x in ("part", "n"))))
     return out
 
 
@@ -189,12 +246,23 @@ def _each_with(part: Column):
     return lambda chosen: F.transform(part, lambda x: F.concat(chosen, F.array(x)))
 
 
-def _by_place(a: Column, b: Column) -> Column:
-    return F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
+def covered_parts(findings: DataFrame, rules: list[Rule] | tuple[Rule, ...] = BUILTIN) -> DataFrame | None:
+    """(fragment_id, start_line, secret) of all matches that are components of a composite finding, however many sets they make; None without composite rules."""
+    found = []
+    for r in (r for r in rules if r.components):
+        primaries = _primaries(findings, r)
+        for c in r.components:
+            parts = findings.filter(F.col("rule_id") == c.rule_id)
+            if parse_window(c.within)[0]:
+                pairs = component_pairs(primaries.unionByName(parts), r.rule_id, c)
+                found.append(pairs.select("fragment_id", F.col("component.start_line").alias("start_line"), F.col("component.secret").alias("secret")))
+            else:
+                found.append(parts.join(primaries.select("fragment_id"), "fragment_id", "left_semi").select("fragment_id", "start_line", "secret"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else None
 
 
-def suppress(findings: DataFrame) -> DataFrame:
-    """Findings whose secret isn't part of a more specific finding's on the same line, nor one of a composite finding's components.
+def suppress(findings: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Findings whose secret isn't part of a more specific finding's on the same line, nor one of the ``covered`` parts of composite findings.
 
     Both tests look at all findings, also at ones that go themselves.
     """
@@ -202,10 +270,7 @@ def suppress(findings: DataFrame) -> DataFrame:
     same = (F.col("f.fragment_id") == F.col("o.fragment_id")) & (F.col("f.start_line") == F.col("o.start_line"))
     above = (F.col("f.rule_id") != F.col("o.rule_id")) & (F.col("o.specificity") > F.col("f.specificity")) & F.contains(F.col("o.secret"), F.col("f.secret"))
     kept = f.join(o, same & above, "left_anti")
-    if "component_sets" in findings.columns:
-        parts = findings.filter(F.size("component_sets") > 0).select("fragment_id", F.explode(F.flatten("component_sets")).alias("c")).select("fragment_id", F.col("c.start_line").alias("start_line"), F.col("c.secret").alias("secret")).distinct()
-        kept = kept.join(parts, ["fragment_id", "start_line", "secret"], "left_anti")
-    return kept
+    return kept if covered is None else kept.join(covered, ["fragment_id", "start_line", "secret"], "left_anti")
 
 
 def report(findings: DataFrame) -> DataFrame:
@@ -214,18 +279,21 @@ def report(findings: DataFrame) -> DataFrame:
 
 
 def _decoded(frags: DataFrame, rules: list[Rule] | tuple[Rule, ...], markers: list[str] | None, max_depth: int) -> DataFrame:
-    """Findings inside decoded runs, placed where the runs are in the fragment, with their tags. Matches outside of runs belong to earlier passes."""
-    keys = ["fragment_id", "path", "first_line_"]
-    named = frags.withColumn("first_line_", F.col("start_line"))
-    passes = decode.decode_fragments(named, max_depth, keep=("path", "first_line_")).withColumn("start_line", F.col("first_line_"))
-    hits = scan(passes, rules, markers, keep=("segments", "first_line_"))
+    """Findings inside decoded runs, placed where the runs are in the fragment, with their tags. Matches outside of runs belong to earlier passes.
+
+    The fragment's own text goes along until the matches are placed, so no
+    join has to find it again: null paths and repeated ids are as good as any.
+    """
+    carried = frags.withColumn("first_line_", F.col("start_line")).withColumn("text_", F.col("raw"))
+    passes = decode.decode_fragments(carried, max_depth, keep=("path", "first_line_", "text_")).withColumn("start_line", F.col("first_line_"))
+    hits = scan(passes, rules, markers, keep=("segments", "first_line_", "text_"))
     hits = hits.withColumn("on_", decode.overlapping(F.col("segments"), F.col("start"), F.col("end"))).filter(F.size("on_") > 0)
     hits = hits.withColumn("start", F.array_min(F.transform("on_", lambda x: x["orig_start"])).cast("long")).withColumn("end", F.array_max(F.transform("on_", lambda x: x["orig_end"])).cast("long"))
-    placed = hits.withColumn("tags", decode.decode_tags(F.col("on_"))).drop("on_", "segments").join(named.select(*keys, "raw"), keys)
-    start, end, raw = F.col("start").cast("int"), F.col("end").cast("int"), F.col("raw")
+    placed = hits.withColumn("tags", decode.decode_tags(F.col("on_"))).drop("on_", "segments")
+    start, end, raw = F.col("start").cast("int"), F.col("end").cast("int"), F.col("text_")
     return (
         placed.withColumn("start_line", F.col("first_line_") + matching.start_line(raw, start)).withColumn("end_line", F.col("first_line_") + matching.end_line(raw, end))
-        .withColumn("start_column", matching.start_column(raw, start).cast("long")).withColumn("end_column", matching.end_column(raw, end).cast("long")).drop("raw", "first_line_")
+        .withColumn("start_column", matching.start_column(raw, start).cast("long")).withColumn("end_column", matching.end_column(raw, end).cast("long")).drop("text_", "first_line_")
     )
 
 
@@ -248,9 +316,8 @@ def detect(
     if max_depth:
         found = found.unionByName(_decoded(frags, rules, markers, max_depth))
     found = staged(confident(apply_filters(found, rules, skip=skip), least_confidence), "findings")
-    shown = report(suppress(with_components(found, rules)))
-    if max_depth:  # a run that decodes in several passes is found in each
-        shown = dedupe(shown, SAME, ["start", "end"])
+    shown = report(suppress(with_components(found, rules), covered_parts(found, rules)))
+    shown = dedupe(shown, SAME, ["start", "end", "tags"])  # a run that decodes in several passes is found in each
     if ignore is not None:
         shown = drop_ignored(shown, ignore)
     return shown if baseline is None else drop_known(shown, baseline, list(baseline_fields))

@@ -38,6 +38,30 @@ def running(values: Column, zero: Column, combine: Callable[[Column, Column], Co
     return named(values, spread)
 
 
+#: More patterns than this make more code than a generated method can hold, so they are interpreted.
+CODED_PATTERNS = 16
+
+
+class Patterns:
+    """A list of patterns of which ``number`` says the one for a row. Each stays a literal, so it is compiled once; which one it is takes as many comparisons as the list has binary digits."""
+
+    def __init__(self, number: Column, patterns: list[str]):
+        self.number, self.patterns = number, patterns
+
+    def _choose(self, use: Callable[[str], Column], number: Column, first: int, last: int) -> Column:
+        if last - first == 1:
+            return use(self.patterns[first])
+        middle = (first + last) // 2
+        return F.when(number < middle, self._choose(use, number, first, middle)).otherwise(self._choose(use, number, middle, last))
+
+    def of(self, use: Callable[[str], Column]) -> Column:
+        """``use`` of the row's pattern."""
+        n = len(self.patterns)
+        if n > CODED_PATTERNS:  # functions of array elements are interpreted
+            return named(self.number, lambda number: self._choose(use, number, 0, n))
+        return self._choose(use, self.number, 0, n)
+
+
 def _pieces(text: Column, rx: Column, whole: Column) -> Column:
     """The text before each match, from where the match before ends."""
     return F.slice(F.split(text, rx, -1), 1, F.size(whole))
@@ -68,17 +92,20 @@ def _joined(a: Column, b: Column) -> Column:
     return F.struct((a["chars"] + b["chars"]).alias("chars"), (a["feeds"] + b["feeds"]).alias("feeds"), F.when(b["feeds"] > 0, b["bytes"]).otherwise(a["bytes"] + b["bytes"]).alias("bytes"))
 
 
-def located(text: Column, pattern: Column | str, markers: list[str], with_line: bool = False, context: int = 0) -> Column:
+def located(text: Column, pattern: Column | str | None, markers: list[str], with_line: bool = False, context: int = 0, whole: Column | None = None, pieces: Column | None = None) -> Column:
     """array of LOCATED: matches without the line feeds at their ends, with 0-based lines and the columns of ``start_column`` and ``end_column``.
 
     ``allowed``: a line of the match holds a marker. ``line`` and ``context``
     are the lines touched, and those with ``context`` more on both sides; they
     are null unless asked for. Lines and columns run along with the matches,
-    so a text of very many matches is read a fixed number of times.
+    so a text of very many matches is read a fixed number of times. ``whole``
+    and ``pieces`` are the matches and what is split by them, where these are
+    known already.
     """
-    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    parts = F.zip_with(_pieces(text, rx, whole), whole, lambda p, m: F.struct(_extent(p).alias("before"), m.alias("whole")))
+    if whole is None:
+        rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+        whole, pieces = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, rx, -1)
+    parts = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(_extent(p).alias("before"), m.alias("whole")))
     nothing = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("feeds"), F.lit(0).alias("bytes"))
     ends = lambda parts: running(F.transform(parts, lambda r: _joined(r["before"], _extent(r["whole"]))), nothing, _joined)
     # where a match begins: behind the match before it and the piece between them
@@ -102,7 +129,7 @@ def located(text: Column, pattern: Column | str, markers: list[str], with_line:
 
     rows = named(parts, lambda p: named(ends(p), lambda e: begun(p, e)))
     found = named(extra, lambda more: F.transform(rows, lambda r: made(r, more)))
-    return F.when(F.rlike(text, rx), found.cast(f"array<{LOCATED}>")).otherwise(F.array().cast(f"array<{LOCATED}>"))
+    return F.when(F.size(whole) > 0, found.cast(f"array<{LOCATED}>")).otherwise(F.array().cast(f"array<{LOCATED}>"))
 
 
 def newlines(text: Column) -> Column:

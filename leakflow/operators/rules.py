@@ -129,18 +129,19 @@ def parse_window(within: str) -> tuple[str, int, int, int, int]:
 
 @dataclass(frozen=True)
 class Catalog:
-    """Rules, a SQL predicate for findings of all rules that are to be skipped, and patterns of paths that aren't read."""
+    """Rules, a SQL predicate for findings of all rules that are to be skipped, patterns of paths that aren't read, and a SQL predicate over fragments that aren't."""
 
     rules: tuple[Rule, ...] = ()
     skip: str = ""
     skipped_paths: tuple[str, ...] = ()
+    prefilter: str = ""
 
 
 #: The fields of a catalogue file.
-_TOP = {"title", "description", "minVersion", "extend", "rules", "allowlist", "allowlists"}
-_RULE = {"id", "description", "regex", "path", "secretGroup", "entropy", "keywords", "confidence", "specificity", "skipReport", "components", "filter", "tags", "validate", "allowlist", "allowlists", "setConfidence"}
+_TOP = {"title", "description", "minVersion", "extend", "rules", "allowlist", "allowlists", "prefilter", "filter"}
+_RULE = {"id", "description", "regex", "path", "secretGroup", "entropy", "tokenEfficiency", "keywords", "confidence", "specificity", "skipReport", "components", "filter", "tags", "validate", "allowlist", "allowlists", "setConfidence"}
 _ALLOW = {"id", "description", "condition", "commits", "paths", "regexTarget", "regexes", "stopwords", "targetRules"}
-_EXTEND = {"path", "disabledRules"}
+_EXTEND = {"path", "useDefault", "disabledRules"}
 #: How many files may stand below a catalogue file.
 EXTEND_DEPTH = 2
 
@@ -185,7 +186,7 @@ def allowlist_predicate(what: str, table: dict) -> str:
 def _rule(r: dict) -> Rule:
     name = r.get("id", "")
     _known(f"rule {name}", r, _RULE)
-    filters = [f for f in (r.get("filter", ""), f"byte_entropy(secret) <= {r['entropy']}" if "entropy" in r else "", *(allowlist_predicate(name, t) for t in _tables(r))) if f]
+    filters = [f for f in (r.get("filter", ""), f"byte_entropy(secret) <= {r['entropy']}" if "entropy" in r else "", "fails_token_efficiency(secret)" if r.get("tokenEfficiency") else "", *(allowlist_predicate(name, t) for t in _tables(r))) if f]
     return Rule(
         name, r.get("regex", ""), tuple(k.lower() for k in r.get("keywords", [])), r.get("description", ""), r.get("path", ""), r.get("secretGroup", 0), r.get("confidence", "high"),
         r.get("specificity", DEFAULT_SPECIFICITY), r.get("skipReport", False), " or ".join(f"({f})" for f in filters), tuple(Component(c["id"], c.get("optional", False), c.get("within", "")) for c in r.get("components", [])),
@@ -193,29 +194,40 @@ def _rule(r: dict) -> Rule:
     )
 
 
+def _either(*predicates: str) -> str:
+    return " or ".join(f"({p})" for p in predicates if p)
+
+
 def load_config(path: str, depth: int = 0) -> Catalog:
     """A TOML catalogue file with its allowlists as SQL predicates, over the file that it extends.
 
     Filters are Spark SQL predicates over the columns of a finding.
     ``extend.path`` is relative to the file; what stands below is overlaid:
     rules of equal id are replaced, ``disabledRules`` go, predicates and paths
-    are added. A global allowlist of nothing but paths also keeps the paths
-    from being read. Unknown fields, and more than EXTEND_DEPTH files below,
+    are added. ``extend.useDefault`` puts the built-in rules below. The
+    top-level ``filter`` skips findings of all rules, ``prefilter`` fragments,
+    of which it sees the columns. A global allowlist of nothing but paths also
+    keeps the paths from being read. ``tokenEfficiency`` needs a tokenizer
+    (see ``secrets.register_token_efficiency``). Unknown fields, and more than EXTEND_DEPTH files below,
     raise ValueError.
     """
     with open(path, "rb") as f:
         raw = _known(path, tomllib.load(f), _TOP)
     base = Catalog()
     below = _known("extend", raw.get("extend", {}), _EXTEND)
+    if below.get("useDefault"):
+        base = Catalog(BUILTIN, "", tuple(SKIPPED_PATHS))
     if "path" in below:
+        if base.rules:
+            raise ValueError(f"{path}: both useDefault and a path")
         if depth >= EXTEND_DEPTH:
             raise ValueError(f"{path}: more than {EXTEND_DEPTH} files below")
         base = load_config(os.path.join(os.path.dirname(path), below["path"]), depth + 1)
     tables = _tables(raw)
     only_paths = [t for t in tables if set(t) - {"id", "description", "condition"} == {"paths"}]
-    skips = [base.skip, *(allowlist_predicate("all", t) for t in tables)]
+    skips = [base.skip, raw.get("filter", ""), *(allowlist_predicate("all", t) for t in tables)]
     rules = extend(list(base.rules), [_rule(r) for r in raw.get("rules", [])], set(below.get("disabledRules", [])))
-    return Catalog(tuple(rules), " or ".join(f"({s})" for s in skips if s), (*base.skipped_paths, *(p for t in only_paths for p in t["paths"])))
+    return Catalog(tuple(rules), _either(*skips), (*base.skipped_paths, *(p for t in only_paths for p in t["paths"])), _either(base.prefilter, raw.get("prefilter", "")))
 
 
 def load_catalog(path: str) -> list[Rule]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leakflow.functions import commands, secrets
-from leakflow.plans.documents import TOKENS_SQL, tokens
+from leakflow.plans.documents import _VOCABULARY_SQL, TOKENS_SQL, tokens
 from leakflow.plans.registry import ORACLE_SQL, QUERIES, query, read
 
 
@@ -107,17 +107,17 @@ def shortened_argv(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", commands.short_argv(argv, 14).alias("short"))
 
 
-_WORDS = ["tion", "with", "that", "able", "this"]
-
-
 @query(
     "dictionary_parts",
-    f"""WITH t AS (SELECT DISTINCT w AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) AS w FROM documents)), s AS (SELECT token, unnest(range(0, length(token) - 3)) AS i FROM t)
-    SELECT token, i::INTEGER AS start, lower(substr(token, i + 1, 4)) AS word FROM s WHERE lower(substr(token, i + 1, 4)) IN ({", ".join(f"'{w}'" for w in _WORDS)})""",
+    f"""WITH {_VOCABULARY_SQL.format(n=4)}, t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\t\\n\\r ]+')) AS token FROM documents),
+    s AS (SELECT token, unnest(range(0, length(token) - 3)) AS i FROM t), c AS (SELECT token, i, unnest(range(4, least(length(token) - i, (SELECT max(length(w)) FROM words)) + 1)) AS n FROM s)
+    SELECT token, i::INTEGER AS start, lower(substr(token, i + 1, n)) AS word FROM c WHERE lower(substr(token, i + 1, n)) IN (SELECT w FROM words)""",
 )
 def dictionary_parts(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("token"))
-    return secrets.dictionary_parts(spark.createDataFrame([(w,) for w in _WORDS], "word string"), docs, 4)
+    """All tokens of all texts against the benchmark's vocabulary: every word in them, of any length, overlapping ones too."""
+    docs = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\t\n\r ]+"), F.lit(0))).alias("token"))
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    return secrets.dictionary_parts(words, docs, 4)
 
 
 @query(

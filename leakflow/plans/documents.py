@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakflow.functions import filters, hashing, masking
-from leakflow.functions.entropy import byte_entropy, report_entropy
+from leakflow.functions.entropy import text_byte_entropy, text_report_entropy
 from leakflow.operators import decode, detect, graph, matching, rewrite
-from leakflow.operators.rules import BUILTIN, Component, Rule, rules_frame
+from leakflow.operators.rules import BUILTIN, PLACEHOLDERS, Component, Rule, rules_frame
 from leakflow.plans.registry import query, quoted, read
+from leakflow.session import staged
 from leakflow.sources import reports
+from leakflow.streaming import scans
 
 KEYWORDS = "access|api|auth|key|credential|creds|passwd|password|secret|token"
 TOKEN = 'token = "([0-9a-f]{40})"'
@@ -84,6 +86,66 @@ def keyword_prefilter(spark, sf_dir):
     return detect.candidate_rules(sample_fragments(spark, sf_dir), [r for r in BUILTIN if r.keywords])
 
 
+#: The benchmark's vocabulary as a word list: words of at least so many letters.
+_VOCABULARY_SQL = "words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{{n},}}')) AS w FROM benchmark)"
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, letters: int) -> list[str]:
+    """A word list: it grows with the benchmark's language, not with the documents."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{letters},}}"), F.lit(0))).alias("w"))
+    return [r["w"] for r in words.distinct().orderBy("w").collect()]
+
+
+@query("keyword_catalogue", f"WITH {_VOCABULARY_SQL.format(n=5)} SELECT DISTINCT doc_id AS fragment_id, 'rule-' || left(w, 2) AS rule_id FROM documents JOIN words ON contains(lower(text), w)")
+def keyword_catalogue(spark, sf_dir):
+    """Rules by the first letters of a vocabulary, with all its words as their keywords."""
+    by: dict[str, list[str]] = {}
+    for w in vocabulary(spark, sf_dir, 5):
+        by.setdefault(w[:2], []).append(w)
+    return detect.candidate_rules(sample_fragments(spark, sf_dir), [Rule(f"rule-{k}", k, tuple(v)) for k, v in by.items()])
+
+
+_MANY = 400
+
+
+@query(
+    "catalogue_scan",
+    f"""WITH {_VOCABULARY_SQL.format(n=6)}, chosen AS (SELECT w FROM words ORDER BY w LIMIT {_MANY}), docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    raw AS (SELECT doc_id, w, regexp_extract_all(t, '[0-9,.] ?' || w || '[a-z]*', 0) AS m, string_split_regex(t, '[0-9,.] ?' || w || '[a-z]*') AS p FROM docs JOIN chosen ON contains(lower(t), w)),
+    nth AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)
+    SELECT doc_id AS fragment_id, 'word-' || w AS rule_id, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start, m[i][2:] AS secret FROM nth""",
+)
+def catalogue_scan(spark, sf_dir):
+    """A catalogue of hundreds of rules, each with a keyword and a pattern of its own, over whole texts."""
+    rules = [Rule(f"word-{w}", f"[0-9,.]( ?{w}[a-z]*)", (w,)) for w in vocabulary(spark, sf_dir, 6)[:_MANY]]
+    return detect.scan(sample_fragments(spark, sf_dir), rules, markers=[]).select("fragment_id", "rule_id", "start", "secret")
+
+
+_GENERIC = next(r for r in BUILTIN if r.rule_id == "generic-api-key")
+
+
+@query(
+    "detect_generic",
+    f"""WITH hits AS (SELECT doc_id, {_PATH} AS path, unnest(regexp_extract_all(text, {quoted(_GENERIC.regex.replace("(?-i:[Aa]pi|API)", "api"))}, 1)) AS secret FROM documents),
+    units AS (SELECT DISTINCT secret, unnest(regexp_extract_all(hex(encode(secret)), '..')) AS b, generate_subscripts(regexp_extract_all(hex(encode(secret)), '..'), 1) AS i FROM hits),
+    counts AS (SELECT secret, b, count(*) AS n FROM units GROUP BY ALL), entropies AS (SELECT secret, 0 - sum(n::DOUBLE / strlen(secret) * log2(n::DOUBLE / strlen(secret))) AS h FROM counts GROUP BY secret)
+    SELECT DISTINCT doc_id AS fragment_id, path, secret FROM hits JOIN entropies USING (secret) WHERE h > 3.5 AND NOT regexp_matches(secret, '^[a-zA-Z_.-]+$') AND NOT ({" OR ".join(f"regexp_matches(secret, {quoted(p)})" for p in PLACEHOLDERS)})""",
+)
+def detect_generic(spark, sf_dir):
+    """The whole chain for one built-in rule: keyword, pattern, placeholders, entropy, duplicates."""
+    return detect.detect(sample_fragments(spark, sf_dir), [_GENERIC]).select("fragment_id", "path", "secret").distinct()
+
+
+@query(
+    "cached_scan",
+    f"""WITH {SAMPLE_SQL} SELECT fragment_id, path, rule_id, secret, match, start_line, min(start) AS start FROM findings
+    WHERE rule_id IN ('assigned-token', 'mail') AND NOT ({" OR ".join(f"regexp_matches(secret, {quoted(p)})" for p in PLACEHOLDERS)}) GROUP BY ALL""",
+)
+def cached_scan(spark, sf_dir):
+    """Documents that come in two batches: the second finds contents of the first in the cache, and all findings are there for all paths."""
+    return scans.scan_in_batches(sample_fragments(spark, sf_dir).withColumn("part_", F.col("fragment_id") % 2), "part_", [SAMPLE_RULES[0], SAMPLE_RULES[2]]).select("fragment_id", "path", "rule_id", "secret", "match", "start_line", "start")
+
+
 @query("detect_builtin")
 def detect_builtin(spark, sf_dir):
     found = detect.detect(sample_fragments(spark, sf_dir))
@@ -120,13 +182,13 @@ def _whole(spark, sf_dir):
 @query("byte_entropy", _UNITS_SQL.format(units="regexp_extract_all(hex(encode(text)), '..')"))
 def byte_entropy_query(spark, sf_dir):
     """Of whole texts; empty ones have 0."""
-    return _whole(spark, sf_dir).select("doc_id", F.round(byte_entropy(F.col("t")), 6).alias("entropy"))
+    return _whole(spark, sf_dir).select("doc_id", F.round(text_byte_entropy(F.col("t")), 6).alias("entropy"))
 
 
 @query("char_entropy_hybrid", _UNITS_SQL.format(units="string_split(text, '')"))
 def char_entropy_query(spark, sf_dir):
     """Of whole texts; empty ones have 0."""
-    return _whole(spark, sf_dir).select("doc_id", F.round(report_entropy(F.col("t")), 6).alias("entropy"))
+    return _whole(spark, sf_dir).select("doc_id", F.round(text_report_entropy(F.col("t")), 6).alias("entropy"))
 
 
 @query("matches_any", "SELECT doc_id, regexp_matches(text, '(?:All rights)|(?:[A-Z]{6,})|(?:@[a-z]+)') AS hit FROM documents")
@@ -195,7 +257,7 @@ def locate_findings(spark, sf_dir):
     SELECT 1 FROM findings o WHERE o.fragment_id = f.fragment_id AND o.start_line = f.start_line AND o.rule_id <> f.rule_id AND o.specificity > f.specificity AND contains(o.secret, f.secret))""",
 )
 def suppress_by_specificity(spark, sf_dir):
-    return detect.suppress(sample_findings(spark, sf_dir)).select("fragment_id", "rule_id", "start", "secret")
+    return detect.suppress(staged(sample_findings(spark, sf_dir), "findings")).select("fragment_id", "rule_id", "start", "secret")
 
 
 @query(
@@ -204,7 +266,7 @@ def suppress_by_specificity(spark, sf_dir):
     ON p.fragment_id = c.fragment_id AND p.rule_id = 'mail' AND c.rule_id = 'number' AND c.start_line BETWEEN p.start_line - 1 AND p.end_line + 1""",
 )
 def proximity_components(spark, sf_dir):
-    pairs = detect.component_pairs(sample_findings(spark, sf_dir), "mail", Component("number", within="2L"))
+    pairs = detect.component_pairs(staged(sample_findings(spark, sf_dir), "findings"), "mail", Component("number", within="2L"))
     return pairs.select("fragment_id", "start", F.col("component.start").alias("component_start"), F.col("component.secret").alias("component"))
 
 
@@ -258,7 +320,7 @@ def ignore_antijoin(spark, sf_dir):
     SELECT 1 FROM findings b WHERE b.fragment_id % 2 = 0 AND b.rule_id IS NOT DISTINCT FROM f.rule_id AND b.path IS NOT DISTINCT FROM f.path AND b.start_line IS NOT DISTINCT FROM f.start_line AND b.secret IS NOT DISTINCT FROM f.secret)""",
 )
 def baseline_antijoin(spark, sf_dir):
-    found = sample_findings(spark, sf_dir)
+    found = staged(sample_findings(spark, sf_dir), "findings")
     return detect.drop_known(found, found.filter("fragment_id % 2 = 0"), ["rule_id", "path", "start_line", "secret"]).select("rule_id", "path", "start_line", "secret")
 
 
@@ -349,8 +411,8 @@ _COVERED = [Rule("mail", MAIL, ("@",), components=(Component("number", within="2
 )
 def component_covered(spark, sf_dir):
     """Findings that are neither part of a more specific one nor a component of a composite one."""
-    found = detect.with_components(sample_findings(spark, sf_dir), _COVERED, max_sets=100_000)
-    return detect.suppress(found).select("fragment_id", "rule_id", "start", "secret")
+    found = staged(sample_findings(spark, sf_dir), "findings")
+    return detect.suppress(detect.with_components(found, _COVERED), detect.covered_parts(found, _COVERED)).select("fragment_id", "rule_id", "start", "secret")
 
 
 @query("redact_mask_first4", f"SELECT doc_id, token, left(token, 4) || repeat('*', greatest(length(token) - 4, 0)::INT) AS masked FROM ({TOKENS_SQL})")
