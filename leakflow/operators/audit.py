@@ -5,9 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from leakflow.functions.hashing import FIELD_SEPARATOR, chain_hash
 
@@ -38,14 +43,112 @@ def build_chain(rows: DataFrame, key: str, order: str, fields: list[str]) -> Dat
     return sorted_rows.mapInPandas(fold, schema)
 
 
+def _appender(place: str) -> StatefulProcessor:
+    """Goes on with a chain from its last hash and number, which are all that is kept of it. The class is made here so that it travels by value: the process that sets a stream's state up knows nothing of this package."""
+
+    class Appender(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.last = handle.getValueState("last", "number long, row_hash string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            number, last = self.last.get() if self.last.exists() else (0, "")
+            batch = pd.concat(list(rows)).sort_values(place, kind="stable")
+            previous, made = [], []
+            for text in batch["text_"]:
+                previous.append(last)
+                last = hashlib.sha256((last + text).encode()).hexdigest()
+                made.append(last)
+            self.last.update((number + len(made), last))
+            yield batch.drop(columns="text_").assign(number=range(number + 1, number + len(made) + 1), prev_hash=previous, row_hash=made)
+
+        def close(self) -> None:
+            pass
+
+    return Appender()
+
+
+#: State of many keys needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def append_chain(stream: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """A stream's rows with ``number``, ``prev_hash`` and ``row_hash``: each batch goes on with the chains where the ones before ended, also after a restart from the checkpoint.
+
+    Rows of a batch are chained in ``order`` (equal ones as they come), batches
+    as they come. A task holds a chain's rows of one batch, which triggers
+    bound. The session needs STATE_STORE.
+    """
+    text = F.concat(*(F.concat(F.lit(FIELD_SEPARATOR), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in stream.dtypes), "number long, prev_hash string, row_hash string"])
+    return stream.withColumn("text_", text).groupBy(key).transformWithStateInPandas(statefulProcessor=_appender(order), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
 def verify_chain(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """(key, checked, legacy, first_broken): rows without a hash are legacy and skipped; a row is broken if its previous hash isn't that of the row before, or its own doesn't fit its fields."""
-    chained = rows.filter(F.length(F.coalesce("row_hash", F.lit(""))) > 0)
-    before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(key).orderBy(order)), F.lit(""))
-    fits = (F.coalesce("prev_hash", F.lit("")) == before) & (F.col("row_hash") == chain_hash(F.col("prev_hash"), [F.col(f) for f in fields]))
-    checked = chained.withColumn("broken_", ~fits).groupBy(key).agg(F.count("*").alias("checked"), F.min(F.when(F.col("broken_"), F.col(order))).alias("first_broken"))
-    legacy = rows.groupBy(key).agg(F.sum(F.when(F.length(F.coalesce("row_hash", F.lit(""))) > 0, 0).otherwise(1)).cast("long").alias("legacy"))
-    return legacy.join(checked, key, "left").select(key, F.coalesce("checked", F.lit(0)).cast("long").alias("checked"), "legacy", "first_broken")
+    """(key, checked, legacy, first_broken): rows without a hash are legacy and skipped; a row is broken if its previous hash isn't that of the row before, or its own doesn't fit its fields.
+
+    Rows are dealt to ranges of (key, order), so a single chain fills as many
+    tasks as it needs. What each range tells of a chain is a row: its counts,
+    its first broken row, and the hashes at its two ends, which are compared
+    with those of the ranges beside it. A null key is a key; rows of equal
+    order stand in no particular one.
+    """
+    empty = F.lit("")
+    told = rows.select(
+        F.col(f"`{key}`").alias("k"), F.col(f"`{order}`").alias("o"), F.coalesce("prev_hash", empty).alias("before"), F.coalesce("row_hash", empty).alias("own"),
+        F.coalesce(F.col("row_hash") == chain_hash(F.col("prev_hash"), [F.col(f"`{f}`") for f in fields]), F.lit(False)).alias("fits"),
+    )
+    kinds = dict(told.dtypes)
+    dealt = told.repartitionByRange("k", "o").sortWithinPartitions("k", "o")
+    schema = f"k {kinds['k']}, part int, checked long, legacy long, first_o {kinds['o']}, first_before string, last_own string, broken {kinds['o']}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now = TaskContext.get().partitionId(), None
+        for batch in batches:
+            names, (k, o, before, own, fits) = [f.strip().split(" ")[0] for f in schema.split(", ")], batch.columns
+            types = [k.type, pa.int32(), pa.int64(), pa.int64(), o.type, pa.string(), pa.string(), o.type]
+            done = []
+            for first, last in _runs(k):
+                if now is None or now[0] != k[first].as_py():
+                    if now is not None:
+                        done.append(now)
+                    now = [k[first].as_py(), part, 0, 0, None, None, None, None]
+                hashes = own.slice(first, last - first).to_pylist()
+                chained = [i for i, h in enumerate(hashes) if h]
+                now[3] += len(hashes) - len(chained)
+                if not chained:
+                    continue
+                previous = before.slice(first, last - first).to_pylist()
+                good = fits.slice(first, last - first).to_pylist()
+                ends = [now[6], *(hashes[i] for i in chained)]
+                if not now[2]:
+                    now[4], now[5] = o[first + chained[0]].as_py(), previous[chained[0]]
+                    ends[0] = now[5]  # whether it is the one before is told between ranges
+                now[2] += len(chained)
+                now[6] = ends[-1]
+                if now[7] is None:
+                    now[7] = next((o[first + i].as_py() for i, e in zip(chained, ends) if not good[i] or previous[i] != e), None)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=names)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now[i]], t) for i, t in enumerate(types)], names=names)
+
+    ranges = dealt.mapInArrow(run, schema)
+    # a row for each key and range that it lies in: few for one key, as many as ranges at most
+    behind = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    linked = ranges.withColumn("last_before", F.coalesce(F.last("last_own", ignorenulls=True).over(behind), empty))
+    broken = F.least("broken", F.when((F.col("checked") > 0) & (F.col("first_before") != F.col("last_before")), F.col("first_o")))
+    found = linked.groupBy("k").agg(F.sum("checked").alias("checked"), F.sum("legacy").alias("legacy"), F.min(broken).alias("first_broken"))
+    return found.select(F.col("k").alias(key), "checked", "legacy", "first_broken")
+
+
+def _runs(keys: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of each run of equal keys, nulls being equal."""
+    n = len(keys)
+    if not n:
+        return
+    same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False)
+    both = pc.and_(pc.is_null(keys[1:]), pc.is_null(keys[:-1]))
+    starts = [0, *(np.flatnonzero(~pc.or_(same, both).to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+    yield from zip(starts, starts[1:])
 
 
 def tail(rows: DataFrame, order: str, n: int = 20) -> DataFrame:

@@ -73,6 +73,45 @@ def first_introductions(touches: DataFrame, key: str = "oid", date: str = "date"
     return touches.groupBy(key).agg(F.min(F.struct(*carried)).alias("x")).select(key, *(f"x.{c}" for c in carried))
 
 
+def _settled(start: DataFrame, edges: DataFrame, offer, value: str) -> DataFrame:
+    """(tree_oid, ``value``): the least value that reaches each tree along ``edges`` (tree_oid, oid, ..), from ``start`` (tree_oid, ``value``); ``offer`` is what an edge makes of a value.
+
+    A round takes the trees whose value got smaller, each once, whatever
+    number of trees hold them; without such trees it ends, so circles do too.
+    """
+    best = changed = _cut(start.groupBy("tree_oid").agg(F.min(value).alias(value)))
+    while True:
+        offered = changed.join(edges, "tree_oid").groupBy("oid").agg(F.min(offer).alias("offered_")).withColumnRenamed("oid", "tree_oid")
+        changed = _cut(offered.join(best, "tree_oid", "left").filter(F.col(value).isNull() | (F.col("offered_") < F.col(value))).select("tree_oid", F.col("offered_").alias(value)))
+        if changed.isEmpty():
+            return best
+        best = _cut(best.unionByName(changed).groupBy("tree_oid").agg(F.min(value).alias(value)))
+
+
+def tree_introductions(commits: DataFrame, entries: DataFrame) -> DataFrame:
+    """(oid, path, commit, date): each blob with the oldest commit (equal dates by id) whose tree holds it, and its least path there.
+
+    ``commits`` are (oid, tree, date), ``entries`` (tree_oid, name, oid, kind)
+    with kind tree or blob. Dates and commits go down the trees, where a tree
+    that many commits or trees share is one row; nothing lists all paths of
+    all commits. Paths are attached afterwards: what a commit introduces, it
+    holds below trees that it introduces, so only edges between trees of the
+    same commit are followed. Rounds are as many as trees nest. Nulls are no
+    commits, trees or blobs; trees without entries hold nothing.
+    """
+    roots = commits.filter("oid is not null and tree is not null").select(F.col("tree").alias("tree_oid"), F.struct("date", F.col("oid").alias("commit")).alias("first"))
+    known = entries.filter("tree_oid is not null and name is not null and oid is not null")
+    down = known.filter("kind = 'tree'").select("tree_oid", "name", "oid")
+    first = _settled(roots, down.select("tree_oid", "oid").distinct(), F.col("first"), "first")
+    child = first.select(F.col("tree_oid").alias("oid"), F.col("first").alias("own_"))
+    within = _cut(down.join(first, "tree_oid").join(child, "oid").filter("first = own_").select("tree_oid", "oid", "name"))
+    top = roots.join(first.withColumnRenamed("first", "own_"), "tree_oid").filter("first = own_").select("tree_oid", F.lit("").alias("prefix"))
+    prefixes = _settled(top, within, F.concat("prefix", "name", F.lit("/")), "prefix")
+    blobs = known.filter("kind = 'blob'").select("tree_oid", "name", "oid").join(first, "tree_oid").join(prefixes, "tree_oid")
+    found = blobs.groupBy("oid").agg(F.min(F.struct("first", F.concat("prefix", "name").alias("path"))).alias("x"))
+    return found.select("oid", "x.path", "x.first.commit", "x.first.date")
+
+
 def paths_of(listing: DataFrame, ids: DataFrame, longest: int = 64) -> DataFrame:
     """(id, path): paths in ``listing`` (oid, path) of objects named in full or by their beginning in ``ids`` (id), each once.
 
@@ -89,23 +128,58 @@ def paths_of(listing: DataFrame, ids: DataFrame, longest: int = 64) -> DataFrame
 
 
 def expand_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(root, path, oid) of blobs below ``roots`` (root), over ``entries`` (tree_oid, name, oid, kind); one join a level."""
+    """(root, path, oid) of blobs below ``roots`` (root), over ``entries`` (tree_oid, name, oid, kind); one join a level. Trees that nest deeper than ``max_depth`` raise, since their blobs would be missing."""
     level = roots.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("prefix"))
     blobs = None
     for _ in range(max_depth):
         below = _cut(level.join(entries, "tree_oid").select("root", F.concat("prefix", "name").alias("path"), "oid", "kind"))
         if below.isEmpty():
-            break
+            return blobs if blobs is not None else below.select("root", "path", "oid")
         here = below.filter("kind = 'blob'").select("root", "path", "oid")
         blobs = here if blobs is None else blobs.unionByName(here)
         level = below.filter("kind = 'tree'").select("root", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("prefix"))
-    return blobs if blobs is not None else roots.select("root", F.lit("").alias("path"), F.lit("").alias("oid")).limit(0)
+    if not level.isEmpty():
+        raise ValueError(f"trees nest deeper than {max_depth}")
+    return blobs if blobs is not None else entries.select(F.lit("").alias("root"), F.col("name").alias("path"), "oid").filter("false")
+
+
+#: References that share a word of a bitmap.
+WORD = 64
 
 
 def refs_that_hold(refs: DataFrame, parents: DataFrame, holders: DataFrame) -> DataFrame:
-    """(ref, n): refs (ref, oid) from which a commit of ``holders`` (oid) is reached, with how many. Rows keep their ref, so all refs share each round."""
-    seen = _reached(_shortcuts(parents), refs, ["ref", "oid"])
-    return seen.join(holders.select("oid").distinct(), "oid").groupBy("ref").agg(F.count("*").alias("n"))
+    """(ref, n): refs (ref, oid) from which a commit of ``holders`` (oid) is reached, with how many.
+
+    References are numbered, and what reaches a commit is a bitmap, 64 of them
+    a word: rows are commits times words, not commits times references. A
+    round goes on with the words that got new bits, along all jumps.
+    """
+    side, jumps = _shortcuts(parents)
+    numbered = _cut(refs.select("ref").distinct().withColumn("at_", F.monotonically_increasing_id()))
+    # ids of a partition follow each other, so blocks are dense but for the last of each partition
+    numbered = numbered.withColumn("block", F.floor(F.col("at_") / WORD).cast("long")).withColumn("bit", F.pmod("at_", F.lit(WORD)).cast("int"))
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    start = refs.select("ref", "oid").filter("oid is not null").join(numbered, "ref").select("oid", "block", own.alias("bits"))
+    merged = lambda rows: rows.groupBy("oid", "block").agg(F.bit_or("bits").alias("bits"))
+    frontier, seen = merged(start), None
+    while True:
+        for jump in jumps:
+            ahead = frontier.join(jump, "oid").select(F.col("parent").alias("oid"), "block", "bits")
+            frontier = merged(frontier.unionByName(ahead))
+        if seen is None:
+            found = seen = _cut(frontier)
+        else:
+            before = seen.withColumnRenamed("bits", "had")
+            found = _cut(frontier.join(before, ["oid", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))).filter("bits <> 0").select("oid", "block", "bits"))
+            if found.isEmpty():
+                break
+            seen = _cut(merged(seen.unionByName(found)))
+        frontier = merged(found.join(side, "oid").select(F.col("parent").alias("oid"), "block", "bits"))
+        if frontier.isEmpty():
+            break
+    held = seen.join(holders.select("oid").distinct(), "oid").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+    told = held.filter(F.call_function("getbit", F.col("bits"), F.col("bit")) == 1).groupBy("block", "bit").agg(F.count("*").alias("n"))
+    return told.join(numbered, ["block", "bit"]).select("ref", "n")
 
 
 def survivors(parents: DataFrame, pruned: DataFrame) -> DataFrame:

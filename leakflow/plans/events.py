@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leakflow.functions import places
 from leakflow.operators import audit, graph
 from leakflow.plans.registry import query, read
+from leakflow.session import staged
 
 _FIELDS = ["ts", "user_id", "event_type", "value"]
 _NANOS = "cast(floor(value * 1000) as bigint)"
@@ -50,6 +51,40 @@ def hash_chain_verify(spark, sf_dir):
     return audit.verify_chain(touched, "user_id", "event_id", _FIELDS)
 
 
+@query(
+    "hash_chain_one",
+    """WITH e AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id, event_id % 50 = 7 AS legacy FROM events)
+    SELECT 'all' AS chain, count(*) FILTER (NOT legacy)::BIGINT AS checked, count(*) FILTER (legacy)::BIGINT AS legacy, min(event_id) FILTER (event_id % 997 = 500 AND NOT legacy) AS first_broken FROM e""",
+)
+def hash_chain_one(spark, sf_dir):
+    """One chain of all events, some of them from before there were hashes, one in 997 changed afterwards: verified by many tasks."""
+    log = _log(spark, sf_dir).withColumn("chain", F.lit("all"))
+    old = log.filter("event_id % 50 = 7").withColumn("prev_hash", F.lit("")).withColumn("row_hash", F.lit(""))
+    chained = audit.build_chain(log.filter("event_id % 50 <> 7"), "chain", "event_id", _FIELDS).unionByName(old)
+    touched = staged(chained.withColumn("value", F.when(F.col("event_id") % 997 == 500, F.col("value") + 1).otherwise(F.col("value"))), "chain")
+    return audit.verify_chain(touched, "chain", "event_id", _FIELDS)
+
+
+_TURN = "chr(31) || conv_id || chr(31) || turn || chr(31) || coalesce(role, '') || chr(31) || coalesce(text, '')"
+
+
+@query(
+    "chain_append",
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3, turn, role, text) AS n, {_TURN} AS x FROM conversations),
+    c AS (SELECT conv_id, turn, n, '' AS prev_hash, sha256(x) AS row_hash FROM t WHERE n = 1 UNION ALL SELECT t.conv_id, t.turn, t.n, c.row_hash, sha256(c.row_hash || t.x) FROM c JOIN t ON t.conv_id = c.conv_id AND t.n = c.n + 1)
+    SELECT conv_id, turn, n AS number, prev_hash, row_hash FROM c""",
+)
+def chain_append(spark, sf_dir):
+    """Conversations as chains that three runs of a stream append to, each after a restart."""
+    from leakflow.session import new_path
+    from leakflow.streaming import scans
+
+    home = new_path(spark, "append")
+    rows = read(spark, sf_dir, "conversations").withColumn("part", F.col("turn") % 3)
+    rows = rows.withColumn("place", F.concat(F.lpad(F.col("turn").cast("string"), 12, "0"), F.lit(" "), F.coalesce("role", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    return scans.run_in_parts(rows, "part", home, lambda stream: audit.append_chain(stream, "conv_id", "place", ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "number", "prev_hash", "row_hash"), dict([audit.STATE_STORE]))
+
+
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
 def audit_tail(spark, sf_dir):
     return audit.tail(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 20)

@@ -72,6 +72,29 @@ def first_introduction(spark, sf_dir):
     return graph.first_introductions(touches.join(commits, "commit"), more=("path",))
 
 
+_DIRS_SQL = "d AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(lang, '') AS l, (doc_id // 64)::VARCHAR AS b, md5(coalesce(text, '')) AS blob, (doc_id * 37) % 1009 AS date, 'c' || doc_id AS commit FROM documents)"
+
+
+@query(
+    "tree_introductions",
+    f"""WITH {_DIRS_SQL}, roots AS (SELECT 's:' || s AS tree, date, commit FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT 'l:' || s || ':' || l, date, commit FROM d WHERE doc_id % 3 = 1 UNION ALL SELECT 'b:' || s || ':' || l || ':' || b, date, commit FROM d WHERE doc_id % 3 = 2),
+    first AS (SELECT tree, date, commit FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY date, commit) AS rn FROM roots) WHERE rn = 1),
+    held AS (SELECT blob, 's:' || s AS tree, l || '/' || b || '/' || doc_id || '.txt' AS path FROM d UNION ALL SELECT blob, 'l:' || s || ':' || l, b || '/' || doc_id || '.txt' FROM d UNION ALL SELECT blob, 'b:' || s || ':' || l || ':' || b, doc_id || '.txt' FROM d)
+    SELECT blob AS oid, path, commit, date FROM (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY date, commit, path) AS rn FROM held JOIN first USING (tree)) WHERE rn = 1""",
+)
+def tree_introductions(spark, sf_dir):
+    """Documents as files of directories by source, language and number; each is also a commit of one of its directories."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text("source").alias("s"), text("lang").alias("l"), F.expr("cast(doc_id div 64 as string)").alias("b"), F.md5(text("text")).alias("blob"))
+    source, lang, bucket = F.concat(F.lit("s:"), "s"), F.concat_ws(":", F.lit("l"), "s", "l"), F.concat_ws(":", F.lit("b"), "s", "l", "b")
+    own = F.when(F.col("doc_id") % 3 == 0, source).when(F.col("doc_id") % 3 == 1, lang).otherwise(bucket)
+    commits = docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("oid"), own.alias("tree"), (F.col("doc_id") * 37 % 1009).alias("date"))
+    entry = lambda tree, name, oid, kind: docs.select(tree.alias("tree_oid"), name.alias("name"), oid.alias("oid"), F.lit(kind).alias("kind"))
+    trees = entry(source, F.col("l"), lang, "tree").unionByName(entry(lang, F.col("b"), bucket, "tree")).distinct()
+    blobs = entry(bucket, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("blob"), "blob")
+    return graph.tree_introductions(commits, trees.unionByName(blobs))
+
+
 @query(
     "tree_expand",
     """SELECT 'root' AS root, r_name || '/' || n_name || '/' || c_name AS path, 'c' || c_custkey AS oid

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +102,34 @@ def scan_new(stream: DataFrame, cache_path: str, sink: Callable[[DataFrame, int]
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _parts(rows: DataFrame, part: str, home: str) -> Iterator[DataFrame]:
+    """A stream for each ``part`` (a number) of ``rows``, which sees that part and the ones before: with one checkpoint, each goes on where the one before stopped."""
+    rows.repartition(part).write.partitionBy(part).parquet(f"{home}/in")
+    numbers = sorted(r[0] for r in rows.select(part).distinct().collect())
+    for i in range(len(numbers)):
+        yield stream_table(rows.sparkSession, f"{home}/in/{part}={{{','.join(map(str, numbers[: i + 1]))}}}", rows.drop(part).schema)
+
+
+def run_in_parts(rows: DataFrame, part: str, home: str, transform: Callable[[DataFrame], DataFrame], settings: dict[str, str] | None = None) -> DataFrame:
+    """What ``transform`` makes of a stream of ``rows`` that comes a ``part`` at a time, each in a run of its own. ``settings`` hold while it runs."""
+    spark = rows.sparkSession
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        for stream in _parts(rows, part, home):
+            made = transform(stream)
+            made.writeStream.format("parquet").option("checkpointLocation", f"{home}-checkpoint").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(made.schema).parquet(f"{home}/out")
+
+
 def scan_in_batches(frags: DataFrame, part: str, rules: list[Rule] | tuple[Rule, ...] = BUILTIN) -> DataFrame:
     """Findings of fragments that a stream takes a ``part`` (a number) at a time. Fragments, cache, findings and checkpoint lie in the shared folder."""
     spark = frags.sparkSession
     home = new_path(spark, "batches")
-    frags.repartition(part).write.partitionBy(part).option("maxRecordsPerFile", 0).parquet(f"{home}/in")
-    numbers = sorted(r[0] for r in frags.select(part).distinct().collect())
-    plain = frags.drop(part)
-    checkpoint = f"{home}-checkpoint"
-    for n in numbers:  # a run of the stream for each part: it goes on where the one before stopped
-        source = stream_table(spark, f"{home}/in/{part}={{{','.join(map(str, [m for m in numbers if m <= n]))}}}", plain.schema)
-        scan_new(source, f"{home}/cache", lambda found, k: found.write.mode("overwrite").parquet(f"{home}/out/batch={k}"), checkpoint, rules).awaitTermination()
+    for source in _parts(frags, part, home):
+        scan_new(source, f"{home}/cache", lambda found, k: found.write.mode("overwrite").parquet(f"{home}/out/batch={k}"), f"{home}-checkpoint", rules).awaitTermination()
     return spark.read.option("basePath", f"{home}/out").parquet(f"{home}/out").drop("batch")
