@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leakflow.functions import places
-from leakflow.operators import detect, graph, rewrite
+from leakflow.functions import masking, places
+from leakflow.operators import detect, graph, rewrite, scrub
 from leakflow.plans.registry import query, read
+from leakflow.sources import fastexport
 
 #: A graph with merges: node k has the parents k/2 and k/3.
 _EDGES_SQL = "edges AS (SELECT DISTINCT oid, parent FROM (SELECT p_partkey AS oid, p_partkey // 2 AS parent FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part) WHERE parent > 0)"
@@ -151,6 +152,34 @@ def prune_survivors(spark, sf_dir):
     return graph.survivors(parents, part.filter("k % 3 <> 1").select(F.col("k").cast("string").alias("oid")))
 
 
+@query(
+    "scrub_plan",
+    """WITH d AS (SELECT 's' || coalesce(source, '') AS stream, doc_id, coalesce(lang, 'xx') AS lang, coalesce(text, '') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    f AS (SELECT *, doc_id % 5 <> 0 AS had, doc_id % 5 <> 0 AND lang = 'fr' AS emptied, doc_id % 5 = 0 AND n > 1 AS follows FROM d),
+    g AS (SELECT *, CASE WHEN follows THEN last_value(CASE WHEN NOT follows THEN emptied END IGNORE NULLS) OVER w ELSE emptied END AS pruned FROM f WINDOW w AS (PARTITION BY stream ORDER BY n)),
+    h AS (SELECT *, sum(CASE WHEN pruned THEN 0 WHEN had THEN 2 ELSE 1 END) OVER (PARTITION BY stream ORDER BY n)::BIGINT AS mark FROM g),
+    p AS (SELECT *, last_value(CASE WHEN NOT pruned THEN mark END IGNORE NULLS) OVER (PARTITION BY stream ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM h)
+    SELECT stream, 2 * n AS seq, CASE WHEN pruned THEN 'reset' ELSE 'commit' END AS kind, CASE WHEN NOT pruned THEN mark END AS mark, ':' || parent AS parent, CASE WHEN had AND NOT pruned THEN CASE lang WHEN 'en' THEN 'english' ELSE lang END || '/' || doc_id || '.txt' END AS path, NULL::VARCHAR AS digest FROM p WHERE NOT pruned OR parent IS NOT NULL
+    UNION ALL SELECT stream, 2 * n - 1, 'blob', mark - 1, NULL, NULL, md5(CASE WHEN contains(t, chr(0)) THEN t ELSE replace(t, ' the ', ' *** ') END) FROM p WHERE had AND NOT pruned""",
+)
+def scrub_plan(spark, sf_dir):
+    """Documents as the history of each source: a blob and a commit each, some of them empty; one language goes, one directory is renamed, a word is replaced."""
+    text = lambda c, x: F.coalesce(c, F.lit(x))
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("s"), text("source", "")).alias("stream"), "doc_id", text("lang", "xx").alias("lang"), F.encode(text("text", ""), "utf-8").alias("data"))
+    n, whole = F.col("n"), lambda x: x.cast("string")
+    numbered = scrub.dense_numbers(docs, "stream", "doc_id", "n")
+    change = F.struct(F.lit("M").alias("kind"), F.lit("100644").alias("mode"), F.concat(F.lit(":"), whole(2 * n - 1)).alias("ref"), F.concat("lang", F.lit("/"), whole(F.col("doc_id")), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("new_path"))
+    changes = F.when(F.col("doc_id") % 5 != 0, F.array(change)).otherwise(F.array().cast(fastexport.CHANGES))
+    given = {"stream": F.col("stream")}
+    blob = given | {"seq": 2 * n - 1, "kind": F.lit("blob"), "mark": 2 * n - 1, "data": F.col("data")}
+    commit = given | {"seq": 2 * n, "kind": F.lit("commit"), "mark": 2 * n, "name": F.lit("refs/heads/main"), "committer": F.lit("A <a@b> 1 +0000"), "parent": F.when(n > 1, F.concat(F.lit(":"), whole(2 * n - 2))), "changes": changes}
+    row = lambda values: numbered.select(*(values.get(c.split(" ")[0], F.lit(None)).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in fastexport.RECORDS.split(", ")))
+    rules = rewrite.parse_path_rules(["en/==>english/"])
+    path_of = lambda p: F.when(~p.startswith("fr/"), rewrite.new_path(p, rules))
+    made = scrub.scrub(row(blob).unionByName(row(commit)), lambda t: masking.replace_text(t, [(" the ", " *** ")]), path_of)
+    return made.select("stream", "seq", "kind", "mark", "parent", F.get("changes", F.lit(0))["path"].alias("path"), F.md5("data").alias("digest"))
+
+
 @query("plan_stats", "SELECT count(DISTINCT l_partkey)::BIGINT AS n_blobs, count(DISTINCT l_orderkey)::BIGINT AS n_commits FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def plan_stats(spark, sf_dir):
     blobs = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("oid"), F.col("l_orderkey").alias("commit"), F.array("l_suppkey").alias("secrets"))

@@ -167,7 +167,7 @@ def serialized(records: DataFrame) -> DataFrame:
 
 def replace_blobs(records: DataFrame, text_of: Callable[[Column], Column]) -> DataFrame:
     """Records whose text blobs went through ``text_of``; blobs with a NUL stay as they are."""
-    binary = F.exists(F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1)), lambda b: b == "00") | ~F.is_valid_utf8(F.col("data").cast("string"))
+    binary = F.contains(F.decode("data", "iso-8859-1"), F.lit("\0")) | ~F.is_valid_utf8(F.col("data").cast("string"))
     return records.withColumn("data", F.when(F.col("data").isNotNull() & ~binary, F.encode(text_of(F.col("data").cast("string")), "utf-8")).otherwise(F.col("data")))
 
 

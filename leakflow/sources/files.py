@@ -39,7 +39,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = 10 << 20, skippe
 
 def is_binary(content: Column, sniff: int = SNIFF) -> Column:
     """A NUL among the first bytes."""
-    return F.contains(F.hex(F.substring(content, 1, sniff)), F.lit("00")) & F.exists(F.regexp_extract_all(F.hex(F.substring(content, 1, sniff)), F.lit("(..)"), F.lit(1)), lambda b: b == "00")
+    return F.contains(F.decode(F.substring(content, 1, sniff), "iso-8859-1"), F.lit("\0"))
 
 
 def chunk_bytes(data: bytes, size: int = CHUNK, ahead: int = AHEAD) -> Iterator[tuple[int, bytes]]:
