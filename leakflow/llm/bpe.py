@@ -326,7 +326,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for each row of ``docs``.
 
     A null text counts as an empty one: no bytes, no tokens. Repeated rows
-    each return a row, and null ids stay null. ``path`` is a vocabulary file
+    each return a row, and null ids stay null; an empty table returns none.
+    Very long texts are cut between pre-tokens and read in pieces. ``path`` is a vocabulary file
     that every executor has.
     """
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id_"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text_"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakflow.llm.staging import stage
+from leakflow.llm.staging import join_by_count, stage
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u long, v long) undirected -> (node, root): each node that has an edge with the smallest node it reaches.
 
     Loops, repeated edges and null ends are ignored. The rounds are joins on
-    narrow rows; each round's edges are staged, so a lost executor repeats one
+    narrow rows, of which the edges of a node with very many neighbours aren't
+    shuffled; each round's edges are staged, so a lost executor repeats one
     round at most. The number of rounds grows with the logarithm of the
     longest path.
     """
@@ -29,12 +30,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_count(both.filter("v > u"), least, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        linked = join_by_count(large, least, ["u"], "n", 2 * seen[0])
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stage(small.filter("u <> v").distinct(), "edges")
         found = _digest(now)

@@ -234,7 +234,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Null and wordless texts have no words and no hits; items without words
     never hit. Repeated rows each return a row; items that share an id are
     one item, and an item whose id is null hits words but is not listed.
-    Without documents the result is empty, without items nothing hits.
+    Without documents the result is empty, without items nothing hits. Texts
+    of any length are read as a whole, one Arrow batch at a time.
     """
     rows, hits, owners = find_hits(docs, benchmark, [doc_id], window)
     spans = hits.groupBy("row_id_").agg(F.sort_array(F.collect_set(F.struct("at", "n_words"))).alias("spans"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakflow.llm.staging import stage, with_row_id
+from leakflow.llm.staging import join_by_count, stage, with_row_id
 
 #: log2 of a sketch's buckets; the standard error is 1.04 / sqrt(2 ** 12) = 1.6 %.
 LG_K = 12
@@ -29,16 +29,16 @@ def line_key(line: Column) -> Column:
 
 
 def shared_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """(h1, h2) of lines that at least ``min_sites`` distinct sites have, from rows (h1, h2, site)."""
+    """(h1, h2, n) of lines that at least ``min_sites`` distinct sites have, with how many rows they have, from rows (h1, h2, site)."""
     sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("n"))
     # a line has no more sites than occurrences
-    estimated = sketches.filter(F.col("n") >= min_sites).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
+    estimated = sketches.filter(F.col("n") >= min_sites).select("h1", "h2", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, NEAR * min_sites)
     estimated = stage(estimated.filter(F.col("sites") >= min_sites - margin), "estimated")
-    sure = estimated.filter(F.col("sites") > min_sites + margin).select("h1", "h2")
-    near = estimated.filter(F.col("sites") <= min_sites + margin).select("h1", "h2")
-    counted = lines.join(near, ["h1", "h2"], "left_semi").filter(F.col("site").isNotNull()).groupBy("h1", "h2", "site").agg(F.count("*"))
-    exact = counted.groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites).select("h1", "h2")
+    sure = estimated.filter(F.col("sites") > min_sites + margin).select("h1", "h2", "n")
+    near = estimated.filter(F.col("sites") <= min_sites + margin).select("h1", "h2", "n")
+    counted = join_by_count(lines, near, ["h1", "h2"], "n", lines.count()).filter(F.col("site").isNotNull()).groupBy("h1", "h2", "site").agg(F.first("n").alias("n"))
+    exact = counted.groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("n").alias("n")).filter(F.col("sites") >= min_sites).select("h1", "h2", "n")
     return sure.unionByName(exact)
 
 
@@ -71,7 +71,7 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = 5, doc_id: str = "doc_id
     keys = F.transform(F.filter(_lines(F.col("text_")), lambda x: F.trim(x) != ""), line_key)
     lines = stage(staged.select("row_id_", F.col("site_").alias("site"), F.explode(F.array_distinct(keys)).alias("key")).select("row_id_", "site", "key.*"), "lines")
     shared = shared_lines(lines.select("h1", "h2", "site"), min_sites)
-    flagged = lines.join(shared, ["h1", "h2"]).groupBy("row_id_").agg(F.collect_set(F.struct("h1", "h2")).alias("flags_")).select("row_id_", _buckets(F.col("flags_")).alias("flags_"))
+    flagged = join_by_count(lines.select("row_id_", "h1", "h2"), stage(shared, "shared"), ["h1", "h2"], "n", lines.count()).groupBy("row_id_").agg(F.collect_set(F.struct("h1", "h2")).alias("flags_")).select("row_id_", _buckets(F.col("flags_")).alias("flags_"))
     kept = F.filter(_lines(F.col("text_")), lambda x: ~_in_buckets(F.col("flags_"), line_key(x)) | (F.trim(x) == ""))
     all_lines = F.coalesce(F.size(_lines(F.col("text_"))), F.lit(0))
     n_lines = F.when(F.col("text_").isNull(), 0).otherwise(all_lines).cast("long")

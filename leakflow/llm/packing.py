@@ -81,7 +81,9 @@ def pack(docs: DataFrame, path: str, length: int = 2048, pad_id: int = 0, doc_id
     Each task packs what it reads in blocks of ``block_tokens``, so that no
     shuffle is needed and memory is bounded. A null or empty text has no token
     and is in no row; repeated rows are packed each; special tokens' strings
-    in a text are ordinary text.
+    in a text are ordinary text. Of equally long pieces the one that was read
+    first is packed first, and of equally full rows the one that was opened
+    first takes a piece. An empty table has no rows.
     """
     source = docs.select(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
     id_type, id_name = source.schema[0].dataType, source.dtypes[0][1]

@@ -203,7 +203,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
     held_out: crc32(doc_id as text) is divisible by 5 (a null id: not); such
     rows never teach. Null and empty texts are scored by their statistics,
-    which are zeros. Repeated rows each return a row. Without usable labels
+    which are zeros; very long ones are scored as a whole. Repeated rows each
+    return a row. Without usable labels
     every score is 0.5; with labels of one kind it is near that kind.
     """
     model = fit(labelled_sample(docs, labels, max_rows, doc_id))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.llm.components import connected_components
-from leakflow.llm.staging import arrow_rows, carried, restored, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, join_by_count, restored, stage, with_row_id
 
 SEED = 42
 #: A-Z to a-z; other bytes stay.
@@ -178,8 +178,10 @@ def links(nodes: DataFrame, words: int, radius: int, pivots: int = 16, parts: in
         flips = [0, *(1 << i for i in range(63)), -(1 << 63)]
         middles = hot.select("row_id", F.explode(F.array(*(F.col("fp0").bitwiseXOR(F.lit(x)) for x in flips))).alias("middle"))
         groups = middles.groupBy("middle").agg(F.sort_array(F.collect_list("row_id")).alias("ids")).filter(F.size("ids") > 1)
-        stars = groups.select(F.col("ids")[0].alias("v"), F.explode(F.slice("ids", 2, 64)).alias("u")).select("u", "v")
-        return pairs.unionByName(stars)
+        stars = groups.select(F.col("ids")[0].alias("v"), F.explode(F.slice("ids", 2, 64)).alias("u")).distinct()
+        # the tables and the exact distance decide these candidates too
+        told = stars.join(wide.alias("a"), F.col("a.row_id") == F.col("u")).join(wide.alias("b"), F.col("b.row_id") == F.col("v"))
+        return pairs.unionByName(told.filter(within("a", "b", words, pivots, radius)).select("u", "v"))
     a, b = (small.select("k", "bits", "row_id").alias(x) for x in "ab")
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.row_id") < F.col("b.row_id")))
     pairs = pairs.select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
@@ -228,15 +230,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     Null or wordless texts have fingerprint zero and are linked like any
     other. A null doc_id stays null and never is a component_id unless the
     component has no other; repeated rows each return a row. An empty table
-    gives an empty result. Other columns of ``docs`` are not read.
+    gives an empty result. Very long texts are hashed in pieces of about a
+    megabyte. Other columns of ``docs`` are not read.
     """
     rows = fingerprints(docs, text, shingle, 1, [doc_id])
-    fps = stage(rows.groupBy("fp0").agg(F.min("row_id").alias("row_id"), F.min("c0").alias("least")), "nodes")
+    fps = stage(rows.groupBy("fp0").agg(F.min("row_id").alias("row_id"), F.min("c0").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(links(fps.select("row_id", "fp0"), 1, radius))
-    rooted = fps.join(roots, fps.row_id == roots.node, "left").select("fp0", "least", F.coalesce("root", "row_id").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(best, "root").select("fp0", "component_id")
-    return rows.join(named, "fp0").select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = stage(fps.join(roots, fps.row_id == roots.node, "left").select("fp0", "least", "n", F.coalesce("root", "row_id").alias("root")), "rooted")
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_by_count(rooted, best, ["root"], "members", rooted.count()).select("fp0", "n", "component_id")
+    return join_by_count(rows, named, ["fp0"], "n", rows.count()).select(F.col("c0").alias(doc_id), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def radius_for(similarity: float, words: int) -> int:

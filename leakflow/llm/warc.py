@@ -103,6 +103,10 @@ def _headers(raw: bytes) -> tuple[bytes, dict[str, str]]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8", "replace").partition(":") for line in rest)}
 
 
+#: The longest header that is read. Names of records can be as long as a text, so this only stops what isn't an archive.
+HEADER_BYTES = 1 << 28
+
+
 class _Member:
     """Inflated bytes of one gzip member, on demand."""
 
@@ -124,8 +128,10 @@ class _Member:
             self.waiting = self.inflater.unused_data
         return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.held.find(mark)) < 0:
+    def until(self, mark: bytes, limit: int = HEADER_BYTES) -> bytes:
+        looked = 0
+        while (at := self.held.find(mark, looked)) < 0:
+            looked = max(0, len(self.held) - len(mark) + 1)
             if len(self.held) > limit or not self.more():
                 raise ValueError("a header has no end")
         found, self.held = self.held[:at], self.held[at + len(mark) :]
@@ -272,7 +278,8 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, path: str | None = None, pa
     A null html is an empty payload, and a null url leaves out the target.
     Of equal payloads the largest page_id is the response; rows that repeat
     that id are responses too, and a page without an id revisits it. An empty
-    table writes no archive and returns no row.
+    table writes no archive and returns no row. Payloads are read in pieces,
+    urls of any length up to HEADER_BYTES as a whole.
     """
     spark: SparkSession = pages.sparkSession
     path = path or new_path(spark, "warc")

@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from leakflow.llm import contentsort, hardneg, vectorcode
+from leakflow.llm import contentsort, decontaminate, hardneg, linespread, quality, simhash, staging, vectorcode, warc
+from leakflow.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string"
 CLASH = ["row_id", "id_", "t_", "d_", "u_", "keep_", "n_", "first_", "part_", "border_", "edge_", "keep_id", "group_size", "kept", "text_sha256", "c0", "c1", "v", "x", "code", "error", "label_error", "shard", "rank"]
@@ -169,3 +170,58 @@ def test_bounds_hold_and_leave_most_rows_out():
     assert (low <= exact).all() and (exact <= high).all()
     kth = np.sort(low, axis=1)[:, -10:-9]
     assert (high >= kth).mean() < 0.15  # random directions are the hardest case
+
+
+# --- hot keys, and texts beyond one piece
+
+
+def test_joins_of_hot_keys_are_joins(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 2, 3, i]), i) for i in range(3000)]
+    table = spark.createDataFrame(rows, "k long, i long")
+    counts = table.groupBy("k").count().withColumnRenamed("count", "n")
+    want = sorted(map(tuple, table.join(counts, "k").collect()))
+    for least in (1, 300, 10**9):
+        monkeypatch.setattr(staging, "HOT_ROWS", least)
+        assert sorted(map(tuple, staging.join_by_count(table, counts, ["k"], "n", 3000).collect())) == want
+
+
+def test_a_star_of_many_nodes(spark):
+    edges = [(0, i) for i in range(1, 4000)] + [(5000 + i, 9000) for i in range(3000)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 4000)} | {i: 5000 for i in [*range(5001, 8000), 9000]}
+
+
+def test_equal_fingerprints_and_a_line_that_all_texts_have(spark):
+    n = 50_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id % 3 = 0, ' ', concat('the same line\nown ', id)) AS text", "concat('s', id % 7) AS source")
+    got = simhash.components(docs.filter("doc_id % 3 = 0 or doc_id < 30")).groupBy("component_id").count().collect()
+    assert max(got, key=lambda r: r["count"])["component_id"] == 0 and max(r["count"] for r in got) >= n // 3
+    lines = linespread.drop_shared_lines(docs, 5).agg({"n_removed": "sum"}).first()[0]
+    assert lines == n - len(range(0, n, 3))
+
+
+def test_very_long_texts(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    filler = " ".join(f"w{i}" for i in range(300_000))  # over two pieces of 1 MB
+    docs = spark.createDataFrame([(1, filler + " " + item, "en"), (2, filler + " " + item + " end", "en"), (3, "A" * 3_000_000, "en"), (4, filler[:500], "en")], DOCS)
+    items = spark.createDataFrame([("i1", item)], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (300_012, 12), 2: (300_013, 12), 3: (1, 0), 4: (len(filler[:500].split()), 0)}
+    whole = simhash.text_fingerprint(docs.first()["text"], 3)
+    words = (filler + " " + item).split()
+    import xxhash
+
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)], dtype=np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    assert whole == [want]
+    parts = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).collect()}
+    assert parts[1] == parts[2] == 1 and parts[3] == 3
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in quality.quality_scores(docs, labels).collect())
+
+
+def test_very_long_urls_are_read_back(spark):
+    pages = spark.createDataFrame([(1, "https://h/" + "x" * 3_000_000, "<p>"), (2, "https://h/y", "<p>")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], len(r["url"])) for r in warc.round_trip(pages, min_bytes=0).collect()}
+    assert got[1] == ("revisit", 2, 3_000_010) and got[2][0] == "response"
