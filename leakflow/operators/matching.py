@@ -62,24 +62,23 @@ class Patterns:
         return self._choose(use, self.number, 0, n)
 
 
-def _pieces(text: Column, rx: Column, whole: Column) -> Column:
-    """The text before each match, from where the match before ends."""
-    return F.slice(F.split(text, rx, -1), 1, F.size(whole))
-
-
 def spans(text: Column, pattern: Column | str, group: Column | int = 0) -> Column:
     """array<struct<start, end, match, secret>> in code points, left to right.
 
     A match ends after the pieces between matches and the matches up to it.
-    The secret is the group, or for group 0 the whole match.
+    The secret is the group, or for group 0 the whole match. A text without
+    matches is read once.
     """
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    part = whole if isinstance(group, int) and not group else F.regexp_extract_all(text, rx, F.lit(group) if isinstance(group, int) else group)
-    sizes = F.zip_with(_pieces(text, rx, whole), whole, lambda p, m: F.length(p) + F.length(m))
-    rows = F.arrays_zip(running(sizes, F.lit(0), lambda a, b: a + b).alias("end"), whole.alias("match"), part.alias("secret"))
-    made = F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), r["secret"].alias("secret")))
-    return F.when(F.rlike(text, rx), made.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def made(whole: Column) -> Column:
+        part = whole if isinstance(group, int) and not group else F.regexp_extract_all(text, rx, F.lit(group) if isinstance(group, int) else group)
+        sizes = F.zip_with(F.slice(F.split(text, rx, -1), 1, F.size(whole)), whole, lambda p, m: F.length(p) + F.length(m))
+        rows = F.arrays_zip(running(sizes, F.lit(0), lambda a, b: a + b).alias("end"), whole.alias("match"), part.alias("secret"))
+        found = F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"), r["secret"].alias("secret")))
+        return F.when(F.size(whole) > 0, found.cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return F.coalesce(named(F.regexp_extract_all(text, rx, F.lit(0)), made), F.array().cast(f"array<{SPAN}>"))
 
 
 def _extent(part: Column) -> Column:
