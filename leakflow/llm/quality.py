@@ -40,7 +40,8 @@ _SALT = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.
 
 STATISTICS = ["log_bytes", "upper", "digits", "blanks", "lines", "points", "symbols", "log_words", "word_length", "distinct", "repeated", "runs", "odd_ends", "no_letters", "word_line"]
 STATISTICS_TYPE = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
-_CHUNK = 1 << 21
+#: Bytes of texts whose statistics are made at a time: some fifty bytes of arrays for each.
+_CHUNK = 1 << 19
 
 
 def text_statistics(texts: pa.Array) -> np.ndarray:
