@@ -49,14 +49,19 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 #: A key is hot if more rows than this share of all have it; so there are no more hot keys than this number.
 HOT_SHARE, HOT_ROWS = 100_000, 256
+#: So many narrow rows fit a task even if one key has them all.
+TASK_ROWS = 1 << 20
 
 
 def join_by_count(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """``rows`` with the row of ``table`` that has their key. ``table`` has a row a key, and in ``n`` how many of the ``total`` rows have it at most.
 
     Rows of hot keys stay where they are: what ``table`` has of these keys is
-    broadcast, HOT_SHARE rows at most. Only the others are shuffled.
+    broadcast, HOT_SHARE rows at most. Only the others are shuffled. Where all
+    rows together would fit a task, no key needs this.
     """
+    if total <= TASK_ROWS:
+        return rows.join(table, on)
     often = max(HOT_ROWS, total // HOT_SHARE)
     hot = F.broadcast(table.filter(F.col(n) > often))
     cold = table.filter(F.col(n) <= often)

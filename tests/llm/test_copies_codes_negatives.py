@@ -181,12 +181,15 @@ def test_joins_of_hot_keys_are_joins(spark, monkeypatch):
     table = spark.createDataFrame(rows, "k long, i long")
     counts = table.groupBy("k").count().withColumnRenamed("count", "n")
     want = sorted(map(tuple, table.join(counts, "k").collect()))
+    monkeypatch.setattr(staging, "TASK_ROWS", 0)
     for least in (1, 300, 10**9):
         monkeypatch.setattr(staging, "HOT_ROWS", least)
         assert sorted(map(tuple, staging.join_by_count(table, counts, ["k"], "n", 3000).collect())) == want
 
 
-def test_a_star_of_many_nodes(spark):
+@pytest.mark.parametrize("task_rows", [0, 1 << 20])
+def test_a_star_of_many_nodes(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(staging, "TASK_ROWS", task_rows)
     edges = [(0, i) for i in range(1, 4000)] + [(5000 + i, 9000) for i in range(3000)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 4000)} | {i: 5000 for i in [*range(5001, 8000), 9000]}
