@@ -137,6 +137,29 @@ def events_by_hour(spark, sf_dir):
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
+_DAYS = 9
+_COMES_SQL = f"""e AS (SELECT *, (epoch(ts)::BIGINT // 86400) // {_DAYS} AS block FROM events), b AS (SELECT max(block) AS last FROM e), c AS (SELECT e.*, CASE WHEN event_id % 50 = 7 THEN last ELSE block END AS part, last FROM e, b),
+    w AS (SELECT coalesce(max(ts) FILTER (part < last), TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR AS late, max(ts) - INTERVAL 2 HOUR AS done FROM c)"""
+
+
+@query(
+    "event_windows",
+    f"""WITH {_COMES_SQL}, h AS (SELECT *, date_trunc('hour', ts) AS window_start FROM c) SELECT window_start, event_type, count(*)::BIGINT AS n FROM h, w
+    WHERE window_start + INTERVAL 1 HOUR <= done AND NOT (event_id % 50 = 7 AND window_start + INTERVAL 1 HOUR <= late) GROUP BY ALL""",
+)
+def event_windows(spark, sf_dir):
+    """Events that a stream takes some days at a time, one in fifty only with the last of them: windows are closed by the watermark, and rows that come too late don't count."""
+    from leakflow.session import new_path
+    from leakflow.streaming import scans
+
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    block = F.expr(f"cast(unix_seconds(ts) div 86400 div {_DAYS} as int)")
+    last = events.agg(F.max(block)).first()[0]
+    comes = events.select("ts", "event_type", F.when(F.col("event_id") % 50 == 7, F.lit(last)).otherwise(block).alias("part"))
+    made = scans.run_in_parts(comes, "part", new_path(spark, "windows"), lambda s: scans.windowed_counts(s, "ts", "event_type"))
+    return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
 @query("streaming_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def streaming_dedupe(spark, sf_dir):
     """First events of each user and type, found by a stream over the table; rows and checkpoint lie in the shared folder."""

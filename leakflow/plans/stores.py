@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from leakflow.functions import places
 from leakflow.plans.registry import query, read
 from leakflow.session import new_path, staged
-from leakflow.sources import fastexport, files, objects
+from leakflow.sources import fastexport, files, objects, ranges
 
 
 def _written(rows: DataFrame, label: str, build: Callable[[list[tuple], str], Iterator[tuple[str, bytes]]], folder: str = "") -> str:
@@ -249,6 +249,25 @@ def object_commits(spark, sf_dir):
     return objects.commits(_read_back(made.select(body.alias("body")), "commit")).withColumn("parents", F.array_join("parents", " "))
 
 
+# --- large files
+
+
+@query(
+    "file_ranges",
+    """SELECT coalesce(source, 'none') AS file, doc_id, (1 + coalesce(sum(length(t) - length(replace(t, chr(10), '')) + 3) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line
+    FROM (SELECT source, doc_id, coalesce(text, '') AS t FROM documents)""",
+)
+def file_ranges(spark, sf_dir):
+    """The documents of each source as one file, read by ranges: on which line of its file each begins."""
+    docs = read(spark, sf_dir, "documents")
+    home = new_path(spark, "large")
+    rows = docs.select(F.coalesce("source", F.lit("none")).alias("s"), "doc_id", F.concat(F.lit("#doc:"), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))
+    rows.repartition("s").sortWithinPartitions("s", "doc_id").select("s", "value").write.partitionBy("s").text(home)
+    chunks = ranges.range_fragments(spark, home, size=40_000, ahead=10_000, chunks=8)
+    lines = chunks.select("path", "start_line", F.posexplode(F.split("raw", "\n", -1)).alias("at", "x")).filter(F.col("x").rlike("^#doc:[0-9]+$"))
+    return lines.select(F.regexp_extract("path", "/s=([^/]*)/", 1).alias("file"), F.substr("x", F.lit(6)).cast("long").alias("doc_id"), (F.col("start_line") + F.col("at")).alias("line"))
+
+
 # --- staging index and references
 
 

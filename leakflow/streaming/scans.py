@@ -26,8 +26,20 @@ def first_seen(stream: DataFrame, keys: list[str], event_time: str | None = None
 
 
 def windowed_counts(stream: DataFrame, event_time: str, key: str, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Rows for each window and key; late rows count until the delay."""
-    return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+    """(window_start, key, n): rows for each window and key.
+
+    The watermark is the latest event time of the batches before, less
+    ``delay``. A window that ends at or before it is given out, once, and
+    forgotten; rows that come for such a window are late and don't count.
+    """
+    counted = stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w"), key).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("window_start"), key, "n")
+
+
+def session_counts(stream: DataFrame, event_time: str, key: str, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """(session_start, session_end, key, n): rows of each key that follow each other within ``gap``; a session ends a gap after its last row. Late rows are those of ``windowed_counts``."""
+    counted = stream.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
 
 
 #: What the cache holds of a finding: places and numbers, no byte of a secret.
