@@ -89,14 +89,14 @@ def scrub(records: DataFrame, text_of: Callable[[Column], Column] | None = None,
     that stays, and resets and tags of which nothing stays go. Blobs that no
     change names any more go too. Marks are numbered anew, without gaps, in
     the order of each stream. Parents have to be named, as exporters do; a
-    reference that isn't a mark of the stream stays as it is.
+    reference that isn't a mark of the stream stays as it is. Records are read
+    twice, once without what their blobs hold, which is shuffled once.
     """
-    had = staged(records.withColumn("had_", F.coalesce(F.size("changes"), F.lit(0)) > 0), "records")
-    changed = had if text_of is None else fastexport.replace_blobs(had, text_of)
-    changed = changed if path_of is None else fastexport.rename_changes(changed, path_of)
+    # what blobs hold stays out of all that follows, until it is known which of them stay
+    had = records.drop("data").withColumn("had_", F.coalesce(F.size("changes"), F.lit(0)) > 0)
+    changed = staged(had if path_of is None else fastexport.rename_changes(had, path_of), "records")
     own = _named(F.concat(F.lit(":"), F.col("mark").cast("string")))
     refs = F.array_compact(F.concat(F.array("parent"), F.coalesce("merges", F.array().cast("array<string>"))))
-    # what other records are needed for has no data and no changes
     heads = staged(changed.select("stream", "seq", "kind", "mark", own.alias("oid"), "had_", (F.coalesce(F.size("changes"), F.lit(0)) == 0).alias("is_empty"), refs.alias("refs")), "heads")
     pointed = heads.select("stream", "seq", "kind", F.coalesce("oid", F.concat("stream", F.lit(f"{_AT}seq "), F.col("seq").cast("string"))).alias("oid"), F.posexplode("refs").alias("pos", "r")).withColumn("ref", _named(F.col("r"))).drop("r")
     commits = heads.filter("kind = 'commit' and oid is not null").select("oid", F.col("had_").alias("had_changes"), "is_empty")
@@ -125,6 +125,10 @@ def scrub(records: DataFrame, text_of: Callable[[Column], Column] | None = None,
     out = kept.drop("changes", "parent", "merges").join(marks.select("stream", "seq", "new_mark"), ["stream", "seq"], "left").join(parents, ["stream", "seq"], "left").join(lists, ["stream", "seq"], "left")
     made = {
         "mark": F.col("new_mark"), "parent": F.get("parents_", F.lit(0)), "merges": F.coalesce(F.slice("parents_", 2, F.greatest(F.size("parents_"), F.lit(1))), F.array().cast("array<string>")),
-        "changes": F.coalesce("changes_", F.array().cast(fastexport.CHANGES)), "message": marked("message"), "original_oid": marked("original_oid"),
+        "changes": F.coalesce("changes_", F.array().cast(fastexport.CHANGES)), "data": F.lit(None).cast("binary"), "message": marked("message"), "original_oid": marked("original_oid"),
     }
-    return out.select(*(made.get(n, F.col(n)).alias(n) for n in records.columns))
+    told = staged(out.select(*(made.get(n, F.col(n)).alias(n) for n in records.columns)), "told")
+    texts = records.filter("kind = 'blob'").select("stream", "seq", "data")
+    texts = texts if text_of is None else fastexport.replace_blobs(texts, text_of)
+    blobs = told.filter("kind = 'blob'").drop("data").join(texts, ["stream", "seq"])
+    return told.filter("kind <> 'blob'").unionByName(blobs.select(records.columns))

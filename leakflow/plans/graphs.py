@@ -167,7 +167,7 @@ def scrub_plan(spark, sf_dir):
     text = lambda c, x: F.coalesce(c, F.lit(x))
     docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("s"), text("source", "")).alias("stream"), "doc_id", text("lang", "xx").alias("lang"), F.encode(text("text", ""), "utf-8").alias("data"))
     n, whole = F.col("n"), lambda x: x.cast("string")
-    numbered = scrub.dense_numbers(docs, "stream", "doc_id", "n")
+    numbered = docs.join(scrub.dense_numbers(docs.select("stream", "doc_id"), "stream", "doc_id", "n").select("doc_id", "n"), "doc_id")
     change = F.struct(F.lit("M").alias("kind"), F.lit("100644").alias("mode"), F.concat(F.lit(":"), whole(2 * n - 1)).alias("ref"), F.concat("lang", F.lit("/"), whole(F.col("doc_id")), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("new_path"))
     changes = F.when(F.col("doc_id") % 5 != 0, F.array(change)).otherwise(F.array().cast(fastexport.CHANGES))
     given = {"stream": F.col("stream")}
