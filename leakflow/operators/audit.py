@@ -67,8 +67,11 @@ def _appender(place: str) -> StatefulProcessor:
     return Appender()
 
 
-#: State of many keys needs this store.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: State of many keys needs this store; batches write what changed, not the whole of it.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def append_chain(stream: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:

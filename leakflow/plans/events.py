@@ -82,7 +82,7 @@ def chain_append(spark, sf_dir):
     home = new_path(spark, "append")
     rows = read(spark, sf_dir, "conversations").withColumn("part", F.col("turn") % 3)
     rows = rows.withColumn("place", F.concat(F.lpad(F.col("turn").cast("string"), 12, "0"), F.lit(" "), F.coalesce("role", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
-    return scans.run_in_parts(rows, "part", home, lambda stream: audit.append_chain(stream, "conv_id", "place", ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "number", "prev_hash", "row_hash"), dict([audit.STATE_STORE]))
+    return scans.run_in_parts(rows, "part", home, lambda stream: audit.append_chain(stream, "conv_id", "place", ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", "number", "prev_hash", "row_hash"), audit.STATE_STORE)
 
 
 @query("audit_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")

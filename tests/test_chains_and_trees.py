@@ -31,7 +31,7 @@ def chained(rows):
 
 def test_appended_batches_are_one_chain_also_after_restarts(spark):
     rows = log_rows()
-    made = scans.run_in_parts(spark.createDataFrame(rows, LOG), "part", new_path(spark, "append"), lambda s: audit.append_chain(s, "chain", "id", ["id", "value"]), dict([audit.STATE_STORE]))
+    made = scans.run_in_parts(spark.createDataFrame(rows, LOG), "part", new_path(spark, "append"), lambda s: audit.append_chain(s, "chain", "id", ["id", "value"]), audit.STATE_STORE)
     assert sorted(map(tuple, made.select("chain", "id", "number", "prev_hash", "row_hash").collect()), key=repr) == chained(rows)
     built = audit.build_chain(spark.createDataFrame(rows, LOG), "chain", "id", ["id", "value"]).filter("chain is not null")
     assert sorted(map(tuple, built.select("chain", "id", "prev_hash", "row_hash").collect())) == sorted((c, i, p, h) for c, i, _, p, h in chained(rows) if c)
