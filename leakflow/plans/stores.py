@@ -263,7 +263,7 @@ def file_ranges(spark, sf_dir):
     home = new_path(spark, "large")
     rows = docs.select(F.coalesce("source", F.lit("none")).alias("s"), "doc_id", F.concat(F.lit("#doc:"), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))
     rows.repartition("s").sortWithinPartitions("s", "doc_id").select("s", "value").write.partitionBy("s").text(home)
-    chunks = ranges.range_fragments(spark, home, size=40_000, ahead=10_000, chunks=8)
+    chunks = ranges.range_fragments(spark, home, size=40_000, ahead=10_000)
     lines = chunks.select("path", "start_line", F.posexplode(F.split("raw", "\n", -1)).alias("at", "x")).filter(F.col("x").rlike("^#doc:[0-9]+$"))
     return lines.select(F.regexp_extract("path", "/s=([^/]*)/", 1).alias("file"), F.substr("x", F.lit(6)).cast("long").alias("doc_id"), (F.col("start_line") + F.col("at")).alias("line"))
 
