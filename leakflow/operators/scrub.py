@@ -128,7 +128,10 @@ def scrub(records: DataFrame, text_of: Callable[[Column], Column] | None = None,
         "changes": F.coalesce("changes_", F.array().cast(fastexport.CHANGES)), "data": F.lit(None).cast("binary"), "message": marked("message"), "original_oid": marked("original_oid"),
     }
     told = staged(out.select(*(made.get(n, F.col(n)).alias(n) for n in records.columns)), "told")
-    texts = records.filter("kind = 'blob'").select("stream", "seq", "data")
+    # a blob keeps its place and gets its mark from a table of three columns, so texts move only where those are too many to be sent to them
+    texts = records.filter("kind = 'blob'").drop("mark")
     texts = texts if text_of is None else fastexport.replace_blobs(texts, text_of)
-    blobs = told.filter("kind = 'blob'").drop("data").join(texts, ["stream", "seq"])
-    return told.filter("kind <> 'blob'").unionByName(blobs.select(records.columns))
+    bare = {"parent": F.lit(None).cast("string"), "merges": F.array().cast("array<string>"), "changes": F.array().cast(fastexport.CHANGES)}
+    marked_blobs = staged(told.filter("kind = 'blob'").select("stream", "seq", "mark"), "blobs")
+    blobs = texts.join(marked_blobs, ["stream", "seq"]).select(*(bare.get(n, F.col(n)).alias(n) for n in records.columns))
+    return told.filter("kind <> 'blob'").unionByName(blobs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leakflow.functions import masking, places
 from leakflow.operators import detect, graph, rewrite, scrub
 from leakflow.plans.registry import query, read
+from leakflow.session import staged
 from leakflow.sources import fastexport
 
 #: A graph with merges: node k has the parents k/2 and k/3.
@@ -166,18 +167,22 @@ def scrub_plan(spark, sf_dir):
     """Documents as the history of each source: a blob and a commit each, some of them empty; one language goes, one directory is renamed, a word is replaced."""
     text = lambda c, x: F.coalesce(c, F.lit(x))
     docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("s"), text("source", "")).alias("stream"), "doc_id", text("lang", "xx").alias("lang"), F.encode(text("text", ""), "utf-8").alias("data"))
-    n, whole = F.col("n"), lambda x: x.cast("string")
-    numbered = docs.join(scrub.dense_numbers(docs.select("stream", "doc_id"), "stream", "doc_id", "n").select("doc_id", "n"), "doc_id")
-    change = F.struct(F.lit("M").alias("kind"), F.lit("100644").alias("mode"), F.concat(F.lit(":"), whole(2 * n - 1)).alias("ref"), F.concat("lang", F.lit("/"), whole(F.col("doc_id")), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("new_path"))
-    changes = F.when(F.col("doc_id") % 5 != 0, F.array(change)).otherwise(F.array().cast(fastexport.CHANGES))
+    k, whole = F.col("doc_id"), lambda x: x.cast("string")
+    # numbers and parents are found without the texts, which stay where they are read
+    numbers = staged(scrub.dense_numbers(docs.select("stream", "doc_id"), "stream", "doc_id", "n").select("stream", "doc_id", "n"), "numbers")
+    before = numbers.select("stream", (F.col("n") + 1).alias("n"), F.col("doc_id").alias("before"))
+    known = docs.drop("data").join(numbers.join(before, ["stream", "n"], "left").select("doc_id", "before"), "doc_id")
+    change = F.struct(F.lit("M").alias("kind"), F.lit("100644").alias("mode"), F.concat(F.lit(":"), whole(2 * k + 1)).alias("ref"), F.concat("lang", F.lit("/"), whole(k), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("new_path"))
+    changes = F.when(k % 5 != 0, F.array(change)).otherwise(F.array().cast(fastexport.CHANGES))
     given = {"stream": F.col("stream")}
-    blob = given | {"seq": 2 * n - 1, "kind": F.lit("blob"), "mark": 2 * n - 1, "data": F.col("data")}
-    commit = given | {"seq": 2 * n, "kind": F.lit("commit"), "mark": 2 * n, "name": F.lit("refs/heads/main"), "committer": F.lit("A <a@b> 1 +0000"), "parent": F.when(n > 1, F.concat(F.lit(":"), whole(2 * n - 2))), "changes": changes}
-    row = lambda values: numbered.select(*(values.get(c.split(" ")[0], F.lit(None)).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in fastexport.RECORDS.split(", ")))
+    blob = given | {"seq": 2 * k, "kind": F.lit("blob"), "mark": 2 * k + 1, "data": F.col("data")}
+    commit = given | {"seq": 2 * k + 1, "kind": F.lit("commit"), "mark": 2 * k + 2, "name": F.lit("refs/heads/main"), "committer": F.lit("A <a@b> 1 +0000"), "parent": F.concat(F.lit(":"), whole(2 * F.col("before") + 2)), "changes": changes}
+    row = lambda rows, values: rows.select(*(values.get(c.split(" ")[0], F.lit(None)).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in fastexport.RECORDS.split(", ")))
     rules = rewrite.parse_path_rules(["en/==>english/"])
     path_of = lambda p: F.when(~p.startswith("fr/"), rewrite.new_path(p, rules))
-    made = scrub.scrub(row(blob).unionByName(row(commit)), lambda t: masking.replace_text(t, [(" the ", " *** ")]), path_of)
-    return made.select("stream", "seq", "kind", "mark", "parent", F.get("changes", F.lit(0))["path"].alias("path"), F.md5("data").alias("digest"))
+    made = scrub.scrub(row(docs, blob).unionByName(row(known, commit)), lambda t: masking.replace_text(t, [(" the ", " *** ")]), path_of)
+    told = made.select("stream", F.expr("seq div 2").alias("doc_id"), (F.col("seq") % 2).alias("odd"), "kind", "mark", "parent", F.get("changes", F.lit(0))["path"].alias("path"), F.md5("data").alias("digest"))
+    return told.join(numbers, ["stream", "doc_id"]).select("stream", (2 * F.col("n") - 1 + F.col("odd")).alias("seq"), "kind", "mark", "parent", "path", "digest")
 
 
 @query("plan_stats", "SELECT count(DISTINCT l_partkey)::BIGINT AS n_blobs, count(DISTINCT l_orderkey)::BIGINT AS n_commits FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
