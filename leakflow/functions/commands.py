@@ -154,8 +154,14 @@ def unreachable_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("(?m)^unreachable ")).cast("long")
 
 
+def padded(text: Column, width: int) -> Column:
+    """``text`` with spaces up to ``width`` characters, each of which counts as one column; a longer one stays."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+
+
 def shortened(text: Column, width: int) -> Column:
-    """At most ``width`` characters; what is cut off becomes an ellipsis."""
+    """At most ``width`` characters, and one at least; what is cut off becomes an ellipsis."""
+    width = max(width, 1)
     return F.when(F.length(text) > width, F.concat(F.left(text, F.lit(width - 1)), F.lit("…"))).otherwise(text)
 
 

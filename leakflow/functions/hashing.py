@@ -83,3 +83,10 @@ def json_string(text: Column) -> Column:
     for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
         inner = F.replace(inner, F.lit(sign), F.lit(code))
     return inner
+
+
+def pin_problem(text: Column, pin: Column) -> Column:
+    """What is wrong with a text whose SHA-256 (lower-case hex) is pinned; null if it is the pinned one. A missing text or pin is wrong."""
+    got = F.sha2(text, 256)
+    shown = F.concat(F.coalesce(text, F.lit("")), F.lit(" (got "), F.coalesce(got, F.lit("")), F.lit(", want "), F.coalesce(pin, F.lit("")), F.lit(")"))
+    return F.when(F.coalesce(got == pin, F.lit(False)), F.lit(None)).otherwise(shown)

@@ -105,9 +105,12 @@ def ahead_behind(text: Column) -> Column:
 
 
 def connection_string(text: Column) -> Column:
-    """``k=v;k=v`` as a map; values may hold further equal signs."""
+    """``k=v;k=v`` as a map; values may hold further equal signs, parts without one are left out, and of a repeated key the last value counts."""
     pairs = F.filter(F.split(text, ";"), lambda p: F.contains(p, F.lit("=")))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), F.substr(p, F.locate("=", p) + 1, F.length(p)))))
+    placed = F.transform(pairs, lambda p, i: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), (-i).alias("i"), F.substr(p, F.locate("=", p) + 1, F.length(p)).alias("v")))
+    ordered = F.array_sort(placed)  # the last of each key comes first
+    last = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["k"] != x["k"]), F.struct(x["k"], x["v"]))), lambda x: x.isNotNull())
+    return F.map_from_entries(last)
 
 
 def command_text(argv_json: Column) -> Column:

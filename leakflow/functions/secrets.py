@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -77,6 +78,22 @@ def register_token_efficiency(spark: SparkSession, count_tokens: Callable[[list[
     spark.udf.register("fails_token_efficiency", fails)
 
 
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def vocabulary_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """A tokenizer for ``token_ratio`` and ``register_token_efficiency`` from a vocabulary file that every worker can open at ``path``; a worker reads it once. No special tokens are added, nothing is cut."""
+
+    def count(texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in _vocabulary(path).encode_batch(texts, add_special_tokens=False)]
+
+    return count
+
+
 def token_ratio(secret: Column, count_tokens: Callable[[list[str]], list[int]] | None = None) -> Column:
     """Bytes for each token; texts of under 20 bytes lose line ends first. Without a tokenizer it is 0. ``count_tokens`` counts the tokens of a batch."""
     if count_tokens is None:

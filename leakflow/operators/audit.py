@@ -174,7 +174,7 @@ def timing_stats(rows: DataFrame, rule: str, nanos: Column) -> DataFrame:
 
 
 def worst(rows: DataFrame, key: str, status: str, ranks: list[str]) -> DataFrame:
-    """The worst status of each key; ``ranks`` go from good to bad."""
+    """The worst status of each key; ``ranks`` go from good to bad. A status that isn't among them doesn't count; a key of none but such has null."""
     rank = F.create_map(*(F.lit(x) for i, s in enumerate(ranks) for x in (s, i)))
     return rows.groupBy(key).agg(F.max(F.try_element_at(rank, F.col(status))).alias("r")).select(key, F.array(*map(F.lit, ranks))[F.col("r")].alias("worst"))
 

@@ -143,6 +143,43 @@ def expand_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 100) -> D
     return blobs if blobs is not None else entries.select(F.lit("").alias("root"), F.col("name").alias("path"), "oid").filter("false")
 
 
+def blobs_at(wanted: DataFrame, commits: DataFrame, entries: DataFrame) -> DataFrame:
+    """(commit, path, oid): the blob that each of ``wanted`` (commit, path) names, null if the commit isn't known or holds no blob there.
+
+    ``commits`` are (oid, tree), ``entries`` (tree_oid, name, oid, kind) with
+    kind tree or blob. A path goes down one folder a round, by an equality
+    join on tree and name, so only entries on wanted paths are touched; a path
+    that several commits ask of one tree is followed once. Rounds are as many
+    as the longest path has parts. Rows of ``wanted`` that repeat are one.
+    """
+    asked = _cut(wanted.select("commit", "path").distinct().join(commits.filter("oid is not null").select(F.col("oid").alias("commit"), F.col("tree").alias("root")).dropDuplicates(["commit"]), "commit", "left"))
+    level = asked.filter("root is not null and path is not null").select("root", "path").distinct().select("root", "path", F.col("root").alias("tree_oid"), F.split("path", "/").alias("rest_"))
+    known = entries.select("tree_oid", "name", "oid", "kind").filter("kind in ('tree', 'blob')")
+    found = None
+    while True:
+        level = level.withColumn("name", F.get("rest_", F.lit(0))).withColumn("rest_", F.slice("rest_", F.lit(2), F.greatest(F.size("rest_") - 1, F.lit(0))))
+        below = _cut(level.join(known, ["tree_oid", "name"]).filter("(kind = 'blob') = (size(rest_) = 0)").select("root", "path", "oid", "kind", "rest_"))
+        here = below.filter("kind = 'blob'").select("root", "path", "oid")
+        found = here if found is None else found.unionByName(here)
+        level = below.filter("kind = 'tree'").select("root", "path", F.col("oid").alias("tree_oid"), "rest_")
+        if level.isEmpty():
+            return asked.join(found.groupBy("root", "path").agg(F.min("oid").alias("oid")), ["root", "path"], "left").select("commit", "path", "oid")
+
+
+def signed_counts(commits: DataFrame, tags: DataFrame, refs: DataFrame, tips: DataFrame) -> DataFrame:
+    """(kind, n, n_signed): commits that ``tips`` (oid) reach, and annotated tags that references below refs/tags name; what a rewrite would invalidate.
+
+    ``commits`` are (oid, parents, is_signed), ``tags`` (oid, is_signed),
+    ``refs`` (ref, oid). Each object counts once, whatever names it; tips that
+    are no commits reach nothing. Both kinds are there even if there are none.
+    """
+    parents = commits.select("oid", F.explode("parents").alias("parent"))
+    reached = commits.join(reachable(parents, tips), "oid", "left_semi")
+    named = tags.join(refs.filter(F.col("ref").startswith("refs/tags/")).select("oid"), "oid", "left_semi")
+    counted = lambda rows, kind: rows.dropDuplicates(["oid"]).agg(F.count("*").alias("n"), F.count_if("is_signed").alias("n_signed")).select(F.lit(kind).alias("kind"), "n", "n_signed")
+    return counted(reached, "commit").unionByName(counted(named, "tag"))
+
+
 #: References that share a word of a bitmap.
 WORD = 64
 

@@ -91,6 +91,16 @@ def token_ratios(spark, sf_dir):
     return rows.select("doc_id", "token", "ratio", secrets.fails_efficiency(F.col("token"), F.col("ratio"), F.lit(False), F.lit(False)).alias("fails"))
 
 
+@query("vocabulary_ratios")
+def vocabulary_ratios(spark, sf_dir):
+    """Bytes for each token of a public vocabulary, of all distinct words of all texts, and which of them read like words by it."""
+    import public_tokenizers
+
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\t\n\r ]+"), F.lit(0))).alias("token")).distinct()
+    counted = words.withColumn("ratio", secrets.token_ratio(F.col("token"), secrets.vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))))
+    return counted.select("token", "ratio", secrets.fails_efficiency(F.col("token"), F.col("ratio"), F.lit(False), F.lit(False)).alias("fails"))
+
+
 @query("object_counts", "SELECT event_id, user_id AS loose, user_id + 2 AS packed, event_id % 5 AS packs, event_id % 4 AS unreachable FROM events")
 def object_counts(spark, sf_dir):
     """Numbers of loose and packed objects, and of unreachable ones, from the texts that tell them."""

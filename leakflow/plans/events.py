@@ -119,10 +119,10 @@ def policy_verdict(spark, sf_dir):
     return judged.select("event_id", "verdict")
 
 
-@query("severity_rollup", "SELECT user_id, CASE max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) WHEN 2 THEN 'purchase' WHEN 1 THEN 'click' ELSE 'view' END AS worst FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id")
+@query("severity_rollup", "SELECT user_id, CASE max(CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 WHEN 'view' THEN 0 END) WHEN 2 THEN 'purchase' WHEN 1 THEN 'click' WHEN 0 THEN 'view' END AS worst FROM events GROUP BY user_id")
 def severity_rollup(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "purchase"))
-    return audit.worst(rows, "user_id", "event_type", ["view", "click", "purchase"])
+    """The worst event of each user; types without a rank don't count, and a user of none but such has none."""
+    return audit.worst(read(spark, sf_dir, "events"), "user_id", "event_type", ["view", "click", "purchase"])
 
 
 @query("argv_command", "SELECT event_id, 'git ' || event_type || ' ' || user_id AS command FROM events")

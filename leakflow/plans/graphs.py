@@ -74,6 +74,19 @@ def first_introduction(spark, sf_dir):
     return graph.first_introductions(touches.join(commits, "commit"), more=("path",))
 
 
+def _directories(spark, sf_dir):
+    """(commits, tree entries, documents) of documents as files of directories by source, language and number; each is also a commit of one of its directories."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text("source").alias("s"), text("lang").alias("l"), F.expr("cast(doc_id div 64 as string)").alias("b"), F.md5(text("text")).alias("blob"))
+    source, lang, bucket = F.concat(F.lit("s:"), "s"), F.concat_ws(":", F.lit("l"), "s", "l"), F.concat_ws(":", F.lit("b"), "s", "l", "b")
+    own = F.when(F.col("doc_id") % 3 == 0, source).when(F.col("doc_id") % 3 == 1, lang).otherwise(bucket)
+    commits = docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("oid"), own.alias("tree"), (F.col("doc_id") * 37 % 1009).alias("date"))
+    entry = lambda tree, name, oid, kind: docs.select(tree.alias("tree_oid"), name.alias("name"), oid.alias("oid"), F.lit(kind).alias("kind"))
+    trees = entry(source, F.col("l"), lang, "tree").unionByName(entry(lang, F.col("b"), bucket, "tree")).distinct()
+    blobs = entry(bucket, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("blob"), "blob")
+    return commits, trees.unionByName(blobs), docs
+
+
 _DIRS_SQL = "d AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(lang, '') AS l, (doc_id // 64)::VARCHAR AS b, md5(coalesce(text, '')) AS blob, (doc_id * 37) % 1009 AS date, 'c' || doc_id AS commit FROM documents)"
 
 
@@ -86,15 +99,26 @@ _DIRS_SQL = "d AS (SELECT doc_id, coalesce(source, '') AS s, coalesce(lang, '')
 )
 def tree_introductions(spark, sf_dir):
     """Documents as files of directories by source, language and number; each is also a commit of one of its directories."""
-    text = lambda c: F.coalesce(c, F.lit(""))
-    docs = read(spark, sf_dir, "documents").select("doc_id", text("source").alias("s"), text("lang").alias("l"), F.expr("cast(doc_id div 64 as string)").alias("b"), F.md5(text("text")).alias("blob"))
-    source, lang, bucket = F.concat(F.lit("s:"), "s"), F.concat_ws(":", F.lit("l"), "s", "l"), F.concat_ws(":", F.lit("b"), "s", "l", "b")
-    own = F.when(F.col("doc_id") % 3 == 0, source).when(F.col("doc_id") % 3 == 1, lang).otherwise(bucket)
-    commits = docs.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("oid"), own.alias("tree"), (F.col("doc_id") * 37 % 1009).alias("date"))
-    entry = lambda tree, name, oid, kind: docs.select(tree.alias("tree_oid"), name.alias("name"), oid.alias("oid"), F.lit(kind).alias("kind"))
-    trees = entry(source, F.col("l"), lang, "tree").unionByName(entry(lang, F.col("b"), bucket, "tree")).distinct()
-    blobs = entry(bucket, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("blob"), "blob")
-    return graph.tree_introductions(commits, trees.unionByName(blobs))
+    commits, entries, _ = _directories(spark, sf_dir)
+    return graph.tree_introductions(commits, entries)
+
+
+@query(
+    "blobs_at_commits",
+    f"""WITH {_DIRS_SQL}, w AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN l || '/' || b || '/' WHEN 1 THEN b || '/' ELSE '' END AS folder FROM d)
+    SELECT commit, folder || doc_id || '.txt' AS path, blob AS oid FROM w UNION ALL SELECT commit, folder || doc_id, NULL FROM w WHERE doc_id % 7 = 0
+    UNION ALL SELECT commit, left(folder, length(folder) - 1), NULL FROM w WHERE doc_id % 3 < 2 UNION ALL SELECT commit || 'x', folder || doc_id || '.txt', NULL FROM w WHERE doc_id % 11 = 0""",
+)
+def blobs_at_commits(spark, sf_dir):
+    """Each document's file at its own commit; also names that aren't there, folders, and commits that aren't known."""
+    commits, entries, docs = _directories(spark, sf_dir)
+    k = F.col("doc_id")
+    name, folder = k.cast("string"), F.when(k % 3 == 0, F.concat("l", F.lit("/"), "b", F.lit("/"))).when(k % 3 == 1, F.concat("b", F.lit("/"))).otherwise(F.lit(""))
+    commit, file = F.concat(F.lit("c"), name), F.concat(folder, name, F.lit(".txt"))
+    ask = lambda when, c, path: docs.filter(when).select(c.alias("commit"), path.alias("path"))
+    wanted = ask(F.lit(True), commit, file).unionByName(ask(k % 7 == 0, commit, F.concat(folder, name)))
+    wanted = wanted.unionByName(ask(k % 3 < 2, commit, F.regexp_replace(folder, "/$", ""))).unionByName(ask(k % 11 == 0, F.concat(commit, F.lit("x")), file))
+    return graph.blobs_at(wanted, commits.select("oid", "tree"), entries)
 
 
 @query(

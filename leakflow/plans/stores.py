@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.functions import places
+from leakflow.operators import graph
 from leakflow.plans.registry import query, read
 from leakflow.session import new_path, staged
 from leakflow.sources import fastexport, files, objects, ranges
@@ -249,6 +250,37 @@ def object_commits(spark, sf_dir):
     return objects.commits(_read_back(made.select(body.alias("body")), "commit")).withColumn("parents", F.array_join("parents", " "))
 
 
+_PGP, _SSH = objects.SIGNATURES
+
+
+@query(
+    "signed_history",
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents), e AS (SELECT k AS oid, k // 2 AS parent FROM d WHERE k > 0 UNION SELECT k, k // 3 FROM d WHERE k > 0),
+    r AS (SELECT k AS oid FROM d WHERE k % 100 = 99 UNION SELECT e.parent FROM e JOIN r USING (oid))
+    SELECT 'commit' AS kind, count(*)::BIGINT AS n, count(*) FILTER (k % 5 = 0)::BIGINT AS n_signed FROM d JOIN r ON k = oid
+    UNION ALL SELECT 'tag', count(*)::BIGINT, count(*) FILTER (k % 3 < 2 OR contains(t, '{_PGP}') OR contains(t, '{_SSH}'))::BIGINT FROM d WHERE k % 4 = 1""",
+)
+def signed_history(spark, sf_dir):
+    """Texts as messages of commits and tags, some of them signed, some with bytes that aren't UTF-8; what a rewrite of all that the references reach would invalidate."""
+    k = F.col("doc_id")
+    oid = lambda c, letter="": F.sha1(_utf8(letter, c.cast("string")))
+    parent = lambda n: F.concat(F.lit("parent "), oid(F.expr(f"doc_id div {n}")), F.lit("\n"))
+    some = lambda when, x: F.when(when, x).otherwise(F.lit(""))
+    head = _utf8("tree ", oid(k, "t"), "\n", some(k > 0, F.concat(parent(2), parent(3))), "author ")
+    rest = _utf8(" <a@b> 1 +0000\ncommitter C <c@d> 2 +0000\n", some(k % 5 == 0, F.lit("gpgsig -----BEGIN\n x\n")), some(k % 5 == 1, F.lit("\ngpgsig in a message\n")), "\n", F.col("text"))
+    name = F.when(k % 7 == 0, F.unhex(F.lit("E9FF"))).otherwise(_utf8("é"))
+    docs = _texts(spark, sf_dir)
+    commit = docs.select(oid(k).alias("oid"), F.lit("commit").alias("kind"), F.concat(head, name, rest).alias("content"))
+    block = F.when(k % 3 == 0, F.lit(f"\n{_PGP}\nx")).when(k % 3 == 1, F.lit(f"\n{_SSH}\nx")).otherwise(F.lit(""))
+    tag = docs.select(oid(k, "v").alias("oid"), F.lit("tag").alias("kind"), _utf8("object ", oid(k), "\ntype commit\ntag v", k.cast("string"), "\ntagger T <t@t> 1 +0000\n\n", F.col("text"), block).alias("content"))
+    # every other tag has a second reference; heads that point at tags name none
+    named = lambda when, prefix: docs.filter(when).select(F.concat(F.lit(prefix), k.cast("string")).alias("ref"), oid(k, "v").alias("oid"))
+    refs = named(k % 4 == 1, "refs/tags/v").unionByName(named(k % 8 == 1, "refs/tags/again/v")).unionByName(named(k % 4 == 2, "refs/heads/v"))
+    stored = commit.unionByName(tag)
+    commits = staged(objects.commits(stored).select("oid", "parents", "is_signed"), "commits")
+    return graph.signed_counts(commits, objects.tags(stored), refs, docs.filter(k % 100 == 99).select(oid(k).alias("oid")))
+
+
 # --- large files
 
 

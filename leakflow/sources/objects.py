@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Type numbers of packed objects, and modes of entries that are read.
@@ -210,7 +210,7 @@ def tree_entries(objects_: DataFrame) -> DataFrame:
 
 def commits(objects_: DataFrame) -> DataFrame:
     """(oid, tree, parents, date, is_signed, message) of all commits."""
-    text = F.decode("content", "utf-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     head, message = F.substring_index(text, "\n\n", 1), F.substr(text, F.locate("\n\n", text) + 2, F.length(text))
     return objects_.filter("kind = 'commit'").select(
         "oid", F.regexp_extract(head, "(?m)^tree ([0-9a-f]{40})", 1).alias("tree"), F.regexp_extract_all(head, F.lit("(?m)^parent ([0-9a-f]{40})"), F.lit(1)).alias("parents"),
@@ -218,6 +218,23 @@ def commits(objects_: DataFrame) -> DataFrame:
     )
 
 
+#: What begins the signature of a tag.
+SIGNATURES = ["-----BEGIN PGP SIGNATURE-----", "-----BEGIN SSH SIGNATURE-----"]
+
+
+def is_signed_tag(text: Column) -> Column:
+    """The text of a tag object holds a signature, valid or not."""
+    return F.contains(text, F.lit(SIGNATURES[0])) | F.contains(text, F.lit(SIGNATURES[1]))
+
+
+def tags(objects_: DataFrame) -> DataFrame:
+    """(oid, object, kind, tag, is_signed, message) of all annotated tags; ``kind`` is that of the object."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    head, message = F.substring_index(text, "\n\n", 1), F.substr(text, F.locate("\n\n", text) + 2, F.length(text))
+    told = lambda field, value: F.regexp_extract(head, f"(?m)^{field} ({value})$", 1)
+    return objects_.filter("kind = 'tag'").select("oid", told("object", "[0-9a-f]{40}").alias("object"), told("type", "[a-z]+").alias("kind"), told("tag", ".*").alias("tag"), is_signed_tag(text).alias("is_signed"), message.alias("message"))
+
+
 INDEX = "path string, oid string"
 
 
