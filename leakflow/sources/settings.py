@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 _STAGE = "array<struct<name string, run array<string>, timeoutMs long>>"
 POLICY = f"struct<version: long, secretGate: struct<enabled boolean, commands array<string>, mode string>, remoteAllowlist: struct<enabled boolean, hosts array<string>>, stages: struct<pre {_STAGE}, post {_STAGE}>>"
 _LISTS = {
-    "gates": "array<struct<name string, kind string, verdict string, code int, subcommand string, at string>>",
-    "leaks": "array<struct<rule_id string, path string, line long, fingerprint string, at string>>",
-    "vulns": "array<struct<id string, package string, version string, severity string, source string, at string>>",
+    "gates": {"name": "string", "kind": "string", "verdict": "string", "code": "int", "subcommand": "string", "at": "string"},
+    "leaks": {"rule_id": "string", "path": "string", "line": "long", "fingerprint": "string", "at": "string"},
+    "vulns": {"id": "string", "package": "string", "version": "string", "severity": "string", "source": "string", "at": "string"},
 }
-LEDGER = "struct<version: long, updated_at: string, " + ", ".join(f"{k}: {t}" for k, t in _LISTS.items()) + ">"
+_LIST_TYPES = {k: "array<struct<" + ", ".join(f"{n} {t}" for n, t in fields.items()) + ">>" for k, fields in _LISTS.items()}
+LEDGER = "struct<version: long, updated_at: string, " + ", ".join(f"{k}: {t}" for k, t in _LIST_TYPES.items()) + ">"
 LEDGER_VERSION = 1
 GATED, STAGE_MILLIS = ["commit", "push"], 5_000
 
@@ -58,10 +59,13 @@ def gate_blocks(policy_: Column) -> Column:
 
 
 def ledger(text: Column) -> Column:
-    """A ledger's JSON text as a struct of LEDGER. Null, a missing file, is an empty ledger; a text that isn't a ledger fails the job, so that it isn't written over."""
+    """A ledger's JSON text as a struct of LEDGER. Null, a missing file, is an empty ledger, and what a record leaves out is blank or 0; a text that isn't a ledger fails the job, so that it isn't written over."""
     p = _parsed(text, LEDGER, "ledger")
     version = F.when(text.isNull(), F.lit(LEDGER_VERSION)).otherwise(F.coalesce(p["version"], F.lit(0)))
-    return F.struct(version.cast("long").alias("version"), F.coalesce(p["updated_at"], F.lit("")).alias("updated_at"), *(F.coalesce(p[k], F.array().cast(t)).alias(k) for k, t in _LISTS.items()))
+    blank = lambda c, kind: F.coalesce(c, (F.lit("") if kind == "string" else F.lit(0)).cast(kind))
+    filled = lambda fields: lambda r: F.struct(*(blank(r[n], t).alias(n) for n, t in fields.items()))
+    lists = (F.coalesce(F.transform(p[k], filled(fields)), F.array().cast(_LIST_TYPES[k])).alias(k) for k, fields in _LISTS.items())
+    return F.struct(version.cast("long").alias("version"), F.coalesce(p["updated_at"], F.lit("")).alias("updated_at"), *lists)
 
 
 def load(spark: SparkSession, path: str, read: str = "policy") -> DataFrame:
