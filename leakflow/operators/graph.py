@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakflow.session import staged
+from leakflow.session import shuffled, staged
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def _shortcuts(parents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ahead = n
     while ahead and 2 ** len(jumps) <= n:
         jumps.append(jump)
-        jump = _cut(jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.oid")).select("a.oid", "b.parent"))
+        jump = _cut(jump.alias("a").join(shuffled(jump).alias("b"), F.col("a.parent") == F.col("b.oid")).select("a.oid", "b.parent"))
         ahead = jump.count()
     return edges.filter("parent <> followed").select("oid", "parent"), jumps
 
@@ -38,17 +38,17 @@ def _reached(shortcuts: tuple[DataFrame, list[DataFrame]], tips: DataFrame, keys
     frontier, seen, rounds = tips.select(*keys).filter("oid is not null").distinct(), None, 0
     while True:
         for jump in jumps:
-            both = frontier.join(jump, "oid", "left").withColumn("oid", F.explode(F.array_compact(F.array("oid", "parent"))))
+            both = frontier.join(shuffled(jump), "oid", "left").withColumn("oid", F.explode(F.array_compact(F.array("oid", "parent"))))
             frontier = both.select(*keys).distinct()
-        found = _cut(frontier if seen is None else frontier.join(seen, keys, "left_anti"))
+        found = _cut(frontier if seen is None else frontier.join(shuffled(seen), keys, "left_anti"))
         if found.isEmpty():
             return found if seen is None else seen
         rounds += 1
         seen = found if seen is None else seen.unionByName(found)
         if rounds % 10 == 0:
             seen = _cut(seen)
-        onward = found.join(side, "oid").withColumn("oid", F.col("parent")).select(*keys).distinct()
-        frontier = onward.join(seen, keys, "left_anti")
+        onward = found.join(shuffled(side), "oid").withColumn("oid", F.col("parent")).select(*keys).distinct()
+        frontier = onward.join(shuffled(seen), keys, "left_anti")
 
 
 def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
 def range_difference(parents: DataFrame, tips: DataFrame, excluded: DataFrame) -> DataFrame:
     """Commits reached from ``tips`` and not from ``excluded``."""
     shortcuts = _shortcuts(parents)
-    return _reached(shortcuts, tips, ["oid"]).join(_reached(shortcuts, excluded, ["oid"]), "oid", "left_anti")
+    return _reached(shortcuts, tips, ["oid"]).join(shuffled(_reached(shortcuts, excluded, ["oid"])), "oid", "left_anti")
 
 
 def merged_range(parents: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def _settled(start: DataFrame, edges: DataFrame, offer, value: str) -> DataFrame
     """
     best = changed = _cut(start.groupBy("tree_oid").agg(F.min(value).alias(value)))
     while True:
-        offered = changed.join(edges, "tree_oid").groupBy("oid").agg(F.min(offer).alias("offered_")).withColumnRenamed("oid", "tree_oid")
-        changed = _cut(offered.join(best, "tree_oid", "left").filter(F.col(value).isNull() | (F.col("offered_") < F.col(value))).select("tree_oid", F.col("offered_").alias(value)))
+        offered = changed.join(shuffled(edges), "tree_oid").groupBy("oid").agg(F.min(offer).alias("offered_")).withColumnRenamed("oid", "tree_oid")
+        changed = _cut(offered.join(shuffled(best), "tree_oid", "left").filter(F.col(value).isNull() | (F.col("offered_") < F.col(value))).select("tree_oid", F.col("offered_").alias(value)))
         if changed.isEmpty():
             return best
         best = _cut(best.unionByName(changed).groupBy("tree_oid").agg(F.min(value).alias(value)))
@@ -104,10 +104,10 @@ def tree_introductions(commits: DataFrame, entries: DataFrame) -> DataFrame:
     down = known.filter("kind = 'tree'").select("tree_oid", "name", "oid")
     first = _settled(roots, down.select("tree_oid", "oid").distinct(), F.col("first"), "first")
     child = first.select(F.col("tree_oid").alias("oid"), F.col("first").alias("own_"))
-    within = _cut(down.join(first, "tree_oid").join(child, "oid").filter("first = own_").select("tree_oid", "oid", "name"))
-    top = roots.join(first.withColumnRenamed("first", "own_"), "tree_oid").filter("first = own_").select("tree_oid", F.lit("").alias("prefix"))
+    within = _cut(down.join(shuffled(first), "tree_oid").join(shuffled(child), "oid").filter("first = own_").select("tree_oid", "oid", "name"))
+    top = roots.join(shuffled(first.withColumnRenamed("first", "own_")), "tree_oid").filter("first = own_").select("tree_oid", F.lit("").alias("prefix"))
     prefixes = _settled(top, within, F.concat("prefix", "name", F.lit("/")), "prefix")
-    blobs = known.filter("kind = 'blob'").select("tree_oid", "name", "oid").join(first, "tree_oid").join(prefixes, "tree_oid")
+    blobs = known.filter("kind = 'blob'").select("tree_oid", "name", "oid").join(shuffled(first), "tree_oid").join(shuffled(prefixes), "tree_oid")
     found = blobs.groupBy("oid").agg(F.min(F.struct("first", F.concat("prefix", "name").alias("path"))).alias("x"))
     return found.select("oid", "x.path", "x.first.commit", "x.first.date")
 
@@ -124,7 +124,7 @@ def paths_of(listing: DataFrame, ids: DataFrame, longest: int = 64) -> DataFrame
     if not lengths:
         return wanted.withColumn("path", F.lit("")).filter("false")
     named = listing.filter("trim(path) <> ''").select("oid", "path").distinct().withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths)))))
-    return named.withColumn("id", F.expr("substring(oid, 1, n)")).filter("length(id) = n").join(wanted, "id").select("id", "path").distinct()
+    return named.withColumn("id", F.expr("substring(oid, 1, n)")).filter("length(id) = n").join(shuffled(wanted), "id").select("id", "path").distinct()
 
 
 def expand_tree(entries: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
@@ -196,39 +196,40 @@ def refs_that_hold(refs: DataFrame, parents: DataFrame, holders: DataFrame) -> D
     # ids of a partition follow each other, so blocks are dense but for the last of each partition
     numbered = numbered.withColumn("block", F.floor(F.col("at_") / WORD).cast("long")).withColumn("bit", F.pmod("at_", F.lit(WORD)).cast("int"))
     own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    start = refs.select("ref", "oid").filter("oid is not null").join(numbered, "ref").select("oid", "block", own.alias("bits"))
+    start = refs.select("ref", "oid").filter("oid is not null").join(shuffled(numbered), "ref").select("oid", "block", own.alias("bits"))
     merged = lambda rows: rows.groupBy("oid", "block").agg(F.bit_or("bits").alias("bits"))
     frontier, seen = merged(start), None
     while True:
         for jump in jumps:
-            ahead = frontier.join(jump, "oid").select(F.col("parent").alias("oid"), "block", "bits")
-            frontier = merged(frontier.unionByName(ahead))
+            # one reading of the frontier a jump: as a union of two, the plan doubled with each of them
+            both = frontier.join(shuffled(jump), "oid", "left")
+            frontier = merged(both.select(F.explode(F.array_compact(F.array("oid", "parent"))).alias("oid"), "block", "bits"))
         if seen is None:
             found = seen = _cut(frontier)
         else:
             before = seen.withColumnRenamed("bits", "had")
-            found = _cut(frontier.join(before, ["oid", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))).filter("bits <> 0").select("oid", "block", "bits"))
+            found = _cut(frontier.join(shuffled(before), ["oid", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))).filter("bits <> 0").select("oid", "block", "bits"))
             if found.isEmpty():
                 break
             seen = _cut(merged(seen.unionByName(found)))
-        frontier = merged(found.join(side, "oid").select(F.col("parent").alias("oid"), "block", "bits"))
+        frontier = merged(found.join(shuffled(side), "oid").select(F.col("parent").alias("oid"), "block", "bits"))
         if frontier.isEmpty():
             break
-    held = seen.join(holders.select("oid").distinct(), "oid").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+    held = seen.join(shuffled(holders.select("oid").distinct()), "oid").withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
     told = held.filter(F.call_function("getbit", F.col("bits"), F.col("bit")) == 1).groupBy("block", "bit").agg(F.count("*").alias("n"))
-    return told.join(numbered, ["block", "bit"]).select("ref", "n")
+    return told.join(shuffled(numbered), ["block", "bit"]).select("ref", "n")
 
 
 def survivors(parents: DataFrame, pruned: DataFrame) -> DataFrame:
     """(oid, parent) from first parents (oid, parent) as text: each pruned commit's nearest ancestor along first parents that isn't pruned, by pointer jumping: the rounds grow with the logarithm of the longest run."""
     none = F.lit("")  # of a pruned commit without a parent nothing survives
-    jump = pruned.select("oid").distinct().join(parents, "oid", "left").select("oid", F.coalesce("parent", none).alias("parent"))
+    jump = pruned.select("oid").distinct().join(shuffled(parents), "oid", "left").select("oid", F.coalesce("parent", none).alias("parent"))
     while True:
         jump = _cut(jump)
-        on = jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.oid")).select(F.col("a.oid").alias("oid"), F.col("b.parent").alias("onward"))
+        on = jump.alias("a").join(shuffled(jump).alias("b"), F.col("a.parent") == F.col("b.oid")).select(F.col("a.oid").alias("oid"), F.col("b.parent").alias("onward"))
         if on.isEmpty():
             return jump.withColumn("parent", F.nullif("parent", none))
-        jump = jump.join(on, "oid", "left").select("oid", F.coalesce("onward", "parent").alias("parent"))
+        jump = jump.join(shuffled(on), "oid", "left").select("oid", F.coalesce("onward", "parent").alias("parent"))
 
 
 def newest(rows: DataFrame, section: str, order: list, n: int) -> DataFrame:

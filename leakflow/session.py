@@ -68,3 +68,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of an equality join that both sides' growth leaves a sorted shuffle: Spark would collect a side of some megabytes of Parquet in the driver and broadcast it, which loops add up."""
+    return df.hint("merge")
