@@ -36,3 +36,10 @@ def test_references_take_jumps_in_a_plan_that_does_not_double(spark, cuts):
     assert {tuple(r) for r in found.collect()} == {("a", 30), ("b", 21)}
     assert max(leaves for _, leaves in cuts) < 40  # nine jumps: a union of two a jump had 512
     assert not any("BroadcastHashJoin" in plan for plan, _ in cuts)
+
+
+def test_range_differences_broadcast_nothing(spark, cuts):
+    tips = lambda *ids: spark.createDataFrame([(i,) for i in ids], "oid long")
+    found = graph.range_difference(_line(spark, 200), tips(199, 50), tips(150))
+    assert {r["oid"] for r in found.collect()} == set(range(151, 200))
+    assert not any("BroadcastHashJoin" in plan for plan in (found._jdf.queryExecution().executedPlan().toString(), *(p for p, _ in cuts)))
