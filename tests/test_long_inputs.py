@@ -43,3 +43,10 @@ def test_range_differences_broadcast_nothing(spark, cuts):
     found = graph.range_difference(_line(spark, 200), tips(199, 50), tips(150))
     assert {r["oid"] for r in found.collect()} == set(range(151, 200))
     assert not any("BroadcastHashJoin" in plan for plan in (found._jdf.queryExecution().executedPlan().toString(), *(p for p, _ in cuts)))
+
+
+def test_merged_ranges_broadcast_nothing(spark, cuts):
+    tips = lambda *ids: spark.createDataFrame([(i,) for i in ids], "oid long")
+    found = graph.merged_range(_line(spark, 200), tips(120), tips(150))
+    assert {r["oid"] for r in found.collect()} == set(range(151))
+    assert not any("BroadcastHashJoin" in plan for plan in (found._jdf.queryExecution().executedPlan().toString(), *(p for p, _ in cuts)))
