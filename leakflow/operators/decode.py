@@ -38,10 +38,12 @@ def decode_percent(run: Column) -> Column:
     return F.coalesce(F.when(text.rlike(_PRINTABLE), text), F.lit(""))
 
 
+#: Runs of hex digits and of code points are none if they are a part of a longer base64 run.
+_APART, _ENDED = "(?<![A-Za-z0-9+/_-])", "(?![A-Za-z0-9+/_-])"
 _KINDS = (
     ("percent", re.compile(r"%[0-9A-Fa-f]{2}(?:[^\n]*%[0-9A-Fa-f]{2})?")),
-    ("unicode", re.compile(r"(?:U\+[0-9A-Fa-f]{4}\s?)+|(?:\\u[0-9A-Fa-f]{4})+")),
-    ("hex", re.compile(rf"[0-9A-Fa-f]{{{HEX_RUN},}}")),
+    ("unicode", re.compile(rf"{_APART}(?:U\+[0-9A-Fa-f]{{4}}\s?)+|(?:\\u[0-9A-Fa-f]{{4}})+")),
+    ("hex", re.compile(rf"{_APART}[0-9A-Fa-f]{{{HEX_RUN},}}+{_ENDED}")),
     ("base64", re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_RUN},}}={{0,2}}")),
 )
 _SHOWN = re.compile(_PRINTABLE)

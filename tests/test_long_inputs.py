@@ -50,3 +50,11 @@ def test_merged_ranges_broadcast_nothing(spark, cuts):
     found = graph.merged_range(_line(spark, 200), tips(120), tips(150))
     assert {r["oid"] for r in found.collect()} == set(range(151))
     assert not any("BroadcastHashJoin" in plan for plan in (found._jdf.queryExecution().executedPlan().toString(), *(p for p, _ in cuts)))
+
+
+def test_hex_within_a_base64_run_is_no_run():
+    text = "value 1: By By By x" + " th" * 40 + " end"  # " th" repeated is hex digits in base64
+    run = base64.b64encode(text.encode()).decode()
+    decoded, segments = decode.decode_pass(f"x {run} y", [], 1)
+    assert decoded == f"x {text} y" and [s["encoding"] for s in segments] == ["base64"]
+    assert decode.decode_pass(f"x {text.encode().hex()} y", [], 1)[0] == f"x {text} y"
