@@ -155,8 +155,11 @@ def file_chunks(spark, sf_dir):
     """Documents cut into chunks of 4,000 bytes and put together again."""
     from leakflow.sources import files
 
-    docs = read(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
-    chunks = files.file_fragments(docs, 4_000)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", F.hex(F.encode("raw", "utf-8")).alias("x")))), lambda c: c["x"]), "")
-    whole = chunks.groupBy("path").agg(F.sum(F.octet_length("raw").cast("long")).alias("n_bytes"), F.min("start_line").alias("first_line"), joined.alias("hx"))
-    return whole.select("path", "n_bytes", "first_line", F.decode(F.unhex("hx"), "utf-8").alias("text"))
+    # a row is a file of its own, also where ids repeat
+    path = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    docs = read(spark, sf_dir, "documents").filter("text <> ''").select(path.alias("path"), F.encode("text", "utf-8").alias("content"))
+    chunks = files.file_fragments(docs, 4_000, numbered=True)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "raw"))), lambda c: c["raw"]), "")
+    whole = chunks.groupBy("path").agg(F.sum(F.octet_length("raw").cast("long")).alias("n_bytes"), F.min("start_line").alias("first_line"), joined.alias("text"))
+    texts = whole.select(F.nullif(F.substring_index("path", "/", 1), F.lit("")).alias("path"), "n_bytes", "first_line", "text")
+    return texts.groupBy("path", "text").agg(F.sum("n_bytes").alias("n_bytes"), F.min("first_line").alias("first_line")).select("path", "n_bytes", "first_line", "text")

@@ -58,3 +58,11 @@ def test_hex_within_a_base64_run_is_no_run():
     decoded, segments = decode.decode_pass(f"x {run} y", [], 1)
     assert decoded == f"x {text} y" and [s["encoding"] for s in segments] == ["base64"]
     assert decode.decode_pass(f"x {text.encode().hex()} y", [], 1)[0] == f"x {text} y"
+
+
+def test_chunks_of_long_lines_and_repeated_rows_come_together_in_order(spark, tmp_path):
+    long = "".join(f"{i * 7919 % 10007:05d} " for i in range(20_000))
+    rows = [(1, long), (2, "twice"), (2, "twice"), (2, "other\nline"), (None, "none"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in commands.file_chunks(spark, str(tmp_path)).collect()}
+    assert got == {("1", len(long), 1, long), ("2", 10, 1, "twice"), ("2", 10, 1, "other\nline"), (None, 4, 1, "none")}
