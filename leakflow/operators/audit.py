@@ -15,32 +15,95 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from leakflow.functions.hashing import FIELD_SEPARATOR, chain_hash
+from leakflow.session import new_path, staged
 
 
-def build_chain(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+#: A task folds so many rows of one chain at most.
+BLOCK = 1 << 20
+
+
+def build_chain(rows: DataFrame, key: str, order: str, fields: list[str], block: int = BLOCK) -> DataFrame:
     """``rows`` with ``prev_hash`` and ``row_hash``, chained in ``order`` within each ``key``.
 
-    A chain is a fold, so each key's rows pass one task in order: the table is
-    dealt by key and sorted, and streams through in batches with only the last
-    hash kept.
+    A chain is a fold. Where none is longer than ``block``, the table is dealt
+    by key and sorted, and each task's rows stream through in batches with
+    only the last hash kept. Otherwise see ``_by_ranges``.
     """
     text = rows.select("*", F.concat(*(F.concat(F.lit(FIELD_SEPARATOR), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields)).alias("text_"))
-    sorted_rows = text.repartition(key).sortWithinPartitions(key, order)
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "prev_hash string", "row_hash string"])
+    longest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if longest > block:
+        return _by_ranges(text, key, order, block).select(*rows.columns, "prev_hash", "row_hash")
+    sorted_rows = text.withColumn("part_", F.lit(0)).repartition(key).sortWithinPartitions(key, order)
+    return sorted_rows.mapInArrow(_folder(key, {}, ()), _chained(sorted_rows)).select(*rows.columns, "prev_hash", "row_hash")
+
+
+def _chained(rows: DataFrame) -> str:
+    return ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes if n != "text_"), "prev_hash string", "row_hash string", "at_ long"])
+
+
+def _folder(key: str, starts: dict[int, str], skipped: tuple[int, ...] | set[int]):
+    """Folds sorted rows (``key``, part_, text_, ..). Of parts in ``starts`` only the first key's rows, from the hash there; of parts in ``skipped`` all but the first key's. ``at_`` is a row's place in the part."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, ""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, part, now, first, last, at = False, None, None, True, "", 0
         for batch in batches:
-            previous, made = [], []
-            for k, t in zip(batch[key], batch["text_"]):
-                if k != now:
-                    now, last = k, ""
+            kept, previous, made, places = [], [], [], []
+            for i, (p, k, t) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part_", key, "text_")))):
+                if not begun or p != part:
+                    begun, part, now, first, last, at = True, p, k, True, starts.get(p, ""), 0
+                elif k != now:
+                    now, first, last = k, False, ""
+                at += 1
+                if first and p in skipped or not first and p in starts:
+                    continue
+                kept.append(i)
                 previous.append(last)
                 last = hashlib.sha256((last + t).encode()).hexdigest()
                 made.append(last)
-            yield batch.drop(columns="text_").assign(prev_hash=previous, row_hash=made)
+                places.append(at)
+            others = batch.select([n for n in batch.schema.names if n != "text_"])
+            others = others if len(kept) == batch.num_rows else others.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*others.columns, pa.array(previous, pa.string()), pa.array(made, pa.string()), pa.array(places, pa.int64())], names=[*others.schema.names, "prev_hash", "row_hash", "at_"])
+
+    return fold
 
-    return sorted_rows.mapInPandas(fold, schema)
+
+def _by_ranges(text: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    """Chains of any length: rows are dealt to ranges of (key, order) of about ``block`` rows, and a task folds one range.
+
+    Only the first key of a range can go on from the range before. All other
+    keys are folded at once; then rounds follow, each with the next range of
+    every chain that has one, from the hash at the end of the one before. The
+    rounds are as many as ranges of the longest chain, which is a fold and has
+    no other way; what a task holds doesn't grow. The driver holds two keys
+    and a hash a range.
+    """
+    spark, home = text.sparkSession, new_path(text.sparkSession, "chains")
+    dealt = text.repartitionByRange(-(-text.count() // block), key, order).withColumn("part_", F.spark_partition_id())
+    dealt = staged(dealt, "ranges")
+    ends = dealt.groupBy("part_").agg(F.min(F.struct(key)).alias("least"), F.max(F.struct(key)).alias("most")).orderBy("part_").collect()
+    rounds: list[dict[int, int]] = [{}]  # of each range that goes on, the one before
+    whole, before, later = 0, None, []  # in which round the last key of the range before comes; ranges with nothing for the first round
+    for r in ends:
+        goes_on = before is not None and before["most"] == r["least"]
+        if goes_on:
+            own = whole + 1
+            rounds.extend({} for _ in range(own + 1 - len(rounds)))
+            rounds[own][r["part_"]] = before["part_"]
+        whole = own if goes_on and r["least"] == r["most"] else 0
+        later += [r["part_"]] if whole else []
+        before = r
+    skipped = {p for found in rounds for p in found}
+    for i, found in enumerate(rounds):
+        rows, starts = dealt.filter(~F.col("part_").isin(later)) if later else dealt, {}
+        if i:
+            rows = dealt.filter(F.col("part_").isin(*found))
+            known = spark.read.parquet(f"{home}/round={i - 1}").filter(F.col("part_").isin(*found.values()))
+            hashes = dict(known.groupBy("part_").agg(F.max_by("row_hash", "at_")).collect())
+            starts = {p: hashes[was] for p, was in found.items()}
+        dealt_again = rows.repartitionByRange(len(found) if i else max(1, len(ends) - len(later)), "part_").sortWithinPartitions("part_", key, order)
+        dealt_again.mapInArrow(_folder(key, starts, set() if i else skipped), _chained(dealt_again)).write.option("compression", "zstd").parquet(f"{home}/round={i}")
+    return spark.read.schema(_chained(text)).parquet(home)
 
 
 def _appender(place: str) -> StatefulProcessor:

@@ -1,12 +1,15 @@
 """What only shows on larger or odder inputs: long lines, repeated rows, joins that would be broadcast, plans that would double."""
 
 import base64
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from leakflow.operators import decode, graph
+from leakflow.operators import audit, decode, graph
 from leakflow.plans import commands
+from leakflow.session import new_path
+from leakflow.streaming import scans
 
 
 @pytest.fixture
@@ -66,3 +69,15 @@ def test_chunks_of_long_lines_and_repeated_rows_come_together_in_order(spark, tm
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in commands.file_chunks(spark, str(tmp_path)).collect()}
     assert got == {("1", len(long), 1, long), ("2", 10, 1, "twice"), ("2", 10, 1, "other\nline"), (None, 4, 1, "none")}
+
+
+def test_long_chains_are_folded_a_range_at_a_time(spark):
+    rows = [("long", i, f"r{i}") for i in range(900)] + [(None, i, f"n{i}") for i in range(250)] + [(f"k{i % 40}", i, f"s{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "c string, i long, t string").repartition(3)
+    got = {tuple(r) for r in audit.build_chain(table, "c", "i", ["t"], block=100).select("c", "i", "prev_hash", "row_hash").collect()}
+    want, last = set(), {}
+    for c, i, t in rows:
+        before = last.get(c, "")
+        last[c] = hashlib.sha256(f"{before}\x1f{t}".encode()).hexdigest()
+        want.add((c, i, before, last[c]))
+    assert got == want == {tuple(r) for r in audit.build_chain(table, "c", "i", ["t"]).select("c", "i", "prev_hash", "row_hash").collect()}
