@@ -116,10 +116,11 @@ def scan_new(stream: DataFrame, cache_path: str, sink: Callable[[DataFrame, int]
 
 def _parts(rows: DataFrame, part: str, home: str) -> Iterator[DataFrame]:
     """A stream for each ``part`` (a number) of ``rows``, which sees that part and the ones before: with one checkpoint, each goes on where the one before stopped."""
-    rows.repartition(part).write.partitionBy(part).parquet(f"{home}/in")
+    # dealt by ``part``, each part would go to one task; all files of a part are one batch, however many they are
+    rows.write.partitionBy(part).parquet(f"{home}/in")
     numbers = sorted(r[0] for r in rows.select(part).distinct().collect())
     for i in range(len(numbers)):
-        yield stream_table(rows.sparkSession, f"{home}/in/{part}={{{','.join(map(str, numbers[: i + 1]))}}}", rows.drop(part).schema)
+        yield stream_table(rows.sparkSession, f"{home}/in/{part}={{{','.join(map(str, numbers[: i + 1]))}}}", rows.drop(part).schema, (1 << 31) - 1)
 
 
 def run_in_parts(rows: DataFrame, part: str, home: str, transform: Callable[[DataFrame], DataFrame], settings: dict[str, str] | None = None) -> DataFrame:

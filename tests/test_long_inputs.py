@@ -3,10 +3,11 @@
 import base64
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leakflow.operators import audit, decode, graph
+from leakflow.operators import audit, decode, graph, keywords
 from leakflow.plans import commands
 from leakflow.session import new_path
 from leakflow.streaming import scans
@@ -81,3 +82,12 @@ def test_long_chains_are_folded_a_range_at_a_time(spark):
         last[c] = hashlib.sha256(f"{before}\x1f{t}".encode()).hexdigest()
         want.add((c, i, before, last[c]))
     assert got == want == {tuple(r) for r in audit.build_chain(table, "c", "i", ["t"]).select("c", "i", "prev_hash", "row_hash").collect()}
+
+
+def test_a_part_of_a_stream_is_not_one_file(spark):
+    home = new_path(spark, "parts")
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 2).alias("part"), "id")
+    streams = scans._parts(rows, "part", home)
+    next(streams)
+    files = spark.read.parquet(f"{home}/in").select("part", F.input_file_name().alias("file")).distinct().groupBy("part").count().collect()
+    assert {tuple(r) for r in files} == {(0, 4), (1, 4)}
