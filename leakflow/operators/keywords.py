@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -160,6 +161,23 @@ def _bytes(column: pa.Array, fold: bool) -> list[bytes]:
     return [folded(t) for t in raw] if fold else raw
 
 
+#: Bytes and texts that a worker looks at together; what it holds doesn't grow with an Arrow batch.
+SLICE, SLICE_ROWS = 4 << 20, 1_000
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with some megabytes in the first column, or a single row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()
+        at, held = 0, 0
+        for i, n in enumerate(sizes):
+            if i > at and (held + n > SLICE or i - at >= SLICE_ROWS):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        yield batch.slice(at)
+
+
 def with_words(rows: DataFrame, text: str, words: Iterable[str], numbers: dict[str, list[int]], always: Sequence[int] = (), into: str = "numbers_") -> DataFrame:
     """``rows`` with ``into`` array<int>: ``always`` and the ``numbers`` of each word that is in ``text``, each once and in order. Case doesn't count; a null text holds no word.
 
@@ -175,7 +193,7 @@ def with_words(rows: DataFrame, text: str, words: Iterable[str], numbers: dict[s
     source = rows.select(F.col(f"`{text}`").alias("text__"), *(F.col(f"`{c}`").alias(f"c{i}__") for i, c in enumerate(rows.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = _bytes(batch.column(0), True)
             found: list[set[int]] = [set(always) for _ in texts]
             for automaton, of in held:
@@ -195,7 +213,7 @@ def occurrences(rows: DataFrame, text: str, words: Iterable[str], keep: Sequence
     names = [*source.columns[1:], "start", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = _bytes(batch.column(0), False)
             kept = batch.select(batch.schema.names[1:])
             for one in held:

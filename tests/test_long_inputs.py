@@ -91,3 +91,14 @@ def test_a_part_of_a_stream_is_not_one_file(spark):
     next(streams)
     files = spark.read.parquet(f"{home}/in").select("part", F.input_file_name().alias("file")).distinct().groupBy("part").count().collect()
     assert {tuple(r) for r in files} == {(0, 4), (1, 4)}
+
+
+def test_a_batch_of_long_texts_is_looked_at_in_slices(spark, monkeypatch):
+    texts = ["x" * 3_000_000 + "Key", None, "", "no", "token key", "y" * 5_000_000, *["key"] * 2_500]
+    batch = pa.record_batch({"text": texts, "i": list(range(len(texts)))})
+    parts = list(keywords._sliced(iter([batch])))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or (p.num_rows <= 1_000 and sum(len(t or "") for t in p.column(0).to_pylist()) <= 4 << 20) for p in parts)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5])], "i long, t string").coalesce(1)
+    got = {r["i"]: r["numbers_"] for r in keywords.with_words(table, "t", ["key", "token"], {"key": [1], "token": [0]}).collect()}
+    assert got == {0: [1], 1: [], 2: [], 3: [], 4: [0, 1]}
