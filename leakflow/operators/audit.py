@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from leakflow.functions.hashing import FIELD_SEPARATOR, chain_hash
 from leakflow.session import new_path, staged
@@ -106,28 +106,21 @@ def _by_ranges(text: DataFrame, key: str, order: str, block: int) -> DataFrame:
     return spark.read.schema(_chained(text)).parquet(home)
 
 
-def _appender(place: str) -> StatefulProcessor:
-    """Goes on with a chain from its last hash and number, which are all that is kept of it. The class is made here so that it travels by value: the process that sets a stream's state up knows nothing of this package."""
+def _appender(place: str):
+    """Goes on with a chain from its last hash and number, which are all that is kept of it and come along with its rows."""
 
-    class Appender(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.last = handle.getValueState("last", "number long, row_hash string")
+    def go_on(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        number, last = state.get if state.exists else (0, "")
+        batch = pd.concat(list(batches)).sort_values(place, kind="stable")
+        previous, made = [], []
+        for text in batch["text_"]:
+            previous.append(last)
+            last = hashlib.sha256((last + text).encode()).hexdigest()
+            made.append(last)
+        state.update((number + len(made), last))
+        yield batch.drop(columns="text_").assign(number=range(number + 1, number + len(made) + 1), prev_hash=previous, row_hash=made)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            number, last = self.last.get() if self.last.exists() else (0, "")
-            batch = pd.concat(list(rows)).sort_values(place, kind="stable")
-            previous, made = [], []
-            for text in batch["text_"]:
-                previous.append(last)
-                last = hashlib.sha256((last + text).encode()).hexdigest()
-                made.append(last)
-            self.last.update((number + len(made), last))
-            yield batch.drop(columns="text_").assign(number=range(number + 1, number + len(made) + 1), prev_hash=previous, row_hash=made)
-
-        def close(self) -> None:
-            pass
-
-    return Appender()
+    return go_on
 
 
 #: State of many keys needs this store; batches write what changed, not the whole of it.
@@ -146,7 +139,7 @@ def append_chain(stream: DataFrame, key: str, order: str, fields: list[str]) ->
     """
     text = F.concat(*(F.concat(F.lit(FIELD_SEPARATOR), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in stream.dtypes), "number long, prev_hash string, row_hash string"])
-    return stream.withColumn("text_", text).groupBy(key).transformWithStateInPandas(statefulProcessor=_appender(order), outputStructType=schema, outputMode="Append", timeMode="None")
+    return stream.withColumn("text_", text).groupBy(key).applyInPandasWithState(_appender(order), schema, "number long, row_hash string", "append", GroupStateTimeout.NoTimeout)
 
 
 def verify_chain(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:

@@ -102,3 +102,9 @@ def test_a_batch_of_long_texts_is_looked_at_in_slices(spark, monkeypatch):
     table = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:5])], "i long, t string").coalesce(1)
     got = {r["i"]: r["numbers_"] for r in keywords.with_words(table, "t", ["key", "token"], {"key": [1], "token": [0]}).collect()}
     assert got == {0: [1], 1: [], 2: [], 3: [], 4: [0, 1]}
+
+
+def test_states_of_chains_come_along_with_their_rows(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value % 3 as c", "value as i")
+    plan = audit.append_chain(stream, "c", "i", ["i"])._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan  # no calls for each key
