@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leakflow.functions import masking, places
 from leakflow.operators import detect, graph, rewrite, scrub
 from leakflow.plans.registry import query, read
-from leakflow.session import staged
+from leakflow.session import shuffled, staged
 from leakflow.sources import fastexport
 
 #: A graph with merges: node k has the parents k/2 and k/3.
@@ -195,7 +195,7 @@ def scrub_plan(spark, sf_dir):
     # numbers and parents are found without the texts, which stay where they are read
     numbers = staged(scrub.dense_numbers(docs.select("stream", "doc_id"), "stream", "doc_id", "n").select("stream", "doc_id", "n"), "numbers")
     before = numbers.select("stream", (F.col("n") + 1).alias("n"), F.col("doc_id").alias("before"))
-    known = docs.drop("data").join(numbers.join(before, ["stream", "n"], "left").select("doc_id", "before"), "doc_id")
+    known = docs.drop("data").join(shuffled(numbers.join(shuffled(before), ["stream", "n"], "left").select("doc_id", "before")), "doc_id")
     change = F.struct(F.lit("M").alias("kind"), F.lit("100644").alias("mode"), F.concat(F.lit(":"), whole(2 * k + 1)).alias("ref"), F.concat("lang", F.lit("/"), whole(k), F.lit(".txt")).alias("path"), F.lit(None).cast("string").alias("new_path"))
     changes = F.when(k % 5 != 0, F.array(change)).otherwise(F.array().cast(fastexport.CHANGES))
     given = {"stream": F.col("stream")}
@@ -206,7 +206,7 @@ def scrub_plan(spark, sf_dir):
     path_of = lambda p: F.when(~p.startswith("fr/"), rewrite.new_path(p, rules))
     made = scrub.scrub(row(docs, blob).unionByName(row(known, commit)), lambda t: masking.replace_text(t, [(" the ", " *** ")]), path_of)
     told = made.select("stream", F.expr("seq div 2").alias("doc_id"), (F.col("seq") % 2).alias("odd"), "kind", "mark", "parent", F.get("changes", F.lit(0))["path"].alias("path"), F.md5("data").alias("digest"))
-    return told.join(numbers, ["stream", "doc_id"]).select("stream", (2 * F.col("n") - 1 + F.col("odd")).alias("seq"), "kind", "mark", "parent", "path", "digest")
+    return told.join(shuffled(numbers), ["stream", "doc_id"]).select("stream", (2 * F.col("n") - 1 + F.col("odd")).alias("seq"), "kind", "mark", "parent", "path", "digest")
 
 
 @query("plan_stats", "SELECT count(DISTINCT l_partkey)::BIGINT AS n_blobs, count(DISTINCT l_orderkey)::BIGINT AS n_commits FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")

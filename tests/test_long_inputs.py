@@ -7,9 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leakflow.operators import audit, decode, graph, keywords
+from leakflow.operators import audit, decode, graph, keywords, scrub
 from leakflow.plans import commands
 from leakflow.session import new_path
+from leakflow.sources import fastexport
 from leakflow.streaming import scans
 
 
@@ -108,3 +109,22 @@ def test_states_of_chains_come_along_with_their_rows(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value % 3 as c", "value as i")
     plan = audit.append_chain(stream, "c", "i", ["i"])._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan  # no calls for each key
+
+
+def test_a_scrub_broadcasts_nothing(spark, monkeypatch):
+    plans, was = [], scrub.staged
+
+    def told(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return was(df, label)
+
+    monkeypatch.setattr(scrub, "staged", told)
+    rows = [("s", 0, "blob", 1, None, b"a"), ("s", 1, "commit", 2, None, None), ("s", 2, "commit", 3, ":2", None)]
+    columns = [c.split(" ") for c in fastexport.RECORDS.split(", ")]
+    few = spark.createDataFrame(rows, "stream string, seq long, kind string, mark long, parent string, data binary")
+    change = F.expr("case when mark = 2 then array(named_struct('kind', 'M', 'mode', '100644', 'ref', ':1', 'path', 'p', 'new_path', null)) end")
+    records = few.withColumn("changes", change).select(*((F.col(n) if n in (*few.columns, "changes") else F.lit(None)).cast(t).alias(n) for n, t in columns))
+    made = scrub.scrub(records)
+    assert {(r["kind"], r["mark"], r["parent"]) for r in made.collect()} == {("blob", 1, None), ("commit", 2, None), ("commit", 3, ":2")}
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
