@@ -1,4 +1,4 @@
-"""Near-duplicate links by exact Jaccard similarity of shingle sets; MinHash bands select the candidates."""
+"""Near-duplicate links of SimHash fingerprints: pivot cells select the candidates, exact Jaccard similarity of shingle sets decides."""
 
 from __future__ import annotations
 
@@ -8,18 +8,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakflow.llm.components import connected_components
-from leakflow.llm.simhash import SEED, _hashes
+from leakflow.llm.simhash import CELL_WORDS, SEED, _hashes, cell_keys, fingerprint, majorities, pivot_cells
 from leakflow.llm.staging import arrow_rows, carried, join_by_count, stage, with_row_id
 
-#: A pair of similarity J shares one of BANDS bands of ROWS minima with 1 - (1 - J^ROWS)^BANDS: 99.99 % at 0.8.
-BANDS, ROWS = 24, 5
-#: Odd multipliers: a shingle's hash times each of them orders the shingles anew.
-_ORDERS = np.array([xxhash.xxh64_intdigest(f"order {i}".encode(), SEED) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)[:, None]
-_PIECE = 1 << 12
+#: Bits of 512 in which sets of similarity 0.8 differ at most: 63 to 78 on average (96 for sets of five), deviation 8; unrelated ones differ in 256, deviation 11.
+RADIUS = 136
+#: Buckets of up to so many nodes are compared pair by pair.
+BUCKET = 8
+_WORDS = [f"fp{i}" for i in range(CELL_WORDS)]
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -29,37 +29,48 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit key for each band; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), _PIECE):
-        least = np.minimum(least, (hashes[at : at + _PIECE] * _ORDERS).min(axis=1))
-    digests = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(digests, dtype=np.uint64).view(np.int64).tolist()
+    """The keys of a set's pivot cells; none for an empty set."""
+    return cell_keys(pivot_cells(majorities([hashes], CELL_WORDS)[None]))[0].tolist() if len(hashes) else []
 
 
 def signatures(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """The columns of ``docs`` as c0, c1, .., a unique ``row_id``, the set's ``digest`` (128 bits), its ``size`` and ``bands``: a staged table."""
+    """The columns of ``docs`` as c0, c1, .., a unique ``row_id``, the shingle set's ``digest`` (128 bits), its ``size``, fingerprint words ``fp0``.. and pivot ``cells`` (null for an empty set): a staged table."""
     kept = carried(docs, [text, *docs.columns])[0]
     source = kept.select(F.col("c0").alias("text_"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(kept.columns[1:])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bands = [], [], []
-            for t in batch.column(0):
+            digests, sizes = [], []
+            counts = np.zeros((batch.num_rows, CELL_WORDS, 64), dtype=np.int64)
+            for i, t in enumerate(batch.column(0)):
                 hashes = shingle_set(t.as_py(), shingle)
                 digests.append(xxhash.xxh128_digest(hashes.tobytes(), SEED))
                 sizes.append(len(hashes))
-                bands.append(band_keys(hashes))
-            found = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=[*batch.schema.names[1:], "digest", "size", "bands"])
+                counts[i] = majorities([hashes], CELL_WORDS)
+            cells = [row.tobytes() if n else None for row, n in zip(pivot_cells(counts), sizes)]
+            words = fingerprint(counts).view(np.int64)
+            found = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(words[:, i]) for i in range(CELL_WORDS)), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], names=[*batch.schema.names[1:], "digest", "size", *_WORDS, "cells"])
 
-    schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), "digest binary, size long, bands array<long>"])
+    schema = ", ".join([*(f"{n} {t}" for n, t in source.dtypes[1:]), "digest binary, size long", *(f"{w} long" for w in _WORDS), "cells binary"])
     with arrow_rows(docs.sparkSession, 2000):
         return stage(with_row_id(source.mapInArrow(run, schema)), "signatures")
 
 
+def _banded(nodes: DataFrame) -> DataFrame:
+    """(row_id, size, bands) for nodes (row_id, size, cells): the keys of their pivot cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys = cell_keys(np.array([np.frombuffer(c.as_py(), dtype=np.uint8) for c in part.column(2)]))
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], lists], names=["row_id", "size", "bands"])
+
+    return nodes.select("row_id", "size", "cells").filter("cells is not null").mapInArrow(run, "row_id long, size long, bands array<long>")
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(row_id, hashes array<long>) for (row_id, text_): a staged table."""
 
@@ -76,23 +87,64 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 SALTS, HUBS = 32, 6
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, part: int = 512, part_hashes: int = 1 << 20) -> DataFrame:
+def _apart(a: Column, b: Column) -> Column:
+    """The Hamming distance of the fingerprints ``a`` and ``b``, structs of words."""
+    return sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in _WORDS), F.lit(0))
+
+
+def _counted(members: DataFrame, *bucket: str) -> DataFrame:
+    """``members`` of buckets of more than one node, with their number ``n`` and the ``first``."""
+    own = Window.partitionBy(*bucket)
+    return members.withColumn("n", F.count("*").over(own)).withColumn("first", F.min("row_id").over(own)).filter("n > 1")
+
+
+def _cut(large: DataFrame, prints: DataFrame) -> DataFrame:
+    """Buckets (band, row_id, size, first) cut where no pair within RADIUS can be: the distances to the first node, in order, leave a gap that wide."""
+    own, pivot = F.struct(*_WORDS), F.first("own").over(Window.partitionBy("band").orderBy("row_id"))
+    far = large.join(prints, "row_id").select("band", "row_id", "size", own.alias("own")).withColumn("pivot", pivot)
+    far = far.select("band", "row_id", "size", _apart(F.col("own"), F.col("pivot")).alias("far"))
+    order = Window.partitionBy("band").orderBy("far", "row_id")
+    gaps = far.withColumn("gap", (F.col("far") - F.lag("far", 1, 0).over(order) > RADIUS).cast("int"))
+    return _counted(gaps.withColumn("piece", F.sum("gap").over(order)).drop("far", "gap"), "band", "piece")
+
+
+def _candidates(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) that connect all pairs of a bucket of ``members`` (band, row_id, size, n, first) whose ``prints`` (row_id, fp0..) are within RADIUS.
+
+    Small buckets are compared pair by pair. A large one is cut by the
+    distances to its first node, the pivot; the pieces are compared pair by
+    pair if they are small, and else taken as one group.
+    """
+    cut = stage(_cut(members.filter(F.col("n") > BUCKET), prints), "pieces")
+    small = members.filter(F.col("n") <= BUCKET).withColumn("piece", F.lit(0).cast("long")).unionByName(cut.filter(F.col("n") <= BUCKET))
+    a, b = (small.select("band", "piece", "row_id", "size").alias(x) for x in "ab")
+    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.row_id") < F.col("b.row_id"))
+    alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (similarity - 1e-9)
+    pairs = a.join(b, same & alike).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
+    own = prints.select("row_id", F.struct(*_WORDS).alias("own"))
+    told = pairs.join(own.alias("a"), F.col("a.row_id") == F.col("u")).join(own.alias("b"), F.col("b.row_id") == F.col("v"))
+    return told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS).select("u", "v").unionByName(cut.filter(F.col("n") > BUCKET).select(F.col("row_id").alias("u"), F.col("first").alias("v")))
+
+
+def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, part: int = 512, part_hashes: int = 1 << 20, prints: DataFrame | None = None) -> DataFrame:
     """(u, v): pairs of ``nodes`` (row_id, size, bands) at least ``similarity`` alike, such that alike candidates are connected.
 
-    Nodes that share bands, directly or through others, are a group; sets are
-    made again from ``texts`` (row_id, text_) for groups only. A group of up
-    to ``part`` nodes and ``part_hashes`` hashes goes to one task, each set
-    once. A larger one is compared with a hub at a time (see ``_hub_round``),
+    Nodes that share bands, directly or through others, are a group; where
+    there are ``prints`` (row_id, fp0..), only those whose fingerprints may be
+    within RADIUS. Sets are made again from ``texts`` (row_id, text_) for
+    groups only. A group of up to ``part`` nodes and ``part_hashes`` hashes
+    goes to one task, each set once. A larger one is compared with a hub at a time (see ``_hub_round``),
     which takes a pass over it, and what hubs don't settle is dealt to parts,
     each two of which go to one task.
     """
     keys = nodes.select("row_id", "size", F.explode("bands").alias("band"))
-    sizes = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("row_id").alias("first")).filter("n > 1")
-    members = stage(join_by_count(keys, sizes, ["band"], "n", nodes.count() * BANDS), "buckets")
-    roots_ = connected_components(members.select(F.col("row_id").alias("u"), F.col("first").alias("v")))
+    members = stage(_counted(keys, "band"), "buckets")
+    near = members.select(F.col("row_id").alias("u"), F.col("first").alias("v")) if prints is None else _candidates(members, prints, similarity)
+    roots_ = stage(connected_components(near), "roots")
+    roots_ = roots_.unionByName(roots_.select(F.col("root").alias("node"), "root")).distinct()
     # of a group, the node that shares most bands with most others is the likeliest middle
     known = members.groupBy("row_id").agg(F.sum("n").alias("shared"), F.first("size").alias("size"))
-    grouped = stage(known.join(roots_, known.row_id == F.col("node"), "left").select(F.coalesce("root", "row_id").alias("group"), "row_id", "shared", "size"), "groups")
+    grouped = stage(known.join(roots_, known.row_id == F.col("node")).select(F.col("root").alias("group"), "row_id", "shared", "size"), "groups")
     sets = _sets(texts.join(grouped.select("row_id"), "row_id", "left_semi"), shingle)
     small, large = _by_size(grouped, part, part_hashes)
     done, found, before = [small], [], None
@@ -196,12 +248,12 @@ def _forests(large: DataFrame, sets: DataFrame, similarity: float, part: int, pa
 
 
 def roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """``rows`` (row_id, digest, size, bands, best, ``text``) as (root, best): equal sets are collapsed first, so copies cost one node.
+    """``rows`` (row_id, digest, size, fp0.., cells, best, ``text``) as (root, best): equal sets are collapsed first, so copies cost one node.
 
     ``best`` is the row that each set, and then each group, keeps.
     """
-    made = rows.groupBy("digest").agg(F.min("best").alias("best"), F.min("row_id").alias("row_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    made = rows.groupBy("digest").agg(F.min("best").alias("best"), F.min("row_id").alias("row_id"), *(F.first(c).alias(c) for c in ("size", *_WORDS, "cells")))
     nodes = stage(made, "nodes")
-    near = links(nodes, rows.select("row_id", F.col(text).alias("text_")), shingle, similarity)
+    near = links(_banded(nodes), rows.select("row_id", F.col(text).alias("text_")), shingle, similarity, prints=nodes.select("row_id", *_WORDS))
     found = connected_components(near)
     return nodes.select("row_id", "best").join(found, nodes.row_id == found.node, "left").select(F.coalesce("root", "row_id").alias("root"), "best")

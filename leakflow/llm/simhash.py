@@ -10,7 +10,7 @@ difference in any coordinate are discarded before the exact comparison.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,9 @@ _PIECE = 1 << 20
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Odd multipliers that derive further words from a shingle's hash (fractional parts of square roots of primes).
 _MULTIPLIERS = [int((p**0.5 % 1) * 2**52) << 12 | 1 for p in (2, 3, 5, 7, 11, 13, 17, 19)]
+#: Words of a fingerprint that pivot cells are made from, and how many sets of pivots there are.
+CELL_WORDS, TURNS = 8, 72
+_BITS, _CELL = 64 * CELL_WORDS, 128
 
 
 def _word_pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -63,29 +66,85 @@ def _hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], dtype=np.uint64)
 
 
-def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set."""
-    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(lanes), 255):  # a lane holds up to 255
-        total += lanes[at : at + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return total
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The shingles' hashes for each word of a fingerprint: (words, hashes)."""
+    if words == 1:
+        return hashes[None]
+    more = hashes * np.array(_MULTIPLIERS[1:words], dtype=np.uint64)[:, None]
+    more ^= more >> np.uint64(32)
+    more *= np.array(_MULTIPLIERS[: words - 1], dtype=np.uint64)[:, None]
+    more ^= more >> np.uint64(29)
+    return np.concatenate((hashes[None], more))
 
 
-def text_fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
-    """The fingerprint's words, unsigned. A bit is 1 if it is set in over half of the shingles' hashes; without words all are 0."""
+def majorities(pieces: Iterable[np.ndarray], words: int) -> np.ndarray:
+    """For each bit of ``words`` words, by how many more of the shingles' hashes (in ``pieces``) it is set than not."""
     n, ones = 0, np.zeros((words, 64), dtype=np.int64)
-    for hashes in _hashes((text or "").encode("utf-8", "surrogatepass"), shingle):
+    for hashes in pieces:
         n += len(hashes)
-        for i in range(words):
-            mixed = hashes
-            if i:
-                mixed = hashes * np.uint64(_MULTIPLIERS[i])
-                mixed ^= mixed >> np.uint64(32)
-                mixed *= np.uint64(_MULTIPLIERS[i - 1])
-                mixed ^= mixed >> np.uint64(29)
-            ones[i] += _ones(mixed)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist() if n else [0] * words
+        for at in range(0, len(hashes), 255):  # a lane holds up to 255
+            lanes = _LANES[_mixed(hashes[at : at + 255], words).view(np.uint8).reshape(words, -1, 8)]
+            ones += lanes.sum(axis=1, dtype=np.uint64).view(np.uint8)
+    return ones * 2 - n
+
+
+def fingerprint(counts: np.ndarray) -> np.ndarray:
+    """The words, unsigned, of ``majorities``: a bit is 1 if it is set in over half of the hashes."""
+    return np.packbits(counts > 0, axis=-1, bitorder="little").view(np.uint64).reshape(counts.shape[:-1])
+
+
+def text_fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
+    """The fingerprint's words, unsigned. A bit is 1 if it is set in over half of the shingles' hashes; without words all are 0."""
+    return fingerprint(majorities(_hashes((text or "").encode("utf-8", "surrogatepass"), shingle), words)).tolist()
+
+
+_SIGNS = np.array([xxhash.xxh64_intdigest(f"turn {i}".encode(), SEED) for i in range(TURNS * CELL_WORDS)], dtype=np.uint64)
+_SIGNS = np.unpackbits(_SIGNS.view(np.uint8)).reshape(TURNS, _BITS, 1).astype(np.float32) * 2 - 1
+
+
+def pivot_cells(counts: np.ndarray) -> np.ndarray:
+    """For rows of ``majorities`` of CELL_WORDS words, the nearest pivot of each of the TURNS * 4 tables: uint8 (rows, tables).
+
+    The pivots of a turn are 512 fingerprints that differ in 256 bits from
+    each other (a Hadamard matrix, columns negated at random), and their
+    complements; a table has 128 of them and the complements of those. A
+    distance counts a differing bit by its majority, so that bits which a few
+    shingles decide weigh little: it is (sum of all - product) / 2, and the
+    nearest pivot is that with the largest product.
+    """
+    tables = _BITS // _CELL
+    cells = np.zeros((len(counts), TURNS * tables), dtype=np.uint8)
+    for start in range(0, len(counts), 128):  # so many fit a core's cache
+        base = np.ascontiguousarray(counts[start : start + 128].reshape(-1, _BITS).T, dtype=np.float32)
+        n = base.shape[1]
+        for i, signs in enumerate(_SIGNS):
+            far, other = base * signs, np.empty_like(base)
+            half = 1
+            while half < _BITS:  # the product with a Hadamard matrix, by sums and differences
+                x, y = far.reshape(-1, 2, half * n), other.reshape(-1, 2, half * n)
+                np.add(x[:, 0], x[:, 1], out=y[:, 0])
+                np.subtract(x[:, 0], x[:, 1], out=y[:, 1])
+                far, other, half = other, far, half * 2
+            far = np.ascontiguousarray(far.T).reshape(-1, _CELL)
+            at = np.abs(far).argmax(axis=1)
+            cells[start : start + n, i * tables : (i + 1) * tables] = (at | ((far[np.arange(len(far)), at] < 0) << 7)).reshape(n, tables)
+    return cells
+
+
+def _choices(rounds: int) -> np.ndarray:
+    """Threes of tables: each table is in ``rounds`` of them."""
+    n = TURNS * _BITS // _CELL
+    order = [sorted(range(n), key=lambda j: xxhash.xxh64_intdigest(f"choice {r} {j}".encode(), SEED)) for r in range(rounds)]
+    return np.array(order).reshape(-1, 3)
+
+
+CHOICES = _choices(2)
+
+
+def cell_keys(cells: np.ndarray) -> np.ndarray:
+    """Keys of ``pivot_cells``, one for each of CHOICES: its number and the three cells, as int64 (rows, choices)."""
+    three = cells.astype(np.int64)[:, CHOICES]
+    return np.arange(len(CHOICES)) << 24 | three[:, :, 0] << 16 | three[:, :, 1] << 8 | three[:, :, 2]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, words: int = 1, keep: list[str] | None = None) -> DataFrame:
@@ -250,10 +309,11 @@ def radius_for(similarity: float, words: int) -> int:
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, a null one last.
 
-    Similarity is the Jaccard similarity of shingle sets. No block keys of
-    SimHash select pairs at 0.8 without most other pairs as well (15 % of the
-    bits differ there), so candidates share a MinHash band, and all of them
-    are compared set by set (see ``jaccard``). Repeated rows count as copies.
+    Similarity is the Jaccard similarity of shingle sets. At 0.8 some 15 % of
+    a fingerprint's bits differ, so candidates don't share blocks of bits but
+    the nearest pivots of three pivot tables (see ``pivot_cells``) and differ
+    in few enough of 512 bits; all of them are then compared set by set (see
+    ``jaccard``). Repeated rows count as copies.
     Texts without words form one group. An empty table stays empty.
     """
     from leakflow.llm import jaccard

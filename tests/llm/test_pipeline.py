@@ -220,3 +220,45 @@ def test_the_whole_run_on_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     awkward(spark).limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_fingerprints_and_pivot_cells_lose_no_pair_at_the_similarity():
+    import numpy as np
+
+    from leakflow.llm import jaccard
+
+    rng = np.random.default_rng(11)
+    for same, more, other in ((4, 1, 0), (8, 1, 1), (40, 5, 5), (300, 75, 0), (300, 30, 45)):
+        for _ in range(40):
+            h = rng.integers(0, 2**64, same + more + other, dtype=np.uint64)
+            counts = np.stack([simhash.majorities([x], 8) for x in (h[: same + more], np.delete(h, range(same, same + more)))])
+            a, b = simhash.fingerprint(counts)
+            assert np.bitwise_count(a ^ b).sum() <= jaccard.RADIUS
+            x, y = simhash.cell_keys(simhash.pivot_cells(counts))
+            assert (x == y).any() and x.tolist() == jaccard.band_keys(h[: same + more])
+    counts = np.stack([simhash.majorities([rng.integers(0, 2**64, 200, dtype=np.uint64)], 8) for _ in range(200)])
+    keys = simhash.cell_keys(simhash.pivot_cells(counts))
+    assert len(np.unique(keys)) > 0.999 * keys.size  # what is unrelated meets by chance alone, 2^-24 a key
+
+
+def test_buckets_are_cut_by_the_distance_to_their_pivot(spark):
+    import numpy as np
+
+    from leakflow.llm import jaccard
+    from leakflow.llm.components import connected_components
+
+    rng = np.random.default_rng(12)
+    flip = lambda bits, n: np.bitwise_xor(bits, np.isin(np.arange(512), rng.choice(512, n, replace=False)))
+    middle = [rng.random(512) < 0.5 for _ in range(6)]
+    bits = [flip(middle[0], int(rng.integers(0, 60))) for _ in range(20)]  # a bucket with a large piece, a small one, and others
+    bits += [flip(middle[1], int(rng.integers(0, 60))) for _ in range(4)] + middle[2:5]
+    bits += [flip(middle[5], int(rng.integers(0, 60))) for _ in range(3)] + [rng.random(512) < 0.5]  # a small bucket
+    words = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.int64)
+    prints = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "row_id long, " + ", ".join(f"fp{i} long" for i in range(8)))
+    band = lambda i: 1 if i < 27 else 2
+    members = spark.createDataFrame([(band(i), i, 100, 27 if i < 27 else 4, 0 if i < 27 else 27) for i in range(31)], "band long, row_id long, size long, n long, first long")
+    found = jaccard._candidates(members, prints, 0.8)
+    got = {r["node"]: r["root"] for r in connected_components(found).collect()}
+    near = {(i, j) for i in range(31) for j in range(i) if band(i) == band(j) and (bits[i] ^ bits[j]).sum() <= jaccard.RADIUS}
+    assert len(near) > 150 and all(got.get(i, i) == got.get(j, j) for i, j in near)
+    assert sorted(i for i in range(31) if got.get(i, i) == i) == [0, 20, 24, 25, 26, 27, 30]
