@@ -19,6 +19,8 @@ from leakflow.llm.staging import arrow_rows, carried, join_by_count, stage, with
 RADIUS = 136
 #: Buckets of up to so many nodes are compared pair by pair.
 BUCKET = 8
+#: Larger ones are cut so many times at most.
+CUTS = 3
 _WORDS = [f"fp{i}" for i in range(CELL_WORDS)]
 
 
@@ -85,6 +87,8 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 #: Salts of a group's hub, and how many hubs a large group gets before its parts are compared.
 SALTS, HUBS = 32, 6
+#: So many sets of a large group, about, tell which hashes are common in it.
+SAMPLE = 128
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -98,32 +102,55 @@ def _counted(members: DataFrame, *bucket: str) -> DataFrame:
     return members.withColumn("n", F.count("*").over(own)).withColumn("first", F.min("row_id").over(own)).filter("n > 1")
 
 
-def _cut(large: DataFrame, prints: DataFrame) -> DataFrame:
-    """Buckets (band, row_id, size, first) cut where no pair within RADIUS can be: the distances to the first node, in order, leave a gap that wide."""
-    own, pivot = F.struct(*_WORDS), F.first("own").over(Window.partitionBy("band").orderBy("row_id"))
-    far = large.join(prints, "row_id").select("band", "row_id", "size", own.alias("own")).withColumn("pivot", pivot)
-    far = far.select("band", "row_id", "size", _apart(F.col("own"), F.col("pivot")).alias("far"))
-    order = Window.partitionBy("band").orderBy("far", "row_id")
-    gaps = far.withColumn("gap", (F.col("far") - F.lag("far", 1, 0).over(order) > RADIUS).cast("int"))
-    return _counted(gaps.withColumn("piece", F.sum("gap").over(order)).drop("far", "gap"), "band", "piece")
+def _cut(large: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v), members (band, row_id, size) that are cut off) of buckets (band, row_id, size, n).
+
+    The pivot of a bucket is the node that shares most with others, so that
+    buckets of the same nodes have few pivots between them. A distance is the
+    same in all buckets that both nodes share and is worked out once for
+    these. Where the distances to a pivot, in order, leave a gap wider than
+    RADIUS, no pair within RADIUS can be across it: the nodes below it are
+    linked to the pivot, those beyond are cut off.
+    """
+    own, shared = F.struct(*_WORDS), F.sum("n").over(Window.partitionBy("row_id"))
+    pivot = F.max_by("row_id", F.struct("shared", -F.col("row_id"))).over(Window.partitionBy("band"))
+    large = stage(large.select("band", "row_id", "size", shared.alias("shared")).withColumn("pivot", pivot).drop("shared"), "pivots")
+    told = large.select("row_id", "pivot").filter("row_id <> pivot").distinct().join(prints.select("row_id", own.alias("own")), "row_id")
+    told = told.join(prints.select(F.col("row_id").alias("pivot"), own.alias("other")), "pivot")
+    far = stage(told.select("row_id", "pivot", _apart(F.col("own"), F.col("other")).alias("far")), "distances")
+    before = F.lag("far", 1, 0).over(Window.partitionBy("pivot").orderBy("far"))  # 512 distances at most
+    ends = far.select("pivot", "far").distinct().withColumn("before", before).filter(F.col("far") - F.col("before") > RADIUS)
+    told = far.join(ends.groupBy("pivot").agg(F.min("far").alias("end")), "pivot", "left")
+    beyond = F.col("end").isNotNull() & (F.col("far") >= F.col("end"))
+    off = large.join(told.filter(beyond).select("row_id", "pivot"), ["row_id", "pivot"]).select("band", "row_id", "size")
+    return told.filter(~beyond).select(F.col("row_id").alias("u"), F.col("pivot").alias("v")), off
 
 
 def _candidates(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """(u, v) that connect all pairs of a bucket of ``members`` (band, row_id, size, n, first) whose ``prints`` (row_id, fp0..) are within RADIUS.
 
     Small buckets are compared pair by pair. A large one is cut by the
-    distances to its first node, the pivot; the pieces are compared pair by
-    pair if they are small, and else taken as one group.
+    distances to a pivot, CUTS times at most as long as what is cut off is
+    large; the rest is taken as one group.
     """
-    cut = stage(_cut(members.filter(F.col("n") > BUCKET), prints), "pieces")
-    small = members.filter(F.col("n") <= BUCKET).withColumn("piece", F.lit(0).cast("long")).unionByName(cut.filter(F.col("n") <= BUCKET))
-    a, b = (small.select("band", "piece", "row_id", "size").alias(x) for x in "ab")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.row_id") < F.col("b.row_id"))
+    few, large, found = [members.filter(F.col("n") <= BUCKET)], members.filter(F.col("n") > BUCKET), []
+    for _ in range(CUTS):
+        near, off = _cut(large, prints)
+        off = stage(_counted(off, "band"), "pieces")
+        few.append(off.filter(F.col("n") <= BUCKET))
+        large = off.filter(F.col("n") > BUCKET)
+        found.append(near)
+        if large.isEmpty():
+            break
+    found.append(large.select(F.col("row_id").alias("u"), F.col("first").alias("v")))
+    small = reduce(DataFrame.unionByName, few).select("band", "n", "first", "row_id", "size")
+    a, b = (small.alias(x) for x in "ab")
+    same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("band", "n", "first"))) & (F.col("a.row_id") < F.col("b.row_id"))
     alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (similarity - 1e-9)
     pairs = a.join(b, same & alike).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
     own = prints.select("row_id", F.struct(*_WORDS).alias("own"))
     told = pairs.join(own.alias("a"), F.col("a.row_id") == F.col("u")).join(own.alias("b"), F.col("b.row_id") == F.col("v"))
-    return told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS).select("u", "v").unionByName(cut.filter(F.col("n") > BUCKET).select(F.col("row_id").alias("u"), F.col("first").alias("v")))
+    return reduce(DataFrame.unionByName, found, told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS).select("u", "v"))
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, part: int = 512, part_hashes: int = 1 << 20, prints: DataFrame | None = None) -> DataFrame:
@@ -134,8 +161,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, p
     within RADIUS. Sets are made again from ``texts`` (row_id, text_) for
     groups only. A group of up to ``part`` nodes and ``part_hashes`` hashes
     goes to one task, each set once. A larger one is compared with a hub at a time (see ``_hub_round``),
-    which takes a pass over it, and what hubs don't settle is dealt to parts,
-    each two of which go to one task.
+    which takes a pass over it. What hubs don't settle is split (see ``_split``),
+    and the rest is dealt to parts (see ``_forests``).
     """
     keys = nodes.select("row_id", "size", F.explode("bands").alias("band"))
     members = stage(_counted(keys, "band"), "buckets")
@@ -154,7 +181,9 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, p
         if not n:
             break
         if not left or (before and n > 0.9 * before):  # hubs settle little here
-            found.append(_forests(large, sets, similarity, part, part_hashes))
+            small, large = _by_size(stage(_split(large, sets, similarity), "split"), part, part_hashes)
+            done.append(small)
+            found += _forests(large, sets, similarity, part, part_hashes)
             break
         before = n
         near, large = _hub_round(large, sets, similarity)
@@ -238,13 +267,78 @@ def _forest(ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, similarity:
             codes_left, own_left = codes_left[stay], own_left[stay]
 
 
-def _forests(large: DataFrame, sets: DataFrame, similarity: float, part: int, part_hashes: int) -> DataFrame:
-    """(u, v) for groups (group, n, hashes_, row_id) of ``large``: what connects the nodes of each two parts of a group."""
-    parts = F.greatest(F.ceil(F.col("n") / part), F.ceil(F.col("hashes_") / part_hashes)).cast("int")
-    own = F.pmod(F.xxhash64("row_id", "group"), parts).cast("int")
-    dealt = large.select("group", "row_id", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row_id")
-    return dealt.join(sets, "row_id").groupBy("group", "i", "j").applyInArrow(lambda table: _alike(table, similarity), "u long, v long")
+def _split(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Nodes (group, row_id, shared, size) of ``large`` in smaller groups that no link crosses.
+
+    Sets in any fixed order of hashes which are ``similarity`` alike share one
+    of their first few: all but that share of them, and one more. Hashes that
+    several of some SAMPLE sets of the group have come last, so what most of
+    a group has in common connects nobody. The sample only sets this order.
+    """
+    picked = large.filter(F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / SAMPLE)) == 0).join(sets, "row_id")
+    often = picked.select("group", F.explode("hashes").alias("h")).groupBy("group", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    often = often.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("n", "h")))["h"].alias("often"))
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = large.join(sets, "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(often, ["group", "salt"], "left")
+    often_ = F.coalesce("often", F.array().cast("array<long>"))
+    in_order = F.concat(F.array_except("hashes", often_), F.array_intersect(often_, "hashes"))
+    most = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
+    keys = own.select("group", "row_id", F.explode(F.slice(in_order, F.lit(1), most)).alias("h"))
+    near = _counted(keys, "group", "h").filter("row_id <> first").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
+    split = connected_components(near)
+    return large.join(split, large.row_id == split.node, "left").select(F.coalesce("root", "row_id").alias("group"), "row_id", "shared", "size")
+
+
+def _forests(large: DataFrame, sets: DataFrame, similarity: float, part: int, part_hashes: int) -> list[DataFrame]:
+    """(u, v) that connect the alike nodes of groups (group, n, hashes_, row_id, shared, size), in two tables.
+
+    First each node is compared with those of its own part and the group's
+    hub. Then nodes that this leaves outside of their group's largest
+    component are compared with all nodes, two parts in a task; the others
+    need no comparison with each other.
+    """
+    in_parts = lambda n, size: F.greatest(F.ceil(n / part), F.ceil(size / part_hashes)).cast("int")
+    parts = in_parts(F.col("n"), F.col("hashes_"))
+    dealt = large.select("group", "row_id", "size", parts.alias("parts"), F.pmod(F.xxhash64("row_id", "group"), parts).cast("int").alias("j"))
+    hubs = large.groupBy("group").agg(F.max_by("row_id", F.struct("shared", -F.col("row_id"))).alias("row_id"), F.first(parts).alias("parts"))
+    hubs = hubs.select("group", "row_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+    each = dealt.select("group", "row_id", "j").unionByName(hubs).distinct().join(sets, "row_id")
+    near = stage(each.groupBy("group", "j").applyInArrow(lambda table: _alike(table, similarity), "u long, v long"), "near")
+
+    told = connected_components(near)
+    known = stage(dealt.join(told, dealt.row_id == told.node, "left").select("group", "row_id", "size", "parts", "j", F.coalesce("root", "row_id").alias("root")), "known")
+    most = known.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("most"))
+    outside = known.join(F.broadcast(most), "group").filter("root <> most")
+    left = outside.groupBy("group").agg(in_parts(F.count("*"), F.sum("size")).alias("lefts"))
+    i = F.pmod(F.xxhash64("row_id", "group", F.lit(1)), F.col("lefts")).cast("int")
+    mine = outside.join(F.broadcast(left), "group").select("group", "row_id", "root", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("mine"))
+    other = known.join(F.broadcast(left), "group").select("group", "row_id", "root", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), "j", F.lit(False).alias("mine"))
+    both = mine.unionByName(other.select(mine.columns)).join(sets, "row_id")
+    return [near, both.groupBy("group", "i", "j").applyInArrow(lambda table: _across(table, similarity), "u long, v long")]
+
+
+def _across(table: pa.Table, similarity: float) -> pa.Table:
+    """(u, v) that connect each node of ``mine`` with every root one of whose other nodes is alike."""
+    lists = table.column("hashes").combine_chunks()
+    ids, roots_ = (table.column(c).to_numpy() for c in ("row_id", "root"))
+    mine = np.asarray(table.column("mine").to_numpy(zero_copy_only=False), dtype=bool)
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    distinct, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(ids)), sizes)
+    codes_other, own_other = codes[~mine[own]], own[~mine[own]]
+    marked = np.zeros(len(distinct), dtype=bool)
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for x in np.flatnonzero(mine):
+        codes_x = codes[starts[x] : starts[x] + sizes[x]]
+        marked[codes_x] = True
+        shared = np.bincount(own_other[marked[codes_other]], minlength=len(ids))
+        marked[codes_x] = False
+        close = np.flatnonzero(~mine & (roots_ != roots_[x]) & (shared / (sizes + sizes[x] - shared) >= similarity))
+        close = close[np.unique(roots_[close], return_index=True)[1]]
+        us.append(np.full(len(close), ids[x]))
+        vs.append(ids[close])
+    return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
 
 def roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:

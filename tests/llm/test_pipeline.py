@@ -262,3 +262,27 @@ def test_buckets_are_cut_by_the_distance_to_their_pivot(spark):
     near = {(i, j) for i in range(31) for j in range(i) if band(i) == band(j) and (bits[i] ^ bits[j]).sum() <= jaccard.RADIUS}
     assert len(near) > 150 and all(got.get(i, i) == got.get(j, j) for i, j in near)
     assert sorted(i for i in range(31) if got.get(i, i) == i) == [0, 20, 24, 25, 26, 27, 30]
+
+
+def test_rows_of_large_groups_do_not_grow_with_bands_or_parts(spark):
+    import numpy as np
+
+    from leakflow.llm import jaccard
+    from leakflow.llm.components import connected_components
+
+    words = "row_id long, " + ", ".join(f"fp{i} long" for i in range(8))
+    prints = spark.createDataFrame([(i, *([1 << i] * 8)) for i in range(40)], words)
+    members = spark.createDataFrame([(band, i, 100, 40, 0) for band in range(100) for i in range(40)], "band long, row_id long, size long, n long, first long")
+    assert jaccard._candidates(members, prints, 0.8).count() == 39  # not one for each band
+
+    rng = np.random.default_rng(13)
+    common = rng.integers(0, 10**9, 200)
+    sets = [np.append(common, rng.integers(10**9, 2 * 10**9, 5 if i < 200 else 120)) for i in range(210)]  # the last ten are like nobody
+    sets += [np.append(common, np.array([1, 2, 3])), np.append(common[:180], np.array([1, 2, 3]))]
+    table = spark.createDataFrame([(i, len(s), [7], " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets)], "row_id long, size long, bands array<long>, text_ string")
+    was, jaccard.HUBS = jaccard.HUBS, 0
+    near = stage(jaccard.links(table.select("row_id", "size", "bands"), table.select("row_id", "text_"), 1, 0.8, part=20), "links")
+    jaccard.HUBS = was
+    roots = {r["node"]: r["root"] for r in connected_components(near).collect()}
+    assert set(roots) == {*range(1, 200), 210, 211} and set(roots.values()) == {0}
+    assert near.count() < 500  # two parts in a task each would make some 20 links for each of 66 tasks
