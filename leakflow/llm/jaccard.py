@@ -102,6 +102,13 @@ def _counted(members: DataFrame, *bucket: str) -> DataFrame:
     return members.withColumn("n", F.count("*").over(own)).withColumn("first", F.min("row_id").over(own)).filter("n > 1")
 
 
+def _thinned(near: DataFrame) -> DataFrame:
+    """Fewer (u, v) that connect the same nodes, where many u have the same few v: each u and all its v are linked to the least of these."""
+    told = near.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("least"))
+    told = told.select("u", F.col("least").alias("v")).unionByName(told.select(F.col("v").alias("u"), F.col("least").alias("v")))
+    return told.filter("u <> v").distinct()
+
+
 def _cut(large: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links (u, v), members (band, row_id, size) that are cut off) of buckets (band, row_id, size, n).
 
@@ -123,7 +130,7 @@ def _cut(large: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = far.join(ends.groupBy("pivot").agg(F.min("far").alias("end")), "pivot", "left")
     beyond = F.col("end").isNotNull() & (F.col("far") >= F.col("end"))
     off = large.join(told.filter(beyond).select("row_id", "pivot"), ["row_id", "pivot"]).select("band", "row_id", "size")
-    return told.filter(~beyond).select(F.col("row_id").alias("u"), F.col("pivot").alias("v")), off
+    return _thinned(told.filter(~beyond).select(F.col("row_id").alias("u"), F.col("pivot").alias("v"))), off
 
 
 def _candidates(members: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -285,7 +292,7 @@ def _split(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     most = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
     keys = own.select("group", "row_id", F.explode(F.slice(in_order, F.lit(1), most)).alias("h"))
     near = _counted(keys, "group", "h").filter("row_id <> first").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
-    split = connected_components(near)
+    split = connected_components(_thinned(near))
     return large.join(split, large.row_id == split.node, "left").select(F.coalesce("root", "row_id").alias("group"), "row_id", "shared", "size")
 
 
