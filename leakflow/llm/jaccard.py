@@ -157,7 +157,7 @@ def _candidates(members: DataFrame, prints: DataFrame, similarity: float) -> Dat
     pairs = a.join(b, same & alike).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
     own = prints.select("row_id", F.struct(*_WORDS).alias("own"))
     told = pairs.join(own.alias("a"), F.col("a.row_id") == F.col("u")).join(own.alias("b"), F.col("b.row_id") == F.col("v"))
-    return reduce(DataFrame.unionByName, found, told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS).select("u", "v"))
+    return reduce(DataFrame.unionByName, found, _thinned(told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS)))
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, part: int = 512, part_hashes: int = 1 << 20, prints: DataFrame | None = None) -> DataFrame:
