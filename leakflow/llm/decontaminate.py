@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakflow.llm.staging import arrow_rows, carried, restored, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, marked, restored, stage, with_row_id
 
 GRAM = 5
 #: The bitmap's index has as many bits as give 1/16 of its places to fingerprints, between these; 2 ** 28 bits are 32 MB.
@@ -261,4 +261,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item."""
     rows, hits, _ = find_hits(docs, benchmark, None, window)
-    return restored(rows.join(hits.select("row_id_"), "row_id_", "left_anti"), docs.columns)
+    return restored(marked(rows, hits.select("row_id_"), key="row_id_", apart=True), docs.columns)

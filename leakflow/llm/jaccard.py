@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from leakflow.llm.components import connected_components
 from leakflow.llm.simhash import CELL_WORDS, SEED, _hashes, cell_keys, fingerprint, majorities, pivot_cells
-from leakflow.llm.staging import arrow_rows, carried, join_by_count, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, marked, stage, with_row_id
+from leakflow.session import shuffled
 
 #: Bits of 512 in which sets of similarity 0.8 differ at most: 63 to 78 on average (96 for sets of five), deviation 8; unrelated ones differ in 256, deviation 11.
 RADIUS = 136
@@ -74,15 +75,15 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(row_id, hashes array<long>) for (row_id, text_): a staged table."""
+    """(row_id, large, hashes array<long>) for (row_id, large, text_): a staged table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row_id", "hashes"])
+            found = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], found], names=["row_id", "large", "hashes"])
 
     with arrow_rows(texts.sparkSession, 500):
-        return stage(texts.select("row_id", "text_").mapInArrow(run, "row_id long, hashes array<long>"), "sets")
+        return stage(texts.select("row_id", "large", "text_").mapInArrow(run, "row_id long, large boolean, hashes array<long>"), "sets")
 
 
 #: Salts of a group's hub, and how many hubs a large group gets before its parts are compared.
@@ -122,14 +123,14 @@ def _cut(large: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     own, shared = F.struct(*_WORDS), F.sum("n").over(Window.partitionBy("row_id"))
     pivot = F.max_by("row_id", F.struct("shared", -F.col("row_id"))).over(Window.partitionBy("band"))
     large = stage(large.select("band", "row_id", "size", shared.alias("shared")).withColumn("pivot", pivot).drop("shared"), "pivots")
-    told = large.select("row_id", "pivot").filter("row_id <> pivot").distinct().join(prints.select("row_id", own.alias("own")), "row_id")
-    told = told.join(prints.select(F.col("row_id").alias("pivot"), own.alias("other")), "pivot")
+    told = large.select("row_id", "pivot").filter("row_id <> pivot").distinct().join(shuffled(prints.select("row_id", own.alias("own"))), "row_id")
+    told = told.join(shuffled(prints.select(F.col("row_id").alias("pivot"), own.alias("other"))), "pivot")
     far = stage(told.select("row_id", "pivot", _apart(F.col("own"), F.col("other")).alias("far")), "distances")
     before = F.lag("far", 1, 0).over(Window.partitionBy("pivot").orderBy("far"))  # 512 distances at most
     ends = far.select("pivot", "far").distinct().withColumn("before", before).filter(F.col("far") - F.col("before") > RADIUS)
-    told = far.join(ends.groupBy("pivot").agg(F.min("far").alias("end")), "pivot", "left")
+    told = far.join(shuffled(ends.groupBy("pivot").agg(F.min("far").alias("end"))), "pivot", "left")
     beyond = F.col("end").isNotNull() & (F.col("far") >= F.col("end"))
-    off = large.join(told.filter(beyond).select("row_id", "pivot"), ["row_id", "pivot"]).select("band", "row_id", "size")
+    off = large.join(shuffled(told.filter(beyond).select("row_id", "pivot")), ["row_id", "pivot"]).select("band", "row_id", "size")
     return _thinned(told.filter(~beyond).select(F.col("row_id").alias("u"), F.col("pivot").alias("v"))), off
 
 
@@ -154,9 +155,9 @@ def _candidates(members: DataFrame, prints: DataFrame, similarity: float) -> Dat
     a, b = (small.alias(x) for x in "ab")
     same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("band", "n", "first"))) & (F.col("a.row_id") < F.col("b.row_id"))
     alike = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * (similarity - 1e-9)
-    pairs = a.join(b, same & alike).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
+    pairs = a.join(shuffled(b), same & alike).select(F.col("a.row_id").alias("u"), F.col("b.row_id").alias("v")).distinct()
     own = prints.select("row_id", F.struct(*_WORDS).alias("own"))
-    told = pairs.join(own.alias("a"), F.col("a.row_id") == F.col("u")).join(own.alias("b"), F.col("b.row_id") == F.col("v"))
+    told = pairs.join(shuffled(own.alias("a")), F.col("a.row_id") == F.col("u")).join(shuffled(own.alias("b")), F.col("b.row_id") == F.col("v"))
     return reduce(DataFrame.unionByName, found, _thinned(told.filter(_apart(F.col("a.own"), F.col("b.own")) <= RADIUS)))
 
 
@@ -178,36 +179,36 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, p
     roots_ = roots_.unionByName(roots_.select(F.col("root").alias("node"), "root")).distinct()
     # of a group, the node that shares most bands with most others is the likeliest middle
     known = members.groupBy("row_id").agg(F.sum("n").alias("shared"), F.first("size").alias("size"))
-    grouped = stage(known.join(roots_, known.row_id == F.col("node")).select(F.col("root").alias("group"), "row_id", "shared", "size"), "groups")
-    sets = _sets(texts.join(grouped.select("row_id"), "row_id", "left_semi"), shingle)
-    small, large = _by_size(grouped, part, part_hashes)
-    done, found, before = [small], [], None
+    grouped = stage(known.join(shuffled(roots_), known.row_id == F.col("node")).select(F.col("root").alias("group"), "row_id", "shared", "size"), "groups")
+    done, large = _by_size(grouped, part, part_hashes)
+    large = stage(large, "large")
+    told = grouped.select("row_id").join(shuffled(large.select("row_id", F.lit(True).alias("large"))), "row_id", "left")
+    sets = _sets(marked(texts, told, "large"), shingle)
+    large_sets, found, before = stage(sets.filter("large").drop("large"), "large_sets"), [], None
     for left in range(HUBS, -1, -1):
-        large = stage(large, "large")
         n = large.count()
         if not n:
             break
         if not left or (before and n > 0.9 * before):  # hubs settle little here
-            small, large = _by_size(stage(_split(large, sets, similarity), "split"), part, part_hashes)
-            done.append(small)
-            found += _forests(large, sets, similarity, part, part_hashes)
+            small, large = _by_size(stage(_split(large, large_sets, similarity), "split"), part, part_hashes)
+            done = done.unionByName(small)
+            found += _forests(stage(large, "large"), large_sets, similarity, part, part_hashes)
             break
         before = n
-        near, large = _hub_round(large, sets, similarity)
+        near, large = _hub_round(large, large_sets, similarity)
         found.append(near)
         small, large = _by_size(large, part, part_hashes)
-        done.append(small)
-    for group in done:
-        found.append(_within(group, sets, similarity))
-    return reduce(DataFrame.unionByName, found)
+        done, large = done.unionByName(small), stage(large, "large")
+    # no two of these groups have the same name, which is a row_id of theirs
+    return reduce(DataFrame.unionByName, found, _within(done, sets.drop("large"), similarity))
 
 
 def _by_size(grouped: DataFrame, part: int, part_hashes: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes of groups that one task can hold, and those of larger ones. Groups of one node are settled."""
+    """Nodes of groups that one task can hold, and those of larger ones. Only the names of larger groups, a row for ``part`` nodes at most, are broadcast."""
     totals = grouped.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("hashes_"))
-    known = join_by_count(grouped.drop("n", "hashes_"), totals, ["group"], "n", grouped.count())
     fits = (F.col("n") <= part) & (F.col("hashes_") <= part_hashes)
-    return known.filter(fits & (F.col("n") > 1)), known.filter(~fits & (F.col("n") > 1))
+    known = grouped.drop("n", "hashes_").join(F.broadcast(totals.filter(~fits & (F.col("n") > 1))), "group", "left")
+    return known.filter("n is null"), known.filter("n is not null")
 
 
 def _hub_round(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +222,7 @@ def _hub_round(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
     """
     hubs = large.groupBy("group").agg(F.max_by("row_id", F.struct("shared", -F.col("row_id"))).alias("hub"))
     hub_sets = hubs.join(sets.select(F.col("row_id").alias("hub"), F.col("hashes").alias("y")), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = large.join(sets, "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(hub_sets, ["group", "salt"]).filter("row_id <> hub")
+    own = large.join(shuffled(sets), "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(shuffled(hub_sets), ["group", "salt"]).filter("row_id <> hub")
     shared = F.size(F.array_intersect("hashes", "y"))
     far = stage(own.select("group", "row_id", "shared", "size", "hub", (1 - shared / (F.size("hashes") + F.size("y") - shared)).alias("far")), "hub")
     radius = 1 - similarity + 1e-12
@@ -239,7 +240,7 @@ def _alike(table: pa.Table, similarity: float) -> pa.Table:
 
 def _within(small: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(u, v) for nodes of groups that fit a task."""
-    return small.select("group", "row_id").join(sets, "row_id").groupBy("group").applyInArrow(lambda table: _alike(table, similarity), "u long, v long")
+    return small.select("group", "row_id").join(shuffled(sets), "row_id").groupBy("group").applyInArrow(lambda table: _alike(table, similarity), "u long, v long")
 
 
 def _forest(ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -282,18 +283,19 @@ def _split(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     several of some SAMPLE sets of the group have come last, so what most of
     a group has in common connects nobody. The sample only sets this order.
     """
-    picked = large.filter(F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / SAMPLE)) == 0).join(sets, "row_id")
+    picked = large.filter(F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / SAMPLE)) == 0).join(shuffled(sets), "row_id")
     often = picked.select("group", F.explode("hashes").alias("h")).groupBy("group", "h").agg(F.count("*").alias("n")).filter("n > 1")
     often = often.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("n", "h")))["h"].alias("often"))
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = large.join(sets, "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(often, ["group", "salt"], "left")
+    own = large.join(shuffled(sets), "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(shuffled(often), ["group", "salt"], "left")
     often_ = F.coalesce("often", F.array().cast("array<long>"))
     in_order = F.concat(F.array_except("hashes", often_), F.array_intersect(often_, "hashes"))
     most = (F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).cast("int")
     keys = own.select("group", "row_id", F.explode(F.slice(in_order, F.lit(1), most)).alias("h"))
     near = _counted(keys, "group", "h").filter("row_id <> first").select(F.col("row_id").alias("u"), F.col("first").alias("v"))
-    split = connected_components(_thinned(near))
-    return large.join(split, large.row_id == split.node, "left").select(F.coalesce("root", "row_id").alias("group"), "row_id", "shared", "size")
+    split = stage(connected_components(_thinned(near)), "parts")
+    split = split.unionByName(split.select(F.col("root").alias("node"), "root")).distinct()  # others are alone
+    return large.join(shuffled(split), large.row_id == split.node).select(F.col("root").alias("group"), "row_id", "shared", "size")
 
 
 def _forests(large: DataFrame, sets: DataFrame, similarity: float, part: int, part_hashes: int) -> list[DataFrame]:
@@ -309,18 +311,18 @@ def _forests(large: DataFrame, sets: DataFrame, similarity: float, part: int, pa
     dealt = large.select("group", "row_id", "size", parts.alias("parts"), F.pmod(F.xxhash64("row_id", "group"), parts).cast("int").alias("j"))
     hubs = large.groupBy("group").agg(F.max_by("row_id", F.struct("shared", -F.col("row_id"))).alias("row_id"), F.first(parts).alias("parts"))
     hubs = hubs.select("group", "row_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-    each = dealt.select("group", "row_id", "j").unionByName(hubs).distinct().join(sets, "row_id")
+    each = dealt.select("group", "row_id", "j").unionByName(hubs).distinct().join(shuffled(sets), "row_id")
     near = stage(each.groupBy("group", "j").applyInArrow(lambda table: _alike(table, similarity), "u long, v long"), "near")
 
     told = connected_components(near)
-    known = stage(dealt.join(told, dealt.row_id == told.node, "left").select("group", "row_id", "size", "parts", "j", F.coalesce("root", "row_id").alias("root")), "known")
+    known = stage(dealt.join(shuffled(told), dealt.row_id == told.node, "left").select("group", "row_id", "size", "parts", "j", F.coalesce("root", "row_id").alias("root")), "known")
     most = known.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("most"))
     outside = known.join(F.broadcast(most), "group").filter("root <> most")
     left = outside.groupBy("group").agg(in_parts(F.count("*"), F.sum("size")).alias("lefts"))
     i = F.pmod(F.xxhash64("row_id", "group", F.lit(1)), F.col("lefts")).cast("int")
     mine = outside.join(F.broadcast(left), "group").select("group", "row_id", "root", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("mine"))
     other = known.join(F.broadcast(left), "group").select("group", "row_id", "root", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), "j", F.lit(False).alias("mine"))
-    both = mine.unionByName(other.select(mine.columns)).join(sets, "row_id")
+    both = mine.unionByName(other.select(mine.columns)).join(shuffled(sets), "row_id")
     return [near, both.groupBy("group", "i", "j").applyInArrow(lambda table: _across(table, similarity), "u long, v long")]
 
 
@@ -357,4 +359,4 @@ def roots(rows: DataFrame, text: str, shingle: int, similarity: float) -> DataFr
     nodes = stage(made, "nodes")
     near = links(_banded(nodes), rows.select("row_id", F.col(text).alias("text_")), shingle, similarity, prints=nodes.select("row_id", *_WORDS))
     found = connected_components(near)
-    return nodes.select("row_id", "best").join(found, nodes.row_id == found.node, "left").select(F.coalesce("root", "row_id").alias("root"), "best")
+    return nodes.select("row_id", "best").join(shuffled(found), nodes.row_id == found.node, "left").select(F.coalesce("root", "row_id").alias("root"), "best")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakflow.llm.components import connected_components
-from leakflow.llm.staging import arrow_rows, carried, join_by_count, restored, stage, with_row_id
+from leakflow.llm.staging import arrow_rows, carried, join_by_count, marked, restored, stage, with_row_id
 
 SEED = 42
 #: A-Z to a-z; other bytes stay.
@@ -322,4 +322,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     own = F.col(f"c{docs.columns.index(doc_id)}")
     told = rows.withColumn("best", F.struct(own.isNull().alias("none"), own.alias("doc_id_"), "row_id"))
     kept = jaccard.roots(told, f"c{docs.columns.index(text)}", shingle, similarity).groupBy("root").agg(F.min("best").alias("best"))
-    return restored(rows.join(kept.select(F.col("best.row_id").alias("row_id")), "row_id", "left_semi"), docs.columns)
+    return restored(marked(rows, kept.select(F.col("best.row_id").alias("row_id"))), docs.columns)

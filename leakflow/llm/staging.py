@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakflow.session import new_path
+from leakflow.session import new_path, shuffled
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -53,17 +53,43 @@ HOT_SHARE, HOT_ROWS = 100_000, 256
 TASK_ROWS = 1 << 20
 
 
-def join_by_count(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+def join_by_count(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, merge: bool = False) -> DataFrame:
     """``rows`` with the row of ``table`` that has their key. ``table`` has a row a key, and in ``n`` how many of the ``total`` rows have it at most.
 
     Rows of hot keys stay where they are: what ``table`` has of these keys is
     broadcast, HOT_SHARE rows at most. Only the others are shuffled. Where all
-    rows together would fit a task, no key needs this.
+    rows together would fit a task, no key needs this. With ``merge`` Spark
+    isn't left to broadcast the other keys where they are few enough for it.
     """
+    side = shuffled if merge else lambda t: t
     if total <= TASK_ROWS:
-        return rows.join(table, on)
+        return rows.join(side(table), on)
     often = max(HOT_ROWS, total // HOT_SHARE)
     hot = F.broadcast(table.filter(F.col(n) > often))
     cold = table.filter(F.col(n) <= often)
     apart = rows.join(F.broadcast(table.filter(F.col(n) > often).select(*on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(apart.join(cold, on))
+    return rows.join(hot, on).unionByName(apart.join(side(cold), on))
+
+
+#: So many longs, of 64 rows each, are broadcast at most.
+MARKS = 100_000
+
+
+def marked(rows: DataFrame, ids: DataFrame, *flags: str, key: str = "row_id", apart: bool = False) -> DataFrame:
+    """``rows`` whose ``key``, a long, is in ``ids`` (key, ``flags``), with the ``flags``; a null one is false. With ``apart``, those not in ``ids`` (no flags).
+
+    Wide rows stay where they are, as a bit for each is broadcast. Where these
+    are more than MARKS longs, both sides are shuffled. With flags ``ids`` has
+    each key once.
+    """
+    word, at = F.shiftright(key, 6), F.expr(f"CAST({key} & 63 AS INT)")
+    bit = F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")
+    told = (F.coalesce(F.bit_or(F.when(F.col(f), bit)), F.lit(0).cast("long")).alias(f) for f in flags)
+    bits = stage(ids.groupBy(word.alias("word_")).agg(F.bit_or(bit).alias("bits_"), *told), "bits")
+    if bits.count() > MARKS:
+        few = ids.select(key, *(F.coalesce(f, F.lit(False)).alias(f) for f in flags))
+        return rows.join(shuffled(few), key, "left_anti" if apart else "inner" if flags else "left_semi")
+    has = lambda c: F.getbit(F.coalesce(c, F.lit(0).cast("long")), at) == 1
+    told = rows.join(F.broadcast(bits), word == F.col("word_"), "left" if apart else "inner")
+    here = told.filter(~has("bits_") if apart else has("bits_"))
+    return here.select(*rows.columns, *(has(f).alias(f) for f in flags))

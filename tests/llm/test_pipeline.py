@@ -3,13 +3,14 @@
 import hashlib
 import math
 import os
+import re
 
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from leakflow.llm import packing, quality, queries, simhash  # noqa: E402
+from leakflow.llm import packing, quality, queries, simhash, staging  # noqa: E402
 from leakflow.llm.staging import stage  # noqa: E402
 from test_llm_operators import brute_hits  # noqa: E402
 
@@ -286,3 +287,37 @@ def test_rows_of_large_groups_do_not_grow_with_bands_or_parts(spark):
     roots = {r["node"]: r["root"] for r in connected_components(near).collect()}
     assert set(roots) == {*range(1, 200), 210, 211} and set(roots.values()) == {0}
     assert near.count() < 500  # two parts in a task each would make some 20 links for each of 66 tasks
+
+
+def test_near_duplicates_broadcast_bits_and_large_groups_alone(spark, monkeypatch):
+    """Spark would collect tables of up to 10 MB in the driver, many at a time."""
+    from leakflow.llm import components, jaccard
+
+    plans = []
+
+    def told(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, label)
+
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "stage", told)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = simhash.drop_near_duplicates(docs)
+    plans.append(("kept", made._jdf.queryExecution().executedPlan().toString()))
+    built = {key for _, plan in plans for key in re.findall(r"BroadcastHashJoin \[(\w+)", plan)}
+    assert len(plans) > 15 and built <= {"shiftright", "group"}  # bits, and the names of large groups
+    assert sum(label == "edges" and "Join" in plan for label, plan in plans) <= 2  # those that components begin with: a round is windows alone
+    assert 0 < made.count() < docs.count()
+
+
+def test_marked_rows_are_those_of_the_ids(spark, monkeypatch):
+    ids = [*range(0, 300, 3), 63, 127, (7 << 33) + 63, (7 << 33) + 64, 1 << 40]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(400), *((7 << 33) + j for j in range(130))]], "row_id long, t string")
+    flagged = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2 == 1) for i in sorted(set(ids))], "row_id long, odd boolean")
+    want = sorted((r["row_id"], r["t"], r["row_id"] % 5 != 0 and r["row_id"] % 2 == 1) for r in rows.collect() if r["row_id"] in ids)
+    for most in (100_000, 0):
+        monkeypatch.setattr(staging, "MARKS", most)
+        assert sorted(map(tuple, staging.marked(rows, flagged, "odd").collect())) == want
+        repeated = flagged.unionByName(flagged).select("row_id")
+        assert sorted(r[0] for r in staging.marked(rows, repeated).collect()) == [x[0] for x in want]
+        assert sorted(r[0] for r in staging.marked(rows, repeated, apart=True).collect()) == sorted(r["row_id"] for r in rows.collect() if r["row_id"] not in ids)
