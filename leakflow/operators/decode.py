@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import functools
 import re
 from collections.abc import Iterator
 
@@ -40,12 +41,18 @@ def decode_percent(run: Column) -> Column:
 
 #: Runs of hex digits and of code points are none if they are a part of a longer base64 run.
 _APART, _ENDED = "(?<![A-Za-z0-9+/_-])", "(?![A-Za-z0-9+/_-])"
-_KINDS = (
-    ("percent", re.compile(r"%[0-9A-Fa-f]{2}(?:[^\n]*%[0-9A-Fa-f]{2})?")),
-    ("unicode", re.compile(rf"{_APART}(?:U\+[0-9A-Fa-f]{{4}}\s?)+|(?:\\u[0-9A-Fa-f]{{4}})+")),
-    ("hex", re.compile(rf"{_APART}[0-9A-Fa-f]{{{HEX_RUN},}}+{_ENDED}")),
-    ("base64", re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_RUN},}}={{0,2}}")),
-)
+
+
+@functools.cache
+def _kinds(hex_run: int) -> tuple[tuple[str, re.Pattern], ...]:
+    return (
+        ("percent", re.compile(r"%[0-9A-Fa-f]{2}(?:[^\n]*%[0-9A-Fa-f]{2})?")),
+        ("unicode", re.compile(rf"{_APART}(?:U\+[0-9A-Fa-f]{{4}}\s?)+|(?:\\u[0-9A-Fa-f]{{4}})+")),
+        ("hex", re.compile(rf"{_APART}[0-9A-Fa-f]{{{hex_run},}}+{_ENDED}")),
+        ("base64", re.compile(rf"[A-Za-z0-9+/_-]{{{BASE64_RUN},}}={{0,2}}")),
+    )
+
+
 _SHOWN = re.compile(_PRINTABLE)
 
 
@@ -65,10 +72,10 @@ def _decoded(kind: str, run: str) -> str:
     return raw if _SHOWN.match(raw) else ""
 
 
-def decode_pass(text: str, segments: list[dict], depth: int) -> tuple[str, list[dict]]:
+def decode_pass(text: str, segments: list[dict], depth: int, hex_run: int = HEX_RUN) -> tuple[str, list[dict]]:
     """One pass: each decodable run replaced. Segments say where in the decoded text they are, and from where in the original; of overlapping runs that of the earlier kind is taken."""
     starts, taken = [], []  # in order, and apart from each other
-    for kind, rx in _KINDS:
+    for kind, rx in _kinds(hex_run):
         for m in rx.finditer(text):
             at = bisect.bisect_left(starts, m.end())
             if not at or taken[at - 1][1] <= m.start():
@@ -102,8 +109,8 @@ def _original(segments: list[dict], starts: list[int], at: int, start: bool) ->
 SEGMENTS = "array<struct<orig_start:int,orig_end:int,dec_start:int,dec_end:int,encoding:string,depth:int>>"
 
 
-def decode_fragments(frags: DataFrame, max_depth: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(fragment_id, ``keep``, depth, raw, segments): each fragment after 1, 2, .. passes, while a pass still changes it.
+def decode_fragments(frags: DataFrame, max_depth: int = 3, keep: tuple[str, ...] = (), hex_run: int = HEX_RUN) -> DataFrame:
+    """(fragment_id, ``keep``, depth, raw, segments): each fragment after 1, 2, .. passes, while a pass still changes it. ``hex_run``: the least length of hex runs.
 
     The lineage of nested encodings is recursive, so this part runs in
     Arrow-batched workers, a text at a time. Offsets are in code points.
@@ -119,7 +126,7 @@ def decode_fragments(frags: DataFrame, max_depth: int = 3, keep: tuple[str, ...]
                 text = text.as_py() or ""
                 segments: list[dict] = []
                 for depth in range(1, max_depth + 1):
-                    text, segments = decode_pass(text, segments, depth)
+                    text, segments = decode_pass(text, segments, depth, hex_run)
                     if not segments:
                         break
                     where.append(i)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakflow.operators import audit, decode, graph, keywords, scrub
-from leakflow.plans import commands
+from leakflow.plans import commands, documents
+from leakflow.plans.registry import ORACLE_SQL
 from leakflow.session import new_path
 from leakflow.sources import fastexport
 from leakflow.streaming import scans
@@ -65,6 +66,17 @@ def test_hex_within_a_base64_run_is_no_run():
     assert decode.decode_pass(f"x {text.encode().hex()} y", [], 1)[0] == f"x {text} y"
 
 
+def test_decoded_passes_of_null_and_short_texts_are_those_of_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [None, "", "a", "ab", "abc", "abcdef", "caf\u00e9", "tab\tand\nline\n", "nul\0byte", None, "th th " * 400]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, documents.decode_loop(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(ORACLE_SQL["decode_loop"]).fetchall(), key=repr)
+
+
 def test_chunks_of_long_lines_and_repeated_rows_come_together_in_order(spark, tmp_path):
     long = "".join(f"{i * 7919 % 10007:05d} " for i in range(20_000))
     rows = [(1, long), (2, "twice"), (2, "twice"), (2, "other\nline"), (None, "none"), (3, ""), (4, None)]
